@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard_join, line_crf, ppm, quality_model
+from . import bpe, jaccard_join, line_crf, line_dedup, mixing, phrase_fingerprint, ppm, quality_model
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,16 +55,83 @@ def op5_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.remove_repeated(docs).select("doc_id", "text", F.col("lines_removed").cast("long").alias("lines_removed"))
+
+
+#: Target weights by domain, language and source; branches that are not named weigh 1.
+MIX_WEIGHTS = {("crawl",): 0.2, ("web",): 0.5, ("curated",): 0.3} | {
+    (domain, lang): weight for domain in ("crawl", "web", "curated") for lang, weight in (("en", 0.5), ("de", 0.2), ("fr", 0.2), ("es", 0.1))
+}
+MIX_SHARE = 0.6
+MIX_EPOCHS = 2
+
+
+def mix_levels() -> dict:
+    """Domain, language and source. The domain is told from the source's number."""
+    number = F.expr("try_cast(substring(source, 4) as int)")
+    domain = F.when(F.col("source") == "src0", "crawl").when(number < 12, "web").otherwise("curated")
+    return {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
+
+
+def mix_tokens():
+    """Four characters a token, rounded up."""
+    return F.ceil(F.char_length("text") / 4)
+
+
+def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = mixing.mix(docs, mix_levels(), mix_tokens(), MIX_WEIGHTS, share=MIX_SHARE, max_epochs=MIX_EPOCHS, seed=17)
+    return out.select("doc_id", "lang", "source", F.coalesce(mix_tokens(), F.lit(0)).alias("tokens"), F.col("mix_epoch").alias("epoch"))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_phrase_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return phrase_fingerprint.compare_with_edits(docs).select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_line_crf": op3_line_crf,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_ppm_language": op5_ppm_language,
+    "op6_line_windows": op6_line_windows,
+    "op7_mix": op7_mix,
     "op8_ngram_jaccard": op8_ngram_jaccard,
+    "op10_phrase_fingerprint": op10_phrase_fingerprint,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_line_windows": r"""
+        WITH split AS (
+            SELECT doc_id, text, generate_subscripts(lines, 1) AS pos, unnest(lines) AS line
+            FROM (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents)
+        ), filled AS (
+            SELECT doc_id, pos, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM split
+            WHERE trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> ''
+        ), wins AS (
+            SELECT doc_id, pos AS a, lead(pos, 2) OVER w AS b, line AS l1, lead(line) OVER w AS l2, lead(line, 2) OVER w AS l3
+            FROM filled WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+        ), later AS (
+            SELECT doc_id, a, b FROM (
+                SELECT doc_id, a, b, row_number() OVER (PARTITION BY l1, l2, l3 ORDER BY doc_id, a) AS nth FROM wins WHERE b IS NOT NULL
+            ) WHERE nth > 1
+        ), gone AS (
+            SELECT DISTINCT s.doc_id, s.pos FROM split s JOIN later l ON s.doc_id = l.doc_id AND s.pos BETWEEN l.a AND l.b
+        )
+        SELECT d.doc_id,
+               CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text,
+               coalesce(g.n, 0) AS lines_removed
+        FROM documents d
+        LEFT JOIN (SELECT s.doc_id, string_agg(s.line, chr(10) ORDER BY s.pos) AS text
+                   FROM split s LEFT JOIN gone g ON s.doc_id = g.doc_id AND s.pos = g.pos WHERE g.pos IS NULL GROUP BY s.doc_id) k ON k.doc_id = d.doc_id
+        LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g ON g.doc_id = d.doc_id
+    """,
+}
