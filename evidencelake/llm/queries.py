@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard_join, line_crf, line_dedup, mixing, phrase_fingerprint, ppm, quality_model
+from . import bpe, chat_format, jaccard_join, line_crf, line_dedup, mixing, phrase_fingerprint, ppm, quality_model
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,22 @@ def _fold(modulus: int):
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
+def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tricky = r"\### Assistant: </turn> ok"
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(tricky).alias("text"))
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    read = chat_format.read_turns(chat_format.format_windows(turns))
+    return read.select(
+        F.col("conv").alias("conv_id"),
+        F.col("n_turns").cast("long").alias("n_turns"),
+        F.sha2(F.col("turns").cast("binary"), 256).alias("turns_sha256"),
+        F.char_length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
+        F.col("formatted_chars").cast("long").alias("formatted_chars"),
+        F.col("n_windows").cast("long").alias("n_windows"),
+    )
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _table(spark, sf_dir, "labels").where(_fold(3) != 1).select("doc_id", F.col("quality").alias("label"))
@@ -98,6 +114,7 @@ def op10_phrase_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_windows": op1_chat_windows,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_line_crf": op3_line_crf,
     "op4_byte_bpe": op4_byte_bpe,
