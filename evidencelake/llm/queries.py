@@ -8,14 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, jaccard_join, line_crf, line_dedup, mixing, phrase_fingerprint, ppm, quality_model
+from . import bpe, chat_format, jaccard_join, license_scan, line_crf, line_dedup, mixing, phrase_fingerprint, ppm, quality_model
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _fold(modulus: int):
+def fold(modulus: int):
     """crc32 of the id as text, modulo: the folds that the contracts name (null: of '')."""
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
@@ -38,16 +38,16 @@ def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = _table(spark, sf_dir, "labels").where(_fold(3) != 1).select("doc_id", F.col("quality").alias("label"))
+    labels = _table(spark, sf_dir, "labels").where(fold(3) != 1).select("doc_id", F.col("quality").alias("label"))
     model = quality_model.fit(docs, labels)
     return quality_model.predict(docs, model).select(
-        "doc_id", (_fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+        "doc_id", (fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
 
 
 def op3_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = _table(spark, sf_dir, "labels").where(_fold(3) != 1).select("doc_id", F.col("quality").alias("label"))
+    labels = _table(spark, sf_dir, "labels").where(fold(3) != 1).select("doc_id", F.col("quality").alias("label"))
     out = line_crf.annotate(docs, line_crf.fit(docs, labels))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share")
 
@@ -65,9 +65,9 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    model = ppm.fit(docs.where(_fold(5) != 0))
+    model = ppm.fit(docs.where(fold(5) != 0))
     return ppm.predict(docs.select("doc_id", "text"), model).select(
-        "doc_id", (_fold(5) == 0).alias("held_out"), "lang_pred", F.col("lang_score").alias("score")
+        "doc_id", (fold(5) == 0).alias("held_out"), "lang_pred", F.col("lang_score").alias("score")
     )
 
 
@@ -106,6 +106,18 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = license_scan.scan(docs)
+    return found.select(
+        "doc_id",
+        F.size("licenses").cast("long").alias("n_licenses"),
+        F.array_join(F.transform("licenses", lambda x: x["template"]), ",").alias("licenses"),
+        F.coalesce(F.round(F.array_max(F.transform("licenses", lambda x: x["containment"])), 6), F.lit(0.0)).alias("containment"),
+        F.array_min(F.transform("licenses", lambda x: x["word"])).alias("first_word"),
+    )
+
+
 def op10_phrase_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return phrase_fingerprint.compare_with_edits(docs).select(
@@ -122,6 +134,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_line_windows": op6_line_windows,
     "op7_mix": op7_mix,
     "op8_ngram_jaccard": op8_ngram_jaccard,
+    "op9_license_scan": op9_license_scan,
     "op10_phrase_fingerprint": op10_phrase_fingerprint,
 }
 
@@ -152,3 +165,37 @@ ORACLE_SQL: dict[str, str] = {
         LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g ON g.doc_id = d.doc_id
     """,
 }
+
+
+def _license_sql() -> str:
+    values = ",\n            ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in item) + ")" for item in sorted(license_scan.TEMPLATES.items()))
+    return rf"""
+        WITH source AS (
+            SELECT 'd' || doc_id AS key, doc_id, NULL AS template, text FROM documents
+            UNION ALL SELECT 't' || name, NULL, name, text FROM (VALUES {values}) AS t(name, text)
+        ), worded AS (
+            SELECT key, doc_id, template, list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM source
+        ), shingles AS (
+            SELECT key, doc_id, template, i - 1 AS place, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] AS s
+            FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM worded WHERE len(w) >= 5)
+        ), known AS (
+            SELECT template, s, count(*) OVER (PARTITION BY template) AS n FROM (SELECT DISTINCT template, s FROM shingles WHERE template IS NOT NULL)
+        ), kinds AS (
+            SELECT *, greatest(8, pow(2, ceil(log2(n))))::BIGINT AS reach FROM known
+        ), hits AS (
+            SELECT x.doc_id, x.place, x.s, k.template, k.n, k.reach, x.place // k.reach - o.back AS win
+            FROM shingles x JOIN kinds k ON x.s = k.s, (VALUES (0), (1)) AS o(back) WHERE x.template IS NULL
+        ), wins AS (
+            SELECT doc_id, template, win, count(DISTINCT s) / any_value(n) AS containment, min(place) AS word
+            FROM hits GROUP BY doc_id, template, win
+        ), best AS (
+            SELECT doc_id, template, containment, word FROM wins WHERE containment >= 0.8
+            QUALIFY row_number() OVER (PARTITION BY doc_id, template ORDER BY containment DESC, word) = 1
+        )
+        SELECT d.doc_id, count(template) AS n_licenses, coalesce(string_agg(template, ',' ORDER BY template), '') AS licenses,
+               coalesce(round(max(containment), 6), 0.0) AS containment, min(word) AS first_word
+        FROM documents d LEFT JOIN best USING (doc_id) GROUP BY d.doc_id
+    """
+
+
+ORACLE_SQL["op9_license_scan"] = _license_sql()
