@@ -30,6 +30,7 @@ RECALL = 0.9995
 BLOCK_ROWS = 512
 BLOCK_SHINGLES = 1 << 20
 BROADCAST_IDS = 200_000
+STRIP = 1 << 21
 
 
 def banding(threshold: float = THRESHOLD, recall: float = RECALL, most: int = 128) -> tuple[int, int]:
@@ -90,6 +91,30 @@ def band_keys(value: np.ndarray, owner: np.ndarray, n: int, bands: int, rows: in
     return key
 
 
+def _common(sets: list[np.ndarray], size: np.ndarray) -> np.ndarray:
+    """Number of shingles that each two of the sets have in common."""
+    n = len(sets)
+    common = np.zeros((n, n))
+    if n == 2:
+        common[0, 1] = common[1, 0] = len(np.intersect1d(*sets, assume_unique=True))
+        return common
+    value, row = np.concatenate(sets), np.repeat(np.arange(n, dtype=np.int32), size)
+    order = np.argsort(value, kind="stable")
+    value, row = value[order], row[order]
+    new = np.append(True, value[1:] != value[:-1])
+    often = np.diff(np.append(np.flatnonzero(new), len(value)))
+    keep = np.repeat(often > 1, often)  # a shingle of one set links nothing
+    row, column = row[keep], np.cumsum(new[keep]) - 1
+    columns = int((often > 1).sum())
+    width = max(1, min(columns, STRIP // n))
+    for at in range(0, columns, width):
+        a, b = np.searchsorted(column, [at, at + width])
+        strip = np.zeros((n, width), dtype=np.float32)
+        strip[row[a:b], column[a:b] - at] = 1
+        common += strip @ strip.T
+    return common
+
+
 def _links(block: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids, number of linked rows and root in the links' spanning forest, of one block pair.
 
@@ -103,21 +128,7 @@ def _links(block: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray, n
     keys = np.array(block["keys"].to_pylist(), dtype=np.int64)
     sets = [np.frombuffer(x, np.uint64) for x in block["shingles"].to_pylist()]
     size = np.array([len(x) for x in sets])
-    _, column = np.unique(np.concatenate(sets), return_inverse=True)
-    row = np.repeat(np.arange(n), size)
-    order = np.argsort(column, kind="stable")
-    column, row = column[order], row[order]
-    # Shingles of one row link nothing; the rest make a row-by-shingle table in strips.
-    often = np.bincount(column)
-    keep = often[column] > 1
-    column, row = np.unique(column[keep], return_inverse=True)[1] if keep.any() else np.zeros(0, int), row[keep]
-    common = np.zeros((n, n))
-    width = max(1, (8 << 20) // n)
-    for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        a, b = np.searchsorted(column, [at, at + width])
-        strip = np.zeros((n, width), dtype=np.float32)
-        strip[row[a:b], column[a:b] - at] = 1
-        common += strip @ strip.T
+    common = _common(sets, size)
     near = common >= threshold * (size[:, None] + size[None, :] - common) - 1e-6 * size[:, None]
     near &= common > 0
     np.fill_diagonal(near, False)
