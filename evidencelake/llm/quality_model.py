@@ -152,17 +152,27 @@ def fit(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: s
     fold = F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(4)) == 0
 
     def equations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram, right = np.zeros((features + 1, features + 1)), np.zeros(features + 1)
+        """A partition's sums: row i of the left side, with the right side's i at its end."""
+        sums, part = np.zeros((features + 1, features + 2)), ""
         for batch in batches:
             if batch.num_rows:
                 z = model.features(np.array(batch.column("x").to_pylist()))
-                gram += z.T @ z
-                right += z.T @ np.asarray(batch.column("y"))
-        yield pa.RecordBatch.from_arrays([pa.array([gram.tobytes()], pa.binary()), pa.array([right.tobytes()], pa.binary())], names=["gram", "right"])
-
-    sums = sorted(measured.where(~fold).mapInArrow(equations, "gram binary, right binary").collect())
-    gram = sum(np.frombuffer(r["gram"]).reshape(features + 1, -1) for r in sums)
-    right = sum(np.frombuffer(r["right"]) for r in sums)
+                sums += z.T @ np.hstack((z, np.asarray(batch.column("y"))[:, None]))
+                part = part or batch.column("id")[0].as_py()
+        if part:
+            yield pa.RecordBatch.from_arrays([pa.array(range(features + 1)), pa.array([part] * (features + 1)), pa.array([x.tobytes() for x in sums], pa.binary())], names=["i", "part", "row"])
+
+    def total(rows: pa.Table) -> pa.Table:
+        ordered = rows.sort_by("part")
+        added = np.sum([np.frombuffer(x) for x in ordered["row"].to_pylist()], axis=0)
+        return pa.table({"i": ordered["i"][:1], "row": pa.array([added.tobytes()], pa.binary())})
+
+    # Partitions are summed by row before the driver sees them: it gets one system of equations.
+    parts = measured.where(~fold).mapInArrow(equations, "i long, part string, row binary")
+    sums = np.array([np.frombuffer(r["row"]) for r in sorted(parts.groupBy("i").applyInArrow(total, "i long, row binary").collect())])
+    if not len(sums):
+        sums = np.zeros((features + 1, features + 2))
+    gram, right = sums[:, :-1], sums[:, -1]
     penalty = ridge * max(gram[-1, -1], 1.0) * np.eye(features + 1)
     penalty[-1, -1] = 1e-9
     model.weights = np.linalg.solve(gram + penalty, right)
