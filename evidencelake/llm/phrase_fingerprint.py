@@ -181,7 +181,7 @@ def _ranges(df: DataFrame, rows_a_range: int) -> DataFrame:
         start = F.element_at(low, k)
         end = F.coalesce(F.get(low, k), start + 1)
         fine = F.least(F.floor((F.col("id") - start).cast("double") * parts / (end - start).cast("double")).cast("int"), F.lit(parts - 1))
-        part = F.coalesce(k * parts + F.greatest(fine, F.lit(0)), F.lit(0)).cast("int")
+        part = F.when(F.col("id").isNull(), 0).otherwise(k * parts + F.greatest(fine, F.lit(0))).cast("int")
     dealt = df.withColumn("part", part)
     heads = [(r["part"], r["head"]) for r in dealt.groupBy("part").agg(F.max("id").alias("head")).orderBy(F.desc("part")).collect()]
     ghosts = [(head, heads[k - 1][0]) for k, (_, head) in enumerate(heads)]
