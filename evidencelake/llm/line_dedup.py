@@ -2,7 +2,7 @@
 
 Every run of ``width`` consecutive filled lines of a text is hashed; a window that occurs
 several times in the corpus stays where it occurs first, and everywhere else its lines are
-removed. Overlapping and touching windows of a text are merged to ranges first.
+removed. Overlapping windows of a text are merged to ranges first.
 """
 
 from __future__ import annotations
@@ -47,7 +47,7 @@ def repeated_ranges(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     often = rows.groupBy("h1", "h2").agg(F.min(key).alias("first"), F.max(key).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).drop("last")
     later = rows.join(often, ["h1", "h2"]).where(~key.eqNullSafe(F.col("first"))).select("id", "code", "k", "a", "b").distinct()
     order = Window.partitionBy("id", "code").orderBy("k")
-    island = F.sum(F.when(F.col("k") - F.lag("k").over(order) <= width, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    island = F.sum(F.when(F.col("k") - F.lag("k").over(order) < width, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
     merged = later.withColumn("island", island).groupBy("id", "code", "island").agg(F.min("a").alias("a"), F.max("b").alias("b"))
     return merged.groupBy("id", "code").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("ranges"))
 
