@@ -6,12 +6,11 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 _LOCAL: dict[str, str] = {}
 
 #: Stored units; a field that an older file lacks reads as null.
-UNITS_JSON = T.StructType.fromDDL("document_id string, count int, chunks array<struct<id: string, section_id: string, `order`: int, modality: string, text: string, retrieval_context: string, token_count: int, source_element_ids: array<string>>>")
+UNITS_JSON = "document_id string, count int, chunks array<struct<id: string, section_id: string, `order`: int, modality: string, text: string, retrieval_context: string, token_count: int, source_element_ids: array<string>>>"
 
 
 def shared_dir(spark: SparkSession) -> str:
