@@ -170,7 +170,7 @@ def topk_all(questions: DataFrame, points: DataFrame, k: int = TOP_K, metric: st
     asked = questions.select("query_id", "vector").limit(max_queries + 1).toPandas()
     if len(asked) > max_queries:
         raise ValueError(f"more than {max_queries} questions: run them in several sets")
-    matrix = np.array(asked["vector"].tolist(), dtype=float).reshape(len(asked), -1)
+    matrix = np.array(asked["vector"].tolist(), dtype=float) if len(asked) else np.zeros((0, 0))
     ids = asked["query_id"].to_numpy(dtype=np.int64)
     sent = questions.sparkSession.sparkContext.broadcast((ids, matrix))
     _, descending = METRICS[metric]

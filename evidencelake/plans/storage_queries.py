@@ -255,6 +255,7 @@ _PAPER = structure_queries._TREE | {
     "vis": "SELECT * FROM content_items WHERE kind IN ('table', 'figure') AND (pos <> 8 OR doc_id % 10 <> 2)",
     "cap": "SELECT * FROM captions WHERE subject_pos <> 5 OR doc_id % 10 <> 1",
 }
+_TEXT = "trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace({}, '(?s)<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&amp;', '&'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))"
 _TOPQ = search_queries.TOPK_SQL
 
 ORACLE_SQL = {
@@ -265,6 +266,16 @@ ORACLE_SQL = {
     "layout_view": with_views(
         "SELECT doc_id, page, string_agg(CAST(y0 AS INT) || ' ' || kind || ' ' || pos, ',' ORDER BY y0, kind, pos) AS elements FROM (SELECT b.doc_id, b.page, b.y0, i.kind, b.pos FROM boxes b JOIN content_items i ON i.doc_id = b.doc_id AND i.pos = b.pos UNION ALL SELECT b.doc_id, b.page + 1, 0.0, i.kind, b.pos FROM boxes b JOIN content_items i ON i.doc_id = b.doc_id AND i.pos = b.pos) GROUP BY doc_id, page"
     ),
+    "pages_to_content": with_views(
+        """SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY n) - 1 AS pos, kind, level, length(text) AS chars FROM (
+            SELECT *, kind = 'heading' AND text = title AND sum(CASE WHEN kind = 'heading' THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY n) = 1 AS first_title FROM named WHERE text <> '') WHERE NOT first_title""",
+        {
+            "bodies": r"SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>|<nav\b.*?</nav>|<footer\b.*?</footer>|<header\b.*?</header>', ' ', 'g') AS body FROM pages",
+            "chunks": r"SELECT page_id, title, generate_subscripts(c, 1) AS n, unnest(c) AS piece FROM (SELECT page_id, title, string_split(regexp_replace(body, '(?is)(</?(?:h[1-6]|p|table|figure)\b)', chr(1) || '\1', 'g'), chr(1)) AS c FROM bodies)",
+            "tagged": r"SELECT *, lower(regexp_extract(piece, '^<([A-Za-z]+[1-6]?)', 1)) AS tag FROM chunks WHERE regexp_matches(piece, '(?i)^<(h[1-6]|p|table|figure)\b')",
+            "named": f"SELECT page_id, n, CASE WHEN tag LIKE 'h%' THEN 'heading' WHEN tag = 'p' THEN 'paragraph' ELSE tag END AS kind, CASE WHEN tag LIKE 'h%' THEN CAST(tag[2:] AS INT) END AS level, {_TEXT.format('piece')} AS text, {_TEXT.format('title')} AS title FROM tagged",
+        },
+    ),
     "content_hash": with_views("SELECT document_id, version FROM hashed", _HASHED),
     "stale_documents": with_views("SELECT document_id, reason IS NOT NULL AS stale, reason FROM stale", _STALE),
     "incremental_refresh": with_views("SELECT p.document_id, p.ku_id, CASE WHEN s.reason IS NULL THEN 'old' ELSE 'new' END AS state FROM points p JOIN stale s USING (document_id)", _STALE),

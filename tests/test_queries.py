@@ -42,4 +42,4 @@ def test_query(spark, duck, name):
 
 
 def test_each_query_but_a_few_has_sql():
-    assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) == {"embed_batch", "vector_topk_ann", "pages_to_content"}
+    assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) == {"embed_batch", "vector_topk_ann"}
