@@ -199,3 +199,50 @@ def _license_sql() -> str:
 
 
 ORACLE_SQL["op9_license_scan"] = _license_sql()
+
+ORACLE_SQL["op8_ngram_jaccard"] = r"""
+    WITH RECURSIVE worded AS (
+        SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\v\f\r]+'), lambda x: x <> '') AS w FROM documents
+    ), shingles AS (
+        SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT *, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM worded WHERE len(w) > 0)
+    ), sizes AS (
+        SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+    ), pairs AS (
+        SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+    ), links AS (
+        SELECT a, b FROM pairs p JOIN sizes x ON x.doc_id = p.a JOIN sizes y ON y.doc_id = p.b WHERE 5 * c >= 4 * (x.n + y.n - c)
+    ), reach AS (
+        SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+    )
+    SELECT d.doc_id, least(d.doc_id, coalesce((SELECT min(b) FROM reach r WHERE r.a = d.doc_id), d.doc_id)) AS class_id,
+           (SELECT count(*) FROM links l WHERE l.a = d.doc_id) AS n_links
+    FROM documents d
+"""
+
+ORACLE_SQL["op1_chat_windows"] = r"""
+    WITH said AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')) v(conv_id, turn, role, text)
+    ), shaped AS (
+        SELECT *, '<|turn|>' || replace(replace(role, '\', '\\'), '<|', '<\|') || '<|text|>' || replace(replace(text, '\', '\\'), '<|', '<\|') || '<|end|>' AS f FROM said
+    ), placed AS (
+        SELECT *, (strlen(f) + 3) // 4 AS tokens, row_number() OVER w - 1 AS pos, coalesce(sum((strlen(f) + 3) // 4) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+        FROM shaped WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+    ), systems AS (
+        SELECT conv_id, tokens AS system_tokens FROM placed WHERE pos = 0 AND role = 'system'
+    ), roomed AS (
+        SELECT p.*, s.system_tokens, greatest(2048 - 512 - coalesce(s.system_tokens, 0), 512) // 2 AS half FROM placed p LEFT JOIN systems s ON s.conv_id IS NOT DISTINCT FROM p.conv_id
+    ), spans AS (
+        SELECT conv_id, min(pos) AS first, min(before) AS upto, max(system_tokens) IS NOT NULL AS sys
+        FROM roomed GROUP BY conv_id, CASE WHEN tokens > half THEN -1 - pos ELSE CAST(before // half AS BIGINT) END
+    ), repeated AS (
+        SELECT s.conv_id, p.f FROM spans s JOIN placed p ON p.conv_id IS NOT DISTINCT FROM s.conv_id AND s.first > 0
+        AND ((s.sys AND p.pos = 0) OR (p.pos >= s.first - 2 AND p.pos < s.first AND s.upto - p.before <= 512))
+    )
+    SELECT p.conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+           coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256,
+           (sum(length(f)) + coalesce(any_value(r.chars), 0))::BIGINT AS formatted_chars, any_value(n.windows) AS n_windows
+    FROM placed p LEFT JOIN (SELECT conv_id, sum(length(f)) AS chars FROM repeated GROUP BY conv_id) r ON r.conv_id IS NOT DISTINCT FROM p.conv_id
+    JOIN (SELECT conv_id, count(*) AS windows FROM spans GROUP BY conv_id) n ON n.conv_id IS NOT DISTINCT FROM p.conv_id
+    GROUP BY p.conv_id
+"""
