@@ -19,6 +19,8 @@ MARKERS = {
 }
 #: Groups and modality that an answer to each type needs.
 PLANS = (("factual", 1, None), ("descriptive", 1, None), ("comparative", 2, None), ("procedural", 1, None), ("multi_hop", 2, None), ("figure", 1, "figure"), ("table", 1, "table"), ("citation", 1, None))
+#: How evidence that no citation names is announced, and added descriptions.
+UNCITED, VISUAL = "Shown to the model as context (not cited in the answer)", "\n\nVisual analysis: "
 RESERVED_TOKENS, CHARS_A_TOKEN = 512, 4
 SUPPORT, MIN_LETTERS, GRAPH_SIMILARITY = 0.5, 3, 0.5
 LABEL_GROUP = r"[\[(][ \t\n\r\f\x0B]*(KU[0-9]+(?:[ \t\n\r\f\x0B]*(?:,|;|and|&)[ \t\n\r\f\x0B]*KU[0-9]+)*)[ \t\n\r\f\x0B]*[\])]"
@@ -111,7 +113,7 @@ def figure_notes(context: DataFrame, descriptions: DataFrame) -> DataFrame:
     to figure evidence, and a note; other rows have no note."""
     rows = context.join(descriptions, "id", "left")
     own = (F.col("question_type") == "figure") & (F.col("modality") == "figure")
-    text = F.when(own & F.col("description").isNotNull(), F.concat("text", F.lit("\n\nVisual analysis: "), "description")).otherwise(F.col("text"))
+    text = F.when(own & F.col("description").isNotNull(), F.concat("text", F.lit(VISUAL), "description")).otherwise(F.col("text"))
     note = F.when(own, F.concat("label", F.when(F.col("description").isNotNull(), ": figure image analyzed").otherwise(": visual analysis unavailable; caption only")))
     return rows.withColumn("text", text).withColumn("note", note).drop("description")
 
@@ -196,7 +198,7 @@ def report(answers: DataFrame, evidence: DataFrame, citations: DataFrame, verdic
     resolved = citations.where("ku_id is not null").join(evidence.select("answer_id", "label", "discovery", "text"), ["answer_id", "label"])
     listed = lambda line, order: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), line.alias("line")))), lambda x: x["line"]), "\n")
     cited = resolved.groupBy("answer_id").agg(listed(F.concat_ws(" ", "label", "ku_id", "discovery"), F.col("n")).alias("cited"), listed(F.concat(F.lit("["), "label", F.lit("] "), "text"), F.col("n")).alias("references"))
-    shown = evidence.groupBy("answer_id").agg(listed(F.concat_ws(" ", "label", "ku_id", F.lit("Shown to the model as context (not cited in the answer)")), F.col("label")).alias("shown"))
+    shown = evidence.groupBy("answer_id").agg(listed(F.concat_ws(" ", "label", "ku_id", F.lit(UNCITED)), F.col("label")).alias("shown"))
     counts = verdicts.groupBy("answer_id").agg(F.count_if(F.col("verdict") != "grounded").alias("unverified"))
     lost = citations.groupBy("answer_id").agg(F.count_if(F.col("ku_id").isNull()).alias("unresolved"))
     rows = answers.join(cited, "answer_id", "left").join(shown, "answer_id", "left").join(counts, "answer_id", "left").join(lost, "answer_id", "left")

@@ -9,6 +9,9 @@ from .structure import SPACE
 
 MIN_WORDS = 4
 MAX_WORDS = 250
+#: What units say of themselves where their text does not.
+ABSTRACT, KEYWORDS, AUTHORS = "Abstract", "Keywords (index terms)", "Authors and affiliations (title page)"
+SECTION, REFERENCE = "Section: ", "Bibliography reference ["
 _PLACEHOLDER = {"table": "Untitled table", "figure": "Untitled figure"}
 
 
@@ -80,13 +83,13 @@ def front_matter_label(runs: DataFrame) -> DataFrame:
     first words of a paragraph say it is; null elsewhere."""
     front = (F.col("run") == 0) & F.col("section_pos").isNull()
     text = F.lower("text")
-    label = F.when(text.rlike(rf"^{SPACE}*abstract\b"), "Abstract").when(text.rlike(rf"^{SPACE}*(index{SPACE}+terms|keywords)\b"), "Keywords (index terms)").otherwise("Authors and affiliations (title page)")
+    label = F.when(text.rlike(rf"^{SPACE}*abstract\b"), ABSTRACT).when(text.rlike(rf"^{SPACE}*(index{SPACE}+terms|keywords)\b"), KEYWORDS).otherwise(AUTHORS)
     return runs.withColumn("context", F.when(front, label))
 
 
 def section_context(blocks: DataFrame, sections: DataFrame) -> DataFrame:
     """Blocks with ``context``: 'Section: ' and the title of their section, null without one."""
-    titles = sections.select("doc_id", F.col("pos").alias("section_pos"), F.concat(F.lit("Section: "), "text").alias("context"))
+    titles = sections.select("doc_id", F.col("pos").alias("section_pos"), F.concat(F.lit(SECTION), "text").alias("context"))
     return blocks.join(titles, ["doc_id", "section_pos"], "left")
 
 
@@ -98,7 +101,7 @@ def single_units(rows: DataFrame, kind: str, text: Column, context: Column | Non
 
 def reference_units(entries: DataFrame) -> DataFrame:
     """One unit for each bibliography entry; its context has the number it is cited by."""
-    context = F.concat(F.lit("Bibliography reference ["), (F.col("entry") + 1).cast("string"), F.lit("]"))
+    context = F.concat(F.lit(REFERENCE), (F.col("entry") + 1).cast("string"), F.lit("]"))
     return entries.select("doc_id", "entry", "text", context.alias("context"))
 
 
