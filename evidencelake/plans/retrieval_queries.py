@@ -74,8 +74,7 @@ def retrieve_hybrid(spark: Spark, d: str) -> DataFrame:
 
 
 def assemble_groups(spark: Spark, d: str) -> DataFrame:
-    ranked = fused(spark, d).where("final_rank <= 30")
-    return retrieval.assemble(ranked, most_groups=4)
+    return retrieval.assemble(fused(spark, d), most_groups=8, most_primaries=1)
 
 
 def dropped_log(spark: Spark, d: str) -> DataFrame:
@@ -224,13 +223,13 @@ _REST = {
 POOL_SQL = UNITS_SQL | EXPAND_SQL | {"pool": f"{_SEEDS} UNION ALL SELECT query_id, id, 20 + place, NULL, depth, last_type, last_source FROM found"} | _REST
 
 
-def _assembly(source: str = "fused", groups: int = 5) -> dict[str, str]:
+def _assembly(groups: int = 5, primaries: int = 2) -> dict[str, str]:
     members = "list_transform(list_filter(l.pool, lambda o: NOT list_contains(w.claimed, o.id) AND o.id <> c.id AND o.src = c.id), lambda o: o.id)"
     skip, full = "list_contains(w.claimed, c.id)", f"len(w.groups) >= {groups}"
-    crowded = "len(list_filter(w.buckets, lambda b: b = c.bucket)) >= 2"
+    crowded = f"len(list_filter(w.buckets, lambda b: b = c.bucket)) >= {primaries}"
     opens = f"NOT {skip} AND NOT {full} AND NOT {crowded}"
     return {
-        "pools": f"SELECT query_id, list({{'id': id, 'src': coalesce(last_source, '')}} ORDER BY final_rank) AS pool FROM {source} GROUP BY query_id",
+        "pools": "SELECT query_id, list({'id': id, 'src': coalesce(last_source, '')} ORDER BY final_rank) AS pool FROM fused GROUP BY query_id",
         "folded": f"""SELECT query_id, 0 AS i, CAST([] AS VARCHAR[]) AS claimed, CAST([] AS VARCHAR[]) AS groups, CAST([] AS VARCHAR[]) AS buckets, CAST([] AS VARCHAR[]) AS dropped, CAST([] AS VARCHAR[][]) AS members FROM pools
         UNION ALL SELECT w.query_id, w.i + 1,
             CASE WHEN {opens} THEN list_concat(w.claimed, [c.id], {members}) ELSE w.claimed END,
@@ -238,7 +237,7 @@ def _assembly(source: str = "fused", groups: int = 5) -> dict[str, str]:
             CASE WHEN {opens} THEN list_append(w.buckets, c.bucket) ELSE w.buckets END,
             CASE WHEN NOT {skip} AND NOT ({opens}) THEN list_append(w.dropped, c.id || '|' || CASE WHEN {full} THEN 'group budget' ELSE 'bucket full' END) ELSE w.dropped END,
             CASE WHEN {opens} THEN list_append(w.members, list_concat([c.id], {members})) ELSE w.members END
-        FROM folded w JOIN {source} c ON c.query_id = w.query_id AND c.final_rank = w.i + 1 JOIN pools l ON l.query_id = w.query_id""",
+        FROM folded w JOIN fused c ON c.query_id = w.query_id AND c.final_rank = w.i + 1 JOIN pools l ON l.query_id = w.query_id""",
         "ended": "SELECT * FROM folded QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY i DESC) = 1",
         "grouped": "SELECT query_id, generate_subscripts(members, 1) AS group_rank, unnest(members) AS m FROM ended",
         "evid": "SELECT query_id, group_rank, member_pos, id, CASE WHEN member_pos = 0 THEN 'primary' ELSE 'supporting' END AS role FROM (SELECT query_id, group_rank, generate_subscripts(m, 1) - 1 AS member_pos, unnest(m) AS id FROM grouped)",
@@ -309,7 +308,7 @@ ORACLE_SQL = {
     "signal_proximity": with_views("SELECT query_id, id, round(1 / (1 + hops), 6) AS proximity FROM pool", POOL_SQL),
     "signal_ranks": with_views(" UNION ALL ".join(f"SELECT query_id, id, '{n}' AS signal, coalesce({n}, 0.0) AS value, {n}_rank AS rank FROM ranks" for n in retrieval.SIGNALS), POOL_SQL),
     "rrf_fuse": with_views("SELECT query_id, id, fused, final_rank FROM fused", POOL_SQL),
-    "assemble_groups": with_views("SELECT query_id, group_rank, member_pos, id, role FROM evid", POOL_SQL | {"first30": "SELECT * FROM fused WHERE final_rank <= 30"} | _assembly("first30", 4)),
+    "assemble_groups": with_views("SELECT query_id, group_rank, member_pos, id, role FROM evid", POOL_SQL | _assembly(8, 1)),
     "diversity_bucket": with_views("SELECT ku_id, coalesce(CAST(section_id AS VARCHAR), CASE WHEN c IS NOT NULL THEN 'ctx:' || trim(string_split(c, '[')[1]) END, '__no_section__') AS bucket FROM (SELECT *, CASE ku_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'Bibliography reference [' || (ku_id % 9) || ']' ELSE context END AS c FROM units)", UNITS_SQL),
     "dropped_log": with_views("SELECT query_id, string_split(x, '|')[1] AS id, string_split(x, '|')[2] AS reason FROM (SELECT query_id, unnest(dropped) AS x FROM ended)", HYBRID_SQL),
     "retrieve_hybrid": with_views("SELECT query_id, group_rank, member_pos, id, role FROM evid", HYBRID_SQL),

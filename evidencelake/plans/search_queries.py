@@ -72,7 +72,7 @@ def index_count(spark: Spark, d: str) -> DataFrame:
 
 
 def point_lookup(spark: Spark, d: str) -> DataFrame:
-    ids = views.table(spark, d, "documents").where("doc_id % 9 = 2").select((F.col("doc_id") * 2).alias("ku_id"))
+    ids = views.table(spark, d, "documents").select((F.col("doc_id") * 2).alias("ku_id"))
     return search.lookup(_units(spark, d), ids, "ku_id").select("ku_id", "document_id", "modality")
 
 
@@ -134,7 +134,7 @@ def graph_replace(spark: Spark, d: str) -> DataFrame:
 
 
 def graph_neighbors(spark: Spark, d: str) -> DataFrame:
-    wanted = views.points(spark, d).where("ku_id % 10 = 1").select(graph.key("k", "ku_id").alias("id"))
+    wanted = views.points(spark, d).select(graph.key("k", "ku_id").alias("id"))
     out = graph.neighbors(views.point_edges(spark, d), _nodes(spark, d), wanted, ["CITES", "REFERENCES"], "in")
     return out.select("node", "neighbor", "type", F.array_join("labels", ",").alias("labels"))
 
@@ -232,7 +232,7 @@ ORACLE_SQL = {
     "index_points": with_views(f"SELECT u.ku_id, document_id, section_id, modality, coalesce(c.n, 0) AS citations, '{MODEL}' AS model, list_aggregate(list_sort(list_distinct(pages)), 'string_agg', ',') AS pages FROM units u LEFT JOIN (SELECT dst, count(*) AS n FROM point_edges WHERE type = 'CITES' GROUP BY dst) c ON c.dst = 'k' || u.ku_id", UNITS_SQL),
     "index_upsert": with_views("SELECT ku_id, document_id, CASE WHEN ku_id % 3 = 0 THEN 'new' ELSE 'old' END AS state, CASE WHEN ku_id % 3 = 0 THEN 2 ELSE 1 END AS version FROM units WHERE ku_id % 5 <> 4 OR ku_id % 3 = 0", UNITS_SQL),
     "index_count": with_views("SELECT count(*) AS points FROM units WHERE document_id = 3 AND modality = 'text'", UNITS_SQL),
-    "point_lookup": with_views("SELECT ku_id, document_id, modality FROM units WHERE ku_id IN (SELECT doc_id * 2 FROM documents WHERE doc_id % 9 = 2)", UNITS_SQL),
+    "point_lookup": with_views("SELECT ku_id, document_id, modality FROM units WHERE ku_id IN (SELECT doc_id * 2 FROM documents)", UNITS_SQL),
     "vector_topk_cosine": with_views("SELECT * FROM topk", TOPK_SQL),
     "vector_topk_dot": _all_pairs(f"list_inner_product({_Q}, {_P})", "DESC"),
     "vector_topk_euclid": _all_pairs(f"list_distance({_Q}, {_P})", ""),
@@ -249,7 +249,7 @@ ORACLE_SQL = {
     "graph_project": with_views("SELECT src, dst, type FROM point_edges"),
     "graph_summary": with_views("SELECT n.document_id, count(*) AS nodes, CAST(sum(coalesce(e.c, 0)) AS BIGINT) AS edges FROM node_rows n LEFT JOIN (SELECT src, count(*) AS c FROM point_edges GROUP BY src) e ON e.src = n.id GROUP BY n.document_id", _NODES),
     "graph_replace": with_views("SELECT id, document_id, 'old' AS state FROM node_rows WHERE document_id >= 2 UNION ALL SELECT id, document_id, 'new' FROM node_rows WHERE document_id < 2 AND id LIKE 'k%'", _NODES),
-    "graph_neighbors": with_views("SELECT e.dst AS node, e.src AS neighbor, e.type, n.labels FROM point_edges e JOIN node_rows n ON n.id = e.src WHERE e.type IN ('CITES', 'REFERENCES') AND e.dst IN (SELECT 'k' || ku_id FROM points WHERE ku_id % 10 = 1)", _NODES),
+    "graph_neighbors": with_views("SELECT e.dst AS node, e.src AS neighbor, e.type, n.labels FROM point_edges e JOIN node_rows n ON n.id = e.src WHERE e.type IN ('CITES', 'REFERENCES') AND e.dst IN (SELECT 'k' || ku_id FROM points)", _NODES),
     "adjacency_ranked": with_views("SELECT node, neighbor, type, direction, place, degree FROM adjacent", ADJACENT_SQL),
     "expand_budgeted": with_views("SELECT query_id, id, place, depth, path FROM found", EXPAND_SQL),
     "expansion_stats": with_views(f"SELECT s.query_id, s.cost + coalesce((SELECT sum(degree) FROM reached2 r WHERE r.query_id = s.query_id AND r.found_before < 50), 0) AS cost, coalesce({_why(2)}, {_why(1)}) AS exhausted FROM state1 s", EXPAND_SQL),

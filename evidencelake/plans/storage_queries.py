@@ -36,7 +36,7 @@ def upload_register(spark: Spark, d: str) -> DataFrame:
 def read_stage_json(spark: Spark, d: str) -> DataFrame:
     """Units written as one JSON object for each document, without a field that is newer."""
     rows = search_queries._units(spark, d)
-    chunk = F.struct(F.col("ku_id").cast("string").alias("id"), F.col("ord").cast("int").alias("order"), "modality", F.substring("text", 1, 200).alias("text"), F.array(F.col("asset")).alias("source_element_ids"))
+    chunk = F.struct(F.col("ku_id").cast("string").alias("id"), F.col("ord").cast("int").alias("order"), "modality", "text", F.array(F.col("asset")).alias("source_element_ids"))
     docs = rows.groupBy(F.col("document_id").cast("string").alias("document_id")).agg(F.count(F.lit(1)).cast("int").alias("count"), F.collect_list(chunk).alias("chunks"))
     path = f"{stage.shared_dir(spark)}/stage/units-{uuid.uuid4().hex}"
     docs.select(F.to_json(F.struct("*")).alias("value")).write.text(path)
@@ -117,7 +117,7 @@ def dq_paper(spark: Spark, d: str) -> DataFrame:
 
 def dq_units(spark: Spark, d: str) -> DataFrame:
     u = views.points(spark, d)
-    papers = views.table(spark, d, "documents").where("doc_id < 12").select(F.col("doc_id").alias("document_id"))
+    papers = views.table(spark, d, "documents").select(F.col("doc_id").alias("document_id"))
     units = u.select("document_id", F.col("ku_id").alias("id"), F.expr("case when ku_id % 100 = 11 then 0 else ord end").alias("ord"), F.expr("case when ku_id % 90 = 5 then document_id + 1 else document_id end").alias("paper_id"), F.col("section_id").alias("section"))
     sections = u.where("section_id % 7 <> 3").select("document_id", F.col("section_id").alias("id")).distinct()
     links = views.point_edges(spark, d).where("type = 'CITES'").select(F.expr("cast(substring(src, 2) as bigint)").alias("source"), F.expr("cast(substring(dst, 2) as bigint)").alias("target"))
@@ -206,7 +206,7 @@ def _page_text(spark: Spark, d: str) -> DataFrame:
 def _located(spark: Spark, d: str) -> DataFrame:
     boxes = F.expr("case when pos % 3 = 0 then array(cast(1 + pos div 40 as int), cast(1 + pos div 20 as int)) else array() end")
     pages = F.expr("case when pos % 3 = 1 then array(cast(2 + pos div 20 as int), cast(1 + pos div 20 as int)) else array() end")
-    return views.paper_lines(spark, d).where("pos % 4 = 1").select(F.col("doc_id").alias("document_id"), F.col("pos").alias("id"), F.upper("text").alias("text"), boxes.cast("array<int>").alias("box_pages"), pages.cast("array<int>").alias("pages"))
+    return views.paper_lines(spark, d).select(F.col("doc_id").alias("document_id"), F.col("pos").alias("id"), F.upper("text").alias("text"), boxes.cast("array<int>").alias("box_pages"), pages.cast("array<int>").alias("pages"))
 
 
 def evidence_locate(spark: Spark, d: str) -> DataFrame:
@@ -215,7 +215,7 @@ def evidence_locate(spark: Spark, d: str) -> DataFrame:
 
 def line_marks(spark: Spark, d: str) -> DataFrame:
     lines = views.paper_lines(spark, d).select(F.col("doc_id").alias("document_id"), F.expr("cast(1 + pos div 20 as int)").alias("page"), F.col("pos").alias("line"), F.expr("replace(text, ' of ', ' of- ')").alias("text"))
-    own = lines.where("line % 6 = 2").select("document_id", F.col("line").alias("id"), "page", F.concat(F.lit("It says: "), F.replace("text", F.lit(" "), F.lit("  ")), F.lit("'")).alias("text"))
+    own = lines.select("document_id", F.col("line").alias("id"), "page", F.concat(F.lit("It says: "), F.replace("text", F.lit(" "), F.lit("  ")), F.lit("'")).alias("text"))
     return conversation.line_marks(lines, own)
 
 
@@ -261,7 +261,7 @@ _TOPQ = search_queries.TOPK_SQL
 ORACLE_SQL = {
     "upload_validate": with_views(f"SELECT filename, {_REASON} AS reason FROM up", _FILES),
     "upload_register": with_views(f"SELECT filename, strlen(content) AS bytes, sha256(content) AS sha256, 'completed' AS status FROM up WHERE ({_REASON}) IS NULL", _FILES),
-    "read_stage_json": with_views("SELECT CAST(document_id AS VARCHAR) AS document_id, CAST(ku_id AS VARCHAR) AS id, ord AS \"order\", modality, text[1:200] AS text, CAST(NULL AS VARCHAR) AS retrieval_context FROM units", UNITS_SQL),
+    "read_stage_json": with_views("SELECT CAST(document_id AS VARCHAR) AS document_id, CAST(ku_id AS VARCHAR) AS id, ord AS \"order\", modality, text, CAST(NULL AS VARCHAR) AS retrieval_context FROM units", UNITS_SQL),
     "write_stage": with_views("SELECT document_id, ku_id, CASE WHEN document_id < 5 THEN 'second' ELSE 'first' END AS state FROM units WHERE document_id >= 5 OR ku_id % 2 = 0", UNITS_SQL),
     "layout_view": with_views(
         "SELECT doc_id, page, string_agg(CAST(y0 AS INT) || ' ' || kind || ' ' || pos, ',' ORDER BY y0, kind, pos) AS elements FROM (SELECT b.doc_id, b.page, b.y0, i.kind, b.pos FROM boxes b JOIN content_items i ON i.doc_id = b.doc_id AND i.pos = b.pos UNION ALL SELECT b.doc_id, b.page + 1, 0.0, i.kind, b.pos FROM boxes b JOIN content_items i ON i.doc_id = b.doc_id AND i.pos = b.pos) GROUP BY doc_id, page"
@@ -297,7 +297,7 @@ ORACLE_SQL = {
     ),
     "dq_units": with_views(
         _union(
-            _row("no_units", "doc_id", "NULL", "NULL", "FROM documents WHERE doc_id < 12 AND doc_id NOT IN (SELECT document_id FROM points)"),
+            _row("no_units", "doc_id", "NULL", "NULL", "FROM documents WHERE doc_id NOT IN (SELECT document_id FROM points)"),
             _row("duplicate_order", "document_id", "o", "count(*)", "FROM (SELECT document_id, CASE WHEN ku_id % 100 = 11 THEN 0 ELSE ord END AS o FROM points) GROUP BY document_id, o HAVING count(*) > 1"),
             _row("wrong_paper", "document_id", "ku_id", "document_id + 1", "FROM points WHERE ku_id % 90 = 5"),
             _row("unknown_section", "document_id", "ku_id", "section_id", "FROM points WHERE section_id % 7 = 3"),
@@ -395,11 +395,11 @@ ORACLE_SQL = {
         "SELECT e.doc_id AS document_id, e.pos AS id, coalesce(h.hit, e.listed[1]) AS page, h.hit IS NOT NULL AS matched, CASE WHEN coalesce(h.hit, e.listed[1]) IS NOT NULL THEN e.source ELSE 'none' END AS source FROM ev e LEFT JOIN (SELECT e.doc_id, e.pos, arg_min(p.page, coalesce(list_position(e.listed, p.page), p.page)) AS hit FROM ev e JOIN pages_ p ON p.doc_id = e.doc_id AND (e.listed IS NULL OR list_contains(e.listed, p.page)) WHERE e.needle <> '' AND contains(p.s, e.needle) GROUP BY e.doc_id, e.pos) h USING (doc_id, pos)",
         {
             "pages_": f"SELECT doc_id, page, {_STRIP.format('t')} AS s FROM (SELECT doc_id, CAST(1 + pos // 20 AS INT) AS page, string_agg(text, ' ' ORDER BY pos) AS t FROM paper_lines GROUP BY doc_id, CAST(1 + pos // 20 AS INT))",
-            "ev": f"SELECT doc_id, pos, ({_STRIP.format('upper(text)')})[1:120] AS needle, CASE pos % 3 WHEN 0 THEN [CAST(1 + pos // 40 AS INT), CAST(1 + pos // 20 AS INT)] WHEN 1 THEN [CAST(2 + pos // 20 AS INT), CAST(1 + pos // 20 AS INT)] END AS listed, CASE pos % 3 WHEN 0 THEN 'bounding-boxes' WHEN 1 THEN 'page-numbers' ELSE 'text-search' END AS source FROM paper_lines WHERE pos % 4 = 1",
+            "ev": f"SELECT doc_id, pos, ({_STRIP.format('upper(text)')})[1:120] AS needle, CASE pos % 3 WHEN 0 THEN [CAST(1 + pos // 40 AS INT), CAST(1 + pos // 20 AS INT)] WHEN 1 THEN [CAST(2 + pos // 20 AS INT), CAST(1 + pos // 20 AS INT)] END AS listed, CASE pos % 3 WHEN 0 THEN 'bounding-boxes' WHEN 1 THEN 'page-numbers' ELSE 'text-search' END AS source FROM paper_lines",
         },
     ),
     "line_marks": with_views(
-        f"SELECT l.doc_id AS document_id, l.page, l.pos AS line, e.pos AS id FROM (SELECT *, {_STRIP.format('t')} AS s FROM ln) l JOIN (SELECT *, {_STRIP.format("'It says: ' || replace(t, ' ', '  ') || ''''")} AS w FROM ln WHERE pos % 6 = 2) e ON e.doc_id = l.doc_id AND e.page = l.page WHERE length(l.s) >= 18 AND contains(e.w, l.s)",
+        f"SELECT l.doc_id AS document_id, l.page, l.pos AS line, e.pos AS id FROM (SELECT *, {_STRIP.format('t')} AS s FROM ln) l JOIN (SELECT *, {_STRIP.format("'It says: ' || replace(t, ' ', '  ') || ''''")} AS w FROM ln) e ON e.doc_id = l.doc_id AND e.page = l.page WHERE length(l.s) >= 18 AND contains(e.w, l.s)",
         {"ln": "SELECT doc_id, pos, CAST(1 + pos // 20 AS INT) AS page, replace(text, ' of ', ' of- ') AS t FROM paper_lines"},
     ),
 }

@@ -56,7 +56,7 @@ def reading_order(spark: Spark, d: str) -> DataFrame:
 
 
 def table_markdown(spark: Spark, d: str) -> DataFrame:
-    rows = views.content_items(spark, d).where("kind = 'table'").select("doc_id", F.col("pos").alias("table"), F.posexplode(F.slice(F.split("text", " ", -1), 1, 9)).alias("n", "text"))
+    rows = views.content_items(spark, d).where("kind = 'table'").select("doc_id", F.col("pos").alias("table"), F.posexplode(F.split("text", " ", -1)).alias("n", "text"))
     cells = rows.select("doc_id", "table", F.expr("cast(n div 3 as int)").alias("row"), (F.col("n") % 3).alias("col"), "text", (F.col("n") < 3).alias("is_header"))
     return structure.table_markdown(cells)
 
@@ -109,13 +109,18 @@ def ku_reference(spark: Spark, d: str) -> DataFrame:
     return units.reference_units(references_split(spark, d))
 
 
+def _some_captions(spark: Spark, d: str) -> DataFrame:
+    """Captions of which every other is blank."""
+    return views.captions(spark, d).withColumn("text", F.expr("case when subject_pos % 2 = 0 then text else ' ' end"))
+
+
 def ku_table(spark: Spark, d: str) -> DataFrame:
-    items, captions = views.content_items(spark, d), views.captions(spark, d).where("subject_pos % 2 = 0")
+    items, captions = views.content_items(spark, d), _some_captions(spark, d)
     return units.visual_units(items, captions, "table", relations.printed_numbers(captions), F.when(F.col("pos") % 3 > 0, F.col("text")))
 
 
 def ku_figure(spark: Spark, d: str) -> DataFrame:
-    items, captions = views.content_items(spark, d), views.captions(spark, d).where("subject_pos % 2 = 0")
+    items, captions = views.content_items(spark, d), _some_captions(spark, d)
     return units.visual_units(items, captions, "figure", relations.printed_numbers(captions))
 
 
@@ -238,7 +243,7 @@ _NUMBERS = {
     "numbers": "SELECT doc_id, subject_type, min(subject_pos) AS subject_pos, number FROM valued WHERE number IS NOT NULL GROUP BY doc_id, subject_type, number",
 }
 _EVEN = {
-    "even": "SELECT * FROM captions WHERE subject_pos % 2 = 0",
+    "even": "SELECT doc_id, subject_pos, subject_type, CASE WHEN subject_pos % 2 = 0 THEN text ELSE ' ' END AS text FROM captions",
     **{k: v.replace("FROM captions", "FROM even") for k, v in _NUMBERS.items()},
 }
 _CITES = _ENTRIES | {
@@ -247,7 +252,7 @@ _CITES = _ENTRIES | {
 }
 _VISUAL = "SELECT i.doc_id, i.pos, {text} AS text, '{name}' || coalesce(' ' || n.number, '') AS context FROM content_items i LEFT JOIN {captions} c ON c.doc_id = i.doc_id AND c.subject_pos = i.pos LEFT JOIN numbers n ON n.doc_id = i.doc_id AND n.subject_pos = i.pos WHERE i.kind = '{kind}'"
 _TITLE = "SELECT doc_id, 'title' AS kind, trim(text) AS text, CAST(NULL AS VARCHAR) AS context FROM paper_lines WHERE pos = 0"
-_TABLE_TEXT = "coalesce(nullif(concat_ws(chr(10) || chr(10), c.text, {}), ''), 'Untitled table')"
+_TABLE_TEXT = "coalesce(nullif(concat_ws(chr(10) || chr(10), nullif(trim(c.text), ''), {}), ''), 'Untitled table')"
 _CONTEXT = _BLOCKS | {"titled": "SELECT m.doc_id, m.run, m.block, m.first_pos, m.text, 'Section: ' || h.text AS context FROM merged m LEFT JOIN content_items h ON h.doc_id = m.doc_id AND h.pos = m.section_pos"}
 _UNITS = (
     _ENTRIES
@@ -258,7 +263,7 @@ _UNITS = (
         "pieces": f"""SELECT doc_id, 0 AS r, kind, 0 AS pos, 0 AS part, text, context FROM ({_TITLE})
         UNION ALL SELECT doc_id, 2, 'text', first_pos, part, text, context FROM parts
         UNION ALL SELECT doc_id, 2, 'table', pos, 0, text, context FROM ({_VISUAL.format(text=_TABLE_TEXT.format("i.text"), name="Table", captions="captions", kind="table")})
-        UNION ALL SELECT doc_id, 2, 'figure', pos, 0, text, context FROM ({_VISUAL.format(text="coalesce(c.text, 'Untitled figure')", name="Figure", captions="captions", kind="figure")})
+        UNION ALL SELECT doc_id, 2, 'figure', pos, 0, text, context FROM ({_VISUAL.format(text="coalesce(nullif(trim(c.text), ''), 'Untitled figure')", name="Figure", captions="captions", kind="figure")})
         UNION ALL SELECT doc_id, 3, 'reference', entry, 0, text, 'Bibliography reference [' || (entry + 1) || ']' FROM entries""",
         "assembled": f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY r, pos, part) - 1 AS ord, kind, pos, part, text, context, CASE WHEN kind NOT IN ('table', 'figure') THEN {_WORDS.format('text')} END AS words FROM pieces",
     }
@@ -278,7 +283,7 @@ ORACLE_SQL = {
     ),
     "table_markdown": with_views(
         "SELECT doc_id, tab AS \"table\", \"row\", '| ' || string_agg(text, ' | ' ORDER BY n) || ' |' || CASE WHEN \"row\" = 0 THEN chr(10) || '|' || repeat(' --- |', count(*)) ELSE '' END AS line FROM cells GROUP BY doc_id, tab, \"row\"",
-        {"cells": "SELECT doc_id, tab, CAST((n - 1) // 3 AS INT) AS \"row\", n, text FROM (SELECT doc_id, pos AS tab, unnest(string_split(text, ' ')[1:9]) AS text, generate_subscripts(string_split(text, ' ')[1:9], 1) AS n FROM content_items WHERE kind = 'table')"},
+        {"cells": "SELECT doc_id, tab, CAST((n - 1) // 3 AS INT) AS \"row\", n, text FROM (SELECT doc_id, pos AS tab, unnest(string_split(text, ' ')) AS text, generate_subscripts(string_split(text, ' '), 1) AS n FROM content_items WHERE kind = 'table')"},
     ),
     "paragraph_runs": with_views("SELECT doc_id, pos, run, section_pos FROM runs", _RUNS),
     "merge_tiny": with_views("SELECT * FROM merged", _BLOCKS),
@@ -293,7 +298,7 @@ ORACLE_SQL = {
     "ku_abstract": with_views("SELECT doc_id, 'abstract' AS kind, abstract AS text, 'Abstract' AS context FROM abstracts WHERE abstract IS NOT NULL", _ABSTRACT),
     "ku_reference": with_views("SELECT doc_id, entry, text, 'Bibliography reference [' || (entry + 1) || ']' AS context FROM entries", _ENTRIES),
     "ku_table": with_views(_VISUAL.format(text=_TABLE_TEXT.format("CASE WHEN i.pos % 3 > 0 THEN i.text END"), name="Table", captions="even", kind="table"), _EVEN),
-    "ku_figure": with_views(_VISUAL.format(text="coalesce(c.text, 'Untitled figure')", name="Figure", captions="even", kind="figure"), _EVEN),
+    "ku_figure": with_views(_VISUAL.format(text="coalesce(nullif(trim(c.text), ''), 'Untitled figure')", name="Figure", captions="even", kind="figure"), _EVEN),
     "ku_assemble": with_views("SELECT doc_id, ord, kind, pos, part, md5(text) AS text_md5, context FROM assembled", _UNITS),
     "token_count": with_views("SELECT doc_id, kind, CAST(sum(words) AS BIGINT) AS words, count(*) AS units FROM assembled GROUP BY doc_id, kind", _UNITS),
     "printed_numbers": with_views("SELECT doc_id, subject_type, subject_pos, number FROM numbers", _NUMBERS),
