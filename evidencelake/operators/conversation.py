@@ -95,10 +95,12 @@ def evidence_locate(evidence: DataFrame, pages: DataFrame) -> DataFrame:
     listed = F.when(F.size("box_pages") > 0, F.col("box_pages")).when(F.size("pages") > 0, F.col("pages"))
     source = F.when(F.size("box_pages") > 0, "bounding-boxes").when(F.size("pages") > 0, "page-numbers").otherwise("text-search")
     rows = rows.withColumn("listed", listed).withColumn("source", source)
-    joined = rows.join(text, "document_id", "left").where(F.col("listed").isNull() | F.col("page").isNull() | F.array_contains("listed", F.col("page")))
-    found = joined.where((F.col("needle") != "") & F.contains("stripped", F.col("needle")))
-    place = F.coalesce(F.array_position("listed", F.col("page")).cast("int"), F.col("page"))
-    best = found.groupBy("document_id", "id").agg(F.min_by("page", place).alias("hit"))
+    some = rows.where(F.col("needle") != "").select("document_id", "id", "needle", "listed")
+    named = some.select("document_id", "id", "needle", F.posexplode("listed").alias("place", "page")).join(text, ["document_id", "page"])
+    search = some.where("listed is null").join(text, "document_id").withColumn("place", F.col("page"))
+    columns = ("document_id", "id", "page", "place")
+    found = named.where(F.contains("stripped", F.col("needle"))).select(*columns).unionByName(search.where(F.contains("stripped", F.col("needle"))).select(*columns))
+    best = found.groupBy("document_id", "id").agg(F.min_by("page", "place").alias("hit"))
     out = rows.join(best, ["document_id", "id"], "left")
     page = F.coalesce("hit", F.get("listed", F.lit(0)))
     return out.select("document_id", "id", page.alias("page"), F.col("hit").isNotNull().alias("matched"), F.when(page.isNotNull(), F.col("source")).otherwise("none").alias("source"))
