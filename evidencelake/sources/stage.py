@@ -25,6 +25,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table that was read, dealt to all cores where its files give fewer partitions than
+    there are cores (a small table in one row group); any larger table as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` from a reliable checkpoint: computed once, however often it is used."""
     shared_dir(df.sparkSession)
