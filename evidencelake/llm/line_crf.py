@@ -151,15 +151,16 @@ def _gradient(x: np.ndarray, y: np.ndarray, first: np.ndarray, field: Field) ->
     forward, backward = np.zeros(n), np.zeros(n)  # log-odds of content: from before, from after
     s = field.stay
 
-    def message(lead: float) -> float:
+    def message(lead: np.ndarray) -> np.ndarray:
         return np.logaddexp(lead + s, 0.0) - np.logaddexp(lead, s)
 
-    for k in range(1, n):
-        if not first[k]:
-            forward[k] = message(forward[k - 1] + gain[k - 1])
-    for k in range(n - 2, -1, -1):
-        if not first[k + 1]:
-            backward[k] = message(backward[k + 1] + gain[k + 1])
+    # All texts at once, line by line: messages only pass inside a text.
+    place = np.arange(n) - np.maximum.accumulate(np.where(first, np.arange(n), 0))
+    steps = np.split(np.argsort(place, kind="stable"), np.cumsum(np.bincount(place))[:-1])
+    for k in steps[1:]:
+        forward[k] = message(forward[k - 1] + gain[k - 1])
+    for k in reversed(steps[1:]):
+        backward[k - 1] = message(backward[k] + gain[k])
     p = 1 / (1 + np.exp(-np.clip(gain + forward + backward, -500, 500)))
     inner = np.flatnonzero(~first)
     a, b = forward[inner - 1] + gain[inner - 1], backward[inner] + gain[inner]
