@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from evidencelake.llm import bpe, jaccard_join, line_dedup, mixing, quality_model, queries
 from evidencelake.llm.storage import drop, stage
+from evidencelake.sources.stage import spread
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 MIX_SHARE = 0.8
@@ -72,7 +73,7 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order over the table ``documents``, each written before the next."""
-    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    docs, before = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), None
     for name, step in STAGES[:-1]:
         docs = stage(step(spark, docs, sf_dir), name)
         if before is not None:
