@@ -229,7 +229,7 @@ def compare_with_edits(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
                     yield finish(ids, texts)
                     ids, texts, held, done = [], [], 0, part
                     continue
-                if held > SLICE_BYTES:
+                if held > SLICE_BYTES // 2:  # each text comes twice, plain and edited
                     yield finish(ids, texts)
                     ids, texts, held = [], [text], 0
                 ids.append(key)
