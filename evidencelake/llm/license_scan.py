@@ -37,6 +37,12 @@ TEMPLATES = {
     "isc-permission": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "cc-by-4.0-line": "This work is licensed under the Creative Commons Attribution 4.0 International License.",
     "cc-by-sa-4.0-line": "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc-by-4.0-short": "Licensed under CC BY 4.0.",
+    "cc-by-nc-4.0-short": "Licensed under CC BY-NC 4.0.",
+    "cc-by-nc-nd-4.0-short": "Licensed under CC BY-NC-ND 4.0.",
+    "cc-by-nc-sa-4.0-short": "Licensed under CC BY-NC-SA 4.0.",
+    "cc-by-nd-4.0-short": "Licensed under CC BY-ND 4.0.",
+    "cc-by-sa-4.0-short": "Licensed under CC BY-SA 4.0.",
 }
 
 

@@ -50,3 +50,27 @@ def test_odd_rows(spark, odd, empty):
     assert license_scan.scan(empty).count() == 0
     with pytest.raises(ValueError, match="fewer than five"):
         license_scan.scan(odd, {"short": "All rights reserved."})
+
+
+#: Written down from the documents table, not from TEMPLATES.
+LINES = {
+    "Licensed under the Apache License, Version 2.0.": "apache-2.0-line",
+    "Released under the MIT License.": "mit-line",
+    "This work is licensed under the GNU General Public License, version 3.": "gpl-3.0-line",
+    "Licensed under CC BY-NC 4.0.": "cc-by-nc-4.0-short",
+}
+
+
+def test_license_lines_of_the_documents_are_found(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    wanted = {k: {LINES[x] for x in text.split("\n") if x in LINES} for k, text in texts.items()}
+    assert {x for names in wanted.values() for x in names} == set(LINES.values())
+    found = {r["doc_id"]: {x["template"] for x in r["licenses"]} for r in license_scan.scan(docs).collect()}
+    assert {k: names for k, names in wanted.items() if names} == {k: found[k] for k in wanted if wanted[k]}
+
+
+@pytest.mark.parametrize("kind", ["BY", "BY-NC", "BY-NC-ND", "BY-NC-SA", "BY-ND", "BY-SA"])
+def test_short_creative_commons_lines_are_told_apart(spark, kind):
+    rows = license_scan.scan(spark.createDataFrame([(1, f"A cold winter.\nLicensed under CC {kind} 4.0.\nThe end.")], "doc_id long, text string")).collect()
+    assert [x["template"] for x in rows[0]["licenses"]] == [f"cc-{kind.lower()}-4.0-short"]
