@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -12,11 +13,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.stage import cut, shared_dir
 from .structure import SPACE
 from .units import word_count
 
 TOP_K = 20
-MAX_QUERIES = 20_000
+#: Questions whose vectors are one matrix.
+BLOCK = 20_000
 
 #: Question wordings and the hint that is appended for each.
 HINTS = (
@@ -160,19 +163,45 @@ def topk_scoped(questions: DataFrame, points: DataFrame, k: int = TOP_K, metric:
     return ranked(scored, k, descending)
 
 
-def topk_all(questions: DataFrame, points: DataFrame, k: int = TOP_K, metric: str = "cosine", max_queries: int = MAX_QUERIES) -> DataFrame:
-    """As ``topk_scoped``, but among all points.
+def topk_all(questions: DataFrame, points: DataFrame, k: int = TOP_K, metric: str = "cosine", max_queries: int | None = None, block: int = BLOCK) -> DataFrame:
+    """As ``topk_scoped``, but among all points, for any number of questions.
 
-    The questions, a stated set of ``max_queries`` at most, are broadcast as one matrix; each
-    task multiplies its points with it batch by batch and keeps k candidates of each query,
-    so what is shuffled is k rows a query and task, not all pairs.
+    A block of questions is broadcast as one matrix; each task multiplies its points with it
+    batch by batch and keeps k candidates of each query, so what is shuffled is k rows a
+    query and task, not all pairs. With more than one block, the candidates of each are
+    stored before the next is asked. ``max_queries`` refuses a larger set.
     """
-    asked = questions.select("query_id", "vector").limit(max_queries + 1).toPandas()
-    if len(asked) > max_queries:
-        raise ValueError(f"more than {max_queries} questions: run them in several sets")
+    if max_queries is not None and questions.limit(max_queries + 1).count() > max_queries:
+        raise ValueError(f"more than {max_queries} questions")
+    return ranked(_candidates(questions, points, k, metric, block), k, METRICS[metric][1])
+
+
+def _candidates(questions: DataFrame, points: DataFrame, k: int, metric: str, block: int, tables: tuple[int, int] | None = None) -> DataFrame:
+    """query_id, ku_id, score: of each task the k best points of each query, block by block."""
+    asked = questions.select("query_id", "vector")
+    first = asked.limit(block + 1).toPandas()
+    if len(first) <= block:
+        return _scored(first, points, k, metric, tables)
+    spark = questions.sparkSession
+    rows = cut(asked.withColumn("_at", F.monotonically_increasing_id()))
+    parts = sorted(rows.groupBy(F.shiftright("_at", 33).alias("part")).count().collect())
+    starts, seen = [], 0  # an id is the partition and the place in it, so a block is a range of ids
+    for part, n in parts:
+        starts += [(part << 33) + at - seen for at in range(-(-seen // block) * block, seen + n, block)]
+        seen += n
+    path = f"{shared_dir(spark)}/topk/{uuid.uuid4().hex}"
+    for start, end in zip(starts, [*starts[1:], (1 << 63) - 1], strict=True):
+        own = rows.where((F.col("_at") >= start) & (F.col("_at") < end)).drop("_at").toPandas()
+        _scored(own, points, k, metric, tables).write.mode("append").parquet(path)
+    return spark.read.schema("query_id long, ku_id long, score double").parquet(path)
+
+
+def _scored(asked, points: DataFrame, k: int, metric: str, tables: tuple[int, int] | None) -> DataFrame:
+    """The candidates of one block of questions; with ``tables`` only points that share a
+    bucket with the question."""
     matrix = np.array(asked["vector"].tolist(), dtype=float) if len(asked) else np.zeros((0, 0))
     ids = asked["query_id"].to_numpy(dtype=np.int64)
-    sent = questions.sparkSession.sparkContext.broadcast((ids, matrix))
+    sent = points.sparkSession.sparkContext.broadcast((ids, matrix))
     _, descending = METRICS[metric]
 
     def score(q: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -186,8 +215,10 @@ def topk_all(questions: DataFrame, points: DataFrame, k: int = TOP_K, metric: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = sent.value
-        best_id = np.zeros((len(ids), 0), dtype=np.int64)
-        best = np.zeros((len(ids), 0))
+        few = [slice(at, at + 1024) for at in range(0, len(ids), 1024)]
+        best_id = [np.zeros((len(ids[x]), 0), dtype=np.int64) for x in few]
+        best = [np.zeros((len(ids[x]), 0)) for x in few]
+        asked_in = buckets(q, *tables) if tables and len(ids) else None
         for whole in batches:
             for at in range(0, whole.num_rows if len(ids) else 0, 1024):
                 part = whole.slice(at, 1024)
@@ -195,15 +226,34 @@ def topk_all(questions: DataFrame, points: DataFrame, k: int = TOP_K, metric: st
                 if not part.num_rows:
                     continue
                 p = np.asarray(part.column("vector").flatten(), dtype=float).reshape(part.num_rows, -1)
-                new = np.round(score(q, p), 6)
-                best = np.hstack((best, -new if descending else new))
-                best_id = np.hstack((best_id, np.tile(np.asarray(part.column("ku_id")), (len(ids), 1))))
-                order = np.lexsort((best_id, best), axis=1)[:, :k]
-                best, best_id = np.take_along_axis(best, order, 1), np.take_along_axis(best_id, order, 1)
-        if best.size:
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])), pa.array(best_id.reshape(-1)), pa.array((-best if descending else best).reshape(-1))], names=["query_id", "ku_id", "score"])
-
-    return ranked(points.select("ku_id", "vector").mapInArrow(run, "query_id long, ku_id long, score double"), k, descending)
+                stored_in = buckets(p, *tables) if tables else None
+                for n, x in enumerate(few):
+                    new = np.round(score(q[x], p), 6)
+                    new = -new if descending else new
+                    if tables:
+                        met = np.zeros(new.shape, dtype=bool)
+                        for t in range(stored_in.shape[1]):
+                            met |= asked_in[x, None, t] == stored_in[None, :, t]
+                        new[~met] = np.inf
+                    own = np.hstack((best[n], new))
+                    own_id = np.hstack((best_id[n], np.tile(np.asarray(part.column("ku_id")), (len(own), 1))))
+                    order = np.lexsort((own_id, own), axis=1)[:, :k]
+                    best[n], best_id[n] = np.take_along_axis(own, order, 1), np.take_along_axis(own_id, order, 1)
+        for n, x in enumerate(few):
+            near = ~np.isposinf(best[n]) if tables else np.ones(best[n].shape, dtype=bool)
+            if near.any():
+                found = best[n][near]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[x], best[n].shape[1])[near.reshape(-1)]), pa.array(best_id[n][near]), pa.array(-found if descending else found)], names=["query_id", "ku_id", "score"])
+
+    return points.select("ku_id", "vector").mapInArrow(run, "query_id long, ku_id long, score double")
+
+
+def buckets(vectors: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    """The bucket of each vector in each table: on which sides of ``bits`` fixed random
+    planes through the origin it lies."""
+    planes = np.random.default_rng(5).normal(size=(vectors.shape[1], tables * bits))
+    sides = (vectors @ planes > 0).reshape(len(vectors), tables, bits)
+    return (sides @ (1 << np.arange(bits))).astype(np.int32)
 
 
 def topk_ann(questions: DataFrame, points: DataFrame, k: int = TOP_K, *, distance: float = 1.2, width: float = 2.0, tables: int = 8) -> DataFrame:

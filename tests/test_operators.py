@@ -132,6 +132,18 @@ def test_vector_topk(spark):
     assert search.topk_all(questions.where("false"), points).count() == 0
 
 
+def test_any_number_of_questions_is_asked_in_blocks(spark):
+    rng = np.random.default_rng(2)
+    v = np.round(rng.normal(size=(60, 5)), 3)
+    points = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "ku_id long, vector array<double>").repartition(3)
+    questions = points.where("ku_id < 47").select(F.col("ku_id").alias("query_id"), "vector").repartition(5)
+    for block in (1, 7, 46, 47):
+        got = {}
+        for r in search.topk_all(questions, points, 6, "dot", block=block).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append(r["ku_id"])
+        assert got == {q: sorted(range(60), key=lambda k: (-round(float(v[q] @ v[k]), 6) + 0.0, k))[:6] for q in range(47)}
+
+
 def test_a_failing_embedder_gives_rows_not_a_failed_job(spark):
     rows = spark.createDataFrame([("a", ), (None,), ("bad",)], "text string").coalesce(1)
 
