@@ -256,20 +256,17 @@ def buckets(vectors: np.ndarray, bits: int, tables: int) -> np.ndarray:
     return (sides @ (1 << np.arange(bits))).astype(np.int32)
 
 
-def topk_ann(questions: DataFrame, points: DataFrame, k: int = TOP_K, *, distance: float = 1.2, width: float = 2.0, tables: int = 8) -> DataFrame:
-    """Approximate top-k by cosine over unit vectors: candidates from random projections
-    within ``distance``, ranked exactly. May return fewer than k rows of a query."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    def features(rows: DataFrame, key: str) -> DataFrame:
-        return rows.where("vector is not null").select(key, F.col("vector"), array_to_vector(F.transform("vector", lambda x: x.cast("double"))).alias("features"))
-
-    p, q = features(points, "ku_id"), features(questions, "query_id")
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=width, numHashTables=tables, seed=5).fit(p)
-    near = model.approxSimilarityJoin(q, p, distance)
-    scored = near.select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.ku_id").alias("ku_id"), F.round(cosine(F.col("datasetA.vector"), F.col("datasetB.vector")), 6).alias("score"))
-    return ranked(scored, k)
+def topk_ann(questions: DataFrame, points: DataFrame, k: int = TOP_K, *, bits: int = 4, tables: int = 24, block: int = BLOCK) -> DataFrame:
+    """Approximate top-k by cosine: the k best of the points that share a bucket of any table
+    with the question, scored exactly. Questions with fewer than k of them get their exact
+    top-k, so that each has k rows where there are k points."""
+    asked = questions.where("vector is not null")
+    found = cut(ranked(_candidates(asked, points, k, "cosine", block, (bits, tables)), k))
+    full = found.groupBy("query_id").count().where(F.col("count") >= k).select("query_id")
+    short = cut(asked.join(full, "query_id", "left_anti").select("query_id", "vector"))
+    if short.isEmpty():
+        return found
+    return found.join(full, "query_id", "left_semi").select(found.columns).unionByName(topk_all(short, points, k, block=block))
 
 
 def normalize_query(query: Column) -> Column:

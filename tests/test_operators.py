@@ -144,6 +144,25 @@ def test_any_number_of_questions_is_asked_in_blocks(spark):
         assert got == {q: sorted(range(60), key=lambda k: (-round(float(v[q] @ v[k]), 6) + 0.0, k))[:6] for q in range(47)}
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_index_finds_the_true_neighbours(spark, sf):
+    points = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").select(F.col("vec_id").alias("ku_id"), F.col("embedding").alias("vector"))
+    questions = points.where("ku_id % 25 = 0").select(F.col("ku_id").alias("query_id"), "vector")
+    true = {(r["query_id"], r["ku_id"]) for r in search.topk_all(questions, points).collect()}
+    found = {(r["query_id"], r["ku_id"]) for r in search.topk_ann(questions, points).collect()}
+    assert len(found) == len(true) == 20 * questions.count()
+    assert len(true & found) >= 0.9 * len(true)
+
+
+def test_index_fills_questions_with_few_candidates(spark):
+    rng = np.random.default_rng(3)
+    points = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(rng.normal(size=(50, 8)))], "ku_id long, vector array<double>")
+    questions = points.where("ku_id < 5").select(F.col("ku_id").alias("query_id"), "vector")
+    got = search.topk_ann(questions, points, 20, bits=12, tables=1).orderBy("query_id", "rank").collect()
+    assert got == search.topk_all(questions, points, 20).orderBy("query_id", "rank").collect()
+    assert search.topk_ann(questions, points, 60).count() == 5 * 50
+
+
 def test_a_failing_embedder_gives_rows_not_a_failed_job(spark):
     rows = spark.createDataFrame([("a", ), (None,), ("bad",)], "text string").coalesce(1)
 
