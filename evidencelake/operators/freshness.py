@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import digest
+
 
 def stale_documents(sources: DataFrame, manifests: DataFrame, model: str, version: str, *, force: bool = False) -> DataFrame:
     """document_id, stale, reason: sources (document_id, source_hash) whose stage must run
@@ -31,7 +33,7 @@ def manifests(stages: dict[str, tuple[DataFrame, str]]) -> DataFrame:
 
     def one(name: str, df: DataFrame, column: str) -> DataFrame:
         line = F.sha2(F.coalesce(F.col(column).cast("string"), F.lit("~")).cast("binary"), 256)
-        return df.groupBy("document_id").agg(F.count(F.lit(1)).alias("rows"), F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "").cast("binary"), 256).alias("checksum")).withColumn("stage", F.lit(name))
+        return digest(df.select("document_id", line.alias("line")), "document_id").withColumn("stage", F.lit(name))
 
     return reduce(DataFrame.unionByName, [one(k, df, c) for k, (df, c) in stages.items()])
 

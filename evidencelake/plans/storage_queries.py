@@ -34,10 +34,10 @@ def upload_register(spark: Spark, d: str) -> DataFrame:
 
 
 def read_stage_json(spark: Spark, d: str) -> DataFrame:
-    """Units written as one JSON object for each document, without a field that is newer."""
+    """Units written as JSON objects, one for each part of a document, without a field that is
+    newer, and read together."""
     rows = search_queries._units(spark, d)
-    chunk = F.struct(F.col("ku_id").cast("string").alias("id"), F.col("ord").cast("int").alias("order"), "modality", "text", F.array(F.col("asset")).alias("source_element_ids"))
-    docs = rows.groupBy(F.col("document_id").cast("string").alias("document_id")).agg(F.count(F.lit(1)).cast("int").alias("count"), F.collect_list(chunk).alias("chunks"))
+    docs = stage.pack_units(rows.select("document_id", F.col("ku_id").cast("string").alias("id"), F.col("ord").cast("int").alias("order"), "modality", "text", F.array(F.col("asset")).alias("source_element_ids")))
     path = f"{stage.shared_dir(spark)}/stage/units-{uuid.uuid4().hex}"
     docs.select(F.to_json(F.struct("*")).alias("value")).write.text(path)
     out = stage.unpack_units(spark.read.schema(stage.UNITS_JSON).json(path))

@@ -12,6 +12,9 @@ _LOCAL: dict[str, str] = {}
 #: Stored units; a field that an older file lacks reads as null.
 UNITS_JSON = "document_id string, count int, chunks array<struct<id: string, section_id: string, `order`: int, modality: string, text: string, retrieval_context: string, token_count: int, source_element_ids: array<string>>>"
 
+#: Places of a document whose units are one stored object.
+PART = 32
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``; a temporary folder only where it is unset."""
@@ -39,7 +42,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def read_units_json(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each unit of stored unit files (one JSON object a file)."""
+    """One row for each unit of stored unit files (one JSON object a file; a document may have several)."""
     return unpack_units(spark.read.schema(UNITS_JSON).option("multiLine", True).json(path))
 
 
@@ -47,6 +50,14 @@ def unpack_units(files: DataFrame) -> DataFrame:
     return files.select("document_id", F.explode("chunks").alias("c")).select("document_id", "c.*")
 
 
+def pack_units(units: DataFrame, most: int = PART) -> DataFrame:
+    """Units (document_id and the fields of a chunk) to objects of ``UNITS_JSON``, one for each
+    ``most`` places of a document, so that no object grows with its document."""
+    chunk = F.struct(*(c for c in units.columns if c != "document_id"))
+    parts = units.groupBy(F.col("document_id").cast("string").alias("document_id"), F.floor(F.col("order") / most).alias("part"))
+    return parts.agg(F.count(F.lit(1)).cast("int").alias("count"), F.collect_list(chunk).alias("chunks")).drop("part")
+
+
 def write_stage(df: DataFrame, path: str, buckets: int = 64, key: str = "document_id") -> None:
     """Replace what a stage stored of the key's buckets in ``df``; other buckets stay. ``df``
     must have all documents of a bucket that it touches. Buckets, not documents, are the

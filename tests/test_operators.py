@@ -1,5 +1,6 @@
 """Unit cases of the operators' boundaries, and plain sequential statements of their rules."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidencelake.operators import conversation, evaluation, evidence, freshness, graph, relations, retrieval, search, structure, units
+from evidencelake.sources import files, stage
 
 
 def one(spark, column):
@@ -163,6 +165,30 @@ def test_index_fills_questions_with_few_candidates(spark):
     assert search.topk_ann(questions, points, 60).count() == 5 * 50
 
 
+def test_stored_objects_do_not_grow_with_their_document(spark):
+    units = spark.range(1000).select(F.lit(7).alias("document_id"), F.col("id").cast("string").alias("id"), F.col("id").cast("int").alias("order"), F.lit("text").alias("modality"))
+    packed = stage.pack_units(units)
+    assert packed.agg(F.max(F.size("chunks")), F.sum("count")).first() == (stage.PART, 1000)
+    assert stage.unpack_units(packed).orderBy("order").collect() == units.withColumn("document_id", F.lit("7")).orderBy("order").collect()
+
+
+def test_checksums_gather_no_group_in_a_cell(spark):
+    rows = spark.createDataFrame([(k if (k := n % 3) else None, f"v{n * n % 41}") for n in range(300)] + [(5, None)], "document_id long, v string").repartition(5)
+    hashes = {}
+    for r in rows.collect():
+        hashes.setdefault(r["document_id"], []).append(hashlib.sha256((r["v"] or "~").encode()).hexdigest())
+    wanted = {k: hashlib.sha256("".join(sorted(x)).encode()).hexdigest() for k, x in hashes.items()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        hashed, listed = files.content_hash(rows, "document_id", ["v"]), freshness.manifests({"s": (rows, "v")})
+        assert {r["document_id"]: r["version"] for r in hashed.collect()} == wanted
+        assert {r["document_id"]: (r["rows"], r["checksum"]) for r in listed.collect()} == {k: (len(hashes[k]), x) for k, x in wanted.items()}
+        assert all("collect_list" not in df._jdf.queryExecution().toString() for df in (hashed, listed))
+        assert files.content_hash(rows.where("false"), "document_id", ["v"]).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_a_failing_embedder_gives_rows_not_a_failed_job(spark):
     rows = spark.createDataFrame([("a", ), (None,), ("bad",)], "text string").coalesce(1)
 
