@@ -12,6 +12,7 @@ window contains.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 WIDTH = 5
 CONTAINMENT = 0.8
 LEAST_JACCARD = 0.2
+LEAST_REACH = 8
 RECALL = 0.999
 MAX_SHINGLES = 5000
 WORD_BREAK = r"[^\p{L}\p{N}]+"
@@ -51,6 +53,17 @@ def bands_for(least: float = LEAST_JACCARD, recall: float = RECALL) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - least))
 
 
+def least_jaccard(sizes: Mapping[str, tuple[int, int]], containment: float = CONTAINMENT) -> float:
+    """The least similarity of a template (its shingles, reach) and a window that contains
+    ``containment`` of it, where all other places of the window hold shingles of other
+    templates; ``LEAST_JACCARD`` at most."""
+    least = LEAST_JACCARD
+    for n, reach in sizes.values():
+        shared = max(1, math.ceil(containment * n - 1e-9))
+        least = min(least, shared / (n + max(2 * reach - shared, 0)))
+    return least
+
+
 def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), WORD_BREAK, -1), lambda x: x != "")
 
@@ -69,7 +82,7 @@ def _templates(spark, templates: Mapping[str, str]) -> DataFrame:
     is the next power of two, 8 at least, so that there are few kinds of windows."""
     rows = spark.createDataFrame(sorted(templates.items()), "template string, text string")
     rows = rows.select("template", F.array_distinct(F.transform(_shingles(F.col("text")), lambda x: x["h"])).alias("shingles"))
-    return rows.withColumn("reach", F.greatest(F.lit(8), F.pow(F.lit(2), F.ceil(F.log2(F.size("shingles"))))).cast("int"))
+    return rows.withColumn("reach", F.greatest(F.lit(LEAST_REACH), F.pow(F.lit(2), F.ceil(F.log2(F.size("shingles"))))).cast("int"))
 
 
 def scan(df: DataFrame, templates: Mapping[str, str] = TEMPLATES, *, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT, bands: int | None = None) -> DataFrame:
@@ -84,7 +97,6 @@ def scan(df: DataFrame, templates: Mapping[str, str] = TEMPLATES, *, id_col: str
     a template leave their row.
     """
     spark = df.sparkSession
-    bands = bands or bands_for()
     known = _templates(spark, templates)
     vocabulary = known.select("reach", F.explode("shingles").alias("h"), "template").collect()
     if {r["template"] for r in vocabulary} != set(templates):
@@ -92,6 +104,8 @@ def scan(df: DataFrame, templates: Mapping[str, str] = TEMPLATES, *, id_col: str
     if len(vocabulary) > MAX_SHINGLES:
         raise ValueError(f"templates have more than {MAX_SHINGLES} shingles")
     hashes = sorted({r["h"] for r in vocabulary})
+    sizes = {name: (n, reach) for (name, reach), n in Counter((r["template"], r["reach"]) for r in vocabulary).items()}
+    bands = bands or bands_for(least_jaccard(sizes, containment))
 
     rows = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("code"), F.col(text_col).alias("text"))
     hits = rows.select("id", "code", F.explode(F.filter(_shingles(F.col("text")), lambda x: x["h"].isin(hashes))).alias("s")).select("id", "code", "s.*")

@@ -74,3 +74,22 @@ def test_license_lines_of_the_documents_are_found(spark):
 def test_short_creative_commons_lines_are_told_apart(spark, kind):
     rows = license_scan.scan(spark.createDataFrame([(1, f"A cold winter.\nLicensed under CC {kind} 4.0.\nThe end.")], "doc_id long, text string")).collect()
     assert [x["template"] for x in rows[0]["licenses"]] == [f"cc-{kind.lower()}-4.0-short"]
+
+
+def test_bands_reach_their_recall_for_the_smallest_template():
+    # one shingle in a window of sixteen places, the others held by other templates
+    assert license_scan.least_jaccard({"one": (1, 8), "long": (80, 128)}) == 1 / 16
+    assert license_scan.least_jaccard({"two": (2, 8)}) == 1 / 8
+
+
+def test_a_short_line_is_found_amid_other_known_shingles(spark):
+    other = " ".join(f"w{k}" for k in range(12))
+    lines = {f"line{n}": " ".join(f"{x}{n}" for x in "abcde") for n in range(600)}
+    texts = spark.createDataFrame([(n, f"{other} {x} {other}") for n, x in enumerate(lines.values())], "doc_id long, text string")
+
+    def missed(**more):
+        rows = license_scan.scan(texts, {"other": other, **lines}, **more).collect()
+        return [r["doc_id"] for r in rows if f"line{r['doc_id']}" not in {x["template"] for x in r["licenses"]}]
+
+    assert missed() == []
+    assert missed(bands=license_scan.bands_for()) != []
