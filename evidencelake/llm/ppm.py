@@ -164,16 +164,18 @@ def fit(df: DataFrame, *, text_col: str = "text", lang_col: str = "lang", max_do
     """Frozen trees from texts with a language.
 
     Rows whose text or language is null are not learnt from. Fitted on a bounded sample:
-    about ``max_docs`` texts of each language, chosen by a hash of the text, all rows where
-    there are fewer; the most frequent of their byte grams go to the driver, ``max_grams``
+    about ``max_docs`` distinct texts of each language, chosen by a hash of the text, all where
+    there are fewer; copies of a text count once. The most frequent of their byte grams go to the driver, ``max_grams``
     at most over all languages.
     """
     known = df.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    coded = known.withColumn("code", F.xxhash64("text", F.lit("ppm")))
+    sizes = {r["lang"]: r["n"] for r in coded.select("lang", "code").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return Model({})
     share = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, max_docs / n))))
-    sample = known.where(F.pmod(F.xxhash64("text", F.lit("ppm")), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
+    drawn = coded.where(F.pmod("code", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
+    sample = drawn.groupBy("lang", "code").agg(F.first("text").alias("text")).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

@@ -77,3 +77,13 @@ def test_accuracy_on_the_held_out_fold(spark):
     d = "/root/testdata/sf0.001"
     out = queries.op5_ppm_language(spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert sum(r["lang_pred"] == r["lang"] for r in out) >= 0.95 * len(out) > 0
+
+
+def test_a_language_of_copies_is_sampled_by_distinct_texts(spark):
+    # more copies than max_docs: all of them were drawn or none
+    texts = [("en", "the water under the stone is cold"), ("de", "das Wasser unter dem Stein ist kalt"), ("fr", "une eau froide sous la pierre"), ("es", "el agua bajo la piedra es muy clara"), ("it", "la pietra sotto il fiume era chiara")]
+    rows = [(text, lang) for lang, text in texts for _ in range(40)]
+    model = ppm.fit(spark.createDataFrame(rows, "text string, lang string"), max_docs=2)
+    assert model.langs == ["de", "en", "es", "fr", "it"]
+    once = ppm.fit(spark.createDataFrame([(text, lang) for lang, text in texts], "text string, lang string"), max_docs=2)
+    assert [x.levels[ppm.ORDER]["n"].tolist() for x in model.trees] == [x.levels[ppm.ORDER]["n"].tolist() for x in once.trees]
