@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -13,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.stage import cut, shared_dir
+from ..sources.stage import cut, scratch
 from .structure import SPACE
 from .units import word_count
 
@@ -189,7 +188,7 @@ def _candidates(questions: DataFrame, points: DataFrame, k: int, metric: str, bl
     for part, n in parts:
         starts += [(part << 33) + at - seen for at in range(-(-seen // block) * block, seen + n, block)]
         seen += n
-    path = f"{shared_dir(spark)}/topk/{uuid.uuid4().hex}"
+    path = scratch(spark, "topk")
     for start, end in zip(starts, [*starts[1:], (1 << 63) - 1], strict=True):
         own = rows.where((F.col("_at") >= start) & (F.col("_at") < end)).drop("_at").toPandas()
         _scored(own, points, k, metric, tables).write.mode("append").parquet(path)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,18 +36,19 @@ def read_stage_json(spark: Spark, d: str) -> DataFrame:
     newer, and read together."""
     rows = search_queries._units(spark, d)
     docs = stage.pack_units(rows.select("document_id", F.col("ku_id").cast("string").alias("id"), F.col("ord").cast("int").alias("order"), "modality", "text", F.array(F.col("asset")).alias("source_element_ids")))
-    path = f"{stage.shared_dir(spark)}/stage/units-{uuid.uuid4().hex}"
+    path = stage.scratch(spark, "units")
     docs.select(F.to_json(F.struct("*")).alias("value")).write.text(path)
     out = stage.unpack_units(spark.read.schema(stage.UNITS_JSON).json(path))
     return out.select("document_id", "id", "order", "modality", "text", "retrieval_context")
 
 
 def write_stage(spark: Spark, d: str) -> DataFrame:
-    """Stored units of all documents, then those of documents below five replaced."""
+    """Stored units of all documents, then those of documents below five replaced. Several
+    documents share each bucket."""
     rows = search_queries._units(spark, d).select("document_id", "ku_id", F.lit("first").alias("state"))
-    path = f"{stage.shared_dir(spark)}/stage/written-{uuid.uuid4().hex}"
-    stage.write_stage(rows, path, 1 << 20)
-    stage.write_stage(rows.where("document_id < 5 and ku_id % 2 = 0").withColumn("state", F.lit("second")), path, 1 << 20)
+    path = stage.scratch(spark, "written")
+    stage.write_stage(rows, path, buckets=4)
+    stage.write_stage(rows.where("document_id < 5 and ku_id % 2 = 0").withColumn("state", F.lit("second")), path, buckets=4)
     return spark.read.schema("document_id long, ku_id long, state string").parquet(path).drop("bucket")
 
 

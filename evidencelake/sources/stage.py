@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+_SCRATCH: set[str] = set()
 
 #: Stored units; a field that an older file lacks reads as null.
 UNITS_JSON = "document_id string, count int, chunks array<struct<id: string, section_id: string, `order`: int, modality: string, text: string, retrieval_context: string, token_count: int, source_element_ids: array<string>>>"
@@ -17,27 +21,53 @@ PART = 32
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``, else the
+    one that ``setCheckpointDir`` was given. Where neither is set, a local session gets a
+    temporary folder; a cluster gets an error, as its executors would write to their own disks."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if found:
         return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL:
-        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(_LOCAL[app])
-    return _LOCAL[app]
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-")
+    return _LOCAL[context.applicationId]
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A table that was read, dealt to all cores where its files give fewer partitions than
-    there are cores (a small table in one row group); any larger table as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder. What is still there when the driver's Python ends is
+    deleted then; ``delete`` does it before."""
+    root = f"{shared_dir(spark)}/staged/{spark.sparkContext.applicationId}"
+    if root not in _SCRATCH:
+        _SCRATCH.add(root)
+        atexit.register(_clean, spark._jvm, spark._jsc.hadoopConfiguration(), root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def _clean(jvm, conf, root: str) -> None:
+    try:
+        where = jvm.org.apache.hadoop.fs.Path(root)
+        where.getFileSystem(conf).delete(where, True)
+    except Exception:  # noqa: BLE001  the JVM may have ended before Python
+        pass
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` from a reliable checkpoint: computed once, however often it is used."""
-    shared_dir(df.sparkSession)
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 
@@ -58,9 +88,21 @@ def pack_units(units: DataFrame, most: int = PART) -> DataFrame:
     return parts.agg(F.count(F.lit(1)).cast("int").alias("count"), F.collect_list(chunk).alias("chunks")).drop("part")
 
 
-def write_stage(df: DataFrame, path: str, buckets: int = 64, key: str = "document_id") -> None:
-    """Replace what a stage stored of the key's buckets in ``df``; other buckets stay. ``df``
-    must have all documents of a bucket that it touches. Buckets, not documents, are the
-    folders, so that their number does not grow with the corpus."""
+def write_stage(df: DataFrame, path: str, buckets: int = 64, key: str = "document_id", files: int = 4) -> None:
+    """Replace what is stored under ``path`` of the keys in ``df``; all other keys stay.
+
+    Buckets of the key's hash are the folders, so that their number does not grow with the
+    corpus, each with ``files`` files. The buckets that ``df`` touches are read without the keys
+    of ``df`` and written again with its rows; no other bucket is read. A table must always be
+    written with the same ``buckets``. A null key is a key as any other.
+    """
+    spark = df.sparkSession
     bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-    df.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    rows = cut(df).withColumn("bucket", bucket)
+    if exists(spark, path):
+        touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # ``buckets`` at most
+        stored = spark.read.parquet(path).where(F.col("bucket").isin(touched))
+        gone = rows.select(F.col(key).alias("_gone")).distinct()
+        rows = rows.unionByName(stored.join(gone, stored[key].eqNullSafe(gone["_gone"]), "left_anti"), allowMissingColumns=True)
+    slot = F.pmod(F.xxhash64(key, F.lit("file")), F.lit(files))
+    rows.repartition("bucket", slot).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)

@@ -1,8 +1,10 @@
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from evidencelake.operators import conversation
+from evidencelake.sources import stage
 from evidencelake.streaming import conversations
 
 SCHEMA = "document_id long, turn_id long, kind string, ts timestamp, event_id long"
@@ -39,3 +41,32 @@ def test_refresh_replaces_changed_documents(spark, tmp_path):
     handle(spark.createDataFrame([(1, "h1"), (2, "new"), (3, "h3")], "document_id long, source_hash string"), 1)
     got = {r["document_id"]: r["source_hash"] for r in spark.read.parquet(path).collect()}
     assert got == {1: "h1", 2: "new", 3: "h3"}
+
+
+def test_documents_that_share_a_bucket_stay(spark, tmp_path):
+    path, schema = f"{tmp_path}/shared", "document_id long, source_hash string"
+    stage.write_stage(spark.createDataFrame([(k, "old") for k in range(999)] + [(None, "old")], schema), path, buckets=4)
+    stage.write_stage(spark.createDataFrame([(7, "new"), (7, "newer"), (5000, "new"), (None, "new")], schema), path, buckets=4)
+    got = sorted((str(r["document_id"]), r["source_hash"]) for r in spark.read.parquet(path).collect())
+    assert got == sorted([(str(k), "old") for k in range(999) if k != 7] + [("7", "new"), ("7", "newer"), ("5000", "new"), ("None", "new")])
+
+
+def test_refresh_keeps_unchanged_documents_of_a_bucket(spark, tmp_path):
+    path, schema = f"{tmp_path}/many", "document_id long, model string, version string, source_hash string"
+    manifests = spark.createDataFrame([(k, "m", "v", "h") for k in range(1000)], schema)
+    build = lambda df: df.select("document_id", "source_hash")
+    conversations.refresh_batches(lambda: manifests.where("false"), build, path, "m", "v", buckets=4)(manifests.select("document_id", "source_hash"), 0)
+    conversations.refresh_batches(lambda: manifests, build, path, "m", "v", buckets=4)(spark.createDataFrame([(5, "changed"), (6, "h")], "document_id long, source_hash string"), 1)
+    got = {r["document_id"]: r["source_hash"] for r in spark.read.parquet(path).collect()}
+    assert got == {k: "changed" if k == 5 else "h" for k in range(1000)}
+
+
+def test_the_shared_folder(spark):
+    class Cluster:
+        conf = type("C", (), {"get": staticmethod(lambda key, default: None)})
+        sparkContext = type("S", (), {"master": "spark://host:7077", "applicationId": "a", "getCheckpointDir": staticmethod(lambda: None)})  # noqa: N815
+
+    with pytest.raises(RuntimeError, match=r"spark\.checkpoint\.dir"):
+        stage.shared_dir(Cluster)
+    Cluster.sparkContext.getCheckpointDir = staticmethod(lambda: "hdfs://host/folder/")
+    assert stage.shared_dir(Cluster) == "hdfs://host/folder"
