@@ -24,7 +24,8 @@ def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     tricky = r"\### Assistant: </turn> ok"
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(tricky).alias("text"))
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    read = chat_format.read_turns(chat_format.format_windows(turns))
+    # the contract's digests take a conversation's whole text in one value, so it is one block
+    read = chat_format.read_turns(chat_format.format_windows(turns, block_turns=None), whole_parts=True)
     return read.select(
         F.col("conv").alias("conv_id"),
         F.col("n_turns").cast("long").alias("n_turns"),
@@ -231,13 +232,20 @@ ORACLE_SQL["op1_chat_windows"] = r"""
     ), systems AS (
         SELECT conv_id, tokens AS system_tokens FROM placed WHERE pos = 0 AND role = 'system'
     ), roomed AS (
-        SELECT p.*, s.system_tokens, greatest(2048 - 512 - coalesce(s.system_tokens, 0), 512) // 2 AS half FROM placed p LEFT JOIN systems s ON s.conv_id IS NOT DISTINCT FROM p.conv_id
+        SELECT p.*, 2048 - coalesce(s.system_tokens, 0) AS room, coalesce(s.system_tokens, 0) AS sys, s.system_tokens IS NOT NULL AND pos = 0 AS is_sys
+        FROM placed p LEFT JOIN systems s ON s.conv_id IS NOT DISTINCT FROM p.conv_id
+    ), halved AS (
+        SELECT *, greatest(least(512, room // 2), 0) AS spare, greatest((room - greatest(least(512, room // 2), 0)) // 2, 1) AS half FROM roomed
+    ), celled AS (
+        SELECT *, CASE WHEN is_sys THEN NULL WHEN tokens > half THEN -1 - pos ELSE CAST((before - sys) // half AS BIGINT) END AS own FROM halved
+    ), cells AS (
+        SELECT *, coalesce(own, lead(own) OVER (PARTITION BY conv_id ORDER BY pos), 0) AS cell FROM celled
     ), spans AS (
-        SELECT conv_id, min(pos) AS first, min(before) AS upto, max(system_tokens) IS NOT NULL AS sys
-        FROM roomed GROUP BY conv_id, CASE WHEN tokens > half THEN -1 - pos ELSE CAST(before // half AS BIGINT) END
+        SELECT conv_id, min(pos) AS first, min(before) AS upto, any_value(sys) > 0 AS sys, least(any_value(spare), any_value(room) - coalesce(sum(tokens) FILTER (NOT is_sys), 0)) AS history
+        FROM cells GROUP BY conv_id, cell
     ), repeated AS (
         SELECT s.conv_id, p.f FROM spans s JOIN placed p ON p.conv_id IS NOT DISTINCT FROM s.conv_id AND s.first > 0
-        AND ((s.sys AND p.pos = 0) OR (p.pos >= s.first - 2 AND p.pos < s.first AND s.upto - p.before <= 512))
+        AND ((s.sys AND p.pos = 0) OR (NOT (s.sys AND p.pos = 0) AND p.pos >= s.first - 2 AND p.pos < s.first AND s.upto - p.before <= s.history))
     )
     SELECT p.conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
            coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256,

@@ -1,9 +1,8 @@
 """Vectorised words, lines and hashes of a batch of texts, over its UTF-8 bytes.
 
 A *word* is a maximal run of characters other than the six ASCII white-space characters
-``\\x20 \\x09-\\x0D``; a *line* is what ``\\n`` separates. Hashes are polynomials over the
-bytes modulo 2**64, then mixed, so that equal strings have equal hashes in every batch,
-task and run.
+``\\x20 \\x09-\\x0D``; a *line* is what ``\\n`` separates. Equal strings have equal hashes in
+every batch, task and run.
 """
 
 from __future__ import annotations
@@ -17,10 +16,10 @@ import pyarrow.compute as pc
 SLICE_BYTES = 2 << 20
 SHINGLE_WORDS = 5
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Masks of the first 0 to 8 bytes of a little-endian block.
+_FIRST_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -33,26 +32,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
-_POWERS = (np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64))
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers of the base and of its inverse."""
-    global _POWERS
-    if len(_POWERS[0]) < n:
-        size = max(n, 1 << 16)
-        made = []
-        for base in (_BASE, _BASE_INVERSE):
-            x = np.full(size, base, dtype=np.uint64)
-            x[0] = 1
-            made.append(np.multiply.accumulate(x))
-        if size > 16 * SLICE_BYTES:  # one giant text: not worth keeping
-            return made[0][:n], made[1][:n]
-        _POWERS = (made[0], made[1])
-    return _POWERS[0][:n], _POWERS[1][:n]
-
-
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts in a row and the offsets of each (nulls count as empty)."""
     texts = texts.cast(pa.large_string()).fill_null("")
@@ -117,12 +96,48 @@ def lines(data: np.ndarray, offsets: np.ndarray) -> Spans:
     return out
 
 
-def hashes(data: np.ndarray, spans: Spans) -> np.ndarray:
-    """A 64-bit hash of each span's bytes."""
-    up, down = powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
-    return mix64((total[spans.end] - total[spans.start]) * down[spans.start] + (spans.end - spans.start).astype(np.uint64))
+def hashes(data: np.ndarray, spans: Spans, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span's bytes; other seeds give independent ones.
+
+    Each block of eight bytes is mixed with its place in the span before the blocks are
+    summed, so that no arrangement of the same bytes or blocks cancels out.
+    """
+    size = spans.end - spans.start
+    out = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
+    padded = np.append(data, np.zeros(8, np.uint8))
+    at_byte = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each one on
+    keys = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.uint64(seed))
+    first = at_byte[spans.start] & _FIRST_BYTES[np.minimum(size, 8)]
+    out += mix64(first ^ keys[0])
+    long = np.flatnonzero(size > 8)
+    for chunk in np.array_split(long, max(1, int(size[long].sum()) // (SLICE_BYTES * 4))) if len(long) else ():
+        blocks = (size[chunk] - 1) // 8  # after the first one
+        if len(chunk) == 1:
+            out[chunk] += _blocks(at_byte, int(spans.start[chunk[0]]), int(size[chunk[0]]), seed)
+            continue
+        ends = np.cumsum(blocks)
+        place = np.arange(ends[-1]) - np.repeat(ends - blocks, blocks) + 1
+        left = np.repeat(size[chunk], blocks) - 8 * place
+        block = at_byte[np.repeat(spans.start[chunk], blocks) + 8 * place] & _FIRST_BYTES[np.minimum(left, 8)]
+        out[chunk] += np.add.reduceat(mix64(block ^ _place_keys(place, keys, seed)), ends - blocks)
+    return mix64(out)
+
+
+def _place_keys(place: np.ndarray, keys: np.ndarray, seed: int) -> np.ndarray:
+    if not len(place) or place.max() < len(keys):
+        return keys[place]
+    return mix64((place + 1).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.uint64(seed))
+
+
+def _blocks(at_byte: np.ndarray, start: int, size: int, seed: int, step: int = 1 << 17) -> np.uint64:
+    """Sum over the blocks, after the first, of one long span, so many at a time."""
+    total = np.zeros(1, np.uint64)
+    count = (size - 1) // 8
+    for at in range(1, count + 1, step):
+        place = np.arange(at, min(at + step, count + 1))
+        block = at_byte[start + 8 * place] & _FIRST_BYTES[np.minimum(size - 8 * place, 8)]
+        total += mix64(block ^ mix64((place + 1).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.uint64(seed))).sum()
+    return total[0]
 
 
 def shingles(word_hashes: np.ndarray, spans: Spans, width: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:

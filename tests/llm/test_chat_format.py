@@ -33,7 +33,7 @@ def plain(rows):
     return {c: ("".join(f"{r}\n{x}\n" for _, _, r, x in sorted(v)), "".join(x for _, _, r, x in sorted(v) if r == "assistant"), len(v)) for c, v in found.items()}
 
 
-@pytest.mark.parametrize("settings", [{}, {"budget": 256, "history_tokens": 64}, {"history_turns": 0}, {"history_turns": 4, "budget": 600}])
+@pytest.mark.parametrize("settings", [{}, {"budget": 256, "history_tokens": 64}, {"history_turns": 0}, {"history_turns": 4, "budget": 600}, {"block_turns": None}, {"block_turns": 8, "budget": 300}])
 def test_reads_back_what_it_formats(spark, settings):
     rows = conversations()
     windows = C.format_windows(frame(spark, rows), **settings)
@@ -55,6 +55,34 @@ def test_windows_keep_the_budget_the_system_turn_and_history(spark):
         assert [r["formatted"][a : a + n] for a, n in r["targets"]] == [t.split(C.TEXT)[1] for t in fresh]
 
 
+@pytest.mark.parametrize("block_turns", [None, 8, 256])
+def test_no_window_exceeds_the_budget_beside_a_long_system_turn(spark, block_turns):
+    random.seed(3)
+    rows = [(c, 0, "system", "k" * size) for c, size in enumerate((7200, 6000, 3000, 100, 8100, 9000))]
+    rows += [(c, t, ["assistant", "user"][t % 2], "w" * random.choice([1, 80, 300, 320, 900])) for c in range(6) for t in range(1, 60)]
+    out = C.format_windows(frame(spark, rows), block_turns=block_turns).collect()
+    tokens = lambda x: -(-len((x + C.END).encode()) // 4)
+    seen = {c: [] for c in range(6)}
+    for r in sorted(out, key=lambda r: (r["conv"], r["window"])):
+        turns = r["formatted"].split(C.END)[:-1]
+        assert r["tokens"] == sum(map(tokens, turns)) and turns[0].startswith(C.TURN + "system") and r["window"] == len(seen[r["conv"]])
+        fresh = turns[r["n_repeated"] :]
+        # what came before is repeated, without a gap, in its order
+        history = turns[1 : r["n_repeated"]]
+        assert history == (seen[r["conv"]][-len(history) :] if history else []) and len(history) <= C.HISTORY_TURNS
+        seen[r["conv"]] += fresh
+        new = turns[max(r["n_repeated"], 1) :]
+        assert r["tokens"] <= C.BUDGET or (len(new) == 1 and not history and tokens(turns[0]) + tokens(new[0]) > C.BUDGET)
+    assert all(len(x) == 60 for x in seen.values())
+    assert {r["conv"] for r in out if r["tokens"] > C.BUDGET} <= {4, 5}
+
+
+def test_texts_are_shuffled_once(spark):
+    read = C.read_turns(C.format_windows(frame(spark, conversations()), block_turns=None), whole_parts=True)
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
 def test_an_oversized_turn_stands_alone(spark):
     rows = [(1, 0, "user", "a"), (1, 1, "assistant", "word " * 9000), (1, 2, "user", "b")]
     out = C.format_windows(frame(spark, rows)).collect()
