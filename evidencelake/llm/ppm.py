@@ -6,7 +6,9 @@ the text's tree; where the byte is new there, an escape (method C: as probable a
 number of distinct followers) leads to the next shorter context, without the bytes that
 the longer one has already ruled out, and last to the 256 bytes alike. The statistics are
 frozen after fitting, so a text's code length is a sum over its positions, which numpy
-looks up for a whole batch at once. The language with the shortest code wins.
+looks up for a whole batch at once. Code lengths are counted in whole units of 2**-24 bit, so
+that a sum does not depend on the order or the pieces it is taken in: equal texts have equal
+code lengths, whatever batch they come in. The language with the shortest code wins.
 """
 
 from __future__ import annotations
@@ -26,22 +28,37 @@ from .text import slices, utf8
 ORDER = 3
 MAX_DOCS = 2000
 MAX_GRAMS = 1 << 20
+MAX_LANGS = 1000
+PIECE_BYTES = 1 << 19
+_UNIT = float(1 << 24)
 UNKNOWN = "und"
 _HASH = np.uint32(2654435761)
 
 
-def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _grams(data: np.ndarray, place: np.ndarray) -> np.ndarray:
     """For each byte, itself with the three before it as one number (earlier texts' bytes
-    replaced by zeros), and its position in its own text."""
+    replaced by zeros); ``place`` is its position in its own text."""
     d = data.astype(np.uint32)
-    place = np.arange(len(d)) - np.repeat(offsets[:-1], np.diff(offsets))
     code = d.copy()
     for k in range(1, ORDER + 1):
         part = np.zeros_like(d)
         part[k:] = d[:-k] << np.uint32(8 * k)
         part[place < k] = 0
         code |= part
-    return code, place
+    return code
+
+
+def _pieces(data: np.ndarray, offsets: np.ndarray, most: int = PIECE_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(owner, place, code) of the bytes of all texts, so many bytes at a time. A piece looks
+    back at the bytes before it, so that a long text's grams are those of the whole."""
+    for at in range(0, len(data), most):
+        back, end = max(at - ORDER, 0), min(at + most, len(data))
+        low, high = np.searchsorted(offsets, [back, end], side="right") - 1
+        ends = np.clip(offsets[low : high + 2], back, end)
+        owner = np.repeat(np.arange(low, low + len(ends) - 1), np.diff(ends))
+        place = np.arange(back, end) - offsets[owner]
+        code = _grams(data[back:end], place)
+        yield owner[at - back :], place[at - back :], code[at - back :]
 
 
 class _Index:
@@ -144,37 +161,47 @@ class Model:
         grams = np.unique(np.concatenate([x.levels[ORDER]["key"] for x in self.trees])) if self.trees else np.zeros(0, np.uint32)
         self.index = _Index(grams)
         full = np.full(len(grams), ORDER)
-        self.table = np.stack([x.bits(grams, full) for x in self.trees], axis=1).astype(np.float64) if self.trees else None
+        self.table = np.stack([_units(x.bits(grams, full)) for x in self.trees], axis=1) if self.trees else None
 
     def code_lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Bits for each text (row) under each language (column)."""
-        code, place = _grams(data, offsets)
-        row = self.index.find(code)
-        row[place < ORDER] = -1
-        bits = self.table[row] if len(self.table) else np.zeros((len(code), len(self.langs)))
-        rare = np.flatnonzero(row < 0)
-        for k, tree in enumerate(self.trees):
-            bits[rare, k] = tree.bits(code[rare], place[rare])
-        sums = np.zeros((len(bits) + 1, len(self.langs)))
-        np.cumsum(bits, axis=0, out=sums[1:])
-        return sums[offsets[1:]] - sums[offsets[:-1]]
-
-
-def fit(df: DataFrame, *, text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_DOCS, max_grams: int = MAX_GRAMS) -> Model:
+        """Code length of each text (row) under each language (column), in units of 2**-24 bit."""
+        sums = np.zeros((len(offsets) - 1, len(self.langs)), dtype=np.int64)
+        for owner, place, code in _pieces(data, offsets):
+            row = self.index.find(code)
+            row[place < ORDER] = -1
+            units = self.table[row] if len(self.table) else np.zeros((len(code), len(self.langs)), np.int64)
+            rare = np.flatnonzero(row < 0)
+            for k, tree in enumerate(self.trees):
+                units[rare, k] = _units(tree.bits(code[rare], place[rare]))
+            first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            sums[owner[first]] += np.add.reduceat(units, first, axis=0)
+        return sums
+
+
+def _units(bits: np.ndarray) -> np.ndarray:
+    return np.rint(bits * _UNIT).astype(np.int64)
+
+
+def fit(df: DataFrame, *, text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_DOCS, max_grams: int = MAX_GRAMS, max_langs: int = MAX_LANGS) -> Model:
     """Frozen trees from texts with a language.
 
     Rows whose text or language is null are not learnt from. Fitted on a bounded sample:
     about ``max_docs`` distinct texts of each language, chosen by a hash of the text, all where
-    there are fewer; copies of a text count once. The most frequent of their byte grams go to the driver, ``max_grams``
-    at most over all languages.
+    there are fewer, so that no language is left out; copies of a text count once. The most
+    frequent of their byte grams go to the driver, ``max_grams`` at most over all languages, as
+    many of each. More than ``max_langs`` languages are an error: the column is not one of
+    languages then.
     """
     known = df.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
     coded = known.withColumn("code", F.xxhash64("text", F.lit("ppm")))
-    sizes = {r["lang"]: r["n"] for r in coded.select("lang", "code").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = coded.select("lang", "code").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(max_langs + 1).collect()
+    if len(sizes) > max_langs:
+        raise ValueError(f"more than {max_langs} languages")
     if not sizes:
         return Model({})
-    share = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, max_docs / n))))
-    drawn = coded.where(F.pmod("code", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
+    share = [(r["lang"], int(min(1.0, max_docs / r["n"]) * (1 << 30))) for r in sizes]
+    share = F.broadcast(df.sparkSession.createDataFrame(share, "lang string, share long"))
+    drawn = coded.join(share, "lang").where(F.pmod("code", F.lit(1 << 30)) < F.col("share"))
     sample = drawn.groupBy("lang", "code").agg(F.first("text").alias("text")).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,16 +209,16 @@ def fit(df: DataFrame, *, text_col: str = "text", lang_col: str = "lang", max_do
             langs = batch.column("lang").to_pylist()
             for lang in set(langs):
                 data, offsets = utf8(pc.filter(batch.column("text"), pa.array([x == lang for x in langs])))
-                code, place = _grams(data, offsets)
-                key, n = np.unique(code[place >= ORDER], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key), pa.string()), pa.array(key.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
+                for _, place, code in _pieces(data, offsets):
+                    key, n = np.unique(code[place >= ORDER], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key), pa.string()), pa.array(key.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
     counted = stage(sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     found: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     rows = _most_frequent(counted, max_grams // len(sizes)).toArrow()
     langs = np.asarray(rows["lang"].to_pylist(), dtype=object)
     gram, n = np.asarray(rows["gram"]).astype(np.uint32), np.asarray(rows["n"]).astype(float)
-    for lang in sizes:
+    for lang in sorted(r["lang"] for r in sizes):
         own = langs == lang
         if own.any():
             order = np.argsort(gram[own])
@@ -205,31 +232,28 @@ def _most_frequent(counted: DataFrame, most: int) -> DataFrame:
     sizes: dict[str, list[tuple[int, int]]] = {}
     for r in counted.groupBy("lang", F.least("n", F.lit(4096)).alias("n")).agg(F.count(F.lit(1)).alias("grams")).collect():
         sizes.setdefault(r["lang"], []).append((r["n"], r["grams"]))
-    limits = {}
+    limits = []
     for lang, pairs in sizes.items():
-        total = limits[lang] = 0
+        total = limit = 0
         for n, grams in sorted(pairs, reverse=True):
             total += grams
             if total > most:
-                limits[lang] = n
+                limit = n
                 break
-    if not any(limits.values()):
-        return counted
-    return counted.where(F.col("n") > F.create_map(*(F.lit(x) for item in limits.items() for x in item))[F.col("lang")])
-
-
-def has_letter(text: str | None) -> bool:
-    """Whether a text has a letter, as ``\\p{L}`` has it."""
-    return any(map(str.isalpha, text)) if text else False
+        limits.append((lang, limit))
+    limits = F.broadcast(counted.sparkSession.createDataFrame(limits, "lang string, above long"))
+    return counted.join(limits, "lang").where("n > above").select("lang", "gram", "n")
 
 
 def predict(df: DataFrame, model: Model, *, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "lang_score") -> DataFrame:
-    """``df`` with each text's language and the posterior probability of it.
+    """``df`` with each text's language and the posterior probability of it, in place of any
+    columns of the new names.
 
     ``und`` with score 0 where the text is null or has no letter, or where no language was
     learnt. Equal code lengths go to the first language by name. The posterior takes the
     code lengths as negative logarithms of likelihoods and all languages as equally likely.
-    No shuffle; the model's size is bounded by its fit and it is broadcast.
+    Long texts are gone through in pieces, which add up to the same code length. No shuffle;
+    the model's size is bounded by its fit and it is broadcast.
     """
     sent = df.sparkSession.sparkContext.broadcast(model)
     new = [lang_col, score_col]
@@ -240,12 +264,12 @@ def predict(df: DataFrame, model: Model, *, text_col: str = "text", lang_col: st
         model = sent.value
         for batch in slices(batches, text_col):
             data, offsets = utf8(batch.column(text_col))
-            letters = np.array([has_letter(x) for x in batch.column(text_col).to_pylist()], dtype=bool)
+            letters = np.asarray(pc.fill_null(pc.match_substring_regex(batch.column(text_col), r"\pL"), False))
             langs, score = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
             if model.langs:
-                bits = model.code_lengths(data, offsets)
-                best = bits.argmin(axis=1)
-                sure = 1 / np.exp2(np.maximum(bits.min(axis=1)[:, None] - bits, -1000)).sum(axis=1)
+                length = model.code_lengths(data, offsets)
+                best = length.argmin(axis=1)
+                sure = 1 / np.exp2(np.maximum((length.min(axis=1)[:, None] - length) / _UNIT, -1000)).sum(axis=1)
                 langs = [model.langs[k] if ok else UNKNOWN for k, ok in zip(best, letters, strict=True)]
                 score = np.where(letters, sure, 0.0)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(langs, pa.string()), pa.array(score)], names=[*kept, *new])

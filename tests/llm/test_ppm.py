@@ -1,8 +1,11 @@
 import math
+import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from evidencelake.llm import ppm
 from evidencelake.llm.text import utf8
@@ -46,12 +49,12 @@ def test_code_lengths_equal_the_definition():
     arrays = {}
     for lang, texts in training.items():
         data, offsets = utf8(pa.array(texts))
-        code, place = ppm._grams(data, offsets)
+        ((_, place, code),) = ppm._pieces(data, offsets)
         key, n = np.unique(code[place >= ppm.ORDER], return_counts=True)
         arrays[lang] = (key, n.astype(float))
     model = ppm.Model(arrays)
     texts = ["the cat", "der hund", "xyz 漢", "", "t", "ü", "the the über zz"]
-    got = model.code_lengths(*utf8(pa.array(texts)))
+    got = model.code_lengths(*utf8(pa.array(texts))) / ppm._UNIT
     for k, lang in enumerate(model.langs):
         counts = plain_counts(training[lang])
         assert np.allclose(got[:, k], [plain_bits(counts, t) for t in texts], atol=1e-6)
@@ -87,3 +90,51 @@ def test_a_language_of_copies_is_sampled_by_distinct_texts(spark):
     assert model.langs == ["de", "en", "es", "fr", "it"]
     once = ppm.fit(spark.createDataFrame([(text, lang) for lang, text in texts], "text string, lang string"), max_docs=2)
     assert [x.levels[ppm.ORDER]["n"].tolist() for x in model.trees] == [x.levels[ppm.ORDER]["n"].tolist() for x in once.trees]
+
+
+def small_model():
+    arrays = {}
+    for lang, text in {"aa": "the cat sat on the mat and the hat", "bb": "der hund und die katze über den hügel"}.items():
+        ((_, place, code),) = ppm._pieces(*utf8(pa.array([text])))
+        key, n = np.unique(code[place >= ppm.ORDER], return_counts=True)
+        arrays[lang] = (key, n.astype(float))
+    return ppm.Model(arrays)
+
+
+def test_equal_texts_have_equal_scores_in_any_batch_and_piece(monkeypatch):
+    random.seed(8)
+    texts = ["".join(random.choice("abcdehtü ß漢") for _ in range(random.choice([0, 1, 3, 40, 900]))) for _ in range(200)]
+    model = small_model()
+    whole = model.code_lengths(*utf8(pa.array(texts)))
+    order = random.sample(range(len(texts)), len(texts))
+    assert (model.code_lengths(*utf8(pa.array([texts[k] for k in order]))) == whole[order]).all()
+    for most in (1, 7, 1000):
+        monkeypatch.setattr(ppm._pieces, "__defaults__", (most,))
+        assert (model.code_lengths(*utf8(pa.array(texts))) == whole).all()
+
+
+def test_one_table_in_two_orders(spark):
+    model, rows = small_model(), [(k, "the cat and der hund %d " % k * (k % 50)) for k in range(300)]
+    scores = []
+    for own in (rows, rows[::-1]):
+        out = ppm.predict(spark.createDataFrame(own, "doc_id long, text string").coalesce(1), model).collect()
+        scores.append({r["doc_id"]: (r["lang_pred"], r["lang_score"]) for r in out})
+    assert scores[0] == scores[1]
+
+
+def test_a_long_text_takes_little_memory():
+    model, text = small_model(), pa.array(["the hund über the mat " * (64 << 20 >> 4)])[0:1]
+    data, offsets = utf8(text)
+    assert len(data) > 64 << 20
+    tracemalloc.start()
+    model.code_lengths(data, offsets)
+    assert tracemalloc.get_traced_memory()[1] < 256 << 20
+    tracemalloc.stop()
+
+
+def test_a_repeated_text_is_a_language_and_too_many_are_an_error(spark):
+    rows = [("der stein über dem wasser %d" % k, "de") for k in range(50)] + [("one text of many copies", "xx")] * 9000
+    assert ppm.fit(spark.createDataFrame(rows, "text string, lang string"), max_docs=20).langs == ["de", "xx"]
+    dirty = spark.createDataFrame([(f"text {k}", f"l{k}") for k in range(30)], "text string, lang string")
+    with pytest.raises(ValueError, match="more than 20 languages"):
+        ppm.fit(dirty, max_langs=20)
