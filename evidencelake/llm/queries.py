@@ -104,7 +104,7 @@ def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "n_links")
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,14 @@
+import pathlib
 import random
 import re
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from evidencelake.llm import jaccard_join
+from evidencelake.llm import text as X
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -81,8 +84,9 @@ def test_odd_rows(spark, odd, empty):
     got = defaultdict(set)
     for r in rows:
         got[r["doc_id"]].add((r["class_id"], r["n_links"]))
-    assert got[100] == {(100, 0)} and got[101] == {(101, 0)} and got[102] == {(102, 0)} and got[None] == {(None, None)}
+    assert got[100] == {(100, 0)} and got[101] == {(101, 0)} and got[102] == {(102, 0)} and got[None] == {(None, 0)}
     assert got[105] == {(105, 2)} and got[106] == {(105, 2)}
+    assert [r["first"] for r in rows if r["doc_id"] in (105, 106)].count(True) == 2
     assert jaccard_join.near_duplicates(empty).count() == 0
 
 
@@ -91,3 +95,51 @@ def test_components_of_a_long_chain(spark):
     got = {r["id"]: r["group"] for r in jaccard_join.connected_components(edges).collect()}
     assert all(got[k] == 0 for k in range(1, 61)) and got[101] == 100
     assert jaccard_join.connected_components(edges.where(F.lit(False))).count() == 0
+
+
+def thue_morse(n):
+    bits = "a"
+    while len(bits) < n:
+        bits += bits.translate(str.maketrans("ab", "ba"))
+    return bits
+
+
+def test_structured_words_do_not_collide(spark):
+    """A hash that is a polynomial in the bytes, modulo a power of two, is the same for these."""
+    texts = [x for k in range(8, 17) for x in (thue_morse(1 << k), thue_morse(1 << k).translate(str.maketrans("ab", "ba")))]
+    rows = jaccard_join.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in rows) == [(k, k, 0) for k in range(len(texts))]
+    data, offsets = X.utf8(pa.array([" ".join(texts)]))
+    w = X.words(data, offsets)
+    one, two = X.hashes(data, w), X.hashes(data, w, 7)
+    assert len(set(one.tolist()) | set(two.tolist())) == 2 * len(texts)
+
+
+def test_null_ids_and_texts_that_share_an_id(spark):
+    words = [f"w{k}" for k in range(60)]
+    near = [" ".join([*words[:k], "x", *words[k + 1 :]]) for k in (5, 20, 40)]
+    other = " ".join(f"v{k}" for k in range(60))
+    rows = [(None, near[0]), (None, near[1]), (7, " ".join(words)), (7, other), (9, other.replace("v30", "y")), (None, other + " end"), (None, "alone is this text of null id")]
+    rows += [(None, "u1 u2 u3 u4 u5 " * 3 + f"u{k}") for k in (5, 5)] + [(None, "t " * 30), (None, "t " * 31)]
+    out = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    by_text = {}
+    for r in out:
+        by_text.setdefault(r["text_hash"], []).append((r["doc_id"], r["class_id"], r["n_links"], r["first"]))
+    hashes = {t: h for t, h in spark.createDataFrame(sorted({(t,) for _, t in rows}), "t string").select("t", F.xxhash64("t")).collect()}
+    got = {t: by_text[h] for t, h in hashes.items()}
+    assert got[near[0]] == [(None, 7, 1, False)] and got[" ".join(words)] == [(7, 7, 2, True)]
+    assert got[other] == [(7, 7, 2, True)] and got[other.replace("v30", "y")] == [(9, 7, 2, False)]
+    assert got["alone is this text of null id"] == [(None, None, 0, True)]
+    assert sum(r[3] for x in ("t " * 30, "t " * 31) for r in got[x]) == 1
+
+
+def test_staged_tables_are_deleted(spark, tmp_path):
+    from evidencelake.llm.storage import drop
+    from evidencelake.sources.stage import shared_dir
+
+    folder = pathlib.Path(shared_dir(spark).removeprefix("file:")) / "staged" / spark.sparkContext.applicationId
+    before = set(folder.glob("*"))
+    out = jaccard_join.near_duplicates(spark.createDataFrame(corpus(40), "doc_id long, text string"))
+    assert len(set(folder.glob("*")) - before) == 1
+    drop(out)
+    assert set(folder.glob("*")) == before
