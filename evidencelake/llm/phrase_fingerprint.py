@@ -11,19 +11,18 @@ of all phrases of at least ``MIN_BYTES`` bytes, and of the whole text's.
 
 from __future__ import annotations
 
-import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import SLICE_BYTES, mix64, slices, utf8
 
 MIN_BYTES = 8
 SKETCH = 64
-ROWS_A_RANGE = 5000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BYTE_NAMES = mix64(np.arange(1, 257, dtype=np.uint64) * _STEP)
 
@@ -148,8 +147,8 @@ def as_hex(sketch: np.ndarray) -> str:
 
 
 def fingerprint(df: DataFrame, *, text_col: str = "text", fingerprint_col: str = "fingerprint") -> DataFrame:
-    """``df`` with the fingerprint of each text: its sketch, eight hex digits a hash. Null and
-    empty texts have an empty fingerprint. No shuffle."""
+    """``df`` with the fingerprint of each text: its sketch, eight hex digits a hash, in place of
+    a column of that name. Null and empty texts have an empty fingerprint. No shuffle."""
     kept = [c for c in df.columns if c != fingerprint_col]
     schema = df.select(*(f"`{c}`" for c in kept)).schema.add(fingerprint_col, "string", False)
 
@@ -161,46 +160,67 @@ def fingerprint(df: DataFrame, *, text_col: str = "text", fingerprint_col: str =
     return df.select(*(f"`{c}`" for c in dict.fromkeys([*kept, text_col]))).mapInArrow(run, schema)
 
 
-def _ranges(df: DataFrame, rows_a_range: int) -> DataFrame:
-    """(id, text, part, ghost): rows dealt to ranges of descending ids. The row that follows
-    a range, the first row of the next one (after the last: of the first), comes with it
-    too, as its ghost."""
-    ids = df.select("id")
-    n, least = ids.agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).first()
-    cuts, parts = [], 1
-    if n > rows_a_range and least is not None:
-        coarse = min(256, -(-n // rows_a_range))
-        parts = max(1, round(n / rows_a_range / coarse))
-        cuts = ids.select(F.percentile_approx("id", [k / coarse for k in range(coarse + 1)], 100_000)).first()[0]
-        cuts = sorted(set(cuts))
-    low = F.array(*map(F.lit, cuts)) if cuts else None
-    part = F.lit(0)
-    if cuts:
-        # the quantile range of the id, then an equal part of it
-        k = F.greatest(F.size(F.filter(low, lambda x: x <= F.col("id"))), F.lit(1))
-        start = F.element_at(low, k)
-        end = F.coalesce(F.get(low, k), start + 1)
-        fine = F.least(F.floor((F.col("id") - start).cast("double") * parts / (end - start).cast("double")).cast("int"), F.lit(parts - 1))
-        part = F.when(F.col("id").isNull(), 0).otherwise(k * parts + F.greatest(fine, F.lit(0))).cast("int")
-    dealt = df.withColumn("part", part)
-    heads = [(r["part"], r["head"]) for r in dealt.groupBy("part").agg(F.max("id").alias("head")).orderBy(F.desc("part")).collect()]
-    ghosts = [(head, heads[k - 1][0]) for k, (_, head) in enumerate(heads)]
-    ghosts = df.sparkSession.createDataFrame(ghosts, "head long, before int")
-    dealt = dealt.join(F.broadcast(ghosts), F.col("id").eqNullSafe(F.col("head")), "left")
-    return dealt.select("id", "text", F.explode(F.filter(F.array(F.struct("part", F.lit(False).alias("ghost")), F.struct(F.col("before").alias("part"), F.lit(True).alias("ghost"))), lambda x: x["part"].isNotNull())).alias("p")).select("id", "text", "p.*")
-
-
-def compare_with_edits(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
+def _starts(rows: DataFrame, ranges: int, seed: int = 3, sampled: int = 100) -> list[tuple]:
+    """Keys (none, back, code) at which about equal amounts of text start, ascending: the least
+    of all, then keys from a sample of some ``sampled`` rows a range. Only these go to the driver."""
+    n, least = rows.agg(F.count(F.lit(1)), F.min("key")).first()
+    if not n:
+        return []
+    drawn = rows.select("key", F.octet_length("text").alias("bytes")).sample(fraction=min(1.0, sampled * ranges / n), seed=seed)
+    drawn = sorted((_plain(r["key"]), r["bytes"] + 64) for r in drawn.collect())
+    total, upto, starts = sum(size for _, size in drawn), 0, [_plain(least)]
+    for key, size in drawn:
+        if upto * ranges >= total * len(starts) and key > starts[-1]:
+            starts.append(key)
+        upto += size
+    return starts
+
+
+def _plain(key) -> tuple:
+    return key["none"], key["back"] or 0, key["code"]
+
+
+def _dealt(df: DataFrame, ranges: int) -> DataFrame:
+    """(text, key, id, part, ghost) of (id, text): rows dealt to ranges in the order in which
+    documents follow each other: descending ids (null last), then a hash of the text.
+
+    A range starts at the key of a row, so a row sees by its own key that it is a range's first
+    one. It then also goes to the range before (from the first range to the last) as the ghost
+    that follows that range: one boundary row for each range, found without a join.
+    """
+    key = F.struct(F.col("id").isNull().alias("none"), F.coalesce(F.bitwise_not("id"), F.lit(0)).alias("back"), F.xxhash64("text").alias("code"))
+    rows = df.withColumn("key", key)
+    starts = _starts(rows, ranges)
+    n = max(len(starts), 1)
+    known = F.from_json(F.lit(json.dumps([dict(zip(("none", "back", "code"), x, strict=True)) for x in starts])), "array<struct<none:boolean,back:bigint,code:bigint>>")
+    bits = (n - 1).bit_length()
+
+    def halve(low: Column, step: Column) -> Column:
+        return F.when((low + step < n) & (F.get(known, low + step) <= F.col("key")), low + step).otherwise(low)
+
+    # the last start that is not behind the row's key, by halving
+    part = F.aggregate(F.array(*(F.lit(1 << k) for k in reversed(range(bits)))), F.lit(0), halve) if bits else F.lit(0)
+    rows = rows.withColumn("part", part)
+    own = F.struct("part", F.lit(False).alias("ghost"))
+    before = F.when(F.col("key") == F.get(known, F.col("part")), F.struct(F.pmod(F.col("part") - 1, F.lit(n)).alias("part"), F.lit(True).alias("ghost")))
+    places = F.filter(F.array(own, before), lambda x: x.isNotNull())
+    dealt = rows.select("id", "text", "key", F.explode(places).alias("p")).select("id", "text", "key", "p.*")
+    return dealt.repartitionById(n, "part").sortWithinPartitions("part", "ghost", "key", "text")
+
+
+def compare_with_edits(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
     """Fingerprint of each text and of its edit, and how alike they and the next text's are.
 
-    Documents follow each other by descending id (null ids last, equal ids by text), and
-    after the last comes the first. In the edit, the last half of the code points (rounded
-    down) is replaced by the first as many of the next document. One shuffle, by ranges of
-    ids; what crosses a border between ranges is one row for each. Columns: the id, n_chars,
+    Documents follow each other by descending id (null ids last; equal ids by a hash of the
+    text), and after the last comes the first. In the edit, the last half of the code points
+    (rounded down) is replaced by the first as many of the next document. One shuffle, by
+    ``ranges`` ranges of ids (as many as there are shuffle partitions), which a task goes through in
+    pieces; what crosses a border between ranges is one row for each. Rows that are equal in id
+    and text stay in one range, all others can be in several. Columns: the id, n_chars,
     edited (text), fingerprint, edited_fingerprint, near_edited, near_next.
     """
     own = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    dealt = _ranges(own, rows_a_range).repartition("part").sortWithinPartitions(F.desc("part"), "ghost", F.desc("id"), "text")
+    dealt = _dealt(own, ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))).select("id", "text", "part", "ghost")
 
     def finish(ids: list, texts: list[str]) -> pa.RecordBatch:
         """All but the last of the texts, which is that which follows."""

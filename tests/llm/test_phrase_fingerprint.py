@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from evidencelake.llm import phrase_fingerprint as P
 from evidencelake.llm.text import utf8
@@ -49,14 +50,15 @@ def test_likeness():
     assert P.likeness(a, b) == 0.5
 
 
-@pytest.mark.parametrize("rows_a_range", [7, 1000])
-def test_edits_follow_descending_ids(spark, odd, rows_a_range):
-    rows = sorted(((r["doc_id"], r["text"] or "") for r in odd.collect()), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+@pytest.mark.parametrize("ranges", [1, 7, 100, None])
+def test_edits_follow_descending_ids(spark, odd, ranges):
+    coded = odd.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).select("doc_id", "t", F.xxhash64("t").alias("code")).collect()
+    rows = [(r["doc_id"], r["t"]) for r in sorted(coded, key=lambda r: (r["doc_id"] is None, -(r["doc_id"] or 0), r["code"]))]
     wanted = []
     for k, (key, text) in enumerate(rows):
         after, half = rows[(k + 1) % len(rows)][1], len(text) // 2
         wanted.append((key, len(text), hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest()))
-    out = P.compare_with_edits(odd, rows_a_range=rows_a_range).collect()
+    out = P.compare_with_edits(odd, ranges=ranges).collect()
     got = [(r["doc_id"], r["n_chars"], hashlib.sha256(r["edited"].encode()).hexdigest()) for r in out]
     assert sorted(map(str, got)) == sorted(map(str, wanted))
     assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in out)
@@ -78,3 +80,73 @@ def test_edited_texts_are_nearer_than_next_ones(spark):
 
     out = queries.op10_phrase_fingerprint(spark, "/root/testdata/sf0.001").where("n_chars > 200").collect()
     assert np.mean([r["near_edited"] for r in out]) > 0.4 > 0.05 > np.mean([r["near_next"] for r in out])
+
+
+def plain_names(text):
+    """The parse by its definition, symbol by symbol."""
+    symbols = [(int(P._BYTE_NAMES[b]), 1, b) for b in text.encode()]
+    found, level = set(), 0
+    while symbols:
+        runs = []
+        for name, size, label in symbols:
+            if runs and runs[-1][0] == name:
+                runs[-1][1] += size
+                runs[-1][3] += 1
+            else:
+                runs.append([name, size, label, 1])
+        named = [(mix(name + times * STEP) if times > 1 else name, size, label) for name, size, label, times in runs]
+        labels = [x[2] if level == 0 else x[0] for x in named]
+        for _ in range(3 if level == 0 else 4):
+            labels = toss(labels)
+        starts = [k for k in range(len(labels)) if k == 0 or 0 < k < len(labels) - 1 and labels[k - 1] < labels[k] > labels[k + 1]]
+        symbols = []
+        for a, b in zip(starts, [*starts[1:], len(named)], strict=True):
+            total = sum(mix(named[a + k][0] + (k + 1) * STEP) for k in range(b - a))
+            symbols.append((mix(total), sum(x[1] for x in named[a:b]), None))
+        found |= {name for name, size, _ in symbols if size >= P.MIN_BYTES or len(symbols) == 1}
+        if len(symbols) == 1:
+            break
+        level += 1
+    return found
+
+
+STEP, ALL = 0x9E3779B97F4A7C15, (1 << 64) - 1
+
+
+def mix(x):
+    x &= ALL
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x = ((x ^ (x >> 33)) * factor) & ALL
+    return x ^ (x >> 33)
+
+
+def toss(labels):
+    out = []
+    for k, x in enumerate(labels):
+        differ = x ^ labels[k - 1] if k else 1
+        low = (differ & -differ).bit_length() - 1 if differ else 0
+        out.append(2 * low + ((x >> low) & 1))
+    return out
+
+
+def test_parse_equals_the_definition():
+    random.seed(11)
+    texts = ["a", "ab", "aaaa", "abababab" * 5, "été 漢字 " * 9, "".join(random.choice("ab") for _ in range(300)), "".join(random.choice("abcdefgh ij") for _ in range(2000)), "x" * 900 + "y" * 40 + "z"]
+    for text, got in zip(texts, names(texts), strict=True):
+        assert got == plain_names(text), text[:20]
+
+
+def test_fingerprint_is_the_least_hashes_of_the_names(spark):
+    texts = ["the water and the stone " * 30, "été 漢字 " * 9, "short"]
+    rows = P.fingerprint(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    for r in rows:
+        wanted = sorted({mix(x ^ 0x5851F42D4C957F2D) >> 32 for x in plain_names(r["text"])})[: P.SKETCH]
+        assert r["fingerprint"] == "".join(f"{x:08x}" for x in wanted)
+
+
+def test_a_hot_id_is_dealt_to_several_ranges(spark):
+    rows = spark.createDataFrame([(5, f"text number {k}") for k in range(400)] + [(None, f"other {k}") for k in range(400)], "id long, text string")
+    dealt = P._dealt(rows, 20)
+    sizes = [r["count"] for r in dealt.where("not ghost").groupBy("part").count().collect()]
+    assert sum(sizes) == 800 and len(sizes) > 15 and max(sizes) < 120
+    assert dealt.where("ghost").count() == len(sizes)
