@@ -21,10 +21,12 @@ _CELL_DIGITS = 3
 
 def share_out(budget: int, weights: Sequence[float], limits: Sequence[int]) -> list[int]:
     """Whole parts of ``budget`` in proportion to ``weights``, none above its limit; what the
-    limits leave over goes to the others. All of it is given out if the limits allow."""
+    limits leave over goes to the others. All of it is given out if the limits allow, but
+    nothing to a branch of weight 0."""
+    limits = [m if w > 0 else 0 for w, m in zip(weights, limits, strict=True)]
     budget = min(budget, sum(limits))
     given = [0] * len(weights)
-    open_ = {k for k, (w, m) in enumerate(zip(weights, limits, strict=True)) if m > 0 and w > 0}
+    open_ = {k for k, m in enumerate(limits) if m > 0}
     rest = budget
     while open_:
         total = sum(weights[k] for k in open_)
@@ -37,22 +39,21 @@ def share_out(budget: int, weights: Sequence[float], limits: Sequence[int]) -> l
             given[k] = limits[k]
         rest -= sum(limits[k] for k in full)
         open_ -= full
+    # the few tokens that rounding left over, in order: one each, then as they fit
     over = budget - sum(given)
-    # tokens that rounding left, then branches of weight 0, in order
-    for k in sorted(range(len(given)), key=lambda k: (weights[k] <= 0, k)):
-        extra = min(over, limits[k] - given[k], over if weights[k] <= 0 or over > len(given) else 1)
-        given[k] += extra
-        over -= extra
-    for k in range(len(given)):
-        extra = min(over, limits[k] - given[k])
-        given[k] += extra
-        over -= extra
+    for most in (1, over):
+        for k in range(len(given)):
+            extra = min(over, limits[k] - given[k], most)
+            given[k] += extra
+            over -= extra
     return given
 
 
 def leaf_budgets(budget: int, capacity: Mapping[tuple, int], weights: Mapping[tuple, float]) -> dict[tuple, int]:
     """Tokens for each leaf. ``capacity``: tokens that each leaf (a path from the root) can
-    give; ``weights``: of any path, 1 where none is named."""
+    give; ``weights``: of any path, 1 where none is named. What is below a path of weight 0
+    gives nothing and does not count as capacity of the branches above it."""
+    capacity = {k: 0 if any(weights.get(k[:n], 1.0) <= 0 for n in range(1, len(k) + 1)) else v for k, v in capacity.items()}
 
     def down(path: tuple, leaves: list[tuple], budget: int) -> None:
         if leaves == [path]:
@@ -72,13 +73,25 @@ def leaf_budgets(budget: int, capacity: Mapping[tuple, int], weights: Mapping[tu
     return found
 
 
-def mix(df: DataFrame, levels: Mapping[str, Column], tokens: Column, weights: Mapping[tuple, float], *, budget: int | None = None, share: float | None = None, max_epochs: int = 1, seed: int = 0, id_col: str = "doc_id") -> DataFrame:
+def mix(
+    df: DataFrame,
+    levels: Mapping[str, Column],
+    tokens: Column,
+    weights: Mapping[tuple, float],
+    *,
+    budget: int | None = None,
+    share: float | None = None,
+    max_epochs: int = 1,
+    seed: int = 0,
+    id_col: str = "doc_id",
+) -> DataFrame:
     """The rows of ``df`` that the mix takes, once for each epoch that takes them, with a
     column ``mix_epoch`` (from 0) in place of any column of that name.
 
     ``levels`` are the tree's levels from the root down (nulls are a branch named 'null');
     ``tokens`` is a row's size (null counts as 0); the budget is given in tokens or as a
-    share of all tokens. A leaf gives at most ``max_epochs`` times its tokens. In an epoch
+    share of all tokens. A leaf gives at most ``max_epochs`` times its tokens, one of weight 0
+    (its own or that of a branch above) nothing. In an epoch
     rows come in the order of md5(seed|epoch|id), then id and a hash of the row; a row is
     taken where the rows before it stay below the leaf's remaining budget, so a leaf
     exceeds it by less than one row. An empty table or budget gives no rows.

@@ -13,13 +13,14 @@ def test_share_out():
     assert mixing.share_out(100, [3, 1], [1000, 1000]) == [75, 25]
     assert mixing.share_out(100, [1, 1, 2], [10, 1000, 1000]) == [10, 30, 60]
     assert mixing.share_out(100, [1, 1], [20, 30]) == [20, 30]
-    assert mixing.share_out(10, [0, 1], [100, 4]) == [6, 4]
+    assert mixing.share_out(10, [0, 1], [100, 4]) == [0, 4]
     random.seed(2)
     for _ in range(300):
         n = random.randint(1, 6)
         limits, weights, budget = [random.randint(0, 40) for _ in range(n)], [random.choice([0, 1, 2.5]) for _ in range(n)], random.randint(0, 200)
         got = mixing.share_out(budget, weights, limits)
-        assert sum(got) == min(budget, sum(limits)) and all(0 <= g <= m for g, m in zip(got, limits, strict=True))
+        assert sum(got) == min(budget, sum(m for m, w in zip(limits, weights, strict=True) if w)) and all(0 <= g <= m for g, m in zip(got, limits, strict=True))
+        assert not any(g for g, w in zip(got, weights, strict=True) if not w)
 
 
 def test_shortage_goes_to_siblings_before_ancestors():
@@ -27,6 +28,9 @@ def test_shortage_goes_to_siblings_before_ancestors():
     assert mixing.leaf_budgets(100, capacity, {}) == {("a", "x"): 10, ("a", "y"): 40, ("b", "z"): 50}
     assert mixing.leaf_budgets(180, capacity, {}) == {("a", "x"): 10, ("a", "y"): 80, ("b", "z"): 90}
     assert mixing.leaf_budgets(50, {}, {}) == {}
+    # what is below a weight of 0 is no capacity: the shortage goes to the others
+    assert mixing.leaf_budgets(150, capacity, {("a", "y"): 0}) == {("a", "x"): 10, ("a", "y"): 0, ("b", "z"): 100}
+    assert mixing.leaf_budgets(150, capacity, {("a",): 0}) == {("a", "x"): 0, ("a", "y"): 0, ("b", "z"): 100}
 
 
 def plain(rows, given, seed):
@@ -71,3 +75,11 @@ def test_odd_rows(spark, odd, empty):
     assert every.count() == odd.count()
     assert mixing.mix(empty, levels, F.lit(1), {}, share=0.5).count() == 0
     assert mixing.mix(odd, levels, F.lit(1), {}, budget=0).count() == 0
+
+
+def test_a_branch_of_weight_zero_gives_nothing(spark):
+    rows = [(k, "ab"[k % 2], 10) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, tokens long")
+    out = mixing.mix(df, {"source": F.col("source")}, F.col("tokens"), {("a",): 1.0, ("b",): 0.0}, share=0.8)
+    got = out.groupBy("source").count().collect()
+    assert [(r["source"], r["count"]) for r in got] == [("a", 20)]
