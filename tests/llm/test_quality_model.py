@@ -1,4 +1,7 @@
+import random
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from evidencelake.llm import quality_model, queries
@@ -23,8 +26,6 @@ def test_random_features_approximate_the_gaussian_kernel():
 
 
 def test_statistics_of_empty_texts_are_zero_and_equal_texts_agree():
-    import pyarrow as pa
-
     x = quality_model.statistics(pa.array(["", None, " \n", "Some words, HERE!!", "zz", "Some words, HERE!!"]))
     assert (x[:2] == 0).all() and np.isfinite(x).all() and (x[3] == x[5]).all()
 
@@ -48,3 +49,35 @@ def test_held_out_accuracy(spark):
     out = queries.op2_quality_classifier(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").collect()
     assert len(out) > 50
     assert sum(r["predicted"] == r["quality"] for r in out) >= 0.95 * len(out)
+
+
+def test_weights_equal_a_dense_ridge_fit(spark):
+    """The sums over partitions against one matrix of all rows that the fit keeps."""
+    random.seed(1)
+    words = "the of and reading water river stone light under over again never bright cold".split()
+    texts = [" ".join(random.choice(words) for _ in range(random.randint(5, 60))) + random.choice([".", "!!! ***", " ABC 12"]) for _ in range(300)]
+    rows = [(k, t, float("***" in t or k % 11 == 0)) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label double")
+    model = quality_model.fit(df.select("doc_id", "text"), df.select("doc_id", "label"), features=32)
+    fold = {r["doc_id"]: r["f"] for r in df.select("doc_id", (F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("fold")), F.lit(4)) == 0).alias("f")).collect()}
+    x, y = quality_model.statistics(pa.array(texts)), np.array([r[2] for r in rows])
+    assert np.allclose(model.mean, x.mean(axis=0)) and np.allclose(model.scale, np.maximum(x.std(axis=0), 1e-6))
+    own = np.array([not fold[k] for k in range(len(rows))])
+    z = model.features(x[own])
+    penalty = quality_model.RIDGE * own.sum() * np.eye(z.shape[1])
+    penalty[-1, -1] = 1e-9
+    assert np.allclose(model.weights, np.linalg.solve(z.T @ z + penalty, z.T @ y[own]), atol=1e-6)
+
+
+def test_byte_entropy_tells_all_bytes_apart():
+    k = quality_model.STATISTICS.index("byte_entropy")
+    assert np.allclose(quality_model.statistics(pa.array(["a!", "ab", "aa", "", None, "abcd" * 9]))[:, k], [1, 1, 0, 0, 0, 2])
+
+
+def test_scores_rank_texts_inside_a_step():
+    d = len(quality_model.STATISTICS)
+    rng = np.random.default_rng(0)
+    model = quality_model.Model(np.zeros(d), np.ones(d), rng.normal(size=(d, 8)), rng.uniform(size=8), rng.normal(size=9), np.array([-9.0, 9.0]), np.array([0.7, 0.7]))
+    x = rng.normal(size=(200, d))
+    raw, score = model.features(x) @ model.weights, model.score(x)
+    assert (np.argsort(raw, kind="stable") == np.argsort(score, kind="stable")).all() and ((score > 0.69) & (score < 0.71)).all()
