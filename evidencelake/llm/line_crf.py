@@ -95,9 +95,12 @@ class Parsed:
         """One row of ``LINE_FEATURES`` for each line with a word."""
         size = np.maximum(self.line_end - self.line_start, 1)
 
-        def share(test: np.ndarray) -> np.ndarray:
+        def count(test: np.ndarray) -> np.ndarray:
             total = np.concatenate(([0], np.cumsum(test)))
-            return (total[self.line_end] - total[self.line_start]) / size
+            return total[self.line_end] - total[self.line_start]
+
+        def share(test: np.ndarray) -> np.ndarray:
+            return count(test) / size
 
         d = self.data
         again = np.zeros(len(self.words), dtype=bool)
@@ -105,7 +108,7 @@ class Parsed:
         total = np.concatenate(([0], np.cumsum(again)))
         repeats = (total[self.line_first + self.line_words] - total[self.line_first]) / self.line_words
         return np.stack([
-            np.ones(len(size)), share(_SYMBOLS[d] & (d != ord("|"))), share(d == ord("|")), share((d >= 65) & (d <= 90)), share((d >= 48) & (d <= 57)), share(d == ord("!")),
+            np.ones(len(size)), share(_SYMBOLS[d] & (d != ord("|"))), np.minimum(count(d == ord("|")) / self.line_words, 1), share((d >= 65) & (d <= 90)), share((d >= 48) & (d <= 57)), share(d == ord("!")),
             repeats, self.duplicate.astype(float), (self.line_words < 4).astype(float), np.minimum(size / self.line_words / 20, 3),
         ], axis=1)
 
@@ -198,8 +201,13 @@ def fit(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: s
         return DEFAULT
     x, label = np.array(found["x"].tolist()), found["y"].to_numpy()
     first = np.append(True, found["id"].to_numpy()[1:] != found["id"].to_numpy()[:-1]) | (found["place"].to_numpy() == 0)
+    return learn(x, label, first, steps)
+
+
+def learn(x: np.ndarray, label: np.ndarray, first: np.ndarray, steps: int = 60) -> Field:
+    """The field for line features ``x``, the labels of the lines' texts and the first lines."""
     prose = np.median(x[label == 1], axis=0) if (label == 1).any() else np.zeros(x.shape[1])
-    odd = ((x[:, 1] > 0.05) | (x[:, 2] > 0.02) | (x[:, 3] > prose[3] + 0.25) | (x[:, 5] > 0.03) | (x[:, 6] > 0.2) | (x[:, 7] > 0)).astype(float)
+    odd = ((x[:, 1] > 0.05) | (x[:, 2] > 0.1) | (x[:, 3] > prose[3] + 0.25) | (x[:, 5] > 0.03) | (x[:, 6] > 0.2) | (x[:, 7] > 0)).astype(float)
     y = np.where(label == 1, 1.0, 1 - odd)
     field = Field(DEFAULT.emission.copy(), DEFAULT.stay, DEFAULT.start)
     squares = [np.zeros(x.shape[1]), 0.0, 0.0]
