@@ -58,13 +58,14 @@ def signatures(value: np.ndarray, owner: np.ndarray, n: int, hashes_wanted: int)
     return out
 
 
-def _class_keys(data: np.ndarray, w: Spans) -> list[pa.Array]:
-    """Two independent 64-bit hashes of each text's words in order, null without words."""
+def _class_keys(data: np.ndarray, w: Spans, h: np.ndarray) -> list[pa.Array]:
+    """Two independent 64-bit hashes of each text's words in order, null without words; ``h``
+    are the words' hashes."""
     place = (np.arange(len(w)) - w.first[w.owner]).astype(np.uint64)
     made = []
-    for seed in _SEEDS:
+    for seed, own in ((_SEEDS[0], h), (_SEEDS[1], hashes(data, w, _SEEDS[1]))):
         total = np.zeros(len(w) + 1, dtype=np.uint64)
-        np.cumsum(mix64(hashes(data, w, seed) ^ mix64(place * np.uint64(2) + np.uint64(seed))), out=total[1:])
+        np.cumsum(mix64(own ^ mix64(place * np.uint64(2) + np.uint64(seed))), out=total[1:])
         key = mix64(total[w.first[1:]] - total[w.first[:-1]] + w.count.astype(np.uint64))
         made.append(pa.array(key.view(np.int64), mask=w.count == 0))
     return made
@@ -78,12 +79,13 @@ def fingerprints(df: DataFrame, bands: int, rows: int, *, id_col: str, text_col:
         for batch in slices(batches):
             data, offsets = utf8(batch.column("text"))
             w = words(data, offsets)
-            value, owner = shingles(hashes(data, w), w)
+            h = hashes(data, w)
+            value, owner = shingles(h, w)
             n = batch.num_rows
             keys = band_keys(value, owner, n, bands, rows).reshape(-1).view(np.int64)
             keys = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(keys))
             size = pa.array(np.bincount(owner, minlength=n).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("code"), *_class_keys(data, w), size, keys], names=["id", "code", "k1", "k2", "size", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("code"), *_class_keys(data, w, h), size, keys], names=["id", "code", "k1", "k2", "size", "keys"])
 
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("code"), F.col(text_col).alias("text"))
     return texts.mapInArrow(run, "id long, code long, k1 long, k2 long, size long, keys array<long>")
@@ -365,10 +367,11 @@ def _shingle_sets(texts: DataFrame) -> DataFrame:
         for batch in slices(batches):
             data, offsets = utf8(batch.column("text"))
             w = words(data, offsets)
-            value, owner = shingles(hashes(data, w), w)
+            h = hashes(data, w)
+            value, owner = shingles(h, w)
             cuts = np.searchsorted(owner, np.arange(batch.num_rows + 1))
             sets = [np.unique(value[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*_class_keys(data, w), pa.array(sets, pa.binary())], names=["k1", "k2", "shingles"])
+            yield pa.RecordBatch.from_arrays([*_class_keys(data, w, h), pa.array(sets, pa.binary())], names=["k1", "k2", "shingles"])
 
     return texts.mapInArrow(run, "k1 long, k2 long, shingles binary")
 

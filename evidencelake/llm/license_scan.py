@@ -20,9 +20,7 @@ from pyspark.sql import functions as F
 
 WIDTH = 5
 CONTAINMENT = 0.8
-LEAST_JACCARD = 0.2
-LEAST_REACH = 8
-RECALL = 0.999
+RECALL = 0.99999
 MAX_SHINGLES = 5000
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 
@@ -48,16 +46,16 @@ TEMPLATES = {
 }
 
 
-def bands_for(least: float = LEAST_JACCARD, recall: float = RECALL) -> int:
+def bands_for(least: float, recall: float = RECALL) -> int:
     """Bands of one MinHash value each that find a similarity of ``least`` with ``recall``."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - least))
+    return 1 if least >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - least))
 
 
 def least_jaccard(sizes: Mapping[str, tuple[int, int]], containment: float = CONTAINMENT) -> float:
     """The least similarity of a template (its shingles, reach) and a window that contains
     ``containment`` of it, where all other places of the window hold shingles of other
-    templates; ``LEAST_JACCARD`` at most."""
-    least = LEAST_JACCARD
+    templates."""
+    least = 1.0
     for n, reach in sizes.values():
         shared = max(1, math.ceil(containment * n - 1e-9))
         least = min(least, shared / (n + max(2 * reach - shared, 0)))
@@ -79,13 +77,22 @@ def _shingles(text: Column) -> Column:
 
 def _templates(spark, templates: Mapping[str, str]) -> DataFrame:
     """(template, reach, shingles): a template's window is ``2 * reach`` shingles long; reach
-    is the next power of two, 8 at least, so that there are few kinds of windows."""
+    is its own number of shingles, or the next power of two, so that there are few kinds of
+    windows. Longer windows would hold more of other templates and hide a short one."""
     rows = spark.createDataFrame(sorted(templates.items()), "template string, text string")
     rows = rows.select("template", F.array_distinct(F.transform(_shingles(F.col("text")), lambda x: x["h"])).alias("shingles"))
-    return rows.withColumn("reach", F.greatest(F.lit(LEAST_REACH), F.pow(F.lit(2), F.ceil(F.log2(F.size("shingles"))))).cast("int"))
-
-
-def scan(df: DataFrame, templates: Mapping[str, str] = TEMPLATES, *, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT, bands: int | None = None) -> DataFrame:
+    return rows.withColumn("reach", F.pow(F.lit(2), F.ceil(F.log2(F.size("shingles")))).cast("int"))
+
+
+def scan(
+    df: DataFrame,
+    templates: Mapping[str, str] = TEMPLATES,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    containment: float = CONTAINMENT,
+    bands: int | None = None,
+) -> DataFrame:
     """One row for each row of ``df``: id and licenses, an array of (template, containment,
     word) by template; ``word`` is where its first shingle stands in the best window.
 

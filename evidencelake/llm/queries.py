@@ -182,7 +182,7 @@ def _license_sql() -> str:
         ), known AS (
             SELECT template, s, count(*) OVER (PARTITION BY template) AS n FROM (SELECT DISTINCT template, s FROM shingles WHERE template IS NOT NULL)
         ), kinds AS (
-            SELECT *, greatest(8, pow(2, ceil(log2(n))))::BIGINT AS reach FROM known
+            SELECT *, pow(2, ceil(log2(n)))::BIGINT AS reach FROM known
         ), hits AS (
             SELECT x.doc_id, x.place, x.s, k.template, k.n, k.reach, x.place // k.reach - o.back AS win
             FROM shingles x JOIN kinds k ON x.s = k.s, (VALUES (0), (1)) AS o(back) WHERE x.template IS NULL
