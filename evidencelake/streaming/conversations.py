@@ -2,47 +2,53 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import freshness
 from ..sources.stage import write_stage
 
-STATE = "turns string"
 OUTPUT = "document_id long, turn_id long, status string, updated timestamp"
 _STATUS = {"start": "pending", "complete": "complete", "fail": "failed"}
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def conversation_stream(events: DataFrame, most_turns: int = 10_000) -> DataFrame:
+class Turns(StatefulProcessor):
+    """The open turns of a document, one entry of the state store for each: a batch reads and
+    writes the turns that it names, whatever the document has."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.turns = handle.getMapState("turns", "turn_id long", "status string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        events = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+        out: dict[int, tuple[str, pd.Timestamp]] = {}
+        for turn, kind, at in zip(events["turn_id"].tolist(), events["kind"], events["ts"], strict=True):
+            if kind == "clear":
+                out |= {t[0]: ("cleared", at) for t in self.turns.keys()}  # noqa: SIM118  not a dict
+                self.turns.clear()
+            elif kind in _STATUS and (kind == "start") != self.turns.containsKey((turn,)):
+                self.turns.updateValue((turn,), (_STATUS[kind],))
+                out[turn] = (_STATUS[kind], at)
+        yield pd.DataFrame([(key[0], t, status, at) for t, (status, at) in out.items()], columns=["document_id", "turn_id", "status", "updated"])
+
+    def close(self) -> None:
+        pass
+
+
+def conversation_stream(events: DataFrame) -> DataFrame:
     """Streamed turn events (document_id, turn_id, kind, ts, event_id) to the turns that each
     micro-batch changes, in update mode; status 'cleared' for turns that a clear removes.
 
-    State is one document's turns, by the rules of ``conversation_state``; a document with
-    more than ``most_turns`` open ones fails the stream rather than lose any.
+    State is a document's turns, by the rules of ``conversation_state``, of any number. The
+    session must keep its state in RocksDB (``spark.sql.streaming.stateStore.providerClass``).
     """
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        turns: dict[str, str] = json.loads(state.get[0]) if state.exists else {}
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        out: dict[int, tuple[str, pd.Timestamp]] = {}
-        for r in rows.itertuples():
-            turn = str(r.turn_id)
-            if r.kind == "clear":
-                out |= {int(t): ("cleared", r.ts) for t in turns}
-                turns = {}
-            elif r.kind == "start" and turn not in turns or r.kind in ("complete", "fail") and turn in turns:
-                turns[turn] = _STATUS[r.kind]
-                out[r.turn_id] = (_STATUS[r.kind], r.ts)
-        if len(turns) > most_turns:
-            raise ValueError(f"document {key[0]} has more than {most_turns} turns")
-        state.update((json.dumps(turns),))
-        yield pd.DataFrame([(key[0], t, s, at) for t, (s, at) in out.items()], columns=["document_id", "turn_id", "status", "updated"])
-
-    return events.groupBy("document_id").applyInPandasWithState(fold, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
+    if events.sparkSession.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKSDB:
+        raise ValueError(f"set spark.sql.streaming.stateStore.providerClass to {ROCKSDB}")
+    return events.groupBy("document_id").transformWithStateInPandas(Turns(), OUTPUT, "Update", "None")
 
 
 def refresh_batches(manifests: Callable[[], DataFrame], build: Callable[[DataFrame], DataFrame], path: str, model: str, version: str, buckets: int = 1024) -> Callable[[DataFrame, int], None]:

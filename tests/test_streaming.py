@@ -17,6 +17,7 @@ def rows():
 
 
 def test_stream_agrees_with_batch(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", conversations.ROCKSDB)
     events = spark.createDataFrame(rows(), SCHEMA)
     for n, (a, b) in enumerate([(0, 5), (5, 8), (8, 12)]):
         events.where((F.col("event_id") >= a) & (F.col("event_id") < b)).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
