@@ -6,11 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that carry no content in questions.
-QUERY_STOPWORDS = tuple("a an and are be by for from in is it of on or that the this to was were what when where which who why how".split())
+QUERY_STOPWORDS = (
+    "a", "an", "and", "are", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the",
+    "this", "to", "was", "were", "what", "when", "where", "which", "who", "why", "how",
+)
 #: Words that carry no content in claims.
-CLAIM_STOPWORDS = tuple(
-    "the a an is are was were of in on to and or for with that this it as by from be at which its these those has have had not but can could will would may might also than into such each more most some any".split()
-)
+CLAIM_STOPWORDS = (
+    "the", "a", "an", "is", "are", "was", "were", "of", "in", "on", "to", "and", "or", "for", "with", "that",
+    "this", "it", "as", "by", "from", "be", "at", "which", "its", "these", "those", "has", "have", "had",
+    "not", "but", "can", "could", "will", "would", "may", "might", "also", "than", "into", "such", "each",
+    "more", "most", "some", "any",
+)
 
 
 def terms(text: Column, stopwords: tuple[str, ...]) -> Column:

@@ -6,10 +6,17 @@ section_id, modality, context, text); dense is null where only the graph led to
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.terms import QUERY_STOPWORDS, share, terms
+from .search import BLOCK, CANDIDATES, TILE, Best, in_blocks, ranked
 
 RRF_K = 60
 MAX_GROUPS, MAX_PRIMARIES = 5, 2
@@ -24,23 +31,51 @@ def lexical(context: Column, text: Column, question: Column) -> Column:
     return F.coalesce(share(terms(question, QUERY_STOPWORDS), terms(F.concat_ws(" ", context, text), QUERY_STOPWORDS)), F.lit(0.0))
 
 
-def lexical_topk(questions: DataFrame, units: DataFrame, k: int = 20, most_units: float = 0.5) -> DataFrame:
-    """query_id, ku_id, score, rank by lexical overlap over all units, through an equi-join on
-    terms. Terms that more than ``most_units`` of all units have are no join keys (they would
-    pair every question with every unit), so units that share only such terms are absent;
-    the score of those found counts every term."""
-    words = lambda df, key: df.select(key, F.explode(terms(F.concat_ws(" ", "context", "text"), QUERY_STOPWORDS)).alias("term"))
-    own = words(units, "ku_id")
-    n = units.count()
-    common = own.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > most_units * n).select("term")
-    asked = words(questions.withColumn("context", F.lit(None).cast("string")), "query_id")
-    size = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("terms"))
-    pairs = asked.join(own, "term")
-    rare = pairs.join(common, "term", "left_anti").select("query_id", "ku_id").distinct()
-    hits = pairs.join(rare, ["query_id", "ku_id"], "left_semi").groupBy("query_id", "ku_id").agg(F.count(F.lit(1)).alias("hits"))
-    scored = hits.join(size, "query_id").select("query_id", "ku_id", F.round(F.col("hits") / F.col("terms"), 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "ku_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+def lexical_topk(questions: DataFrame, units: DataFrame, k: int = 20, block: int = BLOCK) -> DataFrame:
+    """query_id, ku_id, score, rank by lexical overlap over all units that share a term with the
+    question, however common the term. Questions and units without an id are left out.
+
+    A term that most units have would pair all of them with each question that has it, so
+    pairs are not joined: the questions' terms are broadcast block by block, each task counts
+    the hits of its units against them and keeps k of each question, and only those rows are shuffled.
+    """
+    asked = questions.select("query_id", terms(F.col("text"), QUERY_STOPWORDS).alias("terms")).where("query_id is not null and size(terms) > 0")
+    own = units.select("ku_id", terms(F.concat_ws(" ", "context", "text"), QUERY_STOPWORDS).alias("terms")).where("ku_id is not null and size(terms) > 0")
+    return ranked(in_blocks(asked, lambda few: _hits(few, own, k), block), k)
+
+
+def _hits(asked: pd.DataFrame, units: DataFrame, k: int) -> DataFrame:
+    """The best k units of each task for one block of questions (query_id, terms)."""
+    tiles = []
+    for at in range(0, len(asked), TILE):
+        few = asked.iloc[at : at + TILE]
+        known, column = np.unique(np.concatenate([np.asarray(x, dtype=object) for x in few["terms"]]).astype(str), return_inverse=True)
+        size = np.array([len(x) for x in few["terms"]])
+        has = np.zeros((len(few), len(known)), dtype=np.float32)
+        has[np.repeat(np.arange(len(few)), size), column] = 1
+        tiles.append((few["query_id"].to_numpy(dtype=np.int64), pa.array(known, pa.string()), has, size))
+    sent = units.sparkSession.sparkContext.broadcast(tiles)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tiles = sent.value
+        best = [Best(ids, k, True) for ids, *_ in tiles]
+        for whole in batches:
+            for at in range(0, whole.num_rows, TILE):
+                part = whole.slice(at, TILE)
+                row = np.repeat(np.arange(part.num_rows), np.asarray(pc.list_value_length(part.column("terms"))))
+                for found, (_, known, has, size) in zip(best, tiles, strict=True):
+                    column = pc.index_in(part.column("terms").flatten(), value_set=known)
+                    there = np.asarray(pc.is_valid(column))
+                    some, column = np.unique(np.asarray(column.drop_null()), return_inverse=True)
+                    own = np.zeros((part.num_rows, len(some)), dtype=np.float32)
+                    own[row[there], column] = 1
+                    hits = (has[:, some] @ own.T).astype(float)
+                    found.show(np.asarray(part.column("ku_id")), np.where(hits > 0, np.round(hits / size[:, None], 6), np.nan))
+        for found in best:
+            if found.score.size:
+                yield found.rows()
+
+    return units.mapInArrow(run, CANDIDATES)
 
 
 def confidence(dense: Column, last_type: Column) -> Column:
@@ -49,9 +84,10 @@ def confidence(dense: Column, last_type: Column) -> Column:
 
 
 def signals(pool: DataFrame, questions: DataFrame) -> DataFrame:
-    """The pool with its four signals; dense stays null where it is missing."""
+    """The pool with its four signals; dense stays null where it is missing. Texts end here:
+    what is sorted and joined later has none."""
     rows = pool.join(questions.select("query_id", F.col("text").alias("question")), "query_id")
-    rows = rows.withColumn("lexical", F.round(lexical(F.col("context"), F.col("text"), F.col("question")), 9))
+    rows = rows.withColumn("lexical", F.round(lexical(F.col("context"), F.col("text"), F.col("question")), 9)).drop("text", "question")
     return rows.withColumn("confidence", confidence(F.col("dense"), F.col("last_type"))).withColumn("proximity", F.round(1 / (1 + F.col("hops")), 9))
 
 

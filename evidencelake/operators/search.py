@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -163,7 +165,8 @@ def topk_scoped(questions: DataFrame, points: DataFrame, k: int = TOP_K, metric:
 
 
 def topk_all(questions: DataFrame, points: DataFrame, k: int = TOP_K, metric: str = "cosine", max_queries: int | None = None, block: int = BLOCK) -> DataFrame:
-    """As ``topk_scoped``, but among all points, for any number of questions.
+    """As ``topk_scoped``, but among all points, for any number of questions. Questions and
+    points without id or vector are left out; vectors of unequal lengths are an error.
 
     A block of questions is broadcast as one matrix; each task multiplies its points with it
     batch by batch and keeps k candidates of each query, so what is shuffled is k rows a
@@ -172,16 +175,19 @@ def topk_all(questions: DataFrame, points: DataFrame, k: int = TOP_K, metric: st
     """
     if max_queries is not None and questions.limit(max_queries + 1).count() > max_queries:
         raise ValueError(f"more than {max_queries} questions")
-    return ranked(_candidates(questions, points, k, metric, block), k, METRICS[metric][1])
+    asked = questions.select("query_id", "vector").where("query_id is not null and vector is not null")
+    points = points.where("ku_id is not null and vector is not null")
+    return ranked(in_blocks(asked, lambda own: _scored(own, points, k, metric), block), k, METRICS[metric][1])
 
 
-def _candidates(questions: DataFrame, points: DataFrame, k: int, metric: str, block: int, tables: tuple[int, int] | None = None) -> DataFrame:
-    """query_id, ku_id, score: of each task the k best points of each query, block by block."""
-    asked = questions.select("query_id", "vector")
+def in_blocks(asked: DataFrame, candidates: Callable[[pd.DataFrame], DataFrame], block: int = BLOCK) -> DataFrame:
+    """The candidates (query_id, ku_id, score) of all questions (query_id, ..), which come to the
+    driver one block at a time. With more than one block, those of each are stored before the next is
+    asked."""
     first = asked.limit(block + 1).toPandas()
     if len(first) <= block:
-        return _scored(first, points, k, metric, tables)
-    spark = questions.sparkSession
+        return candidates(first)
+    spark = asked.sparkSession
     rows = cut(asked.withColumn("_at", F.monotonically_increasing_id()))
     parts = sorted(rows.groupBy(F.shiftright("_at", 33).alias("part")).count().collect())
     starts, seen = [], 0  # an id is the partition and the place in it, so a block is a range of ids
@@ -191,81 +197,200 @@ def _candidates(questions: DataFrame, points: DataFrame, k: int, metric: str, bl
     path = scratch(spark, "topk")
     for start, end in zip(starts, [*starts[1:], (1 << 63) - 1], strict=True):
         own = rows.where((F.col("_at") >= start) & (F.col("_at") < end)).drop("_at").toPandas()
-        _scored(own, points, k, metric, tables).write.mode("append").parquet(path)
-    return spark.read.schema("query_id long, ku_id long, score double").parquet(path)
-
-
-def _scored(asked, points: DataFrame, k: int, metric: str, tables: tuple[int, int] | None) -> DataFrame:
-    """The candidates of one block of questions; with ``tables`` only points that share a
-    bucket with the question."""
-    matrix = np.array(asked["vector"].tolist(), dtype=float) if len(asked) else np.zeros((0, 0))
-    ids = asked["query_id"].to_numpy(dtype=np.int64)
-    sent = points.sparkSession.sparkContext.broadcast((ids, matrix))
-    _, descending = METRICS[metric]
-
-    def score(q: np.ndarray, p: np.ndarray) -> np.ndarray:
-        inner = q @ p.T
-        if metric == "dot":
-            return inner
-        if metric == "cosine":
-            length = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(p, axis=1)[None, :]
-            return np.divide(inner, length, out=np.zeros_like(inner), where=length > 0)
-        return np.sqrt(np.maximum((q**2).sum(axis=1)[:, None] + (p**2).sum(axis=1)[None, :] - 2 * inner, 0))
+        candidates(own).write.mode("append").parquet(path)
+    return spark.read.schema(CANDIDATES).parquet(path)
+
+
+def matrix(vectors: pa.Array, dimension: int | None = None) -> np.ndarray:
+    """One row for each vector; all must have ``dimension`` components (those of the first)."""
+    sizes = np.asarray(pc.list_value_length(vectors))
+    dimension = int(sizes[0]) if dimension is None and len(sizes) else dimension
+    if (sizes != dimension).any():
+        raise ValueError(f"a vector has {sizes[sizes != dimension][0]} components, others have {dimension}")
+    return np.asarray(vectors.flatten(), dtype=float).reshape(len(sizes), dimension or 0)
+
+
+def _scores(q: np.ndarray, p: np.ndarray, metric: str) -> np.ndarray:
+    """Scores of all questions (rows) and points, to six places."""
+    inner = q @ p.T
+    if metric == "cosine":
+        length = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(p, axis=1)[None, :]
+        inner = np.divide(inner, length, out=np.zeros_like(inner), where=length > 0)
+    elif metric == "euclid":
+        inner = np.sqrt(np.maximum((q**2).sum(axis=1)[:, None] + (p**2).sum(axis=1)[None, :] - 2 * inner, 0))
+    return np.round(inner, 6)
+
+
+class Best:
+    """The k best points of each of some questions, of all that were shown; those with a score
+    of NaN are none."""
+
+    def __init__(self, ids: np.ndarray, k: int, descending: bool):
+        self.ids, self.k, self.sign = ids, k, -1 if descending else 1
+        self.point, self.score = np.zeros((len(ids), 0), dtype=np.int64), np.zeros((len(ids), 0))
+
+    def show(self, point: np.ndarray, score: np.ndarray) -> None:
+        own = np.hstack((self.score, np.where(np.isnan(score), np.inf, self.sign * score)))
+        points = np.hstack((self.point, np.tile(point, (len(own), 1))))
+        order = np.lexsort((points, own), axis=1)[:, : self.k]
+        self.score, self.point = np.take_along_axis(own, order, 1), np.take_along_axis(points, order, 1)
+
+    def rows(self) -> pa.RecordBatch:
+        there = self.score < np.inf
+        ids = np.repeat(self.ids, self.score.shape[1])[there.reshape(-1)]
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(self.point[there]), pa.array(self.sign * self.score[there])], names=["query_id", "ku_id", "score"])
+
+
+CANDIDATES = "query_id long, ku_id long, score double"
+TILE = 1024
+
+
+def _scored(asked, points: DataFrame, k: int, metric: str) -> DataFrame:
+    """The candidates of one block of questions."""
+    vectors = matrix(pa.array(asked["vector"].tolist(), pa.list_(pa.float64())))
+    sent = points.sparkSession.sparkContext.broadcast((asked["query_id"].to_numpy(dtype=np.int64), vectors))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = sent.value
-        few = [slice(at, at + 1024) for at in range(0, len(ids), 1024)]
-        best_id = [np.zeros((len(ids[x]), 0), dtype=np.int64) for x in few]
-        best = [np.zeros((len(ids[x]), 0)) for x in few]
-        asked_in = buckets(q, *tables) if tables and len(ids) else None
+        tiles = [slice(at, at + TILE) for at in range(0, len(ids), TILE)]
+        best = [Best(ids[x], k, METRICS[metric][1]) for x in tiles]
         for whole in batches:
-            for at in range(0, whole.num_rows if len(ids) else 0, 1024):
-                part = whole.slice(at, 1024)
-                part = part.filter(pc.is_valid(part.column("vector")))
-                if not part.num_rows:
-                    continue
-                p = np.asarray(part.column("vector").flatten(), dtype=float).reshape(part.num_rows, -1)
-                stored_in = buckets(p, *tables) if tables else None
-                for n, x in enumerate(few):
-                    new = np.round(score(q[x], p), 6)
-                    new = -new if descending else new
-                    if tables:
-                        met = np.zeros(new.shape, dtype=bool)
-                        for t in range(stored_in.shape[1]):
-                            met |= asked_in[x, None, t] == stored_in[None, :, t]
-                        new[~met] = np.inf
-                    own = np.hstack((best[n], new))
-                    own_id = np.hstack((best_id[n], np.tile(np.asarray(part.column("ku_id")), (len(own), 1))))
-                    order = np.lexsort((own_id, own), axis=1)[:, :k]
-                    best[n], best_id[n] = np.take_along_axis(own, order, 1), np.take_along_axis(own_id, order, 1)
-        for n, x in enumerate(few):
-            near = ~np.isposinf(best[n]) if tables else np.ones(best[n].shape, dtype=bool)
-            if near.any():
-                found = best[n][near]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[x], best[n].shape[1])[near.reshape(-1)]), pa.array(best_id[n][near]), pa.array(-found if descending else found)], names=["query_id", "ku_id", "score"])
-
-    return points.select("ku_id", "vector").mapInArrow(run, "query_id long, ku_id long, score double")
-
-
-def buckets(vectors: np.ndarray, bits: int, tables: int) -> np.ndarray:
-    """The bucket of each vector in each table: on which sides of ``bits`` fixed random
-    planes through the origin it lies."""
-    planes = np.random.default_rng(5).normal(size=(vectors.shape[1], tables * bits))
-    sides = (vectors @ planes > 0).reshape(len(vectors), tables, bits)
-    return (sides @ (1 << np.arange(bits))).astype(np.int32)
-
-
-def topk_ann(questions: DataFrame, points: DataFrame, k: int = TOP_K, *, bits: int = 4, tables: int = 24, block: int = BLOCK) -> DataFrame:
-    """Approximate top-k by cosine: the k best of the points that share a bucket of any table
-    with the question, scored exactly. Questions with fewer than k of them get their exact
-    top-k, so that each has k rows where there are k points."""
-    asked = questions.where("vector is not null")
-    found = cut(ranked(_candidates(asked, points, k, "cosine", block, (bits, tables)), k))
+            for at in range(0, whole.num_rows if tiles else 0, TILE):
+                part = whole.slice(at, TILE)
+                p, own = matrix(part.column("vector"), q.shape[1]), np.asarray(part.column("ku_id"))
+                for x, found in zip(tiles, best, strict=True):
+                    found.show(own, _scores(q[x], p, metric))
+        for found in best:
+            if found.score.size:
+                yield found.rows()
+
+    return points.select("ku_id", "vector").mapInArrow(run, CANDIDATES)
+
+
+@dataclass
+class Cells:
+    """An inverted-file index: unit centroids of cells, how many of the nearest cells a
+    question is compared with, and how many parts each cell's points are dealt to."""
+
+    centroids: np.ndarray
+    probes: int
+    parts: np.ndarray
+
+    def nearest(self, vectors: np.ndarray, n: int) -> np.ndarray:
+        return np.argsort(-(vectors @ self.centroids.T), axis=1, kind="stable")[:, :n]
+
+
+def fit_cells(points: DataFrame, k: int = TOP_K, *, recall: float = 0.95, sample: int = 20_000, part_bytes: int = 32 << 20, rounds: int = 10, seed: int = 5) -> Cells | None:
+    """Cells for points (ku_id, vector), or None where there is no point.
+
+    Fitted on about ``sample`` points at most, chosen by a hash of the id: spherical k-means
+    for some 1.4 times the square root of the number of points as cells, a sixteenth of the
+    sample at most. ``probes`` is the least number of cells in which sampled questions find
+    ``recall`` of their true k nearest among the sampled points. Every point is indexed later.
+    """
+    rows = points.select("ku_id", "vector").where("ku_id is not null and vector is not null")
+    n = rows.count()
+    some = rows.where(F.pmod(F.xxhash64("ku_id", F.lit(seed)), F.lit(1 << 30)) < min(1.0, sample / max(n, 1)) * (1 << 30))
+    drawn = some.orderBy("ku_id").toArrow()
+    if not drawn.num_rows:
+        return None
+    x = _unit(matrix(drawn["vector"].combine_chunks()))
+    count = max(1, min(round(1.4 * n**0.5), len(x) // 16))
+    random = np.random.default_rng(seed)
+    cells = Cells(x[random.choice(len(x), count, replace=False)], 1, np.ones(count, np.int64))
+    for _ in range(rounds):
+        own = cells.nearest(x, 1)[:, 0]
+        sums = np.zeros_like(cells.centroids)
+        np.add.at(sums, own, x)
+        cells.centroids = np.where(np.bincount(own, minlength=count)[:, None] > 0, _unit(sums), cells.centroids)
+    own = cells.nearest(x, 1)[:, 0]
+    per_part = max(part_bytes // (8 * x.shape[1]), 1)
+    cells.parts = np.ceil(np.bincount(own, minlength=count) / len(x) * n / per_part).clip(1).astype(np.int64)
+
+    asked = x[random.choice(len(x), min(len(x), 200), replace=False)]
+    true = np.argsort(-(asked @ x.T), axis=1, kind="stable")[:, :k]
+    order = cells.nearest(asked, count)
+    place = np.argsort(order, axis=1)  # of each cell in a question's order
+    needed = np.take_along_axis(place, own[true], axis=1) + 1
+    shares = [(needed <= probes).mean() for probes in range(1, count + 1)]
+    cells.probes = 1 + int(np.argmax(np.array(shares) >= recall))
+    return cells
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+
+
+def topk_ann(questions: DataFrame, points: DataFrame, k: int = TOP_K, *, cells: Cells | None = None, **fit) -> DataFrame:
+    """Approximate top-k by cosine: query_id, ku_id, score, rank. A question is compared, exactly,
+    with the points of the cells that are nearest to it (``cells``, or what ``fit_cells`` makes
+    of the points with the settings ``fit``).
+
+    Points are shuffled by cell, large cells in parts; a question goes to each part of its
+    cells. Questions that meet fewer than k points get their exact top-k, so that each has k
+    rows where there are k points. Questions and points without id or vector are left out.
+    """
+    cells = cells or fit_cells(points, k, **fit)
+    asked = questions.select("query_id", "vector").where("query_id is not null and vector is not null")
+    if cells is None:
+        return topk_all(asked, points, k)
+    sent = points.sparkSession.sparkContext.broadcast(cells)
+
+    def dealt(role: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """Points (role 0) to a part of their cell, questions (role 1) to all parts of theirs."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cells = sent.value
+            for whole in batches:
+                for at in range(0, whole.num_rows, TILE):
+                    batch = whole.slice(at, TILE)
+                    ids = np.asarray(batch.column("id")).astype(np.int64)
+                    near = cells.nearest(_unit(matrix(batch.column("vector"), cells.centroids.shape[1])), cells.probes if role else 1)
+                    if role:
+                        row, cell = np.repeat(np.arange(len(ids)), near.shape[1]), near.reshape(-1)
+                        times = cells.parts[cell]
+                        row, cell = np.repeat(row, times), np.repeat(cell, times)
+                        part = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+                    else:
+                        row, cell = np.arange(len(ids)), near[:, 0]
+                        part = np.abs(ids * 0x9E3779B1 >> 7) % cells.parts[cell]
+                    yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(part), pa.array(np.full(len(row), role)), pa.array(ids[row]), batch.column("vector").take(pa.array(row))], names=["cell", "part", "role", "id", "vector"])
+
+        return run
+
+    schema = "cell long, part long, role long, id long, vector array<double>"
+    vector = F.col("vector").cast("array<double>").alias("vector")
+    stored = points.select(F.col("ku_id").cast("long").alias("id"), vector).where("id is not null and vector is not null").mapInArrow(dealt(0), schema)
+    wanted = asked.select(F.col("query_id").cast("long").alias("id"), vector).mapInArrow(dealt(1), schema)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, vectors = None, [], []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([np.asarray(batch.column(c)) for c in ("cell", "part", "role")], axis=1)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(keys)], strict=True):
+                own, group, role = batch.slice(a, b - a), tuple(keys[a, :2]), keys[a, 2]
+                if group != now:
+                    now, ids, vectors = group, [], []
+                if role == 0:
+                    ids.append(np.asarray(own.column("id")))
+                    vectors.append(matrix(own.column("vector")))
+                for at in range(0, own.num_rows if role and ids else 0, 64):
+                    few = own.slice(at, 64)
+                    best = Best(np.asarray(few.column("id")), k, True)
+                    for point, p in zip(ids, vectors, strict=True):
+                        best.show(point, _scores(matrix(few.column("vector"), p.shape[1]), p, "cosine"))
+                    yield best.rows()
+
+    met = stored.unionByName(wanted).repartition("cell", "part").sortWithinPartitions("cell", "part", "role", "id")
+    found = cut(ranked(met.mapInArrow(score, CANDIDATES), k))
     full = found.groupBy("query_id").count().where(F.col("count") >= k).select("query_id")
-    short = cut(asked.join(full, "query_id", "left_anti").select("query_id", "vector"))
+    short = cut(asked.join(full, "query_id", "left_anti"))
     if short.isEmpty():
         return found
-    return found.join(full, "query_id", "left_semi").select(found.columns).unionByName(topk_all(short, points, k, block=block))
+    return found.join(full, "query_id", "left_semi").select(found.columns).unionByName(topk_all(short, points, k))
 
 
 def normalize_query(query: Column) -> Column:

@@ -24,11 +24,11 @@ def _units(spark: Spark, d: str) -> DataFrame:
 
 def pool(spark: Spark, d: str, expanded: bool = True) -> DataFrame:
     """Candidates of all questions: seeds, then what the graph leads to."""
-    top = search_queries.vector_topk_cosine(spark, d)
+    top = cut(search_queries.vector_topk_cosine(spark, d))
     none = F.lit(None).cast("string")
     rows = top.select("query_id", graph.key("k", "ku_id").alias("id"), F.col("rank").alias("pool_pos"), F.col("score").alias("dense"), F.lit(0).alias("hops"), none.alias("last_type"), none.alias("last_source"))
     if expanded:
-        found, _ = graph.expand(top.select("query_id", graph.key("k", "ku_id").alias("id"), "rank"), graph.adjacency(views.point_edges(spark, d)))
+        found, _ = graph.expand(top.select("query_id", graph.key("k", "ku_id").alias("id"), "rank"), graph.adjacency(cut(views.point_edges(spark, d))))
         last = F.element_at("hops", -1)
         rows = rows.unionByName(found.select("query_id", "id", (F.col("place") + 20).alias("pool_pos"), F.lit(None).cast("double").alias("dense"), F.col("depth").alias("hops"), last["type"].alias("last_type"), last["source"].alias("last_source")))
     return rows.join(_units(spark, d), "id")
@@ -93,9 +93,10 @@ def retrieval_stats(spark: Spark, d: str) -> DataFrame:
 
 
 def bundle(spark: Spark, d: str) -> DataFrame:
-    """Members of the evidence groups with what their units say."""
+    """Members of the evidence groups with what their units say; only theirs are looked up."""
     ranked = cut(fused(spark, d))
-    return retrieval.assemble(ranked).join(ranked.select("query_id", "id", "dense", "last_type", "modality", "context", "text"), ["query_id", "id"])
+    members = retrieval.assemble(ranked).join(ranked.select("query_id", "id", "dense", "last_type", "modality", "context"), ["query_id", "id"])
+    return members.join(_units(spark, d).select("id", "text"), "id")
 
 
 def _asked(spark: Spark, d: str) -> DataFrame:
@@ -296,12 +297,12 @@ _CITED = _ANSWERS | {
     "quoted": "SELECT e.answer_id, e.label, instr(a.text, '(' || e.context || ')') AS p FROM evidence e JOIN said a ON a.answer_id = e.answer_id WHERE instr(a.text, '(' || e.context || ')') > 0 AND NOT EXISTS (SELECT 1 FROM used u WHERE u.answer_id = e.answer_id AND u.label = e.label)",
     "resolved": "SELECT a.answer_id, row_number() OVER (PARTITION BY a.answer_id ORDER BY a.kind, a.p, a.label) AS n, a.label, e.ku_id FROM (SELECT *, 0 AS kind FROM used UNION ALL SELECT *, 1 FROM quoted) a LEFT JOIN evidence e ON e.answer_id = a.answer_id AND e.label = a.label",
 }
-_TOPIC = {"lexed": f"SELECT ku_id, unnest({_q("concat_ws(' ', context, text)")}) AS term FROM units", "asks": f"SELECT query_id, unnest({_q('text')}) AS term FROM questions", "often": "SELECT term FROM lexed GROUP BY term HAVING count(*) > 0.5 * (SELECT count(*) FROM units)"}
+_TOPIC = {"lexed": f"SELECT ku_id, unnest({_q("concat_ws(' ', context, text)")}) AS term FROM units", "asks": f"SELECT query_id, unnest({_q('text')}) AS term FROM questions"}
 
 ORACLE_SQL = {
     "lexical_overlap": with_views("SELECT q.query_id, u.ku_id, CASE WHEN len(q.terms) = 0 THEN 0.0 ELSE round(len(list_intersect(q.terms, u.terms)) / len(q.terms), 6) END AS overlap FROM terms_q q JOIN questions x USING (query_id) JOIN terms_u u ON u.document_id = x.document_id", UNITS_SQL | {k: _REST[k] for k in ("terms_q", "terms_u")}),
     "lexical_topk": with_views(
-        "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ku_id) AS rank FROM (SELECT a.query_id, l.ku_id, round(count(*) / any_value(s.n), 6) AS score FROM asks a JOIN lexed l USING (term) JOIN (SELECT query_id, count(*) AS n FROM asks GROUP BY query_id) s USING (query_id) GROUP BY a.query_id, l.ku_id HAVING count(*) FILTER (a.term NOT IN (SELECT term FROM often)) > 0)) WHERE rank <= 20",
+        "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ku_id) AS rank FROM (SELECT a.query_id, l.ku_id, round(count(*) / any_value(s.n), 6) AS score FROM asks a JOIN lexed l USING (term) JOIN (SELECT query_id, count(*) AS n FROM asks GROUP BY query_id) s USING (query_id) GROUP BY a.query_id, l.ku_id)) WHERE rank <= 20",
         UNITS_SQL | _TOPIC,
     ),
     "signal_confidence": with_views(f"SELECT query_id, id, CAST({_TYPED} AS DOUBLE) AS confidence FROM pool p", POOL_SQL),

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evidencelake.operators import conversation, evaluation, evidence, freshness, graph, relations, retrieval, search, structure, units
+from evidencelake.operators import checks, conversation, evaluation, evidence, freshness, graph, relations, retrieval, search, structure, units
 from evidencelake.sources import files, stage
 
 
@@ -15,7 +15,7 @@ def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
 
 
-@pytest.mark.parametrize(("token", "value"), [("4", 4), ("IV", 4), ("xii", 12), ("MCMXC", 1990), ("IIII", None), ("abc", None), ("", None), ("VX", None)])
+@pytest.mark.parametrize(("token", "value"), [("4", 4), ("IV", 4), ("xii", 12), ("MCMXC", 1990), ("IIII", 4), ("IC", 99), ("VIIII", 9), ("VX", 5), ("IIX", 8), ("XIIX", 18), ("abc", None), ("", None), ("X1", None), ("99999999999", None)])
 def test_numbers(spark, token, value):
     assert one(spark, relations.parse_number(F.lit(token))) == value
 
@@ -160,9 +160,33 @@ def test_index_fills_questions_with_few_candidates(spark):
     rng = np.random.default_rng(3)
     points = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(rng.normal(size=(50, 8)))], "ku_id long, vector array<double>")
     questions = points.where("ku_id < 5").select(F.col("ku_id").alias("query_id"), "vector")
-    got = search.topk_ann(questions, points, 20, bits=12, tables=1).orderBy("query_id", "rank").collect()
+    one_each = search.Cells(np.array([x["vector"] for x in points.collect()]), 1, np.ones(50, np.int64))
+    got = search.topk_ann(questions, points, 20, cells=one_each).orderBy("query_id", "rank").collect()
     assert got == search.topk_all(questions, points, 20).orderBy("query_id", "rank").collect()
     assert search.topk_ann(questions, points, 60).count() == 5 * 50
+    assert search.topk_ann(questions, points.where("false")).count() == 0 == search.topk_ann(questions.where("false"), points).count()
+
+
+@pytest.mark.parametrize("part_bytes", [32 << 20, 4096])
+def test_index_compares_few_pairs_where_vectors_cluster(spark, part_bytes):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 16))
+    vectors = centres[np.arange(4000) % 40] + 0.15 * rng.normal(size=(4000, 16))
+    rows = [(k, x.tolist()) for k, x in enumerate(vectors)]
+    points = spark.createDataFrame([*rows, (9999, None), (None, rows[0][1])], "ku_id long, vector array<double>").repartition(3)
+    questions = spark.createDataFrame([*rows[::80], (None, rows[1][1]), (77, None)], "query_id long, vector array<double>")
+    cells = search.fit_cells(points, part_bytes=part_bytes)
+    assert cells.probes <= 0.15 * len(cells.centroids) and (cells.parts.max() > 1) == (part_bytes < 1 << 20)
+    true = {(r["query_id"], r["ku_id"]) for r in search.topk_all(questions, points).collect()}
+    found = {(r["query_id"], r["ku_id"]) for r in search.topk_ann(questions, points, cells=cells).collect()}
+    assert len(found) == len(true) == 20 * 50 and len(true & found) >= 0.9 * len(true)
+
+
+def test_vectors_of_unequal_lengths_are_an_error(spark):
+    points = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, [1.0]), (3, [1.0, 2.0])], "ku_id long, vector array<double>").coalesce(1)
+    for run in (search.topk_all, search.topk_ann):
+        with pytest.raises(Exception, match="components"):
+            run(points.where("ku_id = 3").withColumnRenamed("ku_id", "query_id"), points).collect()
 
 
 def test_stored_objects_do_not_grow_with_their_document(spark):
@@ -172,21 +196,21 @@ def test_stored_objects_do_not_grow_with_their_document(spark):
     assert stage.unpack_units(packed).orderBy("order").collect() == units.withColumn("document_id", F.lit("7")).orderBy("order").collect()
 
 
-def test_checksums_gather_no_group_in_a_cell(spark):
-    rows = spark.createDataFrame([(k if (k := n % 3) else None, f"v{n * n % 41}") for n in range(300)] + [(5, None)], "document_id long, v string").repartition(5)
-    hashes = {}
-    for r in rows.collect():
-        hashes.setdefault(r["document_id"], []).append(hashlib.sha256((r["v"] or "~").encode()).hexdigest())
-    wanted = {k: hashlib.sha256("".join(sorted(x)).encode()).hexdigest() for k, x in hashes.items()}
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
-    try:
-        hashed, listed = files.content_hash(rows, "document_id", ["v"]), freshness.manifests({"s": (rows, "v")})
-        assert {r["document_id"]: r["version"] for r in hashed.collect()} == wanted
-        assert {r["document_id"]: (r["rows"], r["checksum"]) for r in listed.collect()} == {k: (len(hashes[k]), x) for k, x in wanted.items()}
-        assert all("collect_list" not in df._jdf.queryExecution().toString() for df in (hashed, listed))
-        assert files.content_hash(rows.where("false"), "document_id", ["v"]).count() == 0
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+def test_checksums_are_hashes_of_the_hashes_of_parts(spark):
+    """A key's lines are hashed with those of the same first three digits, then the parts."""
+    rows = [(k if (k := n % 3) else None, f"v{n * n % 4100}") for n in range(9000)] + [(5, None)]
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    hashes, parts = {}, {}
+    for key, value in rows:
+        line = sha(value or "~")
+        hashes.setdefault(key, []).append(line)
+        parts.setdefault(key, {}).setdefault(line[:3], []).append(line)
+    wanted = {k: sha("".join(sha("".join(sorted(own))) for _, own in sorted(x.items()))) for k, x in parts.items()}
+    df = spark.createDataFrame(rows, "document_id long, v string").repartition(5)
+    hashed, listed = files.content_hash(df, "document_id", ["v"]), freshness.manifests({"s": (df, "v")})
+    assert {r["document_id"]: r["version"] for r in hashed.collect()} == wanted
+    assert {r["document_id"]: (r["rows"], r["checksum"]) for r in listed.collect()} == {k: (len(hashes[k]), x) for k, x in wanted.items()}
+    assert files.content_hash(df.where("false"), "document_id", ["v"]).count() == 0
 
 
 def test_a_failing_embedder_gives_rows_not_a_failed_job(spark):
@@ -268,3 +292,83 @@ def test_tokens_join_to_the_text(spark):
     for k, t in enumerate(texts):
         assert "".join(r["value"] for r in rows if r["answer_id"] == k) == t
     assert [r["value"] for r in rows if r["kind"] == "citation"] == ["[KU1]", "KU4", "KU8", "[x-1]", "[KU2]", "KU1", "[a]"]
+
+
+def test_lexical_topk_equals_brute_force(spark):
+    random.seed(6)
+    words = ["common", "usual"] + [f"w{k}" for k in range(40)]
+    units_ = [(k, random.choice([None, "Section"]), " ".join([*random.sample(words[:2], random.choice([0, 1, 2, 2, 2])), *random.sample(words[2:], random.choice([0, 0, 3]))])) for k in range(300)]
+    asked = [(q, " ".join(random.sample(words, 4)) + " the of") for q in range(40)] + [(90, "common usual"), (91, "the of"), (92, None), (93, "unknown")]
+    wanted = {}
+    for q, text in asked:
+        own = set((text or "").split()) - {"the", "of"}
+        scored = sorted((-round(len(own & set(f"{c or ''} {x}".lower().split())) / len(own), 6), k) for k, c, x in units_) if own else []
+        wanted[q] = [(k, -s) for s, k in scored if s < 0][:7]
+    questions, units = spark.createDataFrame(asked, "query_id long, text string"), spark.createDataFrame([*units_, (None, None, "common")], "ku_id long, context string, text string")
+    for block in (5, 20_000):
+        got = {q: [] for q, _ in asked}
+        for r in retrieval.lexical_topk(questions, units, 7, block=block).orderBy("query_id", "rank").collect():
+            got[r["query_id"]].append((r["ku_id"], r["score"]))
+        assert got == wanted
+    assert retrieval.lexical_topk(questions, units.where("false")).count() == 0 == retrieval.lexical_topk(questions.where("false"), units).count()
+
+
+def plain_tree(levels):
+    """Parent of each heading by popping a stack."""
+    stack, out = [], []
+    for k, level in enumerate(levels):
+        while stack and stack[-1][0] >= (level or 1):
+            stack.pop()
+        out.append(stack[-1][1] if stack else None)
+        stack.append((level or 1, k))
+    return out
+
+
+def test_section_tree_of_any_level_and_depth(spark):
+    random.seed(7)
+    docs = {d: [random.choice([None, 1, 2, 3, 7, 8, 40]) for _ in range(25)] for d in range(20)} | {50: [1, 6, 7, 8], 51: list(range(1, 60)), 52: [None]}
+    heads = spark.createDataFrame([(d, k, level, "t") for d, levels in docs.items() for k, level in enumerate(levels)], "doc_id long, pos int, level int, text string")
+    tree = structure.section_tree(heads)
+    rows = tree.collect()
+    parents = {d: plain_tree(levels) for d, levels in docs.items()}
+    for r in rows:
+        assert r["parent_pos"] == parents[r["doc_id"]][r["pos"]]
+        assert r["ord"] == sum(p == r["parent_pos"] for p in parents[r["doc_id"]][: r["pos"]])
+        path = [r["pos"]]
+        while parents[r["doc_id"]][path[0]] is not None:
+            path.insert(0, parents[r["doc_id"]][path[0]])
+        assert r["path"] == path
+    assert len(rows) == heads.count()
+    # paths of any source, by sibling orders, sort alike
+    by_order = {(r["doc_id"], r["pos"]): r["path"] for r in structure.section_paths(tree.drop("path")).collect()}
+    assert len(by_order) == len(rows)
+    for d in docs:
+        own = [r for r in rows if r["doc_id"] == d]
+        assert sorted(own, key=lambda r: r["path"]) == sorted(own, key=lambda r: by_order[(d, r["pos"])])
+    cycle = spark.createDataFrame([(1, 0, None, 0), (1, 1, 2, 0), (1, 2, 1, 0), (1, 3, 99, 0)], "doc_id long, pos int, parent_pos int, ord int")
+    assert [r["pos"] for r in structure.section_paths(cycle).collect()] == [0]
+
+
+def test_headings_without_level_are_of_level_one(spark):
+    rows = [(1, 0, "heading", None, "Abstract"), (1, 1, "paragraph", None, "a"), (1, 2, "heading", 2, "deeper"), (1, 3, "heading", None, "Intro"), (1, 4, "paragraph", None, "b")]
+    out = structure.special_sections(spark.createDataFrame(rows, "doc_id long, pos int, kind string, level int, text string"))
+    assert [r["mode"] for r in out.orderBy("pos").collect()] == ["abstract", "abstract", "dropped", "body", "body"]
+
+
+@pytest.mark.parametrize(("text", "numbers"), [("Figure 2a shows", [2]), ("fig. iv, Table 12", [4, 12]), ("Tables 3", []), ("Figure IVth", []), ("TABLE IIII.", [4])])
+def test_mentions(spark, text, numbers):
+    captions = spark.createDataFrame([(1, kind, n * 10 + k, f"{kind.title()} {n} x") for k, kind in enumerate(("table", "figure")) for n in (2, 3, 4, 12)], "doc_id long, subject_type string, subject_pos int, text string")
+    edges = relations.edges_references(spark.createDataFrame([(1, 0, text)], "doc_id long, pos int, text string"), relations.printed_numbers(captions))
+    assert sorted(r["target_pos"] // 10 for r in edges.collect()) == sorted(numbers)
+
+
+def test_checks_of_papers(spark):
+    papers = spark.createDataFrame([(k,) for k in range(1, 6)], "document_id long")
+    chain = [(1, k, k - 1 if k else None) for k in range(300)]  # deep, but no cycle
+    sections = [*chain, *chain[:50], (2, 0, 1), (2, 1, 0), (2, 2, 1), (2, 3, None), (3, 0, None), (4, 5, 77)]
+    sections = spark.createDataFrame(sections, "document_id long, id long, parent long")
+    children = spark.createDataFrame([(2, 9, 2)], "document_id long, id long, paper_id long")
+    captions = spark.createDataFrame([(2, "table", 9), (2, "figure", 8)], "document_id long, kind string, id long")
+    visuals = spark.createDataFrame([(2, "figure", 9), (2, "figure", 8)], "document_id long, kind string, id long")
+    got = sorted((r["document_id"], r["rule"], r["id"]) for r in checks.check_papers(papers, sections, children, captions, visuals).collect())
+    assert got == sorted([("5", "empty_paper", None), ("4", "unknown_parent", "5"), *(("2", "section_cycle", str(k)) for k in range(3)), ("2", "caption_without_subject", "9"), ("2", "uncaptioned_visual", "9")], key=lambda x: (x[0], x[1], x[2] or ""))
