@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stage import cut
 
 
 def _rows(df: DataFrame, rule: str, id_: Column | None = None, detail: Column | None = None, document: str = "document_id") -> DataFrame:
@@ -25,26 +26,39 @@ def _twice(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def check_papers(papers: DataFrame, sections: DataFrame, children: DataFrame, captions: DataFrame, visuals: DataFrame, depth: int = 6) -> DataFrame:
+def check_papers(papers: DataFrame, sections: DataFrame, children: DataFrame, captions: DataFrame, visuals: DataFrame) -> DataFrame:
     """Papers (document_id), sections (document_id, id, parent), children (document_id, id,
-    paper_id), captions and visuals (document_id, id). A cycle is a section from which no root
-    is reached in 2**depth steps up, by doubling the steps."""
-    contents = children.select("document_id").distinct()
+    paper_id), captions and visuals (document_id, kind, id). A paper is empty without sections
+    and children. A cycle is reported for each section from which no root is reached."""
+    contents = children.select("document_id").unionByName(sections.select("document_id")).distinct()
     orphan = sections.where("parent is not null").join(sections.select("document_id", F.col("id").alias("parent")), ["document_id", "parent"], "left_anti")
-    up = sections.select("document_id", "id", F.col("parent").alias("far"))
-    for _ in range(depth):
-        hop = up.select("document_id", F.col("id").alias("far"), F.col("far").alias("next"))
-        up = up.join(hop, ["document_id", "far"], "left").select("document_id", "id", F.col("next").alias("far"))
+    subject = ["document_id", "kind", "id"]
     return _all(
         _rows(papers.join(contents, "document_id", "left_anti"), "empty_paper"),
         _rows(children.where("paper_id <> document_id"), "wrong_paper", F.col("id"), F.col("paper_id")),
-        _rows(orphan, "unknown_parent", F.col("id"), F.col("parent")),
-        _rows(up.where("far is not null"), "section_cycle", F.col("id")),
-        _rows(captions.join(visuals, ["document_id", "id"], "left_anti"), "caption_without_subject", F.col("id")),
-        _rows(visuals.join(captions, ["document_id", "id"], "left_anti"), "uncaptioned_visual", F.col("id")),
+        _rows(orphan.distinct(), "unknown_parent", F.col("id"), F.col("parent")),
+        _rows(rootless(sections), "section_cycle", F.col("id")),
+        _rows(captions.join(visuals, subject, "left_anti"), "caption_without_subject", F.col("id")),
+        _rows(visuals.join(captions, subject, "left_anti"), "uncaptioned_visual", F.col("id")),
     )
 
 
+def rootless(sections: DataFrame) -> DataFrame:
+    """(document_id, id) of the sections whose parents lead into a cycle. A section that comes
+    with several parents has the largest.
+
+    Steps up are doubled until a round settles no section: as long as one is left from which a
+    root is reached, the next round settles some. A parent that does not exist ends its chain.
+    """
+    up = sections.groupBy("document_id", "id").agg(F.max("parent").alias("far")).where("far is not null")
+    up, before = cut(up), None
+    while (left := up.count()) not in (0, before):
+        before = left
+        hop = up.select("document_id", F.col("id").alias("far"), F.col("far").alias("next"))
+        up = cut(up.join(hop, ["document_id", "far"]).select("document_id", "id", F.col("next").alias("far")))
+    return up.select("document_id", "id")
+
+
 def check_units(papers: DataFrame, units: DataFrame, sections: DataFrame, relationships: DataFrame) -> DataFrame:
     """Units (document_id, id, ord, paper_id, section), sections (document_id, id) and
     relationships (document_id, source, target)."""

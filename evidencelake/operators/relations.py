@@ -9,25 +9,26 @@ from .structure import SPACE
 
 #: The digits of roman numerals.
 ROMAN = {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100, "D": 500, "M": 1000}
-_TOKEN = "[0-9]+|[ivxlcdmIVXLCDM]+"
+_TOKEN = r"[0-9]+|[ivxlcdmIVXLCDM]+\b"
 
 
 def parse_number(token: Column) -> Column:
-    """Value of an arabic or roman number in any case; null for anything else, roman numbers
-    that are not in their usual form included."""
-    upper = F.upper(token)
-    digits = F.transform(F.split(upper, ""), lambda x: F.create_map(*(F.lit(v) for item in ROMAN.items() for v in item))[x])
-    # from the right: a smaller digit before a larger one counts against it
-    start = F.struct(F.lit(0).alias("total"), F.lit(0).alias("right"))
-    value = F.aggregate(F.reverse(digits), start, lambda s, x: F.struct((s["total"] + F.when(x < s["right"], -x).otherwise(x)).alias("total"), x.alias("right")), lambda s: s["total"])
-    usual = upper.rlike("^M{0,3}(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})$") & (upper != "")
-    return F.when(token.rlike("^[0-9]{1,9}$"), token.try_cast("int")).when(usual, value)
+    """Value of an arabic or roman number in any case; null for anything else. Roman digits
+    need not be in their usual form: each counts against the number if a larger one is
+    anywhere behind it (IIII is 4, IC is 99)."""
+    value = F.create_map(*(F.lit(v) for item in ROMAN.items() for v in item))
+    digits = F.transform(F.split(F.upper(token), ""), lambda x: value[x])
+    # for each digit the largest of those from it on: a plain maximum over what follows
+    signed = F.transform(digits, lambda x, i: F.when(x < F.array_max(F.slice(digits, i + 1, F.size(digits) - i)), -x).otherwise(x))
+    total = F.aggregate(signed, F.lit(0), lambda a, x: a + x)
+    roman = F.when(token.rlike("^[ivxlcdmIVXLCDM]{1,100}$"), F.when(total > 0, total))
+    return F.when(token.rlike("^[0-9]{1,9}$"), token.try_cast("int")).otherwise(roman)
 
 
 def printed_numbers(captions: DataFrame) -> DataFrame:
     """The number printed at the start of each caption; of several captions of a document and
     kind with one number the first subject has it: doc_id, subject_type, subject_pos, number."""
-    token = F.regexp_extract("text", rf"^[ \t]*(?i:figure|fig\.?|table)[ \t]+({_TOKEN})(?:[^0-9A-Za-z]|$)", 1)
+    token = F.regexp_extract("text", rf"^[ \t]*(?i:figure|fig\.?|table)[ \t]+({_TOKEN})", 1)
     rows = captions.withColumn("number", parse_number(token)).where("number is not null")
     return rows.groupBy("doc_id", "subject_type", "number").agg(F.min("subject_pos").alias("subject_pos"))
 
@@ -49,7 +50,7 @@ def edges_cites(texts: DataFrame, entries: DataFrame) -> DataFrame:
 def edges_references(texts: DataFrame, numbers: DataFrame) -> DataFrame:
     """Mentions such as 'Figure 2' or 'Table IV' to the subject with that printed number, once
     for each pair: doc_id, source_pos, subject_type, target_pos."""
-    found = F.regexp_extract_all("text", F.lit(rf"\b((?i:figure|fig\.?|table){SPACE}+(?:{_TOKEN})\b)"), 1)
+    found = F.regexp_extract_all("text", F.lit(rf"\b((?i:figure|fig\.?|table){SPACE}+(?:{_TOKEN}))"), 1)
     rows = texts.select("doc_id", F.col("pos").alias("source_pos"), F.explode(found).alias("m"))
     kind = F.when(F.lower("m").startswith("table"), "table").otherwise("figure")
     rows = rows.select("doc_id", "source_pos", kind.alias("subject_type"), parse_number(F.regexp_extract("m", "([0-9A-Za-z]+)$", 1)).alias("number"))

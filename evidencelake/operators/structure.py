@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stage import cut
+
 SPACE = r"[ \t\n\r\f\x0B]"
-MAX_LEVEL = 6
 DOC = ("doc_id",)
 
 
@@ -30,11 +31,12 @@ def special_sections(items: DataFrame) -> DataFrame:
     """Items with a column ``mode``: abstract, references or body.
 
     A special heading of level L holds until a heading of level L or less, which is tested
-    anew; deeper headings inside it get the mode 'dropped'. Headings are folded document by
-    document; other items take the mode of the heading before them.
+    anew; deeper headings inside it get the mode 'dropped'. A heading without a level has level
+    1. Headings are folded document by document; other items take the mode of the heading
+    before them.
     """
-    role = heading_role(F.col("text"))
-    heads = items.where("kind = 'heading'").select("doc_id", F.struct("pos", "level", role.alias("role")).alias("h")).groupBy("doc_id").agg(F.array_sort(F.collect_list("h")).alias("heads"))
+    role, level = heading_role(F.col("text")), F.coalesce("level", F.lit(1))
+    heads = items.where("kind = 'heading'").select("doc_id", F.struct("pos", level.alias("level"), role.alias("role")).alias("h")).groupBy("doc_id").agg(F.array_sort(F.collect_list("h")).alias("heads"))
     start = F.struct(F.lit("body").alias("mode"), F.lit(0).alias("level"), F.array().cast("array<struct<pos:int,mode:string,own:string>>").alias("out"))
 
     def step(state: Column, h: Column) -> Column:
@@ -51,12 +53,26 @@ def special_sections(items: DataFrame) -> DataFrame:
     return joined.withColumn("mode", F.coalesce("own", before)).drop("after", "own")
 
 
-def section_tree(heads: DataFrame, max_level: int = MAX_LEVEL) -> DataFrame:
+def section_tree(heads: DataFrame) -> DataFrame:
     """Headings (doc_id, pos, level, text) with parent_pos, the nearest earlier heading of a
-    smaller level, and ord, the number of earlier children of the same parent."""
-    before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    nearest = [F.when(F.col("level") > v, F.last(F.when(F.col("level") == v, F.col("pos")), ignorenulls=True).over(before)) for v in range(1, max_level)]
-    out = heads.withColumn("parent_pos", F.greatest(*nearest, F.lit(None).cast("int")))
+    smaller level; ord, the number of earlier children of the same parent; and path, the
+    positions of all headings from the root to itself, which sorts depth first.
+
+    Any level and depth; a heading without a level has level 1. The fold over a document's
+    headings keeps a stack of those that are still open, of rising level.
+    """
+    head = F.struct(F.col("pos").cast("int").alias("pos"), F.coalesce("level", F.lit(1)).cast("int").alias("level"))
+    own = heads.groupBy("doc_id").agg(F.array_sort(F.collect_list(head)).alias("heads"))
+    start = F.struct(F.array().cast("array<struct<pos:int,level:int>>").alias("open"), F.array().cast("array<array<int>>").alias("paths"))
+
+    def step(state: Column, h: Column) -> Column:
+        above = F.filter(state["open"], lambda x: x["level"] < h["level"])
+        path = F.array_append(F.transform(above, lambda x: x["pos"]), h["pos"])
+        return F.struct(F.array_append(above, h).alias("open"), F.array_append(state["paths"], path).alias("paths"))
+
+    paths = own.select("doc_id", F.explode(F.aggregate("heads", start, step, lambda s: s["paths"])).alias("path"))
+    paths = paths.select("doc_id", F.element_at("path", -1).alias("pos"), F.get("path", F.size("path") - 2).alias("parent_pos"), "path")
+    out = heads.join(paths, ["doc_id", "pos"])
     return out.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id", "parent_pos").orderBy("pos")) - 1)
 
 
@@ -97,23 +113,26 @@ def references_split(blocks: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.posexplode(parts).alias("entry", "text"))
 
 
-def section_paths(sections: DataFrame, max_depth: int = MAX_LEVEL) -> DataFrame:
-    """Sections with ``path``: the sibling orders from the root down, which sorts depth first.
-    At most ``max_depth`` joins of one level each; sections in a cycle have no path."""
+def section_paths(sections: DataFrame) -> DataFrame:
+    """Sections (doc_id, pos, parent_pos, ord) of any source with ``path``: the sibling orders
+    from the root down, which sorts depth first. One join for each level that there is, until
+    none has children; sections in a cycle, or below an unknown parent, have no path."""
     level = sections.where("parent_pos is null").select("doc_id", "pos", F.array("ord").alias("path"))
     found = level
-    for _ in range(max_depth - 1):
-        children = sections.where("parent_pos is not null").select("doc_id", "pos", "ord", "parent_pos")
+    children = sections.where("parent_pos is not null").select("doc_id", "pos", "ord", "parent_pos")
+    while True:
         above = level.select("doc_id", F.col("pos").alias("parent_pos"), "path")
-        level = children.join(above, ["doc_id", "parent_pos"]).select("doc_id", "pos", F.array_append("path", F.col("ord")).alias("path"))
+        level = cut(children.join(above, ["doc_id", "parent_pos"]).select("doc_id", "pos", F.array_append("path", F.col("ord")).alias("path")))
+        if level.isEmpty():
+            return found
         found = found.unionByName(level)
-    return found
 
 
 def reading_order(items: DataFrame, sections: DataFrame, boxes: DataFrame) -> DataFrame:
     """Attached items with reading_pos (from 0): items without a section first, sections depth
-    first; inside one by box (page, y0; items without a box last), kind and order."""
-    paths = section_paths(sections).select("doc_id", F.col("pos").alias("section_pos"), "path")
+    first by their ``path``; inside one by box (page, y0; items without a box last), kind and
+    order."""
+    paths = sections.select("doc_id", F.col("pos").alias("section_pos"), "path")
     rank = F.when(F.col("kind") == "paragraph", 0).when(F.col("kind") == "figure", 1).otherwise(2)
     rows = items.join(paths, ["doc_id", "section_pos"], "left").join(boxes, ["doc_id", "pos"], "left")
     order = Window.partitionBy("doc_id").orderBy(F.coalesce("path", F.array().cast("array<int>")), F.col("page").isNull(), "page", "y0", rank, "ord", "pos")

@@ -20,26 +20,31 @@ def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(text, SPACE + "+", -1), lambda x: x != ""))
 
 
-def paragraph_runs(items: DataFrame) -> DataFrame:
-    """Attached items in document order to paragraphs with run (from 0 in each document): a
-    table, a figure or another section ends a run."""
-    order = Window.partitionBy("doc_id").orderBy("pos")
+def paragraph_runs(items: DataFrame, order_col: str = "pos") -> DataFrame:
+    """Attached items in order to paragraphs with run (from 0 in each document) and front
+    (whether only paragraphs without a section came so far): a table, a figure or another
+    section ends a run."""
+    order = Window.partitionBy("doc_id").orderBy(order_col)
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
     previous = F.lag(F.struct("kind", "section_pos")).over(order)
     new = (F.col("kind") == "paragraph") & (previous.isNull() | (previous["kind"] != "paragraph") | ~previous["section_pos"].eqNullSafe(F.col("section_pos")))
-    run = F.sum(new.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1
-    return items.withColumn("run", run).where("kind = 'paragraph'")
+    run = F.sum(new.cast("int")).over(upto) - 1
+    front = ~F.max((F.col("kind") != "paragraph") | F.col("section_pos").isNotNull()).over(upto)
+    return items.withColumn("run", run).withColumn("front", front).where("kind = 'paragraph'")
 
 
-def merge_tiny(runs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Paragraphs with a run to blocks: doc_id, run, block, section_pos, first_pos, n_paragraphs, text.
+def merge_tiny(runs: DataFrame, min_words: int = MIN_WORDS, order_col: str = "pos") -> DataFrame:
+    """Paragraphs with a run to blocks: doc_id, run, block, section_pos, front (where the rows
+    have it), first_pos (by ``order_col``), n_paragraphs, text.
 
     A block below ``min_words`` takes in the next paragraph; a last one below it joins the
     block before; a run of nothing else is one block. Each run is folded once; the fold's
     state is the blocks done, by their first paragraph, and the words of the open one.
     """
     rows = runs.withColumn("words", word_count(F.col("text")))
-    part = F.struct("pos", "words", "text")
-    grouped = rows.groupBy("doc_id", "run", "section_pos").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    part = F.struct(F.col(order_col).alias("pos"), "words", "text")
+    keys = ["doc_id", "run", "section_pos", *(["front"] if "front" in runs.columns else [])]
+    grouped = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(part)).alias("parts"))
     start = F.struct(F.array().cast("array<int>").alias("cuts"), F.lit(min_words).alias("open"), F.lit(0).alias("i"))
 
     def step(state: Column, x: Column) -> Column:
@@ -48,10 +53,10 @@ def merge_tiny(runs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     cuts = F.aggregate("parts", start, step, lambda s: F.when((s["open"] < min_words) & (F.size(s["cuts"]) > 1), F.slice(s["cuts"], 1, F.size(s["cuts"]) - 1)).otherwise(s["cuts"]))
     grouped = grouped.withColumn("cuts", cuts)
-    blocks = grouped.select("doc_id", "run", "section_pos", "parts", "cuts", F.posexplode("cuts").alias("block", "a"))
+    blocks = grouped.select(*keys, "parts", "cuts", F.posexplode("cuts").alias("block", "a"))
     end = F.coalesce(F.get("cuts", F.col("block") + 1), F.size("parts"))
     own = F.slice("parts", F.col("a") + 1, end - F.col("a"))
-    return blocks.select("doc_id", "run", "block", "section_pos", F.element_at(own, 1)["pos"].alias("first_pos"), F.size(own).alias("n_paragraphs"), F.array_join(F.transform(own, lambda x: x["text"]), " ").alias("text"))
+    return blocks.select(*keys, "block", F.element_at(own, 1)["pos"].alias("first_pos"), F.size(own).alias("n_paragraphs"), F.array_join(F.transform(own, lambda x: x["text"]), " ").alias("text"))
 
 
 def split_oversized(blocks: DataFrame, keys: tuple[str, ...], max_words: int = MAX_WORDS, text_col: str = "text") -> DataFrame:
@@ -78,13 +83,12 @@ def split_oversized(blocks: DataFrame, keys: tuple[str, ...], max_words: int = M
     return parts.select(*keys, "part", text.alias("text")).withColumn("words", word_count(F.col("text")))
 
 
-def front_matter_label(runs: DataFrame) -> DataFrame:
-    """Paragraphs with a run, with ``context``: before any section, table or figure, what the
-    first words of a paragraph say it is; null elsewhere."""
-    front = (F.col("run") == 0) & F.col("section_pos").isNull()
+def front_matter_label(rows: DataFrame) -> DataFrame:
+    """Paragraphs or parts of blocks (front, text) with ``context``: before any section, table
+    or figure, what their first words say they are; null elsewhere."""
     text = F.lower("text")
     label = F.when(text.rlike(rf"^{SPACE}*abstract\b"), ABSTRACT).when(text.rlike(rf"^{SPACE}*(index{SPACE}+terms|keywords)\b"), KEYWORDS).otherwise(AUTHORS)
-    return runs.withColumn("context", F.when(front, label))
+    return rows.withColumn("context", F.when(F.col("front"), label))
 
 
 def section_context(blocks: DataFrame, sections: DataFrame) -> DataFrame:

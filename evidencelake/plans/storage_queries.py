@@ -101,16 +101,18 @@ def provenance(spark: Spark, d: str) -> DataFrame:
 
 
 def dq_paper(spark: Spark, d: str) -> DataFrame:
-    """Papers with planted faults: a parent that is missing, one that is a cycle, foreign
-    children and captions without subject."""
+    """Papers with planted faults: some without content and some with sections only, a parent
+    that is missing, one that is a cycle, foreign children, captions without subject and
+    captions of the other kind."""
     docs = views.table(spark, d, "documents").select(F.col("doc_id").alias("document_id"))
     tree = structure.section_tree(views.content_items(spark, d).where("kind = 'heading'"))
     parent = F.expr("case when doc_id % 50 = 7 and pos = 14 then 9999 when doc_id % 50 = 9 and pos = 0 then pos else parent_pos end")
-    sections = tree.select(F.col("doc_id").alias("document_id"), F.col("pos").alias("id"), parent.alias("parent"))
+    sections = tree.where("doc_id % 100 <> 4").select(F.col("doc_id").alias("document_id"), F.col("pos").alias("id"), parent.alias("parent"))
     items = views.content_items(spark, d).where("kind <> 'heading'")
-    children = items.where("doc_id % 100 <> 3").select(F.col("doc_id").alias("document_id"), F.col("pos").alias("id"), F.expr("case when doc_id % 100 = 5 and pos = 1 then doc_id + 1 else doc_id end").alias("paper_id"))
-    captions = views.captions(spark, d).where("subject_pos <> 5 or doc_id % 10 <> 1").select(F.col("doc_id").alias("document_id"), F.col("subject_pos").alias("id"))
-    visuals = items.where("kind in ('table', 'figure') and (pos <> 8 or doc_id % 10 <> 2)").select(F.col("doc_id").alias("document_id"), F.col("pos").alias("id"))
+    children = items.where("doc_id % 100 not in (3, 4)").select(F.col("doc_id").alias("document_id"), F.col("pos").alias("id"), F.expr("case when doc_id % 100 = 5 and pos = 1 then doc_id + 1 else doc_id end").alias("paper_id"))
+    kind = F.expr("case when doc_id % 20 = 6 and subject_type = 'figure' then 'table' else subject_type end")
+    captions = views.captions(spark, d).where("subject_pos <> 5 or doc_id % 10 <> 1").select(F.col("doc_id").alias("document_id"), kind.alias("kind"), F.col("subject_pos").alias("id"))
+    visuals = items.where("kind in ('table', 'figure') and (pos <> 8 or doc_id % 10 <> 2)").select(F.col("doc_id").alias("document_id"), "kind", F.col("pos").alias("id"))
     return checks.check_papers(docs, sections, children, captions, visuals)
 
 
@@ -228,13 +230,13 @@ QUERIES = {
 
 _FILES = {"up": "SELECT 'doc' || doc_id || CASE WHEN doc_id % 5 = 0 THEN '.txt' ELSE '.PDF' END AS filename, CASE WHEN doc_id % 7 = 3 THEN 'text/plain' ELSE 'application/pdf' END AS ctype, CASE WHEN doc_id % 11 = 4 THEN '' WHEN doc_id % 3 = 0 THEN text ELSE '%PDF-1.7 ' || text END AS content FROM documents"}
 _REASON = f"CASE WHEN NOT lower(filename) LIKE '%.pdf' OR ctype <> 'application/pdf' THEN 'unsupported_type' WHEN content = '' THEN 'empty' WHEN strlen(content) > {MAX_BYTES} THEN 'too_large' WHEN NOT starts_with(content, '%PDF-') THEN 'not_pdf' END"
-_HASHED = UNITS_SQL | {"hashed": "SELECT document_id, sha256(string_agg(h, '' ORDER BY h)) AS version FROM (SELECT document_id, sha256(concat_ws('|', ku_id, modality, coalesce(context, '~'), text)) AS h FROM units) GROUP BY document_id"}
+_HASHED = UNITS_SQL | {"hashed": "SELECT document_id, sha256(string_agg(sha, '' ORDER BY part)) AS version FROM (SELECT document_id, h[1:3] AS part, sha256(string_agg(h, '' ORDER BY h)) AS sha FROM (SELECT document_id, sha256(concat_ws('|', ku_id, modality, coalesce(context, '~'), text)) AS h FROM units) GROUP BY document_id, part) GROUP BY document_id"}
 _STALE = _HASHED | {
     "stale": "SELECT document_id, CASE WHEN document_id % 4 = 1 THEN 'no_manifest' WHEN document_id = 2 THEN 'model' WHEN document_id = 3 THEN 'version' WHEN document_id % 5 = 4 THEN 'source' END AS reason FROM hashed"
 }
 _MANIFESTS = UNITS_SQL | {
     "lines_": "SELECT 'units' AS stage, document_id, text AS v FROM units UNION ALL SELECT 'embeddings', document_id, CAST(ku_id AS VARCHAR) FROM units UNION ALL SELECT 'citations', u.document_id, e.dst FROM point_edges e JOIN units u ON 'k' || u.ku_id = e.src WHERE e.type = 'CITES'",
-    "manifest": "SELECT stage, document_id, count(*) AS rows, sha256(string_agg(sha256(v), '' ORDER BY sha256(v))) AS checksum FROM lines_ GROUP BY stage, document_id",
+    "manifest": "SELECT stage, document_id, CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(sha, '' ORDER BY part)) AS checksum FROM (SELECT stage, document_id, sha256(v)[1:3] AS part, count(*) AS n, sha256(string_agg(sha256(v), '' ORDER BY sha256(v))) AS sha FROM lines_ GROUP BY ALL) GROUP BY stage, document_id",
 }
 
 
@@ -248,11 +250,11 @@ def _union(*rows: str) -> str:
 
 _STRIP = "regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(lower({}), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')), '[-–—][ ]+', '', 'g'), '[-–—]', '', 'g'), '[\"''“”‘’]', '', 'g')"
 _PAPER = structure_queries._TREE | {
-    "sec": "SELECT doc_id, pos AS id, CASE WHEN doc_id % 50 = 7 AND pos = 14 THEN 9999 WHEN doc_id % 50 = 9 AND pos = 0 THEN pos ELSE parent_pos END AS parent FROM sections",
+    "sec": "SELECT doc_id, pos AS id, CASE WHEN doc_id % 50 = 7 AND pos = 14 THEN 9999 WHEN doc_id % 50 = 9 AND pos = 0 THEN pos ELSE parent_pos END AS parent FROM sections WHERE doc_id % 100 <> 4",
     "rooted": "SELECT doc_id, id FROM sec WHERE parent IS NULL UNION ALL SELECT s.doc_id, s.id FROM rooted r JOIN sec s ON s.doc_id = r.doc_id AND s.parent = r.id",
     "stuck": "SELECT doc_id, id FROM sec WHERE doc_id % 50 = 9 AND id = 0 UNION ALL SELECT s.doc_id, s.id FROM stuck k JOIN sec s ON s.doc_id = k.doc_id AND s.parent = k.id AND s.id <> k.id",
     "vis": "SELECT * FROM content_items WHERE kind IN ('table', 'figure') AND (pos <> 8 OR doc_id % 10 <> 2)",
-    "cap": "SELECT * FROM captions WHERE subject_pos <> 5 OR doc_id % 10 <> 1",
+    "cap": "SELECT * REPLACE (CASE WHEN doc_id % 20 = 6 AND subject_type = 'figure' THEN 'table' ELSE subject_type END AS subject_type) FROM captions WHERE subject_pos <> 5 OR doc_id % 10 <> 1",
 }
 _TEXT = "trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace({}, '(?s)<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&amp;', '&'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))"
 _TOPQ = search_queries.TOPK_SQL
@@ -285,12 +287,12 @@ ORACLE_SQL = {
     ),
     "dq_paper": with_views(
         _union(
-            _row("empty_paper", "doc_id", "NULL", "NULL", "FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM content_items WHERE kind <> 'heading' AND doc_id % 100 <> 3)"),
+            _row("empty_paper", "doc_id", "NULL", "NULL", "FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM content_items WHERE kind <> 'heading' AND doc_id % 100 NOT IN (3, 4)) AND doc_id NOT IN (SELECT doc_id FROM sec)"),
             _row("wrong_paper", "doc_id", "pos", "doc_id + 1", "FROM content_items WHERE kind <> 'heading' AND doc_id % 100 = 5 AND pos = 1"),
             _row("unknown_parent", "doc_id", "id", "parent", "FROM sec s WHERE parent IS NOT NULL AND NOT EXISTS (SELECT 1 FROM sec o WHERE o.doc_id = s.doc_id AND o.id = s.parent)"),
             _row("section_cycle", "doc_id", "id", "NULL", "FROM stuck"),
-            _row("caption_without_subject", "doc_id", "subject_pos", "NULL", "FROM cap c WHERE NOT EXISTS (SELECT 1 FROM vis v WHERE v.doc_id = c.doc_id AND v.pos = c.subject_pos)"),
-            _row("uncaptioned_visual", "doc_id", "pos", "NULL", "FROM vis v WHERE NOT EXISTS (SELECT 1 FROM cap c WHERE v.doc_id = c.doc_id AND v.pos = c.subject_pos)"),
+            _row("caption_without_subject", "doc_id", "subject_pos", "NULL", "FROM cap c WHERE NOT EXISTS (SELECT 1 FROM vis v WHERE v.doc_id = c.doc_id AND v.pos = c.subject_pos AND v.kind = c.subject_type)"),
+            _row("uncaptioned_visual", "doc_id", "pos", "NULL", "FROM vis v WHERE NOT EXISTS (SELECT 1 FROM cap c WHERE v.doc_id = c.doc_id AND v.pos = c.subject_pos AND v.kind = c.subject_type)"),
         ),
         {k: v for k, v in _PAPER.items() if k != "rooted"},
     ),

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import relations, structure, units
 from ..sources import views
+from ..sources.stage import cut
 from ..sources.views import with_views
 
 Spark = SparkSession
@@ -66,7 +67,7 @@ def _runs(spark: Spark, d: str) -> DataFrame:
 
 
 def _blocks(spark: Spark, d: str) -> DataFrame:
-    return units.merge_tiny(_runs(spark, d))
+    return units.merge_tiny(_runs(spark, d)).drop("front")
 
 
 def paragraph_runs(spark: Spark, d: str) -> DataFrame:
@@ -125,15 +126,31 @@ def ku_figure(spark: Spark, d: str) -> DataFrame:
 
 
 def knowledge_units(spark: Spark, d: str) -> DataFrame:
-    """All units of the documents: doc_id, ord, kind, pos, part, text, context, words."""
-    items, captions = views.content_items(spark, d), views.captions(spark, d)
+    """All units of the documents: doc_id, ord, kind, pos, part, text, context, words. Body units
+    are in reading order, which is their pos; paragraphs of the abstract and of the references
+    section are no body."""
+    moded = cut(structure.special_sections(views.titled_items(spark, d)))
+    body = moded.where("kind in ('table', 'figure') or mode = 'body'").drop("mode")
+    sections = structure.section_tree(body.where("kind = 'heading'"))
+    items = structure.reading_order(structure.attach_to_section(body), sections, views.boxes(spark, d))
+    items, captions = cut(items), views.captions(spark, d)
     numbers = relations.printed_numbers(captions)
-    body = units.split_oversized(units.section_context(_blocks(spark, d), _sections(spark, d)), ("doc_id", "first_pos", "context"), max_words=40)
+
+    blocks = units.merge_tiny(units.paragraph_runs(items, "reading_pos"), order_col="reading_pos")
+    titled = units.section_context(blocks, sections).withColumnRenamed("context", "section")
+    split = units.split_oversized(titled, ("doc_id", "first_pos", "front", "section"), max_words=40)
+    split = units.front_matter_label(split).withColumn("context", F.coalesce("context", "section"))
+
+    def visuals(kind: str, text: Column | None = None) -> DataFrame:
+        made = units.visual_units(items, captions, kind, numbers, text)
+        return made.join(items.select("doc_id", "pos", "reading_pos"), ["doc_id", "pos"]).drop("pos").withColumnRenamed("reading_pos", "pos")
+
     parts = {
         "title": ku_title(spark, d),
-        "text": body.select("doc_id", F.col("first_pos").alias("pos"), "part", "text", "context"),
-        "table": units.visual_units(items, captions, "table", numbers, F.col("text")),
-        "figure": units.visual_units(items, captions, "figure", numbers),
+        "abstract": units.single_units(structure.abstract_join(moded), "abstract", F.col("abstract"), F.lit(units.ABSTRACT)),
+        "text": split.select("doc_id", F.col("first_pos").alias("pos"), "part", "text", "context"),
+        "table": visuals("table", F.col("text")),
+        "figure": visuals("figure"),
         "reference": ku_reference(spark, d).withColumnRenamed("entry", "pos"),
     }
     return units.assemble_units(parts)
@@ -183,9 +200,9 @@ QUERIES = {
 _WS = r"[ \t\n\r\f\v]"
 _WORDS = f"len(list_filter(string_split_regex({{}}, '{_WS}+'), lambda x: x <> ''))"
 _NORMAL = rf"lower(trim(regexp_replace(trim(regexp_replace(text, '^{_WS}*[0-9]+(\.[0-9]+)*\.?{_WS}*', '')), ':+$', '')))"
-_HEADS = {"heads": "SELECT doc_id, pos, level, text FROM content_items WHERE kind = 'heading'"}
+_HEADS = {"heads": "SELECT doc_id, pos, level, coalesce(level, 1) AS depth, text FROM content_items WHERE kind = 'heading'"}
 _TREE = _HEADS | {
-    "linked": "SELECT *, (SELECT max(o.pos) FROM heads o WHERE o.doc_id = h.doc_id AND o.pos < h.pos AND o.level < h.level) AS parent_pos FROM heads h",
+    "linked": "SELECT *, (SELECT max(o.pos) FROM heads o WHERE o.doc_id = h.doc_id AND o.pos < h.pos AND o.depth < h.depth) AS parent_pos FROM heads h",
     "sections": "SELECT *, row_number() OVER (PARTITION BY doc_id, parent_pos ORDER BY pos) - 1 AS ord FROM linked",
 }
 _ATTACHED = {
@@ -193,14 +210,14 @@ _ATTACHED = {
     "attached": "SELECT *, row_number() OVER (PARTITION BY doc_id, kind, CASE WHEN kind = 'paragraph' THEN section_pos END ORDER BY pos) - 1 AS ord FROM placed WHERE kind <> 'heading'",
 }
 _MODES = {
-    "marked": f"SELECT doc_id, pos, level, CASE WHEN {_NORMAL} = 'abstract' THEN 'abstract' WHEN {_NORMAL} IN ('references', 'bibliography') THEN 'references' ELSE 'section' END AS role, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM titled_items WHERE kind = 'heading'",
+    "marked": f"SELECT doc_id, pos, coalesce(level, 1) AS level, CASE WHEN {_NORMAL} = 'abstract' THEN 'abstract' WHEN {_NORMAL} IN ('references', 'bibliography') THEN 'references' ELSE 'section' END AS role, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM titled_items WHERE kind = 'heading'",
     "walk": """SELECT doc_id, pos, n, CASE WHEN role = 'section' THEN 'body' ELSE role END AS mode, level AS mode_level, CASE WHEN role = 'section' THEN 'body' ELSE role END AS own FROM marked WHERE n = 1
         UNION ALL SELECT m.doc_id, m.pos, m.n,
             CASE WHEN w.mode <> 'body' AND m.level > w.mode_level THEN w.mode WHEN m.role = 'section' THEN 'body' ELSE m.role END,
             CASE WHEN w.mode <> 'body' AND m.level > w.mode_level THEN w.mode_level ELSE m.level END,
             CASE WHEN w.mode <> 'body' AND m.level > w.mode_level THEN 'dropped' WHEN m.role = 'section' THEN 'body' ELSE m.role END
         FROM walk w JOIN marked m ON m.doc_id = w.doc_id AND m.n = w.n + 1""",
-    "moded": "SELECT t.doc_id, t.pos, t.kind, t.text, coalesce(w.own, (SELECT arg_max(x.mode, x.pos) FROM walk x WHERE x.doc_id = t.doc_id AND x.pos < t.pos), 'body') AS mode FROM titled_items t LEFT JOIN walk w ON w.doc_id = t.doc_id AND w.pos = t.pos",
+    "moded": "SELECT t.doc_id, t.pos, t.kind, t.level, t.text, coalesce(w.own, (SELECT arg_max(x.mode, x.pos) FROM walk x WHERE x.doc_id = t.doc_id AND x.pos < t.pos), 'body') AS mode FROM titled_items t LEFT JOIN walk w ON w.doc_id = t.doc_id AND w.pos = t.pos",
 }
 _ABSTRACT = _MODES | {"abstracts": "SELECT doc_id, nullif(trim(coalesce(string_agg(CASE WHEN mode = 'abstract' AND kind = 'paragraph' THEN text END, chr(10) || chr(10) ORDER BY pos), '')), '') AS abstract FROM moded GROUP BY doc_id"}
 _ENTRIES = {
@@ -209,17 +226,19 @@ _ENTRIES = {
     "cut": r"SELECT doc_id, list_filter(list_transform(CASE WHEN len(regexp_extract_all(j, '\[[0-9]+\]')) >= 2 THEN string_split(regexp_replace(j, '(\[[0-9]+\])', chr(1) || '\1', 'g'), chr(1)) ELSE parts END, lambda x: trim(x)), lambda x: x <> '') AS p FROM joined",
     "entries": "SELECT doc_id, generate_subscripts(p, 1) - 1 AS entry, unnest(p) AS text FROM cut",
 }
+_PATHS = {"paths": "SELECT doc_id, pos, [ord] AS path FROM sections WHERE parent_pos IS NULL UNION ALL SELECT s.doc_id, s.pos, list_append(p.path, s.ord) FROM paths p JOIN sections s ON s.doc_id = p.doc_id AND s.parent_pos = p.pos"}
+_READING = "row_number() OVER (PARTITION BY a.doc_id ORDER BY coalesce(p.path, CAST([] AS BIGINT[])), b.page IS NULL, b.page, b.y0, CASE a.kind WHEN 'paragraph' THEN 0 WHEN 'figure' THEN 1 ELSE 2 END, a.ord, a.pos) - 1 AS reading_pos FROM attached a LEFT JOIN paths p ON p.doc_id = a.doc_id AND p.pos = a.section_pos LEFT JOIN boxes b ON b.doc_id = a.doc_id AND b.pos = a.pos"
 _RUNS = _ATTACHED | {
     "flagged": "SELECT *, CASE WHEN kind = 'paragraph' AND (lag(kind) OVER w IS NULL OR lag(kind) OVER w <> 'paragraph' OR lag(section_pos) OVER w IS DISTINCT FROM section_pos) THEN 1 ELSE 0 END AS new FROM attached WINDOW w AS (PARTITION BY doc_id ORDER BY pos)",
-    "runs": "SELECT * FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS run FROM flagged) WHERE kind = 'paragraph'",
+    "runs": "SELECT * FROM (SELECT *, sum(new) OVER w - 1 AS run, NOT bool_or(kind <> 'paragraph' OR section_pos IS NOT NULL) OVER w AS front FROM flagged WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) WHERE kind = 'paragraph'",
 }
 _BLOCKS = _RUNS | {
-    "counted": f"SELECT doc_id, run, section_pos, pos, text, {_WORDS.format('text')} AS words, row_number() OVER (PARTITION BY doc_id, run ORDER BY pos) AS n FROM runs",
+    "counted": f"SELECT doc_id, run, section_pos, front, pos, text, {_WORDS.format('text')} AS words, row_number() OVER (PARTITION BY doc_id, run ORDER BY pos) AS n FROM runs",
     "steps": """SELECT doc_id, run, n, 0 AS g, words AS open FROM counted WHERE n = 1
         UNION ALL SELECT c.doc_id, c.run, c.n, CASE WHEN s.open < 4 THEN s.g ELSE s.g + 1 END, CASE WHEN s.open < 4 THEN s.open + c.words ELSE c.words END FROM steps s JOIN counted c ON c.doc_id = s.doc_id AND c.run = s.run AND c.n = s.n + 1""",
     "lasts": "SELECT doc_id, run, max(g) AS g, arg_max(open, n) AS open FROM steps GROUP BY doc_id, run",
     "tiny": "SELECT c.*, CASE WHEN s.g = l.g AND l.open < 4 AND l.g > 0 THEN s.g - 1 ELSE s.g END AS block FROM counted c JOIN steps s ON s.doc_id = c.doc_id AND s.run = c.run AND s.n = c.n JOIN lasts l ON l.doc_id = c.doc_id AND l.run = c.run",
-    "merged": "SELECT doc_id, run, block, section_pos, min(pos) AS first_pos, count(*) AS n_paragraphs, string_agg(text, ' ' ORDER BY pos) AS text FROM tiny GROUP BY doc_id, run, block, section_pos",
+    "merged": "SELECT doc_id, run, block, section_pos, any_value(front) AS front, min(pos) AS first_pos, count(*) AS n_paragraphs, string_agg(text, ' ' ORDER BY pos) AS text FROM tiny GROUP BY doc_id, run, block, section_pos",
 }
 
 
@@ -237,9 +256,11 @@ def _split_sql(source: str, keys: str, most: int) -> dict[str, str]:
 
 
 _SPLIT = _split_sql("documents", "doc_id", 250)
+_ROMAN = "list_reduce(list_prepend({'total': 0, 'top': 0}, list_transform(string_split(reverse(token), ''), lambda c: {'total': CASE c WHEN 'I' THEN 1 WHEN 'V' THEN 5 WHEN 'X' THEN 10 WHEN 'L' THEN 50 WHEN 'C' THEN 100 WHEN 'D' THEN 500 ELSE 1000 END, 'top': 0})), lambda a, x: {'total': CASE WHEN x.total < a.top THEN a.total - x.total ELSE a.total + x.total END, 'top': greatest(a.top, x.total)}).total"
+_VALUE = f"CASE WHEN regexp_matches(token, '^[0-9]+$') THEN CAST(token AS INT) WHEN regexp_matches(token, '^[IVXLCDM]+$') THEN nullif(greatest({_ROMAN}, 0), 0) END"
 _NUMBERS = {
-    "printed": r"SELECT doc_id, subject_type, subject_pos, upper(regexp_extract(text, '^[ \t]*(?i:figure|fig\.?|table)[ \t]+([0-9]+|[ivxlcdmIVXLCDM]+)(?:[^0-9A-Za-z]|$)', 1)) AS token FROM captions",
-    "valued": "SELECT p.doc_id, p.subject_type, p.subject_pos, CASE WHEN regexp_matches(token, '^[0-9]+$') THEN CAST(token AS INT) ELSE r.n END AS number FROM printed p LEFT JOIN romans r ON r.roman = p.token AND p.token <> ''",
+    "printed": r"SELECT doc_id, subject_type, subject_pos, upper(regexp_extract(text, '^[ \t]*(?i:figure|fig\.?|table)[ \t]+([0-9]+|[ivxlcdmIVXLCDM]+\b)', 1)) AS token FROM captions",
+    "valued": f"SELECT doc_id, subject_type, subject_pos, {_VALUE} AS number FROM printed",
     "numbers": "SELECT doc_id, subject_type, min(subject_pos) AS subject_pos, number FROM valued WHERE number IS NOT NULL GROUP BY doc_id, subject_type, number",
 }
 _EVEN = {
@@ -254,16 +275,34 @@ _VISUAL = "SELECT i.doc_id, i.pos, {text} AS text, '{name}' || coalesce(' ' || n
 _TITLE = "SELECT doc_id, 'title' AS kind, trim(text) AS text, CAST(NULL AS VARCHAR) AS context FROM paper_lines WHERE pos = 0"
 _TABLE_TEXT = "coalesce(nullif(concat_ws(chr(10) || chr(10), nullif(trim(c.text), ''), {}), ''), 'Untitled table')"
 _CONTEXT = _BLOCKS | {"titled": "SELECT m.doc_id, m.run, m.block, m.first_pos, m.text, 'Section: ' || h.text AS context FROM merged m LEFT JOIN content_items h ON h.doc_id = m.doc_id AND h.pos = m.section_pos"}
+_FRONT = f"CASE WHEN regexp_matches(lower(text), '^{_WS}*abstract\\b') THEN 'Abstract' WHEN regexp_matches(lower(text), '^{_WS}*(index{_WS}+terms|keywords)\\b') THEN 'Keywords (index terms)' ELSE 'Authors and affiliations (title page)' END"
+_BODY = {"body": "SELECT * FROM moded WHERE kind IN ('table', 'figure') OR mode = 'body'"}
+_ORDERED = {"ordered": f"SELECT a.doc_id, a.kind, a.level, a.text, a.section_pos, a.pos AS item_pos, {_READING}", "read": "SELECT *, reading_pos AS pos FROM ordered"}
+_SPLIT_BODY = _split_sql("headed", "doc_id, first_pos, front, context", 40)
+
+
+def _of(source: str, named: dict[str, str], old: str = "content_items") -> dict[str, str]:
+    """Named queries that read ``source`` in place of ``old``."""
+    return {k: v.replace(f"FROM {old}", f"FROM {source}") for k, v in named.items()}
+
+
 _UNITS = (
-    _ENTRIES
-    | _CONTEXT
+    _ABSTRACT
+    | _BODY
+    | _of("body", _TREE | _ATTACHED)
+    | _PATHS
+    | _ORDERED
+    | {k: v for k, v in _of("read", _BLOCKS, "attached").items() if k not in _ATTACHED}
+    | {"headed": "SELECT m.doc_id, m.first_pos, m.front, m.text, 'Section: ' || h.text AS context FROM merged m LEFT JOIN body h ON h.doc_id = m.doc_id AND h.pos = m.section_pos"}
+    | _SPLIT_BODY
+    | _ENTRIES
     | _NUMBERS
-    | _split_sql("titled", "doc_id, first_pos, context", 40)
     | {
         "pieces": f"""SELECT doc_id, 0 AS r, kind, 0 AS pos, 0 AS part, text, context FROM ({_TITLE})
-        UNION ALL SELECT doc_id, 2, 'text', first_pos, part, text, context FROM parts
-        UNION ALL SELECT doc_id, 2, 'table', pos, 0, text, context FROM ({_VISUAL.format(text=_TABLE_TEXT.format("i.text"), name="Table", captions="captions", kind="table")})
-        UNION ALL SELECT doc_id, 2, 'figure', pos, 0, text, context FROM ({_VISUAL.format(text="coalesce(nullif(trim(c.text), ''), 'Untitled figure')", name="Figure", captions="captions", kind="figure")})
+        UNION ALL SELECT doc_id, 1, 'abstract', 0, 0, abstract, 'Abstract' FROM abstracts WHERE abstract IS NOT NULL
+        UNION ALL SELECT doc_id, 2, 'text', first_pos, part, text, CASE WHEN front THEN {_FRONT} ELSE context END FROM parts
+        UNION ALL SELECT v.doc_id, 2, 'table', o.reading_pos, 0, v.text, v.context FROM ({_VISUAL.format(text=_TABLE_TEXT.format("i.text"), name="Table", captions="captions", kind="table")}) v JOIN ordered o ON o.doc_id = v.doc_id AND o.item_pos = v.pos
+        UNION ALL SELECT v.doc_id, 2, 'figure', o.reading_pos, 0, v.text, v.context FROM ({_VISUAL.format(text="coalesce(nullif(trim(c.text), ''), 'Untitled figure')", name="Figure", captions="captions", kind="figure")}) v JOIN ordered o ON o.doc_id = v.doc_id AND o.item_pos = v.pos
         UNION ALL SELECT doc_id, 3, 'reference', entry, 0, text, 'Bibliography reference [' || (entry + 1) || ']' FROM entries""",
         "assembled": f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY r, pos, part) - 1 AS ord, kind, pos, part, text, context, CASE WHEN kind NOT IN ('table', 'figure') THEN {_WORDS.format('text')} END AS words FROM pieces",
     }
@@ -278,18 +317,18 @@ ORACLE_SQL = {
     "abstract_join": with_views("SELECT doc_id, abstract FROM abstracts", _ABSTRACT),
     "references_split": with_views("SELECT doc_id, entry, text FROM entries", _ENTRIES),
     "reading_order": with_views(
-        "SELECT a.doc_id, a.pos, row_number() OVER (PARTITION BY a.doc_id ORDER BY coalesce(p.path, CAST([] AS BIGINT[])), b.page IS NULL, b.page, b.y0, CASE a.kind WHEN 'paragraph' THEN 0 WHEN 'figure' THEN 1 ELSE 2 END, a.ord, a.pos) - 1 AS reading_pos FROM attached a LEFT JOIN paths p ON p.doc_id = a.doc_id AND p.pos = a.section_pos LEFT JOIN boxes b ON b.doc_id = a.doc_id AND b.pos = a.pos",
-        _TREE | _ATTACHED | {"paths": "SELECT doc_id, pos, [ord] AS path FROM sections WHERE parent_pos IS NULL UNION ALL SELECT s.doc_id, s.pos, list_append(p.path, s.ord) FROM paths p JOIN sections s ON s.doc_id = p.doc_id AND s.parent_pos = p.pos"},
+        f"SELECT a.doc_id, a.pos, {_READING}",
+        _TREE | _ATTACHED | _PATHS,
     ),
     "table_markdown": with_views(
         "SELECT doc_id, tab AS \"table\", \"row\", '| ' || string_agg(text, ' | ' ORDER BY n) || ' |' || CASE WHEN \"row\" = 0 THEN chr(10) || '|' || repeat(' --- |', count(*)) ELSE '' END AS line FROM cells GROUP BY doc_id, tab, \"row\"",
         {"cells": "SELECT doc_id, tab, CAST((n - 1) // 3 AS INT) AS \"row\", n, text FROM (SELECT doc_id, pos AS tab, unnest(string_split(text, ' ')) AS text, generate_subscripts(string_split(text, ' '), 1) AS n FROM content_items WHERE kind = 'table')"},
     ),
     "paragraph_runs": with_views("SELECT doc_id, pos, run, section_pos FROM runs", _RUNS),
-    "merge_tiny": with_views("SELECT * FROM merged", _BLOCKS),
+    "merge_tiny": with_views("SELECT * EXCLUDE (front) FROM merged", _BLOCKS),
     "split_oversized": with_views(f"SELECT doc_id, part, text, {_WORDS.format('text')} AS words FROM parts", _SPLIT),
     "front_matter_label": with_views(
-        f"SELECT doc_id, pos, CASE WHEN run = 0 AND section_pos IS NULL THEN CASE WHEN regexp_matches(lower(text), '^{_WS}*abstract\\b') THEN 'Abstract' WHEN regexp_matches(lower(text), '^{_WS}*(index{_WS}+terms|keywords)\\b') THEN 'Keywords (index terms)' ELSE 'Authors and affiliations (title page)' END END AS context FROM runs",
+        f"SELECT doc_id, pos, CASE WHEN front THEN CASE WHEN regexp_matches(lower(text), '^{_WS}*abstract\\b') THEN 'Abstract' WHEN regexp_matches(lower(text), '^{_WS}*(index{_WS}+terms|keywords)\\b') THEN 'Keywords (index terms)' ELSE 'Authors and affiliations (title page)' END END AS context FROM runs",
         {"opened": "SELECT doc_id, pos, kind, level, CASE doc_id % 4 WHEN 0 THEN 'Abstract: ' || text WHEN 1 THEN 'Index  terms - ' || text ELSE text END AS text FROM content_items WHERE NOT (kind = 'heading' AND pos = 0)"}
         | {k: v.replace("FROM content_items", "FROM opened") for k, v in _RUNS.items()},
     ),
@@ -308,9 +347,9 @@ ORACLE_SQL = {
         "SELECT DISTINCT m.doc_id, m.pos AS source_pos, n.subject_type, n.subject_pos AS target_pos FROM mentions m JOIN numbers n ON n.doc_id = m.doc_id AND n.subject_type = m.kind AND n.number = m.number",
         _NUMBERS
         | {
-            "found": r"SELECT doc_id, pos, unnest(regexp_extract_all(text, '\b(?i:figure|fig\.?|table)[ \t\n\r\f\v]+(?:[0-9]+|[ivxlcdmIVXLCDM]+)\b')) AS m FROM cited_paragraphs",
+            "found": r"SELECT doc_id, pos, unnest(regexp_extract_all(text, '\b(?i:figure|fig\.?|table)[ \t\n\r\f\v]+(?:[0-9]+|[ivxlcdmIVXLCDM]+\b)')) AS m FROM cited_paragraphs",
             "tokens": r"SELECT doc_id, pos, CASE WHEN lower(m) LIKE 'table%' THEN 'table' ELSE 'figure' END AS kind, upper(regexp_extract(m, '([0-9A-Za-z]+)$', 1)) AS token FROM found",
-            "mentions": "SELECT t.doc_id, t.pos, t.kind, CASE WHEN regexp_matches(token, '^[0-9]+$') THEN CAST(token AS INT) ELSE r.n END AS number FROM tokens t LEFT JOIN romans r ON r.roman = t.token",
+            "mentions": f"SELECT doc_id, pos, kind, {_VALUE} AS number FROM tokens",
         },
     ),
     "citation_counts": with_views("SELECT e.doc_id, e.entry, count(c.source_pos) AS citations FROM entries e LEFT JOIN cites c ON c.doc_id = e.doc_id AND c.target_entry = e.entry GROUP BY e.doc_id, e.entry", _CITES),

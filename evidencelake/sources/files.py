@@ -2,16 +2,10 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
 from functools import reduce
-from itertools import groupby
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 
 MAX_BYTES = 50 * 1024 * 1024
 
@@ -80,28 +74,12 @@ def content_hash(rows: DataFrame, by: str, columns: list[str]) -> DataFrame:
 
 
 def digest(lines: DataFrame, by: str) -> DataFrame:
-    """Lines (``by``, line) to one row for each key: ``by``, rows, checksum, the sha256 of the
-    key's lines in order. Lines are sorted by Spark and hashed as they pass, so a key's lines
-    are never in one cell or in memory together; they do pass through one task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, n, sha = None, 0, hashlib.sha256()
-        for batch in batches:
-            done = []
-            for found, own in groupby(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), lambda x: x[0]):
-                own = [line for _, line in own]
-                if n and found != key:
-                    done.append((key, n, sha.hexdigest()))
-                    n, sha = 0, hashlib.sha256()
-                key, n = found, n + len(own)
-                sha.update("".join(own).encode())
-            yield rows(done)
-        yield rows([(key, n, sha.hexdigest())] if n else [])
-
-    def rows(done: list[tuple]) -> pa.RecordBatch:
-        values = list(zip(*done, strict=True)) or [[], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(values[0], kind), pa.array(values[1], pa.int64()), pa.array(values[2], pa.string())], names=[by, "rows", "checksum"])
-
-    schema = T.StructType([T.StructField(by, lines.schema[by].dataType), T.StructField("rows", T.LongType()), T.StructField("checksum", T.StringType())])
-    kind = to_arrow_type(lines.schema[by].dataType)
-    return lines.select(by, "line").repartition(by).sortWithinPartitions(by, "line").mapInArrow(run, schema)
+    """Lines (``by``, line: a hex digest) to one row for each key: ``by``, rows, checksum,
+    whatever their order. Lines are hashed, in order, with those that begin with the same
+    three digits, and a key's 4,096 parts then by their digits, so that neither a cell nor a
+    task has all lines of a key."""
+    joined = lambda x: F.sha2(F.array_join(x, "").cast("binary"), 256)
+    part = F.substring("line", 1, 3).alias("part")
+    parts = lines.groupBy(by, part).agg(F.count(F.lit(1)).alias("n"), joined(F.array_sort(F.collect_list("line"))).alias("sha"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("part", "sha"))), lambda x: x["sha"])
+    return parts.groupBy(by).agg(F.sum("n").alias("rows"), joined(ordered).alias("checksum"))

@@ -23,9 +23,10 @@ def paper_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def content_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, pos, kind, level, text: a content stream with headings, tables and figures."""
+    """doc_id, pos, kind, level, text: a content stream with headings, tables and figures. Levels
+    go down to eight; every fifth heading has none."""
     kind = F.expr("case when pos % 7 = 0 then 'heading' when pos % 11 = 5 then 'table' when pos % 13 = 8 then 'figure' else 'paragraph' end")
-    level = F.expr("case when pos % 7 = 0 then cast(1 + (doc_id + pos) % 3 as int) end")
+    level = F.expr("case when pos % 7 = 0 and pos % 35 <> 28 then cast(1 + (doc_id % 2 + pos div 7) % 8 as int) end")
     return paper_lines(spark, sf_dir).select("doc_id", "pos", kind.alias("kind"), level.alias("level"), "text")
 
 
@@ -41,10 +42,12 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, subject_pos, subject_type, text: numbered captions of tables and figures."""
+    """doc_id, subject_pos, subject_type, text: numbered captions of tables and figures, tables of
+    odd documents by roman numerals, some of them in an unusual form."""
     number = F.row_number().over(_by("doc_id", "kind").orderBy("pos"))
     items = content_items(spark, sf_dir).where("kind in ('table', 'figure')").withColumn("n", number)
     printed = F.when((F.col("kind") == "table") & (F.col("doc_id") % 2 == 1), roman(F.col("n"))).otherwise(F.col("n").cast("string"))
+    printed = F.when(F.col("doc_id") % 3 == 0, F.replace(F.replace(printed, F.lit("IV"), F.lit("IIII")), F.lit("IX"), F.lit("VIIII"))).otherwise(printed)
     return items.select("doc_id", F.col("pos").alias("subject_pos"), F.col("kind").alias("subject_type"), F.concat(F.initcap("kind"), F.lit(" "), printed, F.lit(" "), "text").alias("text"))
 
 
@@ -59,17 +62,18 @@ def references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cited_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, pos, text: paragraphs with citation marks and mentions of a figure or table."""
-    text = F.expr("concat(text, case when pos % 3 = 1 then concat(' [', 1 + pos % 6, ']') else '' end, case when pos % 5 = 2 then ' Figure 1' when pos % 5 = 4 then ' Table I' else '' end)")
+    text = F.expr("concat(text, case when pos % 3 = 1 then concat(' [', 1 + pos % 6, ']') else '' end, case when pos % 5 = 2 then ' Figure 1' when pos % 5 = 4 then concat(' Table ', elt(1 + pos div 5 % 4, 'I', 'ii', 'IIII', '2a')) else '' end)")
     return content_items(spark, sf_dir).where("kind = 'paragraph'").select("doc_id", "pos", text.alias("text"))
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ku_id, document_id, section_id, ord, vector, text: vectors as points of ten documents."""
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.col("label").cast("long").alias("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    labels = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text")
     order = F.row_number().over(_by("label").orderBy("vec_id")) - 1
     text = F.coalesce("text", F.concat(F.lit("vector "), F.col("vec_id").cast("string")))
-    return vectors.withColumn("ord", order).join(docs, "vec_id", "left").select(F.col("vec_id").alias("ku_id"), F.col("label").alias("document_id"), F.expr("label * 1000 + vec_id div 40").alias("section_id"), "ord", F.col("embedding").alias("vector"), text.alias("text"))
+    return labels.withColumn("ord", order).join(vectors, "vec_id").join(docs, "vec_id", "left").select(F.col("vec_id").alias("ku_id"), F.col("label").alias("document_id"), F.expr("label * 1000 + vec_id div 40").alias("section_id"), "ord", F.col("embedding").alias("vector"), text.alias("text"))
 
 
 def point_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,13 +150,13 @@ def _by(*columns: str) -> WindowSpec:
 
 SQL = {
     "paper_lines": "SELECT doc_id, i - 1 AS pos, trim(l) AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE trim(l) <> ''",
-    "content_items": "SELECT doc_id, pos, CASE WHEN pos % 7 = 0 THEN 'heading' WHEN pos % 11 = 5 THEN 'table' WHEN pos % 13 = 8 THEN 'figure' ELSE 'paragraph' END AS kind, CASE WHEN pos % 7 = 0 THEN CAST(1 + (doc_id + pos) % 3 AS INT) END AS level, text FROM paper_lines",
+    "content_items": "SELECT doc_id, pos, CASE WHEN pos % 7 = 0 THEN 'heading' WHEN pos % 11 = 5 THEN 'table' WHEN pos % 13 = 8 THEN 'figure' ELSE 'paragraph' END AS kind, CASE WHEN pos % 7 = 0 AND pos % 35 <> 28 THEN CAST(1 + (doc_id % 2 + pos // 7) % 8 AS INT) END AS level, text FROM paper_lines",
     "titled_items": "SELECT doc_id, pos, kind, level, CASE WHEN kind <> 'heading' THEN text WHEN pos = 0 AND doc_id % 3 = 0 THEN '1. Abstract:' WHEN pos % 28 = 21 THEN 'References' ELSE (pos // 7) || '.' || (doc_id % 4) || ' ' || text END AS text FROM content_items",
     "boxes": "SELECT doc_id, pos, CAST(1 + pos // 20 AS INT) AS page, CAST((pos * 37) % 20 * 10 AS DOUBLE) AS y0 FROM paper_lines WHERE pos % 4 <> 3",
     "romans": "SELECT i AS n, list_extract(['','C','CC','CCC','CD','D','DC','DCC','DCCC','CM'], i // 100 % 10 + 1) || list_extract(['','X','XX','XXX','XL','L','LX','LXX','LXXX','XC'], i // 10 % 10 + 1) || list_extract(['','I','II','III','IV','V','VI','VII','VIII','IX'], i % 10 + 1) AS roman FROM range(1, 1000) t(i)",
-    "captions": "SELECT doc_id, pos AS subject_pos, kind AS subject_type, upper(kind[1]) || kind[2:] || ' ' || CASE WHEN kind = 'table' AND doc_id % 2 = 1 THEN roman ELSE CAST(c.n AS VARCHAR) END || ' ' || text AS text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, kind ORDER BY pos) AS n FROM content_items WHERE kind IN ('table', 'figure')) c JOIN romans r ON r.n = c.n",
+    "captions": "SELECT doc_id, pos AS subject_pos, kind AS subject_type, upper(kind[1]) || kind[2:] || ' ' || CASE WHEN kind = 'table' AND doc_id % 2 = 1 THEN CASE WHEN doc_id % 3 = 0 THEN replace(replace(roman, 'IV', 'IIII'), 'IX', 'VIIII') ELSE roman END ELSE CAST(c.n AS VARCHAR) END || ' ' || text AS text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, kind ORDER BY pos) AS n FROM content_items WHERE kind IN ('table', 'figure')) c JOIN romans r ON r.n = c.n",
     "references_v": "SELECT d.doc_id, r.i AS ref_order, b.text AS raw_text FROM documents d, range(0, 5) r(i) JOIN benchmark b ON b.item_id = (d.doc_id + r.i) % (SELECT count(*) FROM benchmark)",
-    "cited_paragraphs": "SELECT doc_id, pos, text || CASE WHEN pos % 3 = 1 THEN ' [' || (1 + pos % 6) || ']' ELSE '' END || CASE WHEN pos % 5 = 2 THEN ' Figure 1' WHEN pos % 5 = 4 THEN ' Table I' ELSE '' END AS text FROM content_items WHERE kind = 'paragraph'",
+    "cited_paragraphs": "SELECT doc_id, pos, text || CASE WHEN pos % 3 = 1 THEN ' [' || (1 + pos % 6) || ']' ELSE '' END || CASE WHEN pos % 5 = 2 THEN ' Figure 1' WHEN pos % 5 = 4 THEN ' Table ' || list_extract(['I', 'ii', 'IIII', '2a'], 1 + pos // 5 % 4) ELSE '' END AS text FROM content_items WHERE kind = 'paragraph'",
     "points": "SELECT v.vec_id AS ku_id, CAST(v.label AS BIGINT) AS document_id, CAST(v.label AS BIGINT) * 1000 + v.vec_id // 40 AS section_id, row_number() OVER (PARTITION BY v.label ORDER BY v.vec_id) - 1 AS ord, v.embedding AS vector, coalesce(d.text, 'vector ' || v.vec_id) AS text FROM embeddings v LEFT JOIN documents d ON d.doc_id = v.vec_id",
     "point_edges": """SELECT 'k' || a.ku_id AS src, 'k' || b.ku_id AS dst, 'NEXT' AS type FROM points a JOIN points b ON a.document_id = b.document_id AND b.ord = a.ord + 1
         UNION ALL SELECT 'k' || a.ku_id, 'k' || b.ku_id, 'CITES' FROM sized a JOIN points b ON a.document_id = b.document_id AND b.ord = (a.ord * 7 + 3) % a.n WHERE a.ku_id % 4 = 0 AND a.ku_id <> b.ku_id
