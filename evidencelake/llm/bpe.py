@@ -71,7 +71,15 @@ class Codec:
         return self.core.decode_bytes(ids.tolist())
 
 
-def encode(df: DataFrame, rank_file: str, pattern: str, *, text_col: str = "text", ids_col: str = "token_ids", decoded_col: str | None = None) -> DataFrame:
+def encode(
+    df: DataFrame,
+    rank_file: str,
+    pattern: str,
+    *,
+    text_col: str = "text",
+    ids_col: str = "token_ids",
+    decoded_col: str | None = None,
+) -> DataFrame:
     """``df`` with the token ids of each text and, if named, the bytes that they decode to.
 
     Every row and column of ``df`` is kept; a column that has one of the new names is
@@ -82,7 +90,11 @@ def encode(df: DataFrame, rank_file: str, pattern: str, *, text_col: str = "text
         ranks = df.sparkSession.sparkContext.broadcast(f.read())
     new = [ids_col, *([decoded_col] if decoded_col else [])]
     kept = [c for c in df.columns if c not in new]
-    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False)] + ([T.StructField(decoded_col, T.BinaryType(), False)] if decoded_col else []))
+    schema = T.StructType(
+        [df.schema[c] for c in kept] + [
+            T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False)
+        ] + ([T.StructField(decoded_col, T.BinaryType(), False)] if decoded_col else [])
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(ranks.value, pattern)

@@ -76,7 +76,12 @@ def format_windows(
     turn = F.col(turn_col).cast("long")
     block = F.lit(0).cast("long") if block_turns is None else F.floor(F.coalesce(turn, F.lit(-(1 << 40))) / block_turns)
     role, text = F.coalesce(F.col(role_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))
-    turns = df.select(F.struct(F.col(conv_col).alias("conv"), block.alias("block")).alias("part"), turn.alias("turn"), role.alias("role"), text.alias("text"))
+    turns = df.select(
+        F.struct(F.col(conv_col).alias("conv"), block.alias("block")).alias("part"),
+        turn.alias("turn"),
+        role.alias("role"),
+        text.alias("text"),
+    )
     dealt = _measured(turns.repartition("part"))
     none = F.array().cast(f"array<{_TURN_TYPE}>")
     if block_turns is None:
@@ -112,9 +117,19 @@ def format_windows(
     starts = F.coalesce(F.col("cell") != F.lag("cell").over(order), F.lit(True))
 
     # Earlier turns, the nearest first, each with the tokens from it to the window.
-    earlier = F.array(*(F.lag(F.when(~F.col("is_system"), F.struct("formatted", "size", "tokens")), k).over(order) for k in range(1, history_turns + 1))) if history_turns else none
+    earlier = F.array(
+        *(F.lag(F.when(~F.col("is_system"), F.struct("formatted", "size", "tokens")), k).over(order) for k in range(1, history_turns + 1))
+    ) if history_turns else none
     rows = rows.withColumn("earlier", earlier).withColumn("starts", starts)
-    start = F.struct("system", "opens", "room", "spare", F.concat(F.filter("earlier", lambda x: x.isNotNull()), "tail").alias("earlier"), F.col("chars").alias("base"), (F.col("n0") + F.col("i")).alias("window"))
+    start = F.struct(
+        "system",
+        "opens",
+        "room",
+        "spare",
+        F.concat(F.filter("earlier", lambda x: x.isNotNull()), "tail").alias("earlier"),
+        F.col("chars").alias("base"),
+        (F.col("n0") + F.col("i")).alias("window"),
+    )
     piece = F.struct("i", "formatted", "size", "lead", "chars", (F.col("role") == target_role).alias("target"))
     windows = rows.select("part", "cell", "tokens", "is_system", F.when(F.col("starts"), start).alias("start"), piece.alias("piece"))
     windows = windows.groupBy("part", "cell").agg(
@@ -124,14 +139,26 @@ def format_windows(
         F.sum(F.when(~F.col("is_system"), F.col("tokens")).otherwise(0)).alias("own"),
     )
     left = F.least(F.col("start.spare"), F.col("start.room") - F.col("own"))
-    history = F.transform(F.slice("start.earlier", 1, max(history_turns, 1)), lambda x, i: F.struct(x["formatted"], x["size"], x["tokens"], _tokens_to(F.col("start.earlier"), i).alias("reach")))
+    history = F.transform(
+        F.slice("start.earlier", 1, max(history_turns, 1)),
+        lambda x, i: F.struct(x["formatted"], x["size"], x["tokens"], _tokens_to(F.col("start.earlier"), i).alias("reach")),
+    )
     history = F.reverse(F.filter(history, lambda x: x["reach"] <= left)) if history_turns else F.array()
-    history = F.transform(history, lambda x: F.struct(x["formatted"].alias("formatted"), x["size"].alias("size"), x["tokens"].alias("tokens"))) if history_turns else none
-    system = F.when(F.col("start.system").isNotNull() & ((F.col("start.window") > 0) | ~F.col("start.opens")), F.array("start.system")).otherwise(none)
+    history = F.transform(
+        history,
+        lambda x: F.struct(x["formatted"].alias("formatted"), x["size"].alias("size"), x["tokens"].alias("tokens")),
+    ) if history_turns else none
+    system = F.when(
+        F.col("start.system").isNotNull() & ((F.col("start.window") > 0) | ~F.col("start.opens")),
+        F.array("start.system"),
+    ).otherwise(none)
     windows = windows.withColumn("old", F.concat(system, history))
     shift = F.aggregate("old", F.lit(0), lambda n, x: n + x["size"]) - F.col("start.base")
     windows = windows.withColumn("shift", shift)
-    targets = F.transform(F.filter("pieces", lambda x: x["target"]), lambda x: F.struct((F.col("shift") + x["chars"] + x["lead"]).alias("start"), (x["size"] - x["lead"] - len(END)).cast("long").alias("length")))
+    targets = F.transform(
+        F.filter("pieces", lambda x: x["target"]),
+        lambda x: F.struct((F.col("shift") + x["chars"] + x["lead"]).alias("start"), (x["size"] - x["lead"] - len(END)).cast("long").alias("length")),
+    )
     return windows.select(
         "part",
         F.col("part.conv").alias("conv"),
@@ -159,7 +186,11 @@ def _from_before(turns: DataFrame, dealt: DataFrame, history_turns: int) -> Data
     number), given (the system turn) and tail (the last ones of the block before, latest first)."""
     conv = Window.partitionBy("part.conv").orderBy("part.block")
     blocks = turns.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    blocks = blocks.select("part", F.sum("n").over(conv.rowsBetween(Window.unboundedPreceding, -1)).alias("n0"), F.lead("part").over(conv).alias("next"))
+    blocks = blocks.select(
+        "part",
+        F.sum("n").over(conv.rowsBetween(Window.unboundedPreceding, -1)).alias("n0"),
+        F.lead("part").over(conv).alias("next"),
+    )
     opening = F.min(F.struct("turn", "role", F.when(F.col("role") == "system", F.col("text")).alias("text"))).alias("o")
     system = turns.groupBy(F.struct("part.conv").alias("whose")).agg(opening).where("o.role = 'system'").select("whose", "o.role", "o.text")
     system = _measured(system).select("whose", F.struct("formatted", "size", "tokens").alias("given"))
@@ -190,7 +221,14 @@ def read_turns(windows: DataFrame, whole_parts: bool = False) -> DataFrame:
     turn = F.transform("pieces", lambda x: F.concat(role(x), F.lit("\n"), unescape(F.substring_index(x, TEXT, -1)), F.lit("\n")))
     loss = F.transform("targets", lambda x: unescape(F.substring(F.col("formatted"), x["start"].cast("int") + 1, x["length"].cast("int"))))
     key = F.col("part") if whole_parts else F.struct("part.conv")
-    read = read.select(key.alias("part"), "window", F.size("pieces").alias("n"), F.array_join(turn, "").alias("turns"), F.array_join(loss, "").alias("loss"), F.char_length("formatted").alias("chars"))
+    read = read.select(
+        key.alias("part"),
+        "window",
+        F.size("pieces").alias("n"),
+        F.array_join(turn, "").alias("turns"),
+        F.array_join(loss, "").alias("loss"),
+        F.char_length("formatted").alias("chars"),
+    )
     whole = read.groupBy("part").agg(
         F.sum("n").alias("n_turns"),
         F.array_sort(F.collect_list(F.struct("window", "turns", "loss"))).alias("w"),
@@ -198,4 +236,11 @@ def read_turns(windows: DataFrame, whole_parts: bool = False) -> DataFrame:
         F.count(F.lit(1)).alias("n_windows"),
     )
     text = lambda name: F.array_join(F.transform("w", lambda x: x[name]), "")
-    return whole.select(F.col("part.conv").alias("conv"), "n_turns", text("turns").alias("turns"), text("loss").alias("loss_text"), "formatted_chars", "n_windows")
+    return whole.select(
+        F.col("part.conv").alias("conv"),
+        "n_turns",
+        text("turns").alias("turns"),
+        text("loss").alias("loss_text"),
+        "formatted_chars",
+        "n_windows",
+    )

@@ -85,7 +85,10 @@ def fingerprints(df: DataFrame, bands: int, rows: int, *, id_col: str, text_col:
             keys = band_keys(value, owner, n, bands, rows).reshape(-1).view(np.int64)
             keys = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(keys))
             size = pa.array(np.bincount(owner, minlength=n).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("code"), *_class_keys(data, w, h), size, keys], names=["id", "code", "k1", "k2", "size", "keys"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("code"), *_class_keys(data, w, h), size, keys],
+                names=["id", "code", "k1", "k2", "size", "keys"],
+            )
 
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("code"), F.col(text_col).alias("text"))
     return texts.mapInArrow(run, "id long, code long, k1 long, k2 long, size long, keys array<long>")
@@ -344,10 +347,21 @@ def near_duplicates(
     # The first row of each group: smallest id (null last), then class keys.
     own = F.struct(F.col("rep").isNull().alias("no_id"), "rep", "k1", "k2")
     named = classes.join(links, "node", "left").join(group.withColumnRenamed("id", "node"), "node", "left")
-    named = named.select("k1", "k2", own.alias("own"), F.coalesce("group", "node").alias("group"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("links").isNotNull().alias("linked"))
+    named = named.select(
+        "k1",
+        "k2",
+        own.alias("own"),
+        F.coalesce("group", "node").alias("group"),
+        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        F.col("links").isNotNull().alias("linked"),
+    )
     lead = named.where("linked").groupBy("group").agg(F.min("own").alias("lead"))
     named = named.join(lead, "group", "left").select("k1", "k2", F.coalesce("lead", "own").alias("lead"), "n_links")
-    rows = ids.select("id", "code", "k1", "k2").join(named.withColumnsRenamed({"k1": "c1", "k2": "c2"}), (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left")
+    rows = ids.select("id", "code", "k1", "k2").join(
+        named.withColumnsRenamed({"k1": "c1", "k2": "c2"}),
+        (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")),
+        "left",
+    )
     none = F.col("k1").isNull()
     first = F.col("id").eqNullSafe(F.col("lead.rep")) & (F.col("k1") == F.col("lead.k1")) & (F.col("k2") == F.col("lead.k2"))
     result = rows.select(

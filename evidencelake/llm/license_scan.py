@@ -27,14 +27,42 @@ WORD_BREAK = r"[^\p{L}\p{N}]+"
 #: Notices by which texts are licensed.
 TEMPLATES = {
     "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
-    "apache-2.0-notice": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    "apache-2.0-notice": (
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the '
+        'License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law '
+        'or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR '
+        'CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and '
+        'limitations under the License.'
+    ),
     "mit-line": "Released under the MIT License.",
-    "mit-permission": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
+    "mit-permission": (
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation '
+        'files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, '
+        'modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software '
+        'is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be '
+        'included in all copies or substantial portions of the Software.'
+    ),
     "gpl-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
-    "gpl-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
-    "mpl-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
-    "bsd-conditions": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
-    "isc-permission": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "gpl-3.0-notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program "
+        "is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
+    ),
+    "mpl-2.0-notice": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed "
+        "with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+    ),
+    "bsd-conditions": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+        "conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+        "following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
+        "following disclaimer in the documentation and/or other materials provided with the distribution."
+    ),
+    "isc-permission": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies."
+    ),
     "cc-by-4.0-line": "This work is licensed under the Creative Commons Attribution 4.0 International License.",
     "cc-by-sa-4.0-line": "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License.",
     "cc-by-4.0-short": "Licensed under CC BY 4.0.",
@@ -70,7 +98,13 @@ def _shingles(text: Column) -> Column:
     """Array of (at, h): place and hash of each run of five words."""
 
     def all_of(own: Column) -> Column:
-        return F.when(F.size(own) >= WIDTH, F.transform(F.sequence(F.lit(0), F.size(own) - WIDTH), lambda i: F.struct(i.alias("at"), F.xxhash64(*(F.get(own, i + k) for k in range(WIDTH))).alias("h"))))
+        return F.when(
+            F.size(own) >= WIDTH,
+            F.transform(
+                F.sequence(F.lit(0), F.size(own) - WIDTH),
+                lambda i: F.struct(i.alias("at"), F.xxhash64(*(F.get(own, i + k) for k in range(WIDTH))).alias("h")),
+            ),
+        )
 
     return F.flatten(F.transform(F.array(_words(text)), all_of))
 
@@ -115,22 +149,44 @@ def scan(
     bands = bands or bands_for(least_jaccard(sizes, containment))
 
     rows = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("code"), F.col(text_col).alias("text"))
-    hits = rows.select("id", "code", F.explode(F.filter(_shingles(F.col("text")), lambda x: x["h"].isin(hashes))).alias("s")).select("id", "code", "s.*")
+    hits = rows.select(
+        "id",
+        "code",
+        F.explode(F.filter(_shingles(F.col("text")), lambda x: x["h"].isin(hashes))).alias("s"),
+    ).select("id", "code", "s.*")
     kinds = F.broadcast(spark.createDataFrame(sorted({(r["h"], r["reach"]) for r in vocabulary}), "h long, reach int"))
     at = F.floor(F.col("at") / F.col("reach"))
     placed = hits.join(kinds, "h").select("id", "code", "reach", "h", "at", F.explode(F.array(at - 1, at)).alias("window"))
     values = [F.min(F.xxhash64("h", F.lit(k))).alias(f"b{k}") for k in range(bands)]
-    windows = placed.groupBy("id", "code", "reach", "window").agg(F.collect_set("h").alias("own"), F.collect_set(F.struct("at", "h")).alias("places"), *values)
-    banded = windows.select("id", "code", "reach", "window", "own", "places", F.posexplode(F.array(*(f"b{k}" for k in range(bands)))).alias("band", "value"))
+    windows = placed.groupBy("id", "code", "reach", "window").agg(
+        F.collect_set("h").alias("own"),
+        F.collect_set(F.struct("at", "h")).alias("places"),
+        *values,
+    )
+    banded = windows.select(
+        "id",
+        "code",
+        "reach",
+        "window",
+        "own",
+        "places",
+        F.posexplode(F.array(*(f"b{k}" for k in range(bands)))).alias("band", "value"),
+    )
 
     sketch = known.select("template", "reach", "shingles", F.explode("shingles").alias("h")).groupBy("template", "reach", "shingles").agg(*values)
-    sketch = F.broadcast(sketch.select("template", "reach", "shingles", F.posexplode(F.array(*(f"b{k}" for k in range(bands)))).alias("band", "value")))
+    sketch = F.broadcast(
+        sketch.select("template", "reach", "shingles", F.posexplode(F.array(*(f"b{k}" for k in range(bands)))).alias("band", "value"))
+    )
     found = banded.join(sketch, ["reach", "band", "value"])
     share = F.size(F.array_intersect("own", "shingles")) / F.size("shingles")
     first = F.array_min(F.transform(F.filter("places", lambda x: F.array_contains("shingles", x["h"])), lambda x: x["at"]))
     found = found.select("id", "code", "template", share.alias("containment"), first.alias("word")).where(F.col("containment") >= containment)
     best = found.groupBy("id", "code", "template").agg(F.max(F.struct("containment", (-F.col("word")).alias("before"))).alias("m"))
-    best = best.groupBy("id", "code").agg(F.array_sort(F.collect_list(F.struct("template", F.col("m.containment").alias("containment"), (-F.col("m.before")).cast("long").alias("word")))).alias("licenses"))
+    best = best.groupBy("id", "code").agg(
+        F.array_sort(
+            F.collect_list(F.struct("template", F.col("m.containment").alias("containment"), (-F.col("m.before")).cast("long").alias("word")))
+        ).alias("licenses")
+    )
     best = best.select(F.col("id").alias("id2"), F.col("code").alias("code2"), "licenses")
     every = rows.select("id", "code").join(best, F.col("id").eqNullSafe(F.col("id2")) & (F.col("code") == F.col("code2")), "left")
     return every.select(F.col("id").alias(id_col), F.coalesce("licenses", F.array().cast(best.schema["licenses"].dataType)).alias("licenses"))

@@ -172,7 +172,17 @@ def _gradient(x: np.ndarray, y: np.ndarray, first: np.ndarray, field: Field) ->
     return x.T @ (y - p), float((y[inner] == y[inner - 1]).sum() - expected.sum()), float((first * (y - p)).sum())
 
 
-def fit(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label", max_docs: int = MAX_DOCS, steps: int = 60, seed: int = 11) -> Field:
+def fit(
+    df: DataFrame,
+    labels: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "label",
+    max_docs: int = MAX_DOCS,
+    steps: int = 60,
+    seed: int = 11,
+) -> Field:
     """A field learnt from documents with a 0/1 label: the lines of a document with label 1
     count as content; of one with label 0, those whose symbols, capitals, repeats or
     duplicates are unlike prose count as boilerplate, the others as content.
@@ -180,7 +190,10 @@ def fit(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: s
     Fitted on a bounded sample of about ``max_docs`` labelled documents, chosen by a hash of
     the id, whose line features go to the driver. ``DEFAULT`` where none has a label.
     """
-    labels = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.min("y").alias("y"))
+    labels = labels.select(
+        F.col(id_col).alias("id"),
+        F.col(label_col).cast("int").alias("y"),
+    ).where("id is not null and y in (0, 1)").groupBy("id").agg(F.min("y").alias("y"))
     n = labels.count()
     if not n:
         return DEFAULT
@@ -194,7 +207,10 @@ def fit(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: s
             own = parsed.line_owner
             ids, y = batch.column("id").cast(pa.string()), np.asarray(batch.column("y"))
             place = np.arange(len(own)) - np.searchsorted(own, own)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(own)), pa.array(place), pa.array(y[own].astype(np.int64)), pa.array(list(x), pa.list_(pa.float64()))], names=["id", "place", "y", "x"])
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(pa.array(own)), pa.array(place), pa.array(y[own].astype(np.int64)), pa.array(list(x), pa.list_(pa.float64()))],
+                names=["id", "place", "y", "x"],
+            )
 
     found = rows.mapInArrow(measure, "id string, place long, y long, x array<double>").toPandas().sort_values(["id", "place"])
     if not len(found):
@@ -214,14 +230,26 @@ def learn(x: np.ndarray, label: np.ndarray, first: np.ndarray, steps: int = 60)
     for _ in range(steps):  # AdaGrad with a weak pull to the default
         grads = _gradient(x, y, first, field)
         pull = 1e-3 * len(x)
-        grads = (grads[0] - pull * (field.emission - DEFAULT.emission) / 10, grads[1] - pull * (field.stay - DEFAULT.stay), grads[2] - pull * (field.start - DEFAULT.start))
+        grads = (
+            grads[0] - pull * (field.emission - DEFAULT.emission) / 10,
+            grads[1] - pull * (field.stay - DEFAULT.stay),
+            grads[2] - pull * (field.start - DEFAULT.start),
+        )
         squares = [a + g**2 for a, g in zip(squares, grads, strict=True)]
         move = [0.5 * g / np.sqrt(a + 1e-12) for a, g in zip(squares, grads, strict=True)]
         field = Field(field.emission + move[0], max(field.stay + move[1], 0.0), field.start + move[2])
     return Field(np.round(field.emission, 4), round(field.stay, 4), round(field.start, 4))
 
 
-def annotate(df: DataFrame, field: Field = DEFAULT, *, text_col: str = "text", min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT, min_content: float = MIN_CONTENT) -> DataFrame:
+def annotate(
+    df: DataFrame,
+    field: Field = DEFAULT,
+    *,
+    text_col: str = "text",
+    min_words: int = MIN_WORDS,
+    max_repeat_percent: int = MAX_REPEAT_PERCENT,
+    min_content: float = MIN_CONTENT,
+) -> DataFrame:
     """``df`` with the base counts and the verdict of the field on each whole text.
 
     New columns, in place of any of these names: n_words, word_chars (code points in words),
@@ -230,7 +258,17 @@ def annotate(df: DataFrame, field: Field = DEFAULT, *, text_col: str = "text", m
     lines with a word that are not content), kept. Null and empty texts have no
     words, fail the base rules and are not kept. No shuffle.
     """
-    new = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "base_failed": "boolean", "content_share": "double", "boilerplate_lines": "array<int>", "kept": "boolean"}
+    new = {
+        "n_words": "long",
+        "word_chars": "long",
+        "n_symbols": "long",
+        "n_dup_lines": "long",
+        "n_repeat_words": "long",
+        "base_failed": "boolean",
+        "content_share": "double",
+        "boilerplate_lines": "array<int>",
+        "kept": "boolean",
+    }
     kept = [c for c in df.columns if c not in new]
     schema = T.StructType([df.schema[c] for c in kept] + T.StructType.fromDDL(", ".join(f"{k} {v}" for k, v in new.items())).fields)
 
@@ -245,7 +283,17 @@ def annotate(df: DataFrame, field: Field = DEFAULT, *, text_col: str = "text", m
             dropped = parsed.per_text(parsed.line_owner[~content])
             ends = np.concatenate(([0], np.cumsum(dropped))).astype(np.int32)
             marked = pa.ListArray.from_arrays(pa.array(ends), pa.array(place[~content].astype(np.int32)))
-            made = [pa.array(n_words), pa.array(parsed.word_chars()), pa.array(parsed.symbols().astype(np.int64)), pa.array(parsed.per_text(parsed.line_owner[parsed.duplicate]).astype(np.int64)), pa.array(repeats.astype(np.int64)), pa.array(failed), pa.array(share), marked, pa.array(~failed & (share >= min_content))]
+            made = [
+                pa.array(n_words),
+                pa.array(parsed.word_chars()),
+                pa.array(parsed.symbols().astype(np.int64)),
+                pa.array(parsed.per_text(parsed.line_owner[parsed.duplicate]).astype(np.int64)),
+                pa.array(repeats.astype(np.int64)),
+                pa.array(failed),
+                pa.array(share),
+                marked,
+                pa.array(~failed & (share >= min_content)),
+            ]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *made], names=[*kept, *new])
 
     return df.select(*(f"`{c}`" for c in dict.fromkeys([*kept, text_col]))).mapInArrow(run, schema)

@@ -43,8 +43,15 @@ def repeated_ranges(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     then place. Rows with the same id and text count as one.
     """
     key = F.struct("id", "code", "k")
-    rows = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("code"), F.explode(_windows(F.col(text_col), width)).alias("w")).select("id", "code", "w.*")
-    often = rows.groupBy("h1", "h2").agg(F.min(key).alias("first"), F.max(key).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).drop("last")
+    rows = df.select(
+        F.col(id_col).alias("id"),
+        F.xxhash64(text_col).alias("code"),
+        F.explode(_windows(F.col(text_col), width)).alias("w"),
+    ).select("id", "code", "w.*")
+    often = rows.groupBy("h1", "h2").agg(
+        F.min(key).alias("first"),
+        F.max(key).alias("last"),
+    ).where(~F.col("first").eqNullSafe(F.col("last"))).drop("last")
     later = rows.join(often, ["h1", "h2"]).where(~key.eqNullSafe(F.col("first"))).select("id", "code", "k", "a", "b").distinct()
     order = Window.partitionBy("id", "code").orderBy("k")
     island = F.sum(F.when(F.col("k") - F.lag("k").over(order) < width, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
@@ -52,7 +59,14 @@ def repeated_ranges(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     return merged.groupBy("id", "code").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("ranges"))
 
 
-def remove_repeated(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", removed_col: str = "lines_removed", width: int = WIDTH) -> DataFrame:
+def remove_repeated(
+    df: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    removed_col: str = "lines_removed",
+    width: int = WIDTH,
+) -> DataFrame:
     """``df`` with later occurrences of repeated windows cut from the texts, and the number
     of lines removed (blank lines inside a removed range are removed with it).
 

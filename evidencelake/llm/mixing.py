@@ -102,7 +102,12 @@ def mix(
     """
     kept = [c for c in df.columns if c != "mix_epoch"]
     leaf = F.array(*(F.coalesce(x.cast("string"), F.lit("null")) for x in levels.values()))
-    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), F.col(id_col).cast("string").alias("id"), leaf.alias("leaf"), F.coalesce(tokens.cast("long"), F.lit(0)).alias("tokens"))
+    rows = df.select(
+        F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"),
+        F.col(id_col).cast("string").alias("id"),
+        leaf.alias("leaf"),
+        F.coalesce(tokens.cast("long"), F.lit(0)).alias("tokens"),
+    )
     totals = rows.groupBy("leaf").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).limit(MAX_LEAVES + 1).collect()
     if len(totals) > MAX_LEAVES:
         raise ValueError(f"the tree has more than {MAX_LEAVES} leaves")
@@ -116,12 +121,21 @@ def mix(
     rows = rows.join(F.broadcast(plan), "leaf").withColumn("order", order).withColumn("cell", F.substring("order", 1, _CELL_DIGITS))
     by_leaf = Window.partitionBy("leaf").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
     cells = rows.where("rest > 0").groupBy("leaf", "cell", "rest").agg(F.sum("tokens").alias("t")).withColumn("upto", F.sum("t").over(by_leaf))
-    ends = cells.where("upto >= rest and upto - t < rest").groupBy("leaf").agg(F.min_by(F.struct(F.col("cell").alias("end"), (F.col("upto") - F.col("t")).alias("before")), "cell").alias("e")).select("leaf", "e.*")
+    ends = cells.where("upto >= rest and upto - t < rest").groupBy("leaf").agg(
+        F.min_by(F.struct(F.col("cell").alias("end"), (F.col("upto") - F.col("t")).alias("before")), "cell").alias("e")
+    ).select("leaf", "e.*")
     rows = rows.join(F.broadcast(ends), "leaf", "left")
 
-    whole = rows.select("row", "epochs", (F.col("cell") < F.col("end")).alias("more")).select("row", F.when(F.coalesce("more", F.lit(False)), F.col("epochs")).otherwise(F.col("epochs") - 1).alias("last")).where("last >= 0")
+    whole = rows.select(
+        "row",
+        "epochs",
+        (F.col("cell") < F.col("end")).alias("more"),
+    ).select("row", F.when(F.coalesce("more", F.lit(False)), F.col("epochs")).otherwise(F.col("epochs") - 1).alias("last")).where("last >= 0")
     whole = whole.select("row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("mix_epoch"))
     inside = Window.partitionBy("leaf").orderBy("order", "id", "code").rowsBetween(Window.unboundedPreceding, -1)
-    edge = rows.where("cell = end").withColumn("code", F.xxhash64("row")).withColumn("passed", F.col("before") + F.coalesce(F.sum("tokens").over(inside), F.lit(0)))
+    edge = rows.where("cell = end").withColumn("code", F.xxhash64("row")).withColumn(
+        "passed",
+        F.col("before") + F.coalesce(F.sum("tokens").over(inside), F.lit(0)),
+    )
     edge = edge.where("passed < rest").select("row", F.col("epochs").alias("mix_epoch"))
     return whole.unionByName(edge).select("row.*", "mix_epoch")

@@ -71,6 +71,17 @@ def _phrase_starts(label: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.flatnonzero(peak)
 
 
+def _phrase_names(name: np.ndarray, start: np.ndarray, piece: int = 1 << 18) -> np.ndarray:
+    """A hash of the symbols of each phrase in order, so many phrases at a time."""
+    out = np.empty(len(start), dtype=np.uint64)
+    for at in range(0, len(start), piece):
+        own = start[at : at + piece]
+        end = int(start[at + piece]) if at + piece < len(start) else len(name)
+        place = np.arange(own[0], end) - np.repeat(own, np.diff(own, append=end))
+        out[at : at + piece] = np.add.reduceat(mix64(name[own[0] : end] + (place.astype(np.uint64) + np.uint64(1)) * _STEP), own - own[0])
+    return mix64(out)
+
+
 def phrases(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(owner, name) of every phrase of ``MIN_BYTES`` or more and of every whole text."""
     filled = np.flatnonzero(np.diff(offsets))
@@ -84,8 +95,9 @@ def phrases(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         new = np.ones(len(symbol), dtype=bool)
         new[1:] = symbol[1:] != symbol[:-1]
         new[first] = True
-        start = np.flatnonzero(new)
-        times = np.diff(np.append(start, len(symbol)))
+        start = np.flatnonzero(new).astype(np.int32 if len(symbol) < 1 << 31 else np.int64)
+        del new
+        times = np.diff(start, append=start.dtype.type(len(symbol)))
         many = times > 1
         length = times if size is None else np.add.reduceat(size, start)
         first = np.searchsorted(start, first)
@@ -102,8 +114,8 @@ def phrases(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
             label = _toss_large(name, first)
         # phrases
         start = _phrase_starts(label, first)
-        place = np.arange(len(name)) - np.repeat(start, np.diff(np.append(start, len(name))))
-        name = mix64(np.add.reduceat(mix64(name + (place.astype(np.uint64) + np.uint64(1)) * _STEP), start))
+        del label, times, many
+        name = _phrase_names(name, start)
         size = np.add.reduceat(length, start)
         first = np.searchsorted(start, first)
         count = np.diff(np.append(first, len(name)))
@@ -132,6 +144,20 @@ def sketches(texts: pa.Array, k: int = SKETCH) -> list[np.ndarray]:
     return [value[a : min(b, a + k)] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
+def _few(texts: list[str], most: int = SLICE_BYTES) -> Iterator[list[str]]:
+    """The texts in runs of about ``most`` characters, a longer one alone."""
+    own: list[str] = []
+    held = 0
+    for text in texts:
+        if own and held + len(text) > most:
+            yield own
+            own, held = [], 0
+        own.append(text)
+        held += len(text)
+    if own:
+        yield own
+
+
 def likeness(a: np.ndarray, b: np.ndarray, k: int = SKETCH) -> float:
     """Estimated share of phrases that two texts have in common (twice the common ones over
     the sum of both): 1 for equal sketches, two empty ones too."""
@@ -192,7 +218,10 @@ def _dealt(df: DataFrame, ranges: int) -> DataFrame:
     rows = df.withColumn("key", key)
     starts = _starts(rows, ranges)
     n = max(len(starts), 1)
-    known = F.from_json(F.lit(json.dumps([dict(zip(("none", "back", "code"), x, strict=True)) for x in starts])), "array<struct<none:boolean,back:bigint,code:bigint>>")
+    known = F.from_json(
+        F.lit(json.dumps([dict(zip(("none", "back", "code"), x, strict=True)) for x in starts])),
+        "array<struct<none:boolean,back:bigint,code:bigint>>",
+    )
     bits = (n - 1).bit_length()
 
     def halve(low: Column, step: Column) -> Column:
@@ -202,7 +231,10 @@ def _dealt(df: DataFrame, ranges: int) -> DataFrame:
     part = F.aggregate(F.array(*(F.lit(1 << k) for k in reversed(range(bits)))), F.lit(0), halve) if bits else F.lit(0)
     rows = rows.withColumn("part", part)
     own = F.struct("part", F.lit(False).alias("ghost"))
-    before = F.when(F.col("key") == F.get(known, F.col("part")), F.struct(F.pmod(F.col("part") - 1, F.lit(n)).alias("part"), F.lit(True).alias("ghost")))
+    before = F.when(
+        F.col("key") == F.get(known, F.col("part")),
+        F.struct(F.pmod(F.col("part") - 1, F.lit(n)).alias("part"), F.lit(True).alias("ghost")),
+    )
     places = F.filter(F.array(own, before), lambda x: x.isNotNull())
     dealt = rows.select("id", "text", "key", F.explode(places).alias("p")).select("id", "text", "key", "p.*")
     return dealt.repartitionById(n, "part").sortWithinPartitions("part", "ghost", "key", "text")
@@ -225,12 +257,15 @@ def compare_with_edits(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     def finish(ids: list, texts: list[str]) -> pa.RecordBatch:
         """All but the last of the texts, which is that which follows."""
         edited = [t[: len(t) - len(t) // 2] + u[: len(t) // 2] for t, u in zip(texts[:-1], texts[1:], strict=True)]
-        made = sketches(pa.array([*texts, *edited], pa.large_string()))
+        made = [x for few in _few([*texts, *edited]) for x in sketches(pa.array(few, pa.large_string()))]
         plain, other = made[: len(texts)], made[len(texts) :]
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(ids, pa.int64()), pa.array([len(t) for t in texts[:-1]], pa.int64()), pa.array(edited, pa.string()), pa.array([as_hex(x) for x in plain[:-1]], pa.string()),
-                pa.array([as_hex(x) for x in other], pa.string()), pa.array([likeness(a, b) for a, b in zip(plain, other, strict=False)], pa.float64()), pa.array([likeness(a, b) for a, b in zip(plain[:-1], plain[1:], strict=True)], pa.float64()),
+                pa.array([as_hex(x) for x in other], pa.string()), pa.array(
+                    [likeness(a, b) for a, b in zip(plain, other, strict=False)],
+                    pa.float64(),
+                ), pa.array([likeness(a, b) for a, b in zip(plain[:-1], plain[1:], strict=True)], pa.float64()),
             ],
             names=["id", "n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
         )
@@ -240,7 +275,13 @@ def compare_with_edits(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
         texts: list[str] = []
         held, done = 0, None  # bytes held; the range whose ghost has come
         for batch in batches:
-            for part, ghost, key, text in zip(batch.column("part").to_pylist(), batch.column("ghost").to_pylist(), batch.column("id").to_pylist(), batch.column("text"), strict=True):
+            for part, ghost, key, text in zip(
+                batch.column("part").to_pylist(),
+                batch.column("ghost").to_pylist(),
+                batch.column("id").to_pylist(),
+                batch.column("text"),
+                strict=True,
+            ):
                 if ghost and part == done:
                     continue
                 text = text.as_py()
@@ -257,5 +298,8 @@ def compare_with_edits(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
         if ids:
             raise RuntimeError("a range of ids has no successor")
 
-    out = dealt.mapInArrow(run, "id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    out = dealt.mapInArrow(
+        run,
+        "id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
+    )
     return out.withColumnRenamed("id", id_col)

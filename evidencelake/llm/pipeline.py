@@ -57,7 +57,15 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and whether they decode to its bytes."""
     out = bpe.encode(docs.select(*COLUMNS), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decoded_col="_decoded")
     same = F.col("_decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return out.select("doc_id", "lang", "source", "n_chars", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", same.alias("round_trip"))
+    return out.select(
+        "doc_id",
+        "lang",
+        "source",
+        "n_chars",
+        F.size("token_ids").cast("long").alias("n_tokens"),
+        "token_ids",
+        same.alias("round_trip"),
+    )
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

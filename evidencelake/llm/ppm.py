@@ -107,7 +107,9 @@ class Tree:
             context, first = np.unique(key >> np.uint32(8), return_index=True)
             total = np.add.reduceat(n, first) if len(n) else n
             kinds = np.diff(np.append(first, len(key))).astype(float)
-            self.levels.append({"key": key, "n": n, "context": context, "total": total, "kinds": kinds, "grams": _Index(key), "contexts": _Index(context)})
+            self.levels.append(
+                {"key": key, "n": n, "context": context, "total": total, "kinds": kinds, "grams": _Index(key), "contexts": _Index(context)}
+            )
         for order in range(ORDER):
             # After an escape from a longer context its followers are ruled out here.
             low, high = self.levels[order], self.levels[order + 1]
@@ -182,7 +184,15 @@ def _units(bits: np.ndarray) -> np.ndarray:
     return np.rint(bits * _UNIT).astype(np.int64)
 
 
-def fit(df: DataFrame, *, text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_DOCS, max_grams: int = MAX_GRAMS, max_langs: int = MAX_LANGS) -> Model:
+def fit(
+    df: DataFrame,
+    *,
+    text_col: str = "text",
+    lang_col: str = "lang",
+    max_docs: int = MAX_DOCS,
+    max_grams: int = MAX_GRAMS,
+    max_langs: int = MAX_LANGS,
+) -> Model:
     """Frozen trees from texts with a language.
 
     Rows whose text or language is null are not learnt from. Fitted on a bounded sample:
@@ -211,7 +221,10 @@ def fit(df: DataFrame, *, text_col: str = "text", lang_col: str = "lang", max_do
                 data, offsets = utf8(pc.filter(batch.column("text"), pa.array([x == lang for x in langs])))
                 for _, place, code in _pieces(data, offsets):
                     key, n = np.unique(code[place >= ORDER], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key), pa.string()), pa.array(key.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([lang] * len(key), pa.string()), pa.array(key.astype(np.int64)), pa.array(n.astype(np.int64))],
+                        names=["lang", "gram", "n"],
+                    )
 
     counted = stage(sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     found: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -258,7 +271,9 @@ def predict(df: DataFrame, model: Model, *, text_col: str = "text", lang_col: st
     sent = df.sparkSession.sparkContext.broadcast(model)
     new = [lang_col, score_col]
     kept = [c for c in df.columns if c not in new]
-    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(lang_col, T.StringType(), False), T.StructField(score_col, T.DoubleType(), False)])
+    schema = T.StructType(
+        [df.schema[c] for c in kept] + [T.StructField(lang_col, T.StringType(), False), T.StructField(score_col, T.DoubleType(), False)]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value

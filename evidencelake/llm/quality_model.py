@@ -30,7 +30,18 @@ FIT_PARTITIONS = 16
 RISING = 0.01
 RIDGE, WIDTH = 1e-3, 1.5
 
-_CLASSES = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": b"0123456789", "symbol": b"#*$%&<>@^~=+_{}[]\\/`", "pipe": b"|", "exclamation": b"!", "stop": b".?", "comma": b",", "other_punctuation": b";:'\"()-", "white": b" \t\r\x0b\x0c", "breaks": b"\n"}
+_CLASSES = {
+    "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "digit": b"0123456789",
+    "symbol": b"#*$%&<>@^~=+_{}[]\\/`",
+    "pipe": b"|",
+    "exclamation": b"!",
+    "stop": b".?",
+    "comma": b",",
+    "other_punctuation": b";:'\"()-",
+    "white": b" \t\r\x0b\x0c",
+    "breaks": b"\n",
+}
 _CLASS_OF = np.full(256, len(_CLASSES), dtype=np.uint8)
 for _k, _v in enumerate(_CLASSES.values()):
     _CLASS_OF[list(_v)] = _k
@@ -80,8 +91,23 @@ def statistics(texts: pa.Array) -> np.ndarray:
     duplicates = np.bincount(line_owner[order][again], minlength=n) / n_lines
 
     named = dict(zip(_CLASSES, shares.T, strict=False))
-    named |= {"non_ascii": shares[:, -1], "log_bytes": np.log1p(size), "log_words": np.log1p(w.count), "word_mean": mean, "word_sd": sd, "distinct_words": distinct, "same_as_before": back[0], "repeat_two_back": back[1]}
-    named |= {"log_line": np.log1p(size / n_lines), "duplicate_lines": duplicates, "symbol_words": symbol_words, "capital_words": capital_words, "byte_entropy": entropy}
+    named |= {
+        "non_ascii": shares[:, -1],
+        "log_bytes": np.log1p(size),
+        "log_words": np.log1p(w.count),
+        "word_mean": mean,
+        "word_sd": sd,
+        "distinct_words": distinct,
+        "same_as_before": back[0],
+        "repeat_two_back": back[1],
+    }
+    named |= {
+        "log_line": np.log1p(size / n_lines),
+        "duplicate_lines": duplicates,
+        "symbol_words": symbol_words,
+        "capital_words": capital_words,
+        "byte_entropy": entropy,
+    }
     return np.stack([named[x] for x in STATISTICS], axis=1) * (size > 0)[:, None]
 
 
@@ -157,7 +183,10 @@ def fit(
     labels safe. Every fourth of them calibrates, the others fit.
     """
     spark = df.sparkSession
-    labels = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.avg("y").alias("y"))
+    labels = labels.select(
+        F.col(id_col).alias("id"),
+        F.col(label_col).cast("double").alias("y"),
+    ).where("id is not null and y is not null").groupBy("id").agg(F.avg("y").alias("y"))
     n = labels.count()
     if not n:
         return None
@@ -167,17 +196,31 @@ def fit(
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             x = statistics(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.string()), batch.column("y"), pa.array(list(x), pa.list_(pa.float64()))], names=["id", "y", "x"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").cast(pa.string()), batch.column("y"), pa.array(list(x), pa.list_(pa.float64()))],
+                names=["id", "y", "x"],
+            )
 
     # The order of rows decides the last bits of sums: they are sorted before summing.
     measured = rows.mapInArrow(measure, "id string, y double, x array<double>").repartition(FIT_PARTITIONS, "id").sortWithinPartitions("id").persist()
-    moments = measured.select("y", F.posexplode("x").alias("k", "v")).groupBy("k").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).orderBy("k").collect()
+    moments = measured.select("y", F.posexplode("x").alias("k", "v")).groupBy("k").agg(
+        F.avg("v").alias("m"),
+        F.stddev_pop("v").alias("s"),
+    ).orderBy("k").collect()
     if not moments:
         measured.unpersist()
         return None
     random = np.random.default_rng(seed)
     d = len(STATISTICS)
-    model = Model(np.array([r["m"] for r in moments]), np.maximum([r["s"] for r in moments], 1e-6), random.normal(size=(d, features)) / (width * np.sqrt(d)), random.uniform(0, 2 * np.pi, features), np.zeros(features + 1), np.zeros(1), np.zeros(1))
+    model = Model(
+        np.array([r["m"] for r in moments]),
+        np.maximum([r["s"] for r in moments], 1e-6),
+        random.normal(size=(d, features)) / (width * np.sqrt(d)),
+        random.uniform(0, 2 * np.pi, features),
+        np.zeros(features + 1),
+        np.zeros(1),
+        np.zeros(1),
+    )
     fold = F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(4)) == 0
 
     def equations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +232,10 @@ def fit(
                 sums += z.T @ np.hstack((z, np.asarray(batch.column("y"))[:, None]))
                 part = part or batch.column("id")[0].as_py()
         if part:
-            yield pa.RecordBatch.from_arrays([pa.array(range(features + 1)), pa.array([part] * (features + 1)), pa.array([x.tobytes() for x in sums], pa.binary())], names=["i", "part", "row"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(features + 1)), pa.array([part] * (features + 1)), pa.array([x.tobytes() for x in sums], pa.binary())],
+                names=["i", "part", "row"],
+            )
 
     def total(rows: pa.Table) -> pa.Table:
         ordered = rows.sort_by("part")

@@ -22,7 +22,12 @@ def fold(modulus: int):
 
 def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     tricky = r"\### Assistant: </turn> ok"
-    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(tricky).alias("text"))
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(tricky).alias("text"),
+    )
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     # the contract's digests take a conversation's whole text in one value, so it is one block
     read = chat_format.read_turns(chat_format.format_windows(turns, block_turns=None), whole_parts=True)
@@ -169,7 +174,9 @@ ORACLE_SQL: dict[str, str] = {
 
 
 def _license_sql() -> str:
-    values = ",\n            ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in item) + ")" for item in sorted(license_scan.TEMPLATES.items()))
+    values = ",\n            ".join(
+        "(" + ", ".join("'" + x.replace("'", "''") + "'" for x in item) + ")" for item in sorted(license_scan.TEMPLATES.items())
+    )
     return rf"""
         WITH source AS (
             SELECT 'd' || doc_id AS key, doc_id, NULL AS template, text FROM documents

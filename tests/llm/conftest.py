@@ -2,7 +2,10 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, code long, row string, keys string, k1 long, part int, `order` string, cell string, tokens long, window long, h1 long, label int, y double"
+SCHEMA = (
+    "doc_id long, text string, lang string, source string, n_chars long, id long, code long, row string, keys string, k1 long, part "
+    "int, `order` string, cell string, tokens long, window long, h1 long, label int, y double"
+)
 WORDS = "the of and reading water river stone light under over again never bright cold winter summer letter number window garden little house road north south".split()
 
 

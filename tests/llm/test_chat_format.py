@@ -22,7 +22,16 @@ def conversations():
         for t in range(n):
             role = "system" if t == 0 and c % 3 == 0 else ["user", "assistant"][t % 2]
             rows.append((c, t, role, random.choice(tricky) if random.random() < 0.4 else "word " * random.choice([1, 20, 200, 900])))
-    rows += [(200, None, None, None), (200, 1, "assistant", "x"), (200, 1, "assistant", "x"), (None, 0, "user", "no conversation"), (None, 1, "assistant", "yes"), (201, 0, "us<|text|>er\n", "odd role"), (202, -5, "user", "a"), (202, 10**7, "assistant", "b")]
+    rows += [
+        (200, None, None, None),
+        (200, 1, "assistant", "x"),
+        (200, 1, "assistant", "x"),
+        (None, 0, "user", "no conversation"),
+        (None, 1, "assistant", "yes"),
+        (201, 0, "us<|text|>er\n", "odd role"),
+        (202, -5, "user", "a"),
+        (202, 10**7, "assistant", "b"),
+    ]
     return rows
 
 
@@ -30,10 +39,26 @@ def plain(rows):
     found = {}
     for c, t, r, x in rows:
         found.setdefault(c, []).append((t is not None, t or 0, r or "", x or ""))
-    return {c: ("".join(f"{r}\n{x}\n" for _, _, r, x in sorted(v)), "".join(x for _, _, r, x in sorted(v) if r == "assistant"), len(v)) for c, v in found.items()}
-
-
-@pytest.mark.parametrize("settings", [{}, {"budget": 256, "history_tokens": 64}, {"history_turns": 0}, {"history_turns": 4, "budget": 600}, {"block_turns": None}, {"block_turns": 8, "budget": 300}])
+    return {
+        c: (
+            "".join(f"{r}\n{x}\n" for _, _, r, x in sorted(v)),
+            "".join(x for _, _, r, x in sorted(v) if r == "assistant"),
+            len(v),
+        ) for c, v in found.items()
+    }
+
+
+@pytest.mark.parametrize(
+    "settings",
+    [
+        {},
+        {"budget": 256, "history_tokens": 64},
+        {"history_turns": 0},
+        {"history_turns": 4, "budget": 600},
+        {"block_turns": None},
+        {"block_turns": 8, "budget": 300},
+    ],
+)
 def test_reads_back_what_it_formats(spark, settings):
     rows = conversations()
     windows = C.format_windows(frame(spark, rows), **settings)
@@ -98,5 +123,9 @@ def test_native_and_empty(spark):
 
 def test_escapes_are_reversible(spark):
     texts = ["\\", "<|", "<\\|", "\\<|\\", "", "a\nb", "<<||", "\\\\<\\\\|"]
-    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", C.unescape(C.escape(F.col("t"))).alias("u"), C.escape(F.col("t")).alias("e")).collect()
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        "t",
+        C.unescape(C.escape(F.col("t"))).alias("u"),
+        C.escape(F.col("t")).alias("e"),
+    ).collect()
     assert all(r["t"] == r["u"] and "<|" not in r["e"] for r in rows)

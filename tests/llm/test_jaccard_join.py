@@ -119,7 +119,15 @@ def test_null_ids_and_texts_that_share_an_id(spark):
     words = [f"w{k}" for k in range(60)]
     near = [" ".join([*words[:k], "x", *words[k + 1 :]]) for k in (5, 20, 40)]
     other = " ".join(f"v{k}" for k in range(60))
-    rows = [(None, near[0]), (None, near[1]), (7, " ".join(words)), (7, other), (9, other.replace("v30", "y")), (None, other + " end"), (None, "alone is this text of null id")]
+    rows = [
+        (None, near[0]),
+        (None, near[1]),
+        (7, " ".join(words)),
+        (7, other),
+        (9, other.replace("v30", "y")),
+        (None, other + " end"),
+        (None, "alone is this text of null id"),
+    ]
     rows += [(None, "u1 u2 u3 u4 u5 " * 3 + f"u{k}") for k in (5, 5)] + [(None, "t " * 30), (None, "t " * 31)]
     out = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     by_text = {}

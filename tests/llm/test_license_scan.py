@@ -32,11 +32,28 @@ def test_equals_brute_force(spark):
     filler = "the water and the stone were cold that winter " * 3
     mit, gpl = TEMPLATES.values()
     long = license_scan.TEMPLATES["mit-permission"]
-    texts = [filler, filler + mit, gpl.upper() + "\n" + filler, mit + " " + gpl, filler * 20 + gpl + filler * 9, mit.replace("MIT", "BSD"), long, long.replace("merge", "join"), " ".join(long.split()[:60]), filler + long + filler, "", None, "Released under", gpl * 4]
+    texts = [
+        filler,
+        filler + mit,
+        gpl.upper() + "\n" + filler,
+        mit + " " + gpl,
+        filler * 20 + gpl + filler * 9,
+        mit.replace("MIT", "BSD"),
+        long,
+        long.replace("merge", "join"),
+        " ".join(long.split()[:60]),
+        filler + long + filler,
+        "",
+        None,
+        "Released under",
+        gpl * 4,
+    ]
     rows = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert len(rows) == len(texts)
     for r in rows:
-        assert {x["template"]: round(x["containment"], 9) for x in r["licenses"]} == {k: round(v, 9) for k, v in plain(texts[r["doc_id"]], license_scan.TEMPLATES).items()}
+        assert {
+            x["template"]: round(x["containment"], 9) for x in r["licenses"]
+        } == {k: round(v, 9) for k, v in plain(texts[r["doc_id"]], license_scan.TEMPLATES).items()}
 
 
 def test_no_python_in_the_plan(spark, odd):
@@ -72,7 +89,9 @@ def test_license_lines_of_the_documents_are_found(spark):
 
 @pytest.mark.parametrize("kind", ["BY", "BY-NC", "BY-NC-ND", "BY-NC-SA", "BY-ND", "BY-SA"])
 def test_short_creative_commons_lines_are_told_apart(spark, kind):
-    rows = license_scan.scan(spark.createDataFrame([(1, f"A cold winter.\nLicensed under CC {kind} 4.0.\nThe end.")], "doc_id long, text string")).collect()
+    rows = license_scan.scan(
+        spark.createDataFrame([(1, f"A cold winter.\nLicensed under CC {kind} 4.0.\nThe end.")], "doc_id long, text string")
+    ).collect()
     assert [x["template"] for x in rows[0]["licenses"]] == [f"cc-{kind.lower()}-4.0-short"]
 
 

@@ -65,10 +65,26 @@ def test_gradient_of_the_likelihood_is_right():
     emission, stay, start = line_crf._gradient(x, y, first, field)
     for k in range(3):
         step = np.eye(3)[k] * 1e-5
-        wanted = (likelihood(line_crf.Field(field.emission + step, field.stay, field.start)) - likelihood(line_crf.Field(field.emission - step, field.stay, field.start))) / 2e-5
+        wanted = (
+            likelihood(
+                line_crf.Field(field.emission + step, field.stay, field.start)
+            ) - likelihood(line_crf.Field(field.emission - step, field.stay, field.start))
+        ) / 2e-5
         assert abs(emission[k] - wanted) < 1e-6
-    assert abs(stay - (likelihood(line_crf.Field(field.emission, field.stay + 1e-5, field.start)) - likelihood(line_crf.Field(field.emission, field.stay - 1e-5, field.start))) / 2e-5) < 1e-6
-    assert abs(start - (likelihood(line_crf.Field(field.emission, field.stay, field.start + 1e-5)) - likelihood(line_crf.Field(field.emission, field.stay, field.start - 1e-5))) / 2e-5) < 1e-6
+    assert abs(
+        stay - (
+            likelihood(
+                line_crf.Field(field.emission, field.stay + 1e-5, field.start)
+            ) - likelihood(line_crf.Field(field.emission, field.stay - 1e-5, field.start))
+        ) / 2e-5
+    ) < 1e-6
+    assert abs(
+        start - (
+            likelihood(
+                line_crf.Field(field.emission, field.stay, field.start + 1e-5)
+            ) - likelihood(line_crf.Field(field.emission, field.stay, field.start - 1e-5))
+        ) / 2e-5
+    ) < 1e-6
 
 
 def test_labels_of_a_mixed_text():
@@ -86,7 +102,10 @@ def test_odd_tables(spark, odd, empty):
 
 def test_keeps_clean_documents_and_rejects_junk(spark):
     d = "/root/testdata/sf0.01"
-    out = queries.op3_line_crf(spark, d).where("not base_failed").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").groupBy("quality", "kept").count().collect()
+    out = queries.op3_line_crf(spark, d).where("not base_failed").join(
+        spark.read.parquet(f"{d}/labels.parquet"),
+        "doc_id",
+    ).groupBy("quality", "kept").count().collect()
     n = {(r["quality"], r["kept"]): r["count"] for r in out}
     assert n.get((1, False), 0) <= 0.02 * n[(1, True)]
     assert n.get((0, True), 0) <= 0.05 * sum(v for (q, _), v in n.items() if q == 0)

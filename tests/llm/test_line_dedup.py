@@ -26,7 +26,11 @@ def test_equals_the_definition(spark):
     random.seed(8)
     rows = [(k, "\n".join(random.choice(["a", "b", " a", "c", "", " ", "d\t"]) for _ in range(random.randint(0, 25)))) for k in range(80)]
     wanted = plain(rows)
-    got = {r["doc_id"]: (r["text"], r["lines_removed"]) for r in line_dedup.remove_repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {
+        r["doc_id"]: (r["text"], r["lines_removed"]) for r in line_dedup.remove_repeated(
+            spark.createDataFrame(rows, "doc_id long, text string")
+        ).collect()
+    }
     assert got == wanted
 
 

@@ -19,7 +19,10 @@ def test_share_out():
         n = random.randint(1, 6)
         limits, weights, budget = [random.randint(0, 40) for _ in range(n)], [random.choice([0, 1, 2.5]) for _ in range(n)], random.randint(0, 200)
         got = mixing.share_out(budget, weights, limits)
-        assert sum(got) == min(budget, sum(m for m, w in zip(limits, weights, strict=True) if w)) and all(0 <= g <= m for g, m in zip(got, limits, strict=True))
+        assert sum(got) == min(
+            budget,
+            sum(m for m, w in zip(limits, weights, strict=True) if w),
+        ) and all(0 <= g <= m for g, m in zip(got, limits, strict=True))
         assert not any(g for g, w in zip(got, weights, strict=True) if not w)
 
 

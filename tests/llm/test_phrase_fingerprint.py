@@ -131,7 +131,16 @@ def toss(labels):
 
 def test_parse_equals_the_definition():
     random.seed(11)
-    texts = ["a", "ab", "aaaa", "abababab" * 5, "été 漢字 " * 9, "".join(random.choice("ab") for _ in range(300)), "".join(random.choice("abcdefgh ij") for _ in range(2000)), "x" * 900 + "y" * 40 + "z"]
+    texts = [
+        "a",
+        "ab",
+        "aaaa",
+        "abababab" * 5,
+        "été 漢字 " * 9,
+        "".join(random.choice("ab") for _ in range(300)),
+        "".join(random.choice("abcdefgh ij") for _ in range(2000)),
+        "x" * 900 + "y" * 40 + "z",
+    ]
     for text, got in zip(texts, names(texts), strict=True):
         assert got == plain_names(text), text[:20]
 

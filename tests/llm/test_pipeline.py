@@ -67,5 +67,8 @@ def test_structured_words_are_not_duplicates(spark):
     from tests.llm.test_jaccard_join import thue_morse
 
     one = thue_morse(1024)
-    docs = spark.createDataFrame([(1, one, "en", "s", 1024), (2, one.translate(str.maketrans("ab", "ba")), "en", "s", 1024)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.createDataFrame(
+        [(1, one, "en", "s", 1024), (2, one.translate(str.maketrans("ab", "ba")), "en", "s", 1024)],
+        "doc_id long, text string, lang string, source string, n_chars long",
+    )
     assert pipeline.near_duplicates(spark, docs, D).count() == 2

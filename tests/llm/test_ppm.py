@@ -66,7 +66,10 @@ def test_predicts_held_out_texts_and_odd_rows(spark, odd, empty):
     train = spark.createDataFrame([(t, "en") for t in en] + [(t, "de") for t in de] + [(None, "en"), ("x", None)], "text string, lang string")
     model = ppm.fit(train)
     assert model.langs == ["de", "en"]
-    rows = ppm.predict(spark.createDataFrame([("the stone and water",), ("der stein und das wasser",), (None,), ("12 34",), ("",)], "text string"), model).collect()
+    rows = ppm.predict(
+        spark.createDataFrame([("the stone and water",), ("der stein und das wasser",), (None,), ("12 34",), ("",)], "text string"),
+        model,
+    ).collect()
     assert [r["lang_pred"] for r in rows] == ["en", "de", "und", "und", "und"]
     assert all(0 <= r["lang_score"] <= 1 for r in rows)
     assert ppm.predict(odd, model).count() == odd.count()
@@ -78,13 +81,22 @@ def test_accuracy_on_the_held_out_fold(spark):
     from evidencelake.llm import queries
 
     d = "/root/testdata/sf0.001"
-    out = queries.op5_ppm_language(spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    out = queries.op5_ppm_language(spark, d).join(
+        spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"),
+        "doc_id",
+    ).where("held_out").collect()
     assert sum(r["lang_pred"] == r["lang"] for r in out) >= 0.95 * len(out) > 0
 
 
 def test_a_language_of_copies_is_sampled_by_distinct_texts(spark):
     # more copies than max_docs: all of them were drawn or none
-    texts = [("en", "the water under the stone is cold"), ("de", "das Wasser unter dem Stein ist kalt"), ("fr", "une eau froide sous la pierre"), ("es", "el agua bajo la piedra es muy clara"), ("it", "la pietra sotto il fiume era chiara")]
+    texts = [
+        ("en", "the water under the stone is cold"),
+        ("de", "das Wasser unter dem Stein ist kalt"),
+        ("fr", "une eau froide sous la pierre"),
+        ("es", "el agua bajo la piedra es muy clara"),
+        ("it", "la pietra sotto il fiume era chiara"),
+    ]
     rows = [(text, lang) for lang, text in texts for _ in range(40)]
     model = ppm.fit(spark.createDataFrame(rows, "text string, lang string"), max_docs=2)
     assert model.langs == ["de", "en", "es", "fr", "it"]

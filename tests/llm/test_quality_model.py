@@ -18,7 +18,15 @@ def test_isotonic_pools_adjacent_violators():
 def test_random_features_approximate_the_gaussian_kernel():
     rng = np.random.default_rng(0)
     d = len(quality_model.STATISTICS)
-    model = quality_model.Model(np.zeros(d), np.ones(d), rng.normal(size=(d, 4096)) / (1.5 * np.sqrt(d)), rng.uniform(0, 2 * np.pi, 4096), None, None, None)
+    model = quality_model.Model(
+        np.zeros(d),
+        np.ones(d),
+        rng.normal(size=(d, 4096)) / (1.5 * np.sqrt(d)),
+        rng.uniform(0, 2 * np.pi, 4096),
+        None,
+        None,
+        None,
+    )
     x = rng.normal(size=(6, d))
     z = model.features(x)[:, :-1]
     wanted = np.exp(-((x[:, None] - x[None]) ** 2).sum(axis=2) / (2 * 1.5**2 * d))
@@ -59,7 +67,12 @@ def test_weights_equal_a_dense_ridge_fit(spark):
     rows = [(k, t, float("***" in t or k % 11 == 0)) for k, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string, label double")
     model = quality_model.fit(df.select("doc_id", "text"), df.select("doc_id", "label"), features=32)
-    fold = {r["doc_id"]: r["f"] for r in df.select("doc_id", (F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("fold")), F.lit(4)) == 0).alias("f")).collect()}
+    fold = {
+        r["doc_id"]: r["f"] for r in df.select(
+            "doc_id",
+            (F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("fold")), F.lit(4)) == 0).alias("f"),
+        ).collect()
+    }
     x, y = quality_model.statistics(pa.array(texts)), np.array([r[2] for r in rows])
     assert np.allclose(model.mean, x.mean(axis=0)) and np.allclose(model.scale, np.maximum(x.std(axis=0), 1e-6))
     own = np.array([not fold[k] for k in range(len(rows))])
@@ -77,7 +90,15 @@ def test_byte_entropy_tells_all_bytes_apart():
 def test_scores_rank_texts_inside_a_step():
     d = len(quality_model.STATISTICS)
     rng = np.random.default_rng(0)
-    model = quality_model.Model(np.zeros(d), np.ones(d), rng.normal(size=(d, 8)), rng.uniform(size=8), rng.normal(size=9), np.array([-9.0, 9.0]), np.array([0.7, 0.7]))
+    model = quality_model.Model(
+        np.zeros(d),
+        np.ones(d),
+        rng.normal(size=(d, 8)),
+        rng.uniform(size=8),
+        rng.normal(size=9),
+        np.array([-9.0, 9.0]),
+        np.array([0.7, 0.7]),
+    )
     x = rng.normal(size=(200, d))
     raw, score = model.features(x) @ model.weights, model.score(x)
     assert (np.argsort(raw, kind="stable") == np.argsort(score, kind="stable")).all() and ((score > 0.69) & (score < 0.71)).all()
