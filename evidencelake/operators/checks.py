@@ -15,7 +15,12 @@ from ..sources.stage import cut
 
 def _rows(df: DataFrame, rule: str, id_: Column | None = None, detail: Column | None = None, document: str = "document_id") -> DataFrame:
     text = lambda c: (F.lit(None) if c is None else c).cast("string")
-    return df.select(F.col(document).cast("string").alias("document_id"), F.lit(rule).alias("rule"), text(id_).alias("id"), text(detail).alias("detail"))
+    return df.select(
+        F.col(document).cast("string").alias("document_id"),
+        F.lit(rule).alias("rule"),
+        text(id_).alias("id"),
+        text(detail).alias("detail"),
+    )
 
 
 def _all(*checks: DataFrame) -> DataFrame:
@@ -31,7 +36,11 @@ def check_papers(papers: DataFrame, sections: DataFrame, children: DataFrame, ca
     paper_id), captions and visuals (document_id, kind, id). A paper is empty without sections
     and children. A cycle is reported for each section from which no root is reached."""
     contents = children.select("document_id").unionByName(sections.select("document_id")).distinct()
-    orphan = sections.where("parent is not null").join(sections.select("document_id", F.col("id").alias("parent")), ["document_id", "parent"], "left_anti")
+    orphan = sections.where("parent is not null").join(
+        sections.select("document_id", F.col("id").alias("parent")),
+        ["document_id", "parent"],
+        "left_anti",
+    )
     subject = ["document_id", "kind", "id"]
     return _all(
         _rows(papers.join(contents, "document_id", "left_anti"), "empty_paper"),
@@ -68,7 +77,16 @@ def check_units(papers: DataFrame, units: DataFrame, sections: DataFrame, relati
         _rows(papers.join(ids.select("document_id").distinct(), "document_id", "left_anti"), "no_units"),
         _rows(_twice(units, "document_id", "ord"), "duplicate_order", F.col("ord"), F.col("n")),
         _rows(units.where("paper_id <> document_id"), "wrong_paper", F.col("id"), F.col("paper_id")),
-        _rows(units.where("section is not null").join(sections.select("document_id", F.col("id").alias("section")), ["document_id", "section"], "left_anti"), "unknown_section", F.col("id"), F.col("section")),
+        _rows(
+            units.where("section is not null").join(
+                sections.select("document_id", F.col("id").alias("section")),
+                ["document_id", "section"],
+                "left_anti",
+            ),
+            "unknown_section",
+            F.col("id"),
+            F.col("section"),
+        ),
         _rows(lost("source"), "dangling_source", F.col("source"), F.col("target")),
         _rows(lost("target"), "dangling_target", F.col("source"), F.col("target")),
     )
@@ -89,7 +107,11 @@ def check_embeddings(documents: DataFrame, vectors: DataFrame, units: DataFrame)
 def check_index(points: DataFrame, vectors: DataFrame, manifest: DataFrame, required: tuple[str, ...]) -> DataFrame:
     """Points against vectors (document_id, id) and the manifest (document_id, dimension,
     points)."""
-    counts = manifest.join(points.groupBy("document_id").agg(F.count(F.lit(1)).alias("n")), "document_id", "left").where(~F.coalesce("n", F.lit(0)).eqNullSafe(F.col("points")))
+    counts = manifest.join(
+        points.groupBy("document_id").agg(F.count(F.lit(1)).alias("n")),
+        "document_id",
+        "left",
+    ).where(~F.coalesce("n", F.lit(0)).eqNullSafe(F.col("points")))
     sizes = points.join(manifest.select("document_id", "dimension"), "document_id").where(F.size("vector") != F.col("dimension"))
     missing = [_rows(points.where(F.col(c).isNull()), "missing_field", F.col("id"), F.lit(c)) for c in required]
     return _all(
@@ -107,7 +129,9 @@ def check_graph(nodes: DataFrame, edges: DataFrame, expected: DataFrame) -> Data
     end = lambda name: kinds.select("document_id", F.col("id").alias(name), F.col("label").alias(f"{name}_label"))
     typed = edges.join(end("src"), ["document_id", "src"], "left").join(end("dst"), ["document_id", "dst"], "left")
     unit = "KnowledgeUnit"
-    wrong = (F.col("type") != "BELONGS_TO") & ((F.col("src_label") != unit) | (F.col("dst_label") != unit)) | (F.col("type") == "BELONGS_TO") & ((F.col("dst_label") == unit) | (F.col("src_label") == "Document"))
+    wrong = (F.col("type") != "BELONGS_TO") & (
+        (F.col("src_label") != unit) | (F.col("dst_label") != unit)
+    ) | (F.col("type") == "BELONGS_TO") & ((F.col("dst_label") == unit) | (F.col("src_label") == "Document"))
     name = F.concat_ws(" ", "src", "type", "dst")
     touched = edges.select("document_id", F.col("src").alias("id")).unionByName(edges.select("document_id", F.col("dst").alias("id"))).distinct()
     counts = nodes.where(F.col("label") == unit).groupBy("document_id").agg(F.count_distinct("id").alias("n"))
@@ -121,7 +145,14 @@ def check_graph(nodes: DataFrame, edges: DataFrame, expected: DataFrame) -> Data
     )
 
 
-def check_retrieval(candidates: DataFrame, ranked: DataFrame, groups: DataFrame, statistics: DataFrame, phases: DataFrame, required: tuple[str, ...]) -> DataFrame:
+def check_retrieval(
+    candidates: DataFrame,
+    ranked: DataFrame,
+    groups: DataFrame,
+    statistics: DataFrame,
+    phases: DataFrame,
+    required: tuple[str, ...],
+) -> DataFrame:
     """By query_id: candidates (id, path: ids along the hops), ranked (id, final_rank, fused),
     groups (id), statistics (scored) and phases (phase)."""
     order = Window.partitionBy("query_id").orderBy("final_rank")
@@ -160,4 +191,7 @@ def check_answers(answers: DataFrame, citations: DataFrame, support: DataFrame,
 def check_cases(cases: DataFrame) -> DataFrame:
     """An empty dataset, and case ids that repeat."""
     empty = cases.agg(F.count(F.lit(1)).alias("n")).where("n = 0").withColumn("case_id", F.lit(None).cast("string"))
-    return _all(_rows(empty, "empty_dataset", None, None, "case_id"), _rows(_twice(cases, "case_id"), "duplicate_case", F.col("case_id"), F.col("n"), "case_id"))
+    return _all(
+        _rows(empty, "empty_dataset", None, None, "case_id"),
+        _rows(_twice(cases, "case_id"), "duplicate_case", F.col("case_id"), F.col("n"), "case_id"),
+    )

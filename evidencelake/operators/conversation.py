@@ -22,7 +22,9 @@ def conversation_state(events: DataFrame) -> DataFrame:
     rows = events.where("kind <> 'clear'").join(clear, "document_id", "left").where(F.col("cleared").isNull() | (at > F.col("cleared")))
     rows = rows.withColumn("at", at)
     started = F.min(F.when(F.col("kind") == "start", F.col("at"))).over(Window.partitionBy("document_id", "turn_id"))
-    rows = rows.withColumn("started", started).where(F.col("started").isNotNull() & (F.col("at") >= F.col("started")) & ~((F.col("kind") == "start") & (F.col("at") > F.col("started"))))
+    rows = rows.withColumn("started", started).where(
+        F.col("started").isNotNull() & (F.col("at") >= F.col("started")) & ~((F.col("kind") == "start") & (F.col("at") > F.col("started")))
+    )
     last = rows.groupBy("document_id", "turn_id").agg(F.max_by("kind", "at").alias("kind"), F.max("at").alias("at"))
     status = F.coalesce(*(F.when(F.col("kind") == k, v) for k, v in STATUS.items()))
     return last.select("document_id", "turn_id", status.alias("status"), F.col("at.ts").alias("updated"))
@@ -71,7 +73,10 @@ def answer_tokens(answers: DataFrame) -> DataFrame:
         return F.flatten(F.transform(grouped, lambda x: F.when(x.rlike(f"^(?:{group})$"), labels(x)).otherwise(F.array(token(x, F.lit(False))))))
 
     tokens = F.flatten(F.transform(pieces, lambda x: F.when(x.rlike(r"^\[[A-Za-z0-9_-]+\]$"), F.array(token(x, F.lit(True)))).otherwise(inner(x))))
-    return answers.select("answer_id", F.posexplode(F.filter(tokens, lambda x: x["value"] != "")).alias("n", "t")).select("answer_id", "n", "t.kind", "t.value")
+    return answers.select(
+        "answer_id",
+        F.posexplode(F.filter(tokens, lambda x: x["value"] != "")).alias("n", "t"),
+    ).select("answer_id", "n", "t.kind", "t.value")
 
 
 def strip_for_match(text: Column) -> Column:
@@ -99,11 +104,19 @@ def evidence_locate(evidence: DataFrame, pages: DataFrame) -> DataFrame:
     named = some.select("document_id", "id", "needle", F.posexplode("listed").alias("place", "page")).join(text, ["document_id", "page"])
     search = some.where("listed is null").join(text, "document_id").withColumn("place", F.col("page"))
     columns = ("document_id", "id", "page", "place")
-    found = named.where(F.contains("stripped", F.col("needle"))).select(*columns).unionByName(search.where(F.contains("stripped", F.col("needle"))).select(*columns))
+    found = named.where(F.contains("stripped", F.col("needle"))).select(*columns).unionByName(
+        search.where(F.contains("stripped", F.col("needle"))).select(*columns)
+    )
     best = found.groupBy("document_id", "id").agg(F.min_by("page", "place").alias("hit"))
     out = rows.join(best, ["document_id", "id"], "left")
     page = F.coalesce("hit", F.get("listed", F.lit(0)))
-    return out.select("document_id", "id", page.alias("page"), F.col("hit").isNotNull().alias("matched"), F.when(page.isNotNull(), F.col("source")).otherwise("none").alias("source"))
+    return out.select(
+        "document_id",
+        "id",
+        page.alias("page"),
+        F.col("hit").isNotNull().alias("matched"),
+        F.when(page.isNotNull(), F.col("source")).otherwise("none").alias("source"),
+    )
 
 
 def line_marks(lines: DataFrame, evidence: DataFrame) -> DataFrame:

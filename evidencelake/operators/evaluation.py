@@ -8,7 +8,14 @@ from pyspark.sql import functions as F
 KS = (1, 3, 5, 10)
 DEAD_BAND, ZERO_BASELINE = 5.0, 0.01
 #: Metrics of which less is better.
-LOWER_IS_BETTER = ("unsupported_claim_rate", "retrieval_latency_ms", "generation_latency_ms", "end_to_end_latency_ms", "peak_memory_mb", "cpu_time_ms")
+LOWER_IS_BETTER = (
+    "unsupported_claim_rate",
+    "retrieval_latency_ms",
+    "generation_latency_ms",
+    "end_to_end_latency_ms",
+    "peak_memory_mb",
+    "cpu_time_ms",
+)
 #: Metric, whether it is bad below or above, threshold, advice.
 RULES = (
     ("failed_cases", "above", 0.0, "investigate failed cases before trusting the results"),
@@ -25,7 +32,11 @@ def _hits(ranked: DataFrame, relevant: DataFrame, cases: DataFrame) -> DataFrame
     hit = ranked.join(relevant, ["query_id", "ku_id"]).groupBy("query_id").agg(F.array_sort(F.collect_list("rank")).alias("ranks"))
     count = relevant.groupBy("query_id").agg(F.count(F.lit(1)).alias("relevant"))
     rows = cases.select("query_id").join(count, "query_id", "left").join(hit, "query_id", "left")
-    return rows.select("query_id", F.coalesce("relevant", F.lit(0)).alias("relevant"), F.coalesce("ranks", F.array().cast("array<int>")).alias("ranks"))
+    return rows.select(
+        "query_id",
+        F.coalesce("relevant", F.lit(0)).alias("relevant"),
+        F.coalesce("ranks", F.array().cast("array<int>")).alias("ranks"),
+    )
 
 
 def _within(k: int) -> Column:
@@ -93,7 +104,12 @@ def breakdown(metrics: DataFrame) -> DataFrame:
     sets = metrics.groupingSets([["metric"], ["metric", "difficulty"], ["metric", "category"]], "metric", "difficulty", "category")
     rows = sets.agg(F.round(F.avg("value"), 6).alias("value"), F.grouping("difficulty").alias("gd"), F.grouping("category").alias("gc"))
     grouping = F.when(F.col("gd") == 0, "difficulty").when(F.col("gc") == 0, "category").otherwise("all")
-    return rows.select(grouping.alias("grouping"), F.coalesce(F.when(F.col("gd") == 0, F.col("difficulty")), F.when(F.col("gc") == 0, F.col("category")), F.lit("all")).alias("name"), "metric", "value")
+    return rows.select(
+        grouping.alias("grouping"),
+        F.coalesce(F.when(F.col("gd") == 0, F.col("difficulty")), F.when(F.col("gc") == 0, F.col("category")), F.lit("all")).alias("name"),
+        "metric",
+        "value",
+    )
 
 
 def performance(log: DataFrame) -> DataFrame:
@@ -102,7 +118,13 @@ def performance(log: DataFrame) -> DataFrame:
     total = F.col("retrieval_ms") + F.col("generation_ms")
     r = lambda c, name: F.round(c, 4).alias(name)
     return log.groupBy("run_id").agg(
-        r(F.avg("retrieval_ms"), "retrieval_latency_ms"), r(F.avg("generation_ms"), "generation_latency_ms"), r(F.avg(total), "end_to_end_latency_ms"), r(F.max("memory_mb"), "peak_memory_mb"), r(F.avg("cpu_ms"), "cpu_time_ms"),
+        r(
+            F.avg("retrieval_ms"),
+            "retrieval_latency_ms",
+        ), r(
+            F.avg("generation_ms"),
+            "generation_latency_ms",
+        ), r(F.avg(total), "end_to_end_latency_ms"), r(F.max("memory_mb"), "peak_memory_mb"), r(F.avg("cpu_ms"), "cpu_time_ms"),
         r(F.when(F.sum(total) > 0, F.count(F.lit(1)) * 1000 / F.sum(total)).otherwise(0.0), "cases_per_second"),
     )
 
@@ -119,10 +141,21 @@ def regression(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
     b = baseline.select("metric", F.col("value").alias("baseline"), F.col("dataset_version").alias("_v"))
     rows = candidate.select("metric", F.col("value").alias("candidate"), "dataset_version").join(b, "metric")
     delta = F.col("candidate") - F.col("baseline")
-    percent = F.when(F.col("baseline") == 0, F.when(delta == 0, 0.0).otherwise(delta / ZERO_BASELINE * 100)).otherwise(delta / F.abs("baseline") * 100)
+    percent = F.when(
+        F.col("baseline") == 0,
+        F.when(delta == 0, 0.0).otherwise(delta / ZERO_BASELINE * 100),
+    ).otherwise(delta / F.abs("baseline") * 100)
     better = F.when(F.col("metric").isin(*LOWER_IS_BETTER), percent < 0).otherwise(percent > 0)
     direction = F.when(F.abs(percent) < DEAD_BAND, "unchanged").when(better, "improvement").otherwise("regression")
-    return rows.select("metric", "baseline", "candidate", F.round(delta, 6).alias("delta"), F.round(percent, 4).alias("delta_percent"), direction.alias("direction"), F.col("dataset_version").eqNullSafe(F.col("_v")).alias("same_dataset"))
+    return rows.select(
+        "metric",
+        "baseline",
+        "candidate",
+        F.round(delta, 6).alias("delta"),
+        F.round(percent, 4).alias("delta_percent"),
+        direction.alias("direction"),
+        F.col("dataset_version").eqNullSafe(F.col("_v")).alias("same_dataset"),
+    )
 
 
 def latest(runs: DataFrame, before: Column) -> DataFrame:
@@ -139,4 +172,11 @@ def recommend(values: DataFrame) -> DataFrame:
     broken = F.when(F.col("bad") == "below", F.col("value") < F.col("threshold")).otherwise(F.col("value") > F.col("threshold"))
     hit = rows.where(broken).select("run_id", "metric", "value", "advice")
     clear = values.select("run_id").distinct().join(hit, "run_id", "left_anti")
-    return hit.unionByName(clear.select("run_id", F.lit(None).cast("string").alias("metric"), F.lit(None).cast("double").alias("value"), F.lit("all monitored metrics are within expected thresholds").alias("advice")))
+    return hit.unionByName(
+        clear.select(
+            "run_id",
+            F.lit(None).cast("string").alias("metric"),
+            F.lit(None).cast("double").alias("value"),
+            F.lit("all monitored metrics are within expected thresholds").alias("advice"),
+        )
+    )

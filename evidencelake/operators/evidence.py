@@ -10,7 +10,18 @@ from .structure import SPACE
 
 #: The wordings that tell a question's type, in the order of the tests.
 MARKERS = {
-    "comparative": ("compare", "comparison", "versus", " vs ", "vs.", "difference between", "differences between", "better than", "compared to", "compared with"),
+    "comparative": (
+        "compare",
+        "comparison",
+        "versus",
+        " vs ",
+        "vs.",
+        "difference between",
+        "differences between",
+        "better than",
+        "compared to",
+        "compared with",
+    ),
     "procedural": ("how to", "how do", "how does one", "steps to", "procedure for", "process for"),
     "citation": ("who wrote", "which paper", "cite", "citation", "reference", "according to"),
     "figure": ("figure", "chart", "graph", "diagram", "image", "plot", "architecture", "workflow", "illustration"),
@@ -18,7 +29,16 @@ MARKERS = {
     "descriptive": ("what is", "what are", "describe", "explain", "overview of"),
 }
 #: Groups and modality that an answer to each type needs.
-PLANS = (("factual", 1, None), ("descriptive", 1, None), ("comparative", 2, None), ("procedural", 1, None), ("multi_hop", 2, None), ("figure", 1, "figure"), ("table", 1, "table"), ("citation", 1, None))
+PLANS = (
+    ("factual", 1, None),
+    ("descriptive", 1, None),
+    ("comparative", 2, None),
+    ("procedural", 1, None),
+    ("multi_hop", 2, None),
+    ("figure", 1, "figure"),
+    ("table", 1, "table"),
+    ("citation", 1, None),
+)
 #: How evidence that no citation names is announced, and added descriptions.
 UNCITED, VISUAL = "Shown to the model as context (not cited in the answer)", "\n\nVisual analysis: "
 RESERVED_TOKENS, CHARS_A_TOKEN = 512, 4
@@ -74,7 +94,10 @@ def fit(rows: DataFrame, window: int, max_tokens: int) -> DataFrame:
 
     def step(s: Column, x: Column) -> Column:
         fits = s["used"] + x["tokens"] <= room
-        return F.struct(F.when(fits, s["used"] + x["tokens"]).otherwise(s["used"]).alias("used"), F.when(fits, F.array_append(s["kept"], x["pos"].cast("long"))).otherwise(s["kept"]).alias("kept"))
+        return F.struct(
+            F.when(fits, s["used"] + x["tokens"]).otherwise(s["used"]).alias("used"),
+            F.when(fits, F.array_append(s["kept"], x["pos"].cast("long"))).otherwise(s["kept"]).alias("kept"),
+        )
 
     lists = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "tokens"))).alias("l"))
     kept = lists.select("query_id", F.posexplode(F.aggregate("l", start, step, lambda s: s["kept"])).alias("n", "pos"))
@@ -85,9 +108,15 @@ def prompt_rows(context: DataFrame, questions: DataFrame) -> DataFrame:
     """query_id, prompt: the evidence block and the question, as one text."""
     identity = F.when(F.nullif("context", F.lit("")).isNotNull(), F.concat(F.lit(" ("), "context", F.lit(")"))).otherwise("")
     line = F.concat(F.lit("["), "label", F.lit("]"), identity, F.lit(" "), "text")
-    blocks = context.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"]).alias("lines"))
+    blocks = context.groupBy("query_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"]).alias("lines")
+    )
     rows = questions.select("query_id", "text").join(blocks, "query_id", "left")
-    lines = F.concat(F.array(F.lit("Evidence:")), F.coalesce("lines", F.array().cast("array<string>")), F.array(F.lit(""), F.concat(F.lit("Question: "), "text")))
+    lines = F.concat(
+        F.array(F.lit("Evidence:")),
+        F.coalesce("lines", F.array().cast("array<string>")),
+        F.array(F.lit(""), F.concat(F.lit("Question: "), "text")),
+    )
     return rows.select("query_id", F.array_join(lines, "\n").alias("prompt"))
 
 
@@ -99,8 +128,16 @@ def prompt_checks(context: DataFrame, questions: DataFrame, room: int) -> DataFr
     twice = context.groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     labels = context.groupBy("query_id", "label").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     checks = (
-        out(tokens, "token_budget", F.col("tokens").cast("string")), out(none, "no_evidence", F.lit(None).cast("string")), out(twice, "duplicate_unit", F.col("id")),
-        out(context.where(~F.col("label").rlike("^KU[0-9]+$")), "malformed_label", F.col("label")), out(labels, "repeated_label", F.col("label")), out(questions.where("trim(text) = ''"), "blank_question", F.lit(None).cast("string")),
+        out(
+            tokens,
+            "token_budget",
+            F.col("tokens").cast("string"),
+        ), out(none, "no_evidence", F.lit(None).cast("string")), out(twice, "duplicate_unit", F.col("id")),
+        out(
+            context.where(~F.col("label").rlike("^KU[0-9]+$")),
+            "malformed_label",
+            F.col("label"),
+        ), out(labels, "repeated_label", F.col("label")), out(questions.where("trim(text) = ''"), "blank_question", F.lit(None).cast("string")),
     )
     every = checks[0]
     for df in checks[1:]:
@@ -114,7 +151,13 @@ def figure_notes(context: DataFrame, descriptions: DataFrame) -> DataFrame:
     rows = context.join(descriptions, "id", "left")
     own = (F.col("question_type") == "figure") & (F.col("modality") == "figure")
     text = F.when(own & F.col("description").isNotNull(), F.concat("text", F.lit(VISUAL), "description")).otherwise(F.col("text"))
-    note = F.when(own, F.concat("label", F.when(F.col("description").isNotNull(), ": figure image analyzed").otherwise(": visual analysis unavailable; caption only")))
+    note = F.when(
+        own,
+        F.concat(
+            "label",
+            F.when(F.col("description").isNotNull(), ": figure image analyzed").otherwise(": visual analysis unavailable; caption only"),
+        ),
+    )
     return rows.withColumn("text", text).withColumn("note", note).drop("description")
 
 
@@ -137,10 +180,16 @@ def verdicts(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     rows = claims.withColumn("labels", citation_labels(F.col("text")))
     cited = rows.select("answer_id", "claim", F.explode("labels").alias("label")).distinct()
     own = evidence.select("answer_id", "label", terms(F.concat_ws(" ", "context", "text"), CLAIM_STOPWORDS).alias("found"))
-    known = cited.join(own, ["answer_id", "label"], "left").groupBy("answer_id", "claim").agg(F.count_if(F.col("found").isNull()).alias("unknown"), F.flatten(F.collect_list("found")).alias("found"))
+    known = cited.join(own, ["answer_id", "label"], "left").groupBy("answer_id", "claim").agg(
+        F.count_if(F.col("found").isNull()).alias("unknown"),
+        F.flatten(F.collect_list("found")).alias("found"),
+    )
     rows = rows.join(known, ["answer_id", "claim"], "left")
     support = share(terms(F.col("text"), CLAIM_STOPWORDS), F.col("found"))
-    verdict = F.when(F.size("labels") == 0, "missing_citation").when(F.col("unknown") > 0, "unresolved_citation").when(F.coalesce(support, F.lit(1.0)) >= SUPPORT, "grounded").otherwise("unsupported")
+    verdict = F.when(F.size("labels") == 0, "missing_citation").when(F.col("unknown") > 0, "unresolved_citation").when(
+        F.coalesce(support, F.lit(1.0)) >= SUPPORT,
+        "grounded",
+    ).otherwise("unsupported")
     return rows.select("answer_id", "claim", "labels", verdict.alias("verdict"))
 
 
@@ -154,13 +203,20 @@ def resolve_citations(answers: DataFrame, evidence: DataFrame) -> DataFrame:
     """answer_id, n (from 1), label, ku_id (null: unresolved). Labels in order of their first
     appearance, then those whose context an answer quotes in parentheses, in order of place
     and label."""
-    used = answers.select("answer_id", F.posexplode(citation_labels(F.col("text"))).alias("p", "label")).groupBy("answer_id", "label").agg(F.min("p").alias("p"))
+    used = answers.select(
+        "answer_id",
+        F.posexplode(citation_labels(F.col("text"))).alias("p", "label"),
+    ).groupBy("answer_id", "label").agg(F.min("p").alias("p"))
     quoted = evidence.where("context <> ''").join(answers.select("answer_id", F.col("text").alias("answer")), "answer_id")
     quoted = quoted.select("answer_id", "label", F.instr("answer", F.concat(F.lit("("), "context", F.lit(")"))).alias("p")).where("p > 0")
     quoted = quoted.join(used.select("answer_id", "label"), ["answer_id", "label"], "left_anti")
     every = used.withColumn("kind", F.lit(0)).unionByName(quoted.withColumn("kind", F.lit(1)))
     n = F.row_number().over(Window.partitionBy("answer_id").orderBy("kind", "p", "label"))
-    return every.withColumn("n", n).join(evidence.select("answer_id", "label", "ku_id"), ["answer_id", "label"], "left").select("answer_id", "n", "label", "ku_id")
+    return every.withColumn("n", n).join(
+        evidence.select("answer_id", "label", "ku_id"),
+        ["answer_id", "label"],
+        "left",
+    ).select("answer_id", "n", "label", "ku_id")
 
 
 def quality(answers: DataFrame, primaries: DataFrame, plans: DataFrame, context: DataFrame, grounding: DataFrame, citations: DataFrame) -> DataFrame:
@@ -170,18 +226,38 @@ def quality(answers: DataFrame, primaries: DataFrame, plans: DataFrame, context:
     required_modality; context: query_id, modality of each unit shown; grounding: answer_id,
     ratio; citations: answer_id, ku_id.
     """
-    retrieval = primaries.groupBy("query_id").agg(F.avg(F.coalesce("dense", F.lit(GRAPH_SIMILARITY))).alias("retrieval"), F.count(F.lit(1)).alias("groups"))
+    retrieval = primaries.groupBy("query_id").agg(
+        F.avg(F.coalesce("dense", F.lit(GRAPH_SIMILARITY))).alias("retrieval"),
+        F.count(F.lit(1)).alias("groups"),
+    )
     shown = context.groupBy("query_id").agg(F.collect_set("modality").alias("shown"))
     cited = citations.groupBy("answer_id").agg((F.count("ku_id") / F.count(F.lit(1))).alias("coverage"))
     rows = answers.select("answer_id", "query_id").join(plans, "query_id", "left").join(retrieval, "query_id", "left").join(shown, "query_id", "left").join(grounding.select("answer_id", "ratio"), "answer_id", "left").join(cited, "answer_id", "left")
-    rows = rows.withColumn("retrieval", F.coalesce("retrieval", F.lit(0.0))).withColumn("ratio", F.coalesce("ratio", F.lit(0.0))).withColumn("coverage", F.coalesce("coverage", F.lit(1.0)))
+    rows = rows.withColumn(
+        "retrieval",
+        F.coalesce("retrieval", F.lit(0.0)),
+    ).withColumn("ratio", F.coalesce("ratio", F.lit(0.0))).withColumn("coverage", F.coalesce("coverage", F.lit(1.0)))
     enough = F.least(F.coalesce("groups", F.lit(0)) / F.col("required_groups"), F.lit(1.0))
-    modal = F.when(F.col("required_modality").isNull() | F.coalesce(F.array_contains("shown", F.col("required_modality")), F.lit(False)), 1.0).otherwise(0.0)
+    modal = F.when(
+        F.col("required_modality").isNull() | F.coalesce(F.array_contains("shown", F.col("required_modality")), F.lit(False)),
+        1.0,
+    ).otherwise(0.0)
     rows = rows.withColumn("completeness", (enough + modal) / 2)
-    status = F.when(F.col("shown").isNull(), "insufficient").when((F.col("ratio") >= 1) & (F.col("completeness") >= 1), "sufficient").when(F.col("ratio") > 0, "partially_sufficient").otherwise("unverified")
+    status = F.when(F.col("shown").isNull(), "insufficient").when(
+        (F.col("ratio") >= 1) & (F.col("completeness") >= 1),
+        "sufficient",
+    ).when(F.col("ratio") > 0, "partially_sufficient").otherwise("unverified")
     mean = (F.col("retrieval") + F.col("ratio") + F.col("coverage") + F.col("completeness")) / 4
     r = lambda c: F.round(c, 6)
-    return rows.select("answer_id", r(F.col("retrieval")).alias("retrieval"), r(F.col("ratio")).alias("ratio"), r(F.col("coverage")).alias("coverage"), r(F.col("completeness")).alias("completeness"), r(mean).alias("confidence"), status.alias("status"))
+    return rows.select(
+        "answer_id",
+        r(F.col("retrieval")).alias("retrieval"),
+        r(F.col("ratio")).alias("ratio"),
+        r(F.col("coverage")).alias("coverage"),
+        r(F.col("completeness")).alias("completeness"),
+        r(mean).alias("confidence"),
+        status.alias("status"),
+    )
 
 
 def first_sentence(text: Column) -> Column:
@@ -197,7 +273,10 @@ def report(answers: DataFrame, evidence: DataFrame, citations: DataFrame, verdic
     citations, limitations and warnings."""
     resolved = citations.where("ku_id is not null").join(evidence.select("answer_id", "label", "discovery", "text"), ["answer_id", "label"])
     listed = lambda line, order: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), line.alias("line")))), lambda x: x["line"]), "\n")
-    cited = resolved.groupBy("answer_id").agg(listed(F.concat_ws(" ", "label", "ku_id", "discovery"), F.col("n")).alias("cited"), listed(F.concat(F.lit("["), "label", F.lit("] "), "text"), F.col("n")).alias("references"))
+    cited = resolved.groupBy("answer_id").agg(
+        listed(F.concat_ws(" ", "label", "ku_id", "discovery"), F.col("n")).alias("cited"),
+        listed(F.concat(F.lit("["), "label", F.lit("] "), "text"), F.col("n")).alias("references"),
+    )
     shown = evidence.groupBy("answer_id").agg(listed(F.concat_ws(" ", "label", "ku_id", F.lit(UNCITED)), F.col("label")).alias("shown"))
     counts = verdicts.groupBy("answer_id").agg(F.count_if(F.col("verdict") != "grounded").alias("unverified"))
     lost = citations.groupBy("answer_id").agg(F.count_if(F.col("ku_id").isNull()).alias("unresolved"))
@@ -205,6 +284,9 @@ def report(answers: DataFrame, evidence: DataFrame, citations: DataFrame, verdic
     unverified, unresolved = F.coalesce("unverified", F.lit(0)), F.coalesce("unresolved", F.lit(0))
     return rows.select(
         "answer_id", first_sentence(F.col("text")).alias("summary"), F.coalesce("cited", "shown").alias("support"), F.coalesce("references", F.lit("")).alias("references"),
-        F.when(unverified > 0, F.concat(unverified.cast("string"), F.lit(" statement(s) could not be verified against the evidence"))).alias("limitations"),
+        F.when(
+            unverified > 0,
+            F.concat(unverified.cast("string"), F.lit(" statement(s) could not be verified against the evidence")),
+        ).alias("limitations"),
         F.when(unresolved > 0, F.concat(unresolved.cast("string"), F.lit(" citation(s) referred to evidence that was not shown"))).alias("warnings"),
     )

@@ -8,7 +8,17 @@ from pyspark.sql import functions as F
 from ..sources.stage import cut
 
 #: Relationship types and the directions in which they are followed, in order.
-POLICY = (("CITES", "out"), ("REFERENCES", "out"), ("REFERENCES", "in"), ("CONTINUES", "out"), ("CONTINUES", "in"), ("NEXT", "out"), ("NEXT", "in"), ("BELONGS_TO", "out"), ("BELONGS_TO", "in"))
+POLICY = (
+    ("CITES", "out"),
+    ("REFERENCES", "out"),
+    ("REFERENCES", "in"),
+    ("CONTINUES", "out"),
+    ("CONTINUES", "in"),
+    ("NEXT", "out"),
+    ("NEXT", "in"),
+    ("BELONGS_TO", "out"),
+    ("BELONGS_TO", "in"),
+)
 MAX_DEPTH, MAX_NEIGHBORS, MAX_EVIDENCE, MAX_COST = 2, 10, 50, 500
 
 
@@ -20,7 +30,10 @@ def nodes(units: DataFrame) -> DataFrame:
     """Units (ku_id, document_id, section_id, modality) to nodes: id, document_id, labels.
     A document, each section that a unit has, and each unit with its modality's label."""
     docs = units.select(key("d", "document_id").alias("id"), "document_id").distinct().withColumn("labels", F.array(F.lit("Document")))
-    sections = units.where("section_id is not null").select(key("s", "section_id").alias("id"), "document_id").distinct().withColumn("labels", F.array(F.lit("Section")))
+    sections = units.where("section_id is not null").select(
+        key("s", "section_id").alias("id"),
+        "document_id",
+    ).distinct().withColumn("labels", F.array(F.lit("Section")))
     own = units.select(key("k", "ku_id").alias("id"), "document_id", F.array(F.lit("KnowledgeUnit"), F.initcap("modality")).alias("labels"))
     return docs.unionByName(sections).unionByName(own)
 
@@ -33,7 +46,9 @@ def containment(units: DataFrame) -> DataFrame:
     """BELONGS_TO edges: unit to document, unit to section, section to document once."""
     own, doc, section = key("k", "ku_id"), key("d", "document_id"), key("s", "section_id")
     in_section = units.where("section_id is not null")
-    return _edges(units, own, doc, "BELONGS_TO").unionByName(_edges(in_section, own, section, "BELONGS_TO")).unionByName(_edges(in_section.select("section_id", "document_id").distinct(), section, doc, "BELONGS_TO"))
+    return _edges(units, own, doc, "BELONGS_TO").unionByName(
+        _edges(in_section, own, section, "BELONGS_TO")
+    ).unionByName(_edges(in_section.select("section_id", "document_id").distinct(), section, doc, "BELONGS_TO"))
 
 
 def sequence(units: DataFrame) -> DataFrame:
@@ -52,7 +67,11 @@ def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes and outgoing edges of each document."""
     out = edges.join(nodes.select(F.col("id").alias("src"), "document_id"), "src").groupBy("document_id").agg(F.count(F.lit(1)).alias("edges"))
     count = nodes.groupBy("document_id").agg(F.count(F.lit(1)).alias("nodes"))
-    return count.join(out, "document_id", "full").select("document_id", F.coalesce("nodes", F.lit(0)).alias("nodes"), F.coalesce("edges", F.lit(0)).alias("edges"))
+    return count.join(out, "document_id", "full").select(
+        "document_id",
+        F.coalesce("nodes", F.lit(0)).alias("nodes"),
+        F.coalesce("edges", F.lit(0)).alias("edges"),
+    )
 
 
 def replace(table: DataFrame, fresh: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -67,7 +86,13 @@ def directed(edges: DataFrame) -> DataFrame:
     rules = F.array(*(F.struct(F.lit(t).alias("t"), F.lit(d).alias("direction"), F.lit(k).alias("policy")) for k, (t, d) in enumerate(POLICY)))
     rows = edges.withColumn("r", F.explode(F.filter(rules, lambda x: x["t"] == F.col("type"))))
     out = F.col("r.direction") == "out"
-    return rows.select(F.when(out, F.col("src")).otherwise(F.col("dst")).alias("node"), F.when(out, F.col("dst")).otherwise(F.col("src")).alias("neighbor"), "type", F.col("r.direction").alias("direction"), F.col("r.policy").alias("policy"))
+    return rows.select(
+        F.when(out, F.col("src")).otherwise(F.col("dst")).alias("node"),
+        F.when(out, F.col("dst")).otherwise(F.col("src")).alias("neighbor"),
+        "type",
+        F.col("r.direction").alias("direction"),
+        F.col("r.policy").alias("policy"),
+    )
 
 
 def neighbors(edges: DataFrame, nodes: DataFrame, wanted: DataFrame, types: list[str], direction: str) -> DataFrame:
@@ -75,19 +100,29 @@ def neighbors(edges: DataFrame, nodes: DataFrame, wanted: DataFrame, types: list
     direction: node, neighbor, type, labels."""
     a, b = ("src", "dst") if direction == "out" else ("dst", "src")
     rows = edges.where(F.col("type").isin(types)).select(F.col(a).alias("node"), F.col(b).alias("neighbor"), "type")
-    return rows.join(wanted.select(F.col("id").alias("node")).distinct(), "node").join(nodes.select(F.col("id").alias("neighbor"), "labels"), "neighbor")
+    return rows.join(
+        wanted.select(F.col("id").alias("node")).distinct(),
+        "node",
+    ).join(nodes.select(F.col("id").alias("neighbor"), "labels"), "neighbor")
 
 
 def adjacency(edges: DataFrame, most: int = MAX_NEIGHBORS) -> DataFrame:
     """The first ``most`` neighbours of each node in policy order, then by id, with the
     node's full degree. The cap comes before any join, so a hub joins as ``most`` rows."""
-    rows = directed(edges)
+    rows = cut(directed(edges))
     degree = rows.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
     place = F.row_number().over(Window.partitionBy("node").orderBy("policy", "neighbor"))
     return rows.withColumn("place", place).where(F.col("place") <= most).join(degree, "node")
 
 
-def expand(seeds: DataFrame, adjacent: DataFrame, *, depth: int = MAX_DEPTH, most_evidence: int = MAX_EVIDENCE, most_cost: int = MAX_COST) -> tuple[DataFrame, DataFrame]:
+def expand(
+    seeds: DataFrame,
+    adjacent: DataFrame,
+    *,
+    depth: int = MAX_DEPTH,
+    most_evidence: int = MAX_EVIDENCE,
+    most_cost: int = MAX_COST,
+) -> tuple[DataFrame, DataFrame]:
     """Units reached from the seeds (query_id, id, rank) within all budgets.
 
     Returns (found, cost): found has query_id, id, place (order of discovery from 1), depth
@@ -124,7 +159,13 @@ def expand(seeds: DataFrame, adjacent: DataFrame, *, depth: int = MAX_DEPTH, mos
         taken = rows.where(F.col("upto") < most_evidence)
         order = F.row_number().over(per_query.orderBy("place", "n"))
         step = F.struct(F.col("id").alias("source"), F.col("neighbor").alias("target"), "type", "direction")
-        taken = taken.select("query_id", F.col("neighbor").alias("id"), order.cast("long").alias("place"), F.array_append("hops", step).alias("hops"), F.col("upto"))
+        taken = taken.select(
+            "query_id",
+            F.col("neighbor").alias("id"),
+            order.cast("long").alias("place"),
+            F.array_append("hops", step).alias("hops"),
+            F.col("upto"),
+        )
         # Only nodes that come before the evidence budget is used up add to the cost.
         new_units = rows.where(F.col("neighbor").startswith("k")).groupBy("query_id", F.col("id")).agg(F.count(F.lit(1)).alias("new_units"))
         reached = open_.join(new_units, ["query_id", "id"], "left")
@@ -138,8 +179,16 @@ def expand(seeds: DataFrame, adjacent: DataFrame, *, depth: int = MAX_DEPTH, mos
         late = reached.groupBy("query_id").agg(F.max(F.col("found_before") >= most_evidence).alias("late"))
         now = state.join(spent, "query_id", "left").join(got, "query_id", "left").join(frontier_size, "query_id", "left").join(over, "query_id", "left").join(late, "query_id", "left")
         some = F.coalesce("size", F.lit(0)) > 0
-        why = F.when(some & ((F.col("found0") >= most_evidence) | F.coalesce("over", F.lit(False)) | F.coalesce("late", F.lit(False))), "max_total_evidence").when(some & (F.coalesce("cut", F.lit(0)) > 0), "max_traversal_cost")
-        now = now.select("query_id", (F.col("cost0") + F.coalesce("spent", F.lit(0))).alias("cost0"), (F.col("found0") + F.coalesce("got", F.lit(0))).alias("found0"), why.alias(f"why{level}"))
+        why = F.when(
+            some & ((F.col("found0") >= most_evidence) | F.coalesce("over", F.lit(False)) | F.coalesce("late", F.lit(False))),
+            "max_total_evidence",
+        ).when(some & (F.coalesce("cut", F.lit(0)) > 0), "max_traversal_cost")
+        now = now.select(
+            "query_id",
+            (F.col("cost0") + F.coalesce("spent", F.lit(0))).alias("cost0"),
+            (F.col("found0") + F.coalesce("got", F.lit(0))).alias("found0"),
+            why.alias(f"why{level}"),
+        )
         now = cut(now)
         reasons = now.select("query_id", f"why{level}")
         exhausted = reasons if exhausted is None else exhausted.join(reasons, "query_id")
@@ -149,5 +198,9 @@ def expand(seeds: DataFrame, adjacent: DataFrame, *, depth: int = MAX_DEPTH, mos
         frontier = taken.select("query_id", "id", "place", "hops")
     place = F.row_number().over(per_query.orderBy("depth", "place"))
     found = found.withColumn("place", place).select("query_id", "id", "place", "depth", "hops")
-    costs = state.join(exhausted, "query_id").select("query_id", F.col("cost0").alias("cost"), F.coalesce(*(f"why{k}" for k in range(depth, 0, -1))).alias("exhausted"))
+    costs = state.join(exhausted, "query_id").select(
+        "query_id",
+        F.col("cost0").alias("cost"),
+        F.coalesce(*(f"why{k}" for k in range(depth, 0, -1))).alias("exhausted"),
+    )
     return found, costs

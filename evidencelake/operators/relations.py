@@ -44,7 +44,10 @@ def edges_cites(texts: DataFrame, entries: DataFrame) -> DataFrame:
     each pair; marks without an entry are dropped: doc_id, source_pos, target_entry."""
     marks = texts.select("doc_id", F.col("pos").alias("source_pos"), F.explode(F.regexp_extract_all("text", F.lit(r"\[([0-9]+)\]"), 1)).alias("mark"))
     marks = marks.select("doc_id", "source_pos", (F.col("mark").try_cast("int") - 1).alias("target_entry"))
-    return marks.join(entries.select("doc_id", F.col("entry").alias("target_entry")), ["doc_id", "target_entry"]).select("doc_id", "source_pos", "target_entry").distinct()
+    return marks.join(
+        entries.select("doc_id", F.col("entry").alias("target_entry")),
+        ["doc_id", "target_entry"],
+    ).select("doc_id", "source_pos", "target_entry").distinct()
 
 
 def edges_references(texts: DataFrame, numbers: DataFrame) -> DataFrame:

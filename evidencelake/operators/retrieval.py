@@ -40,7 +40,10 @@ def lexical_topk(questions: DataFrame, units: DataFrame, k: int = 20, block: int
     the hits of its units against them and keeps k of each question, and only those rows are shuffled.
     """
     asked = questions.select("query_id", terms(F.col("text"), QUERY_STOPWORDS).alias("terms")).where("query_id is not null and size(terms) > 0")
-    own = units.select("ku_id", terms(F.concat_ws(" ", "context", "text"), QUERY_STOPWORDS).alias("terms")).where("ku_id is not null and size(terms) > 0")
+    own = units.select(
+        "ku_id",
+        terms(F.concat_ws(" ", "context", "text"), QUERY_STOPWORDS).alias("terms"),
+    ).where("ku_id is not null and size(terms) > 0")
     return ranked(in_blocks(asked, lambda few: _hits(few, own, k), block), k)
 
 
@@ -125,23 +128,42 @@ def _assembled(fused: DataFrame, most_groups: int, most_primaries: int) -> DataF
     The fold walks a question's pool, a few dozen rows, in rank order. A candidate that its
     bucket shuts out is not claimed, so a later primary may still take it in.
     """
-    item = F.struct(F.col("final_rank").alias("r"), "id", F.col("last_source").alias("from"), diversity_bucket(F.col("section_id"), F.col("context")).alias("bucket"))
+    item = F.struct(
+        F.col("final_rank").alias("r"),
+        "id",
+        F.col("last_source").alias("from"),
+        diversity_bucket(F.col("section_id"), F.col("context")).alias("bucket"),
+    )
     pools = fused.select("query_id", item.alias("i")).groupBy("query_id").agg(F.array_sort(F.collect_list("i")).alias("pool"))
     start = F.struct(
-        F.array().cast("array<string>").alias("claimed"), F.array().cast("array<struct<id:string,bucket:string,members:array<string>>>").alias("groups"), F.array().cast("array<struct<id:string,reason:string>>").alias("dropped")
+        F.array().cast("array<string>").alias("claimed"), F.array().cast(
+            "array<struct<id:string,bucket:string,members:array<string>>>"
+        ).alias("groups"), F.array().cast("array<struct<id:string,reason:string>>").alias("dropped")
     )
 
     def step(s: Column, x: Column) -> Column:
         skip = F.array_contains(s["claimed"], x["id"])
         full = F.size(s["groups"]) >= most_groups
         crowded = F.size(F.filter(s["groups"], lambda g: g["bucket"] == x["bucket"])) >= most_primaries
-        members = F.transform(F.filter("pool", lambda o: ~F.array_contains(s["claimed"], o["id"]) & (o["id"] != x["id"]) & F.coalesce(o["from"] == x["id"], F.lit(False))), lambda o: o["id"])
+        members = F.transform(
+            F.filter(
+                "pool",
+                lambda o: ~F.array_contains(s["claimed"], o["id"]) & (o["id"] != x["id"]) & F.coalesce(o["from"] == x["id"], F.lit(False)),
+            ),
+            lambda o: o["id"],
+        )
         opens = ~skip & ~full & ~crowded
         reason = F.when(full, "group budget").otherwise("bucket full")
         return F.struct(
             F.when(opens, F.concat(s["claimed"], F.array(x["id"]), members)).otherwise(s["claimed"]).alias("claimed"),
-            F.when(opens, F.array_append(s["groups"], F.struct(x["id"].alias("id"), x["bucket"].alias("bucket"), members.alias("members")))).otherwise(s["groups"]).alias("groups"),
-            F.when(~skip & ~opens, F.array_append(s["dropped"], F.struct(x["id"].alias("id"), reason.alias("reason")))).otherwise(s["dropped"]).alias("dropped"),
+            F.when(
+                opens,
+                F.array_append(s["groups"], F.struct(x["id"].alias("id"), x["bucket"].alias("bucket"), members.alias("members"))),
+            ).otherwise(s["groups"]).alias("groups"),
+            F.when(
+                ~skip & ~opens,
+                F.array_append(s["dropped"], F.struct(x["id"].alias("id"), reason.alias("reason"))),
+            ).otherwise(s["dropped"]).alias("dropped"),
         )
 
     return pools.select("query_id", F.aggregate("pool", start, step).alias("s")).select("query_id", "s.*")
@@ -150,7 +172,11 @@ def _assembled(fused: DataFrame, most_groups: int, most_primaries: int) -> DataF
 def assemble(fused: DataFrame, most_groups: int = MAX_GROUPS, most_primaries: int = MAX_PRIMARIES) -> DataFrame:
     """query_id, group_rank (from 1), role, member_pos (0: the primary), id."""
     groups = _assembled(fused, most_groups, most_primaries).select("query_id", F.posexplode("groups").alias("g", "group"))
-    members = groups.select("query_id", (F.col("g") + 1).alias("group_rank"), F.posexplode(F.concat(F.array("group.id"), F.col("group.members"))).alias("member_pos", "id"))
+    members = groups.select(
+        "query_id",
+        (F.col("g") + 1).alias("group_rank"),
+        F.posexplode(F.concat(F.array("group.id"), F.col("group.members"))).alias("member_pos", "id"),
+    )
     return members.withColumn("role", F.when(F.col("member_pos") == 0, "primary").otherwise("supporting"))
 
 

@@ -24,7 +24,10 @@ BLOCK = 20_000
 
 #: Question wordings and the hint that is appended for each.
 HINTS = (
-    (r"who\s+(?:wrote|authored|developed|created|conducted)|which\s+(?:university|institution|lab|group)|\bauthors?\b|\baffiliations?\b", "authors affiliations title page"),
+    (
+        r"who\s+(?:wrote|authored|developed|created|conducted)|which\s+(?:university|institution|lab|group)|\bauthors?\b|\baffiliations?\b",
+        "authors affiliations title page",
+    ),
     (r"\bkey\s?words?\b|\bindex\s+terms\b", "keywords index terms"),
     (r"\bmethodolog(?:y|ies)\b|\bapproach\b|\bhow\s+does\s+it\s+work\b", "method methodology proposed"),
 )
@@ -50,14 +53,23 @@ def hashed_terms(texts: list[str], dimension: int = 64) -> np.ndarray:
     return out
 
 
-def embed_batch(rows: DataFrame, text_col: str, embedder: Callable[[list[str]], np.ndarray] = hashed_terms, *, attempts: int = 3, batch: int = 32) -> DataFrame:
+def embed_batch(
+    rows: DataFrame,
+    text_col: str,
+    embedder: Callable[[list[str]], np.ndarray] = hashed_terms,
+    *,
+    attempts: int = 3,
+    batch: int = 32,
+) -> DataFrame:
     """Rows with ``vector`` (unit length; null on failure) and ``error``.
 
     The embedder gets lists of texts, a null text as empty; a batch that fails ``attempts``
     times yields rows with the error's text and the job goes on. No shuffle.
     """
     kept = [c for c in rows.columns if c not in ("vector", "error")]
-    schema = T.StructType([rows.schema[c] for c in kept] + [T.StructField("vector", T.ArrayType(T.DoubleType())), T.StructField("error", T.StringType())])
+    schema = T.StructType(
+        [rows.schema[c] for c in kept] + [T.StructField("vector", T.ArrayType(T.DoubleType())), T.StructField("error", T.StringType())]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -72,7 +84,10 @@ def embed_batch(rows: DataFrame, text_col: str, embedder: Callable[[list[str]],
                         break
                     except Exception as e:  # noqa: BLE001  any failure of the caller's embedder is a failed row
                         error = f"{type(e).__name__}: {e}"
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(made, pa.list_(pa.float64())), pa.array([error] * len(texts), pa.string())], names=[*kept, "vector", "error"])
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c) for c in kept), pa.array(made, pa.list_(pa.float64())), pa.array([error] * len(texts), pa.string())],
+                    names=[*kept, "vector", "error"],
+                )
 
     return rows.select(*kept).mapInArrow(run, schema)
 
@@ -152,19 +167,59 @@ def ranked(scored: DataFrame, k: int, descending: bool = True) -> DataFrame:
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def topk_scoped(questions: DataFrame, points: DataFrame, k: int = TOP_K, metric: str = "cosine") -> DataFrame:
+def topk_scoped(questions: DataFrame, points: DataFrame, k: int = TOP_K, metric: str = "cosine", part_points: int = 20_000) -> DataFrame:
     """query_id, ku_id, score, rank: exact top-k among the points of the question's document.
 
-    An equi-join on document_id carries vectors only; texts are joined to the k rows later.
+    Vectors only are shuffled, by document; a document of more than ``part_points`` points is
+    dealt to several parts, each of which gets its questions and gives k rows of each. Rows
+    without id, document or vector are left out; texts are joined to the k rows later.
     """
-    score, descending = METRICS[metric]
-    q = questions.select("query_id", "document_id", F.col("vector").alias("_q"))
-    p = points.select("ku_id", "document_id", F.col("vector").alias("_p"))
-    scored = q.join(p, "document_id").select("query_id", "ku_id", F.round(score(F.col("_q"), F.col("_p")), 6).alias("score"))
-    return ranked(scored, k, descending)
+    vector = F.col("vector").cast("array<double>").alias("vector")
+    p = points.select("document_id", F.lit(0).alias("role"), F.col("ku_id").cast("long").alias("id"), vector)
+    q = questions.select("document_id", F.lit(1).alias("role"), F.col("query_id").cast("long").alias("id"), vector)
+    p, q = (x.where("document_id is not null and id is not null and vector is not null") for x in (p, q))
+    parts = p.groupBy("document_id").agg(F.ceil(F.count(F.lit(1)) / part_points).cast("int").alias("parts"))
+    p = p.join(parts, "document_id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    q = q.join(parts, "document_id").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = p.unionByName(q).drop("parts")
+    return ranked(_met(met, ["document_id", "part"], k, metric), k, METRICS[metric][1])
+
+
+def _met(rows: DataFrame, keys: list[str], k: int, metric: str) -> DataFrame:
+    """Candidates of points (role 0) and questions (role 1) that share their keys: of each
+    group k points of each question, which holds the group's points while its questions pass."""
 
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, vectors = None, [], []
+        for batch in batches:
+            groups = list(zip(*(batch.column(c).to_pylist() for c in (*keys, "role")), strict=True))
+            cuts = [n for n in range(1, len(groups)) if groups[n] != groups[n - 1]]
+            for a, b in zip([0, *cuts], [*cuts, len(groups)], strict=True) if groups else ():
+                own, group, role = batch.slice(a, b - a), groups[a][:-1], groups[a][-1]
+                if group != now:
+                    now, ids, vectors = group, [], []
+                if role == 0:
+                    ids.append(np.asarray(own.column("id")))
+                    vectors.append(matrix(own.column("vector")))
+                for at in range(0, own.num_rows if role and ids else 0, 64):
+                    few = own.slice(at, 64)
+                    best = Best(np.asarray(few.column("id")), k, METRICS[metric][1])
+                    for point, p in zip(ids, vectors, strict=True):
+                        best.show(point, _scores(matrix(few.column("vector"), p.shape[1]), p, metric))
+                    yield best.rows()
 
-def topk_all(questions: DataFrame, points: DataFrame, k: int = TOP_K, metric: str = "cosine", max_queries: int | None = None, block: int = BLOCK) -> DataFrame:
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "role", "id")
+    return dealt.mapInArrow(score, CANDIDATES)
+
+
+def topk_all(
+    questions: DataFrame,
+    points: DataFrame,
+    k: int = TOP_K,
+    metric: str = "cosine",
+    max_queries: int | None = None,
+    block: int = BLOCK,
+) -> DataFrame:
     """As ``topk_scoped``, but among all points, for any number of questions. Questions and
     points without id or vector are left out; vectors of unequal lengths are an error.
 
@@ -238,7 +293,10 @@ class Best:
     def rows(self) -> pa.RecordBatch:
         there = self.score < np.inf
         ids = np.repeat(self.ids, self.score.shape[1])[there.reshape(-1)]
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(self.point[there]), pa.array(self.sign * self.score[there])], names=["query_id", "ku_id", "score"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ids), pa.array(self.point[there]), pa.array(self.sign * self.score[there])],
+            names=["query_id", "ku_id", "score"],
+        )
 
 
 CANDIDATES = "query_id long, ku_id long, score double"
@@ -280,7 +338,16 @@ class Cells:
         return np.argsort(-(vectors @ self.centroids.T), axis=1, kind="stable")[:, :n]
 
 
-def fit_cells(points: DataFrame, k: int = TOP_K, *, recall: float = 0.95, sample: int = 20_000, part_bytes: int = 32 << 20, rounds: int = 10, seed: int = 5) -> Cells | None:
+def fit_cells(
+    points: DataFrame,
+    k: int = TOP_K,
+    *,
+    recall: float = 0.95,
+    sample: int = 20_000,
+    part_bytes: int = 32 << 20,
+    rounds: int = 10,
+    seed: int = 5,
+) -> Cells | None:
     """Cells for points (ku_id, vector), or None where there is no point.
 
     Fitted on about ``sample`` points at most, chosen by a hash of the id: spherical k-means
@@ -354,38 +421,29 @@ def topk_ann(questions: DataFrame, points: DataFrame, k: int = TOP_K, *, cells:
                     else:
                         row, cell = np.arange(len(ids)), near[:, 0]
                         part = np.abs(ids * 0x9E3779B1 >> 7) % cells.parts[cell]
-                    yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(part), pa.array(np.full(len(row), role)), pa.array(ids[row]), batch.column("vector").take(pa.array(row))], names=["cell", "part", "role", "id", "vector"])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(cell),
+                            pa.array(part),
+                            pa.array(np.full(len(row), role)),
+                            pa.array(ids[row]),
+                            batch.column("vector").take(pa.array(row)),
+                        ],
+                        names=["cell", "part", "role", "id", "vector"],
+                    )
 
         return run
 
     schema = "cell long, part long, role long, id long, vector array<double>"
     vector = F.col("vector").cast("array<double>").alias("vector")
-    stored = points.select(F.col("ku_id").cast("long").alias("id"), vector).where("id is not null and vector is not null").mapInArrow(dealt(0), schema)
+    stored = points.select(
+        F.col("ku_id").cast("long").alias("id"),
+        vector,
+    ).where("id is not null and vector is not null").mapInArrow(dealt(0), schema)
     wanted = asked.select(F.col("query_id").cast("long").alias("id"), vector).mapInArrow(dealt(1), schema)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, vectors = None, [], []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.stack([np.asarray(batch.column(c)) for c in ("cell", "part", "role")], axis=1)
-            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-            for a, b in zip([0, *cuts], [*cuts, len(keys)], strict=True):
-                own, group, role = batch.slice(a, b - a), tuple(keys[a, :2]), keys[a, 2]
-                if group != now:
-                    now, ids, vectors = group, [], []
-                if role == 0:
-                    ids.append(np.asarray(own.column("id")))
-                    vectors.append(matrix(own.column("vector")))
-                for at in range(0, own.num_rows if role and ids else 0, 64):
-                    few = own.slice(at, 64)
-                    best = Best(np.asarray(few.column("id")), k, True)
-                    for point, p in zip(ids, vectors, strict=True):
-                        best.show(point, _scores(matrix(few.column("vector"), p.shape[1]), p, "cosine"))
-                    yield best.rows()
-
-    met = stored.unionByName(wanted).repartition("cell", "part").sortWithinPartitions("cell", "part", "role", "id")
-    found = cut(ranked(met.mapInArrow(score, CANDIDATES), k))
+    met = _met(stored.unionByName(wanted), ["cell", "part"], k, "cosine")
+    found = cut(ranked(met, k))
     full = found.groupBy("query_id").count().where(F.col("count") >= k).select("query_id")
     short = cut(asked.join(full, "query_id", "left_anti"))
     if short.isEmpty():

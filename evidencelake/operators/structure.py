@@ -36,17 +36,31 @@ def special_sections(items: DataFrame) -> DataFrame:
     before them.
     """
     role, level = heading_role(F.col("text")), F.coalesce("level", F.lit(1))
-    heads = items.where("kind = 'heading'").select("doc_id", F.struct("pos", level.alias("level"), role.alias("role")).alias("h")).groupBy("doc_id").agg(F.array_sort(F.collect_list("h")).alias("heads"))
-    start = F.struct(F.lit("body").alias("mode"), F.lit(0).alias("level"), F.array().cast("array<struct<pos:int,mode:string,own:string>>").alias("out"))
+    heads = items.where("kind = 'heading'").select(
+        "doc_id",
+        F.struct("pos", level.alias("level"), role.alias("role")).alias("h"),
+    ).groupBy("doc_id").agg(F.array_sort(F.collect_list("h")).alias("heads"))
+    start = F.struct(
+        F.lit("body").alias("mode"),
+        F.lit(0).alias("level"),
+        F.array().cast("array<struct<pos:int,mode:string,own:string>>").alias("out"),
+    )
 
     def step(state: Column, h: Column) -> Column:
         inside = (state["mode"] != "body") & (h["level"] > state["level"])
         mode = F.when(inside, state["mode"]).when(h["role"] == "section", "body").otherwise(h["role"])
         level = F.when(inside, state["level"]).otherwise(h["level"])
         own = F.when(inside, "dropped").when(h["role"] == "section", "body").otherwise(h["role"])
-        return F.struct(mode.alias("mode"), level.alias("level"), F.array_append(state["out"], F.struct(h["pos"].cast("int").alias("pos"), mode.alias("mode"), own.alias("own"))).alias("out"))
-
-    folded = heads.select("doc_id", F.explode(F.aggregate("heads", start, step, lambda s: s["out"])).alias("h")).select("doc_id", F.col("h.pos").alias("pos"), F.col("h.mode").alias("after"), F.col("h.own").alias("own"))
+        return F.struct(
+            mode.alias("mode"),
+            level.alias("level"),
+            F.array_append(state["out"], F.struct(h["pos"].cast("int").alias("pos"), mode.alias("mode"), own.alias("own"))).alias("out"),
+        )
+
+    folded = heads.select(
+        "doc_id",
+        F.explode(F.aggregate("heads", start, step, lambda s: s["out"])).alias("h"),
+    ).select("doc_id", F.col("h.pos").alias("pos"), F.col("h.mode").alias("after"), F.col("h.own").alias("own"))
     order = Window.partitionBy("doc_id").orderBy("pos")
     joined = items.join(folded, ["doc_id", "pos"], "left")
     before = F.coalesce(F.last("after", ignorenulls=True).over(order), F.lit("body"))
@@ -135,7 +149,15 @@ def reading_order(items: DataFrame, sections: DataFrame, boxes: DataFrame) -> Da
     paths = sections.select("doc_id", F.col("pos").alias("section_pos"), "path")
     rank = F.when(F.col("kind") == "paragraph", 0).when(F.col("kind") == "figure", 1).otherwise(2)
     rows = items.join(paths, ["doc_id", "section_pos"], "left").join(boxes, ["doc_id", "pos"], "left")
-    order = Window.partitionBy("doc_id").orderBy(F.coalesce("path", F.array().cast("array<int>")), F.col("page").isNull(), "page", "y0", rank, "ord", "pos")
+    order = Window.partitionBy("doc_id").orderBy(
+        F.coalesce("path", F.array().cast("array<int>")),
+        F.col("page").isNull(),
+        "page",
+        "y0",
+        rank,
+        "ord",
+        "pos",
+    )
     return rows.select(*items.columns, (F.row_number().over(order) - 1).alias("reading_pos"))
 
 
@@ -143,6 +165,15 @@ def table_markdown(cells: DataFrame) -> DataFrame:
     """Cells (doc_id, table, row, col, text, is_header) to one row for each table row:
     doc_id, table, row, line ('| a | b |'; a rule of dashes follows the header)."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("col", "text"))), lambda x: x["text"])
-    rows = cells.groupBy("doc_id", "table", "row").agg(F.array_join(ordered, " | ").alias("t"), F.bool_and("is_header").alias("h"), F.count(F.lit(1)).cast("int").alias("n"))
+    rows = cells.groupBy("doc_id", "table", "row").agg(
+        F.array_join(ordered, " | ").alias("t"),
+        F.bool_and("is_header").alias("h"),
+        F.count(F.lit(1)).cast("int").alias("n"),
+    )
     line = F.concat(F.lit("| "), "t", F.lit(" |"))
-    return rows.select("doc_id", "table", "row", F.when(F.col("h"), F.concat(line, F.lit("\n|"), F.repeat(F.lit(" --- |"), F.col("n")))).otherwise(line).alias("line"))
+    return rows.select(
+        "doc_id",
+        "table",
+        "row",
+        F.when(F.col("h"), F.concat(line, F.lit("\n|"), F.repeat(F.lit(" --- |"), F.col("n")))).otherwise(line).alias("line"),
+    )

@@ -27,7 +27,9 @@ def paragraph_runs(items: DataFrame, order_col: str = "pos") -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy(order_col)
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     previous = F.lag(F.struct("kind", "section_pos")).over(order)
-    new = (F.col("kind") == "paragraph") & (previous.isNull() | (previous["kind"] != "paragraph") | ~previous["section_pos"].eqNullSafe(F.col("section_pos")))
+    new = (F.col("kind") == "paragraph") & (
+        previous.isNull() | (previous["kind"] != "paragraph") | ~previous["section_pos"].eqNullSafe(F.col("section_pos"))
+    )
     run = F.sum(new.cast("int")).over(upto) - 1
     front = ~F.max((F.col("kind") != "paragraph") | F.col("section_pos").isNotNull()).over(upto)
     return items.withColumn("run", run).withColumn("front", front).where("kind = 'paragraph'")
@@ -49,14 +51,29 @@ def merge_tiny(runs: DataFrame, min_words: int = MIN_WORDS, order_col: str = "po
 
     def step(state: Column, x: Column) -> Column:
         closed = state["open"] >= min_words
-        return F.struct(F.when(closed, F.array_append(state["cuts"], state["i"])).otherwise(state["cuts"]).alias("cuts"), F.when(closed, x["words"]).otherwise(state["open"] + x["words"]).alias("open"), (state["i"] + 1).alias("i"))
-
-    cuts = F.aggregate("parts", start, step, lambda s: F.when((s["open"] < min_words) & (F.size(s["cuts"]) > 1), F.slice(s["cuts"], 1, F.size(s["cuts"]) - 1)).otherwise(s["cuts"]))
+        return F.struct(
+            F.when(closed, F.array_append(state["cuts"], state["i"])).otherwise(state["cuts"]).alias("cuts"),
+            F.when(closed, x["words"]).otherwise(state["open"] + x["words"]).alias("open"),
+            (state["i"] + 1).alias("i"),
+        )
+
+    cuts = F.aggregate(
+        "parts",
+        start,
+        step,
+        lambda s: F.when((s["open"] < min_words) & (F.size(s["cuts"]) > 1), F.slice(s["cuts"], 1, F.size(s["cuts"]) - 1)).otherwise(s["cuts"]),
+    )
     grouped = grouped.withColumn("cuts", cuts)
     blocks = grouped.select(*keys, "parts", "cuts", F.posexplode("cuts").alias("block", "a"))
     end = F.coalesce(F.get("cuts", F.col("block") + 1), F.size("parts"))
     own = F.slice("parts", F.col("a") + 1, end - F.col("a"))
-    return blocks.select(*keys, "block", F.element_at(own, 1)["pos"].alias("first_pos"), F.size(own).alias("n_paragraphs"), F.array_join(F.transform(own, lambda x: x["text"]), " ").alias("text"))
+    return blocks.select(
+        *keys,
+        "block",
+        F.element_at(own, 1)["pos"].alias("first_pos"),
+        F.size(own).alias("n_paragraphs"),
+        F.array_join(F.transform(own, lambda x: x["text"]), " ").alias("text"),
+    )
 
 
 def split_oversized(blocks: DataFrame, keys: tuple[str, ...], max_words: int = MAX_WORDS, text_col: str = "text") -> DataFrame:
@@ -73,7 +90,12 @@ def split_oversized(blocks: DataFrame, keys: tuple[str, ...], max_words: int = M
 
     def step(state: Column, w: Column) -> Column:
         over = (state["i"] > 0) & (state["words"] + w > max_words)
-        return F.struct(F.when(over, F.array_append(state["cuts"], state["i"])).otherwise(state["cuts"]).alias("cuts"), (F.when(over, state["last"]).otherwise(state["words"]) + w).alias("words"), w.alias("last"), (state["i"] + 1).alias("i"))
+        return F.struct(
+            F.when(over, F.array_append(state["cuts"], state["i"])).otherwise(state["cuts"]).alias("cuts"),
+            (F.when(over, state["last"]).otherwise(state["words"]) + w).alias("words"),
+            w.alias("last"),
+            (state["i"] + 1).alias("i"),
+        )
 
     rows = rows.withColumn("cuts", F.aggregate("w", start, step, lambda s: s["cuts"]))
     parts = rows.select(*keys, "s", "cuts", F.posexplode("cuts").alias("part", "a"))
@@ -87,7 +109,10 @@ def front_matter_label(rows: DataFrame) -> DataFrame:
     """Paragraphs or parts of blocks (front, text) with ``context``: before any section, table
     or figure, what their first words say they are; null elsewhere."""
     text = F.lower("text")
-    label = F.when(text.rlike(rf"^{SPACE}*abstract\b"), ABSTRACT).when(text.rlike(rf"^{SPACE}*(index{SPACE}+terms|keywords)\b"), KEYWORDS).otherwise(AUTHORS)
+    label = F.when(
+        text.rlike(rf"^{SPACE}*abstract\b"),
+        ABSTRACT,
+    ).when(text.rlike(rf"^{SPACE}*(index{SPACE}+terms|keywords)\b"), KEYWORDS).otherwise(AUTHORS)
     return rows.withColumn("context", F.when(F.col("front"), label))
 
 
@@ -99,7 +124,12 @@ def section_context(blocks: DataFrame, sections: DataFrame) -> DataFrame:
 
 def single_units(rows: DataFrame, kind: str, text: Column, context: Column | None = None) -> DataFrame:
     """One unit for each row with a filled text: doc_id, kind, text, context."""
-    out = rows.select("doc_id", F.lit(kind).alias("kind"), F.trim(text).alias("text"), (F.lit(None).cast("string") if context is None else context).alias("context"))
+    out = rows.select(
+        "doc_id",
+        F.lit(kind).alias("kind"),
+        F.trim(text).alias("text"),
+        (F.lit(None).cast("string") if context is None else context).alias("context"),
+    )
     return out.where("text <> ''")
 
 
@@ -115,14 +145,27 @@ def visual_units(items: DataFrame, captions: DataFrame, kind: str, number: DataF
     subject the first by text counts."""
     name = F.initcap(F.lit(kind))
     first = F.row_number().over(Window.partitionBy("doc_id", "subject_pos").orderBy("text"))
-    own = captions.where(F.col("subject_type") == kind).withColumn("_n", first).where("_n = 1").select("doc_id", F.col("subject_pos").alias("pos"), F.col("text").alias("caption"))
+    own = captions.where(F.col("subject_type") == kind).withColumn("_n", first).where("_n = 1").select(
+        "doc_id",
+        F.col("subject_pos").alias("pos"),
+        F.col("text").alias("caption"),
+    )
     rows = items.where(F.col("kind") == kind).join(own, ["doc_id", "pos"], "left")
     if number is not None:
         rows = rows.join(number.select("doc_id", F.col("subject_pos").alias("pos"), "number"), ["doc_id", "pos"], "left")
     else:
         rows = rows.withColumn("number", F.lit(None).cast("int"))
-    text = F.concat_ws("\n\n", F.nullif(F.trim("caption"), F.lit("")), F.nullif(F.trim(body), F.lit("")) if body is not None else F.lit(None).cast("string"))
-    return rows.select("doc_id", "pos", F.coalesce(F.nullif(text, F.lit("")), F.lit(_PLACEHOLDER[kind])).alias("text"), F.concat_ws(" ", name, F.col("number").cast("string")).alias("context"))
+    text = F.concat_ws(
+        "\n\n",
+        F.nullif(F.trim("caption"), F.lit("")),
+        F.nullif(F.trim(body), F.lit("")) if body is not None else F.lit(None).cast("string"),
+    )
+    return rows.select(
+        "doc_id",
+        "pos",
+        F.coalesce(F.nullif(text, F.lit("")), F.lit(_PLACEHOLDER[kind])).alias("text"),
+        F.concat_ws(" ", name, F.col("number").cast("string")).alias("context"),
+    )
 
 
 def assemble_units(parts: dict[str, DataFrame]) -> DataFrame:

@@ -14,7 +14,11 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     """Files of a folder as (filename, content_type, content); the type is told by the name."""
     rows = spark.read.format("binaryFile").load(path)
     name = F.element_at(F.split("path", "/", -1), -1)
-    return rows.select(name.alias("filename"), F.when(F.lower(name).endswith(".pdf"), "application/pdf").otherwise("application/octet-stream").alias("content_type"), "content")
+    return rows.select(
+        name.alias("filename"),
+        F.when(F.lower(name).endswith(".pdf"), "application/pdf").otherwise("application/octet-stream").alias("content_type"),
+        "content",
+    )
 
 
 def upload_reason(max_bytes: int = MAX_BYTES) -> Column:
@@ -23,19 +27,31 @@ def upload_reason(max_bytes: int = MAX_BYTES) -> Column:
     size = F.length("content")
     typed = F.lower("filename").rlike(r"[^/]\.pdf$") & (F.col("content_type") == "application/pdf")
     headed = F.substring("content", 1, 5) == F.lit(b"%PDF-")
-    return F.when(~F.coalesce(typed, F.lit(False)), "unsupported_type").when(F.coalesce(size, F.lit(0)) == 0, "empty").when(size > max_bytes, "too_large").when(~headed, "not_pdf")
+    return F.when(
+        ~F.coalesce(typed, F.lit(False)),
+        "unsupported_type",
+    ).when(F.coalesce(size, F.lit(0)) == 0, "empty").when(size > max_bytes, "too_large").when(~headed, "not_pdf")
 
 
 def register(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     """One registry row for each accepted file: filename, bytes, sha256, status."""
-    return files.where(upload_reason(max_bytes).isNull()).select("filename", F.length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.lit("completed").alias("status"))
+    return files.where(upload_reason(max_bytes).isNull()).select(
+        "filename",
+        F.length("content").cast("long").alias("bytes"),
+        F.sha2("content", 256).alias("sha256"),
+        F.lit("completed").alias("status"),
+    )
 
 
 def layout(elements: dict[str, DataFrame]) -> DataFrame:
     """Located elements (doc_id, id, boxes: array of (page, y0)) by kind to one row for each
     page: doc_id, page, elements (kind, id, y0 of each box in order)."""
     rows = [df.select("doc_id", F.lit(kind).alias("kind"), "id", F.explode("boxes").alias("b")) for kind, df in elements.items()]
-    every = reduce(DataFrame.unionByName, rows).select("doc_id", F.col("b.page").alias("page"), F.struct(F.col("b.y0").alias("y0"), "kind", "id").alias("e"))
+    every = reduce(DataFrame.unionByName, rows).select(
+        "doc_id",
+        F.col("b.page").alias("page"),
+        F.struct(F.col("b.y0").alias("y0"), "kind", "id").alias("e"),
+    )
     return every.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list("e")).alias("elements"))
 
 
@@ -47,7 +63,11 @@ def page_content(pages: DataFrame) -> DataFrame:
     """
     body = F.regexp_replace("html", r"(?is)<!--.*?-->|<(script|style|nav|footer|header)\b.*?</\1>", " ")
     title = _plain(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1))
-    blocks = F.regexp_extract_all(body, F.lit(r"(?is)(<(?:h[1-6]|p|table|figure)\b[^>]*>.*?(?=<(?:h[1-6]|p|table|figure)\b|</(?:h[1-6]|p|table|figure)>|$))"), 1)
+    blocks = F.regexp_extract_all(
+        body,
+        F.lit(r"(?is)(<(?:h[1-6]|p|table|figure)\b[^>]*>.*?(?=<(?:h[1-6]|p|table|figure)\b|</(?:h[1-6]|p|table|figure)>|$))"),
+        1,
+    )
     rows = pages.select("page_id", title.alias("title"), F.posexplode(blocks).alias("at", "block"))
     tag = F.lower(F.regexp_extract("block", r"^<([A-Za-z]+[1-6]?)", 1))
     kind = F.when(tag.startswith("h"), "heading").when(tag == "p", "paragraph").otherwise(tag)

@@ -14,7 +14,10 @@ _LOCAL: dict[str, str] = {}
 _SCRATCH: set[str] = set()
 
 #: Stored units; a field that an older file lacks reads as null.
-UNITS_JSON = "document_id string, count int, chunks array<struct<id: string, section_id: string, `order`: int, modality: string, text: string, retrieval_context: string, token_count: int, source_element_ids: array<string>>>"
+UNITS_JSON = (
+    "document_id string, count int, chunks array<struct<id: string, section_id: string, `order`: int, modality: string, text: "
+    "string, retrieval_context: string, token_count: int, source_element_ids: array<string>>>"
+)
 
 #: Places of a document whose units are one stored object.
 PART = 32

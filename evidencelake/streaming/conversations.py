@@ -51,7 +51,14 @@ def conversation_stream(events: DataFrame) -> DataFrame:
     return events.groupBy("document_id").transformWithStateInPandas(Turns(), OUTPUT, "Update", "None")
 
 
-def refresh_batches(manifests: Callable[[], DataFrame], build: Callable[[DataFrame], DataFrame], path: str, model: str, version: str, buckets: int = 1024) -> Callable[[DataFrame, int], None]:
+def refresh_batches(
+    manifests: Callable[[], DataFrame],
+    build: Callable[[DataFrame], DataFrame],
+    path: str,
+    model: str,
+    version: str,
+    buckets: int = 1024,
+) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that rebuilds the stale documents of each micro-batch
     (document_id, source_hash, ..) and replaces what is stored of them under ``path``."""
 

@@ -15,12 +15,39 @@ def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
 
 
-@pytest.mark.parametrize(("token", "value"), [("4", 4), ("IV", 4), ("xii", 12), ("MCMXC", 1990), ("IIII", 4), ("IC", 99), ("VIIII", 9), ("VX", 5), ("IIX", 8), ("XIIX", 18), ("abc", None), ("", None), ("X1", None), ("99999999999", None)])
+@pytest.mark.parametrize(
+    ("token", "value"),
+    [
+        ("4", 4),
+        ("IV", 4),
+        ("xii", 12),
+        ("MCMXC", 1990),
+        ("IIII", 4),
+        ("IC", 99),
+        ("VIIII", 9),
+        ("VX", 5),
+        ("IIX", 8),
+        ("XIIX", 18),
+        ("abc", None),
+        ("", None),
+        ("X1", None),
+        ("99999999999", None),
+    ],
+)
 def test_numbers(spark, token, value):
     assert one(spark, relations.parse_number(F.lit(token))) == value
 
 
-@pytest.mark.parametrize(("title", "role"), [("1. Abstract:", "abstract"), ("Bibliography", "references"), ("7.2 REFERENCES", "references"), ("Abstract thoughts", "section"), ("", "section")])
+@pytest.mark.parametrize(
+    ("title", "role"),
+    [
+        ("1. Abstract:", "abstract"),
+        ("Bibliography", "references"),
+        ("7.2 REFERENCES", "references"),
+        ("Abstract thoughts", "section"),
+        ("", "section"),
+    ],
+)
 def test_heading_roles(spark, title, role):
     assert one(spark, structure.heading_role(F.lit(title))) == role
 
@@ -61,8 +88,14 @@ def test_merge_and_split_equal_their_sequential_rules(spark):
     for r, run in enumerate(runs):
         own = sorted((x["block"], x["first_pos"], x["n_paragraphs"]) for x in out if x["doc_id"] == r)
         assert own == [(k, b[0], len(b)) for k, b in enumerate(plain_merge(run))]
-    texts = [[" ".join(["w"] * random.randint(1, 7)) + random.choice(".!?") for _ in range(random.randint(1, 12))] for _ in range(120)] + [["w " * 30 + "end."]]
-    parts = units.split_oversized(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id int, text string"), ("doc_id",), max_words=10).collect()
+    texts = [
+        [" ".join(["w"] * random.randint(1, 7)) + random.choice(".!?") for _ in range(random.randint(1, 12))] for _ in range(120)
+    ] + [["w " * 30 + "end."]]
+    parts = units.split_oversized(
+        spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id int, text string"),
+        ("doc_id",),
+        max_words=10,
+    ).collect()
     for k, t in enumerate(texts):
         assert [x["text"] for x in sorted(parts, key=lambda x: x["part"]) if x["doc_id"] == k] == plain_split(t, 10)
     assert units.split_oversized(spark.createDataFrame([(1, " "), (2, None)], "doc_id int, text string"), ("doc_id",)).count() == 0
@@ -95,14 +128,27 @@ def plain_expand(seeds, near, degree, depth=2, most_evidence=50, most_cost=500):
 def test_expansion_equals_the_traversal(spark, evidence_budget, cost_budget):
     random.seed(evidence_budget * 1000 + cost_budget)
     names = [f"k{i}" for i in range(30)] + [f"s{i}" for i in range(4)] + ["d0"]
-    edges = list({(random.choice(names[:30]), random.choice(names), random.choice(["CITES", "NEXT", "REFERENCES", "BELONGS_TO", "CONTINUES"])) for _ in range(80)})
+    edges = list(
+        {
+            (
+                random.choice(names[:30]),
+                random.choice(names),
+                random.choice(["CITES", "NEXT", "REFERENCES", "BELONGS_TO", "CONTINUES"]),
+            ) for _ in range(80)
+        }
+    )
     adjacent = graph.adjacency(spark.createDataFrame(edges, "src string, dst string, type string"), 4)
     near, degree = {}, {}
     for r in adjacent.orderBy("node", "place").collect():
         near.setdefault(r["node"], []).append(r["neighbor"])
         degree[r["node"]] = r["degree"]
     seeds = [(q, f"k{(q * 7 + i * 3) % 30}", i + 1) for q in range(6) for i in range(4)]
-    found, cost = graph.expand(spark.createDataFrame(seeds, "query_id long, id string, rank int"), adjacent, most_evidence=evidence_budget, most_cost=cost_budget)
+    found, cost = graph.expand(
+        spark.createDataFrame(seeds, "query_id long, id string, rank int"),
+        adjacent,
+        most_evidence=evidence_budget,
+        most_cost=cost_budget,
+    )
     got = {}
     for r in found.orderBy("query_id", "place").collect():
         got.setdefault(r["query_id"], []).append(r["id"])
@@ -190,7 +236,12 @@ def test_vectors_of_unequal_lengths_are_an_error(spark):
 
 
 def test_stored_objects_do_not_grow_with_their_document(spark):
-    units = spark.range(1000).select(F.lit(7).alias("document_id"), F.col("id").cast("string").alias("id"), F.col("id").cast("int").alias("order"), F.lit("text").alias("modality"))
+    units = spark.range(1000).select(
+        F.lit(7).alias("document_id"),
+        F.col("id").cast("string").alias("id"),
+        F.col("id").cast("int").alias("order"),
+        F.lit("text").alias("modality"),
+    )
     packed = stage.pack_units(units)
     assert packed.agg(F.max(F.size("chunks")), F.sum("count")).first() == (stage.PART, 1000)
     assert stage.unpack_units(packed).orderBy("order").collect() == units.withColumn("document_id", F.lit("7")).orderBy("order").collect()
@@ -237,19 +288,28 @@ def test_questions_without_terms_and_missing_signals(spark):
 
 def test_a_candidate_its_bucket_shut_out_may_still_support(spark):
     rows = [(1, "a", 1, None, 9), (1, "b", 2, None, 9), (1, "c", 3, "d", 9), (1, "d", 4, None, 8)]
-    df = spark.createDataFrame(rows, "query_id long, id string, final_rank int, last_source string, section_id long").withColumn("context", F.lit(None).cast("string"))
+    df = spark.createDataFrame(
+        rows,
+        "query_id long, id string, final_rank int, last_source string, section_id long",
+    ).withColumn("context", F.lit(None).cast("string"))
     groups = {(r["group_rank"], r["member_pos"]): r["id"] for r in retrieval.assemble(df).collect()}
     assert groups == {(1, 0): "a", (2, 0): "b", (3, 0): "d", (3, 1): "c"}
     assert [(r["id"], r["reason"]) for r in retrieval.dropped(df).collect()] == [("c", "bucket full")]
 
 
-@pytest.mark.parametrize(("text", "labels"), [("x [KU1]. (KU4, KU8) [KU2; KU3 and KU4]", "KU1 KU4 KU8 KU2 KU3 KU4"), ("(Doe, 2021) KU5 [KU1 x]", ""), ("", "")])
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [("x [KU1]. (KU4, KU8) [KU2; KU3 and KU4]", "KU1 KU4 KU8 KU2 KU3 KU4"), ("(Doe, 2021) KU5 [KU1 x]", ""), ("", "")],
+)
 def test_citation_grammar(spark, text, labels):
     assert " ".join(one(spark, evidence.citation_labels(F.lit(text)))) == labels
 
 
 def test_verdicts(spark):
-    shown = spark.createDataFrame([("x", "KU1", "Figure 2", "cold water under stone"), ("x", "KU2", None, None)], "answer_id string, label string, context string, text string")
+    shown = spark.createDataFrame(
+        [("x", "KU1", "Figure 2", "cold water under stone"), ("x", "KU2", None, None)],
+        "answer_id string, label string, context string, text string",
+    )
     said = ["The cold water [KU1].", "Nothing cited here.", "Cold [KU9].", "Warm summer garden [KU1].", "It is [KU2]. ok"]
     claims = spark.createDataFrame([("x", k, t) for k, t in enumerate(said)], "answer_id string, claim int, text string")
     got = {r["claim"]: r["verdict"] for r in evidence.verdicts(claims, shown).collect()}
@@ -258,16 +318,32 @@ def test_verdicts(spark):
 
 def test_answer_without_citations_or_claims(spark):
     answers = spark.createDataFrame([("x", 1, "ok")], "answer_id string, query_id long, text string")
-    nothing = spark.createDataFrame([], "answer_id string, n int, label string, ku_id string, ratio double, query_id long, dense double, modality string")
+    nothing = spark.createDataFrame(
+        [],
+        "answer_id string, n int, label string, ku_id string, ratio double, query_id long, dense double, modality string",
+    )
     plans = spark.createDataFrame([(1, 1, None)], "query_id long, required_groups int, required_modality string")
-    r = evidence.quality(answers, nothing.select("query_id", "dense"), plans, nothing.select("query_id", "modality"), nothing.select("answer_id", "ratio"), nothing.select("answer_id", "ku_id")).first()
+    r = evidence.quality(
+        answers,
+        nothing.select("query_id", "dense"),
+        plans,
+        nothing.select("query_id", "modality"),
+        nothing.select("answer_id", "ratio"),
+        nothing.select("answer_id", "ku_id"),
+    ).first()
     assert (r["retrieval"], r["ratio"], r["coverage"], r["completeness"], r["status"]) == (0, 0, 1, 0.5, "insufficient")
 
 
 def test_metrics_at_their_borders(spark):
     ranked = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (1, 12, 3), (2, 10, 1)], "query_id long, ku_id long, rank int")
     relevant = spark.createDataFrame([(1, 11), (1, 12), (1, 99)], "query_id long, ku_id long")
-    m = {(r["query_id"], r["metric"]): r["value"] for r in evaluation.retrieval_metrics(ranked, relevant, spark.createDataFrame([(1,), (2,)], "query_id long")).collect()}
+    m = {
+        (r["query_id"], r["metric"]): r["value"] for r in evaluation.retrieval_metrics(
+            ranked,
+            relevant,
+            spark.createDataFrame([(1,), (2,)], "query_id long"),
+        ).collect()
+    }
     assert m[(1, "precision@5")] == 0.4 and m[(1, "recall@3")] == 0.666667 and m[(1, "mrr")] == 0.5 and m[(1, "hit_rate@1")] == 0
     assert m[(1, "ndcg@3")] == round((1 / np.log2(3) + 1 / np.log2(4)) / (1 + 1 / np.log2(3) + 1 / np.log2(4)), 6)
     assert m[(2, "recall@1")] is None and m[(2, "mrr")] == 0 and m[(2, "ndcg@10")] == 0
@@ -275,20 +351,29 @@ def test_metrics_at_their_borders(spark):
 
 def test_regression_against_a_zero_baseline(spark):
     runs = lambda *v: spark.createDataFrame([(m, x, "v1") for m, x in v], "metric string, value double, dataset_version string")
-    got = {r["metric"]: (r["delta_percent"], r["direction"]) for r in evaluation.regression(runs(("a", 0.0), ("b", 1.0), ("cpu_time_ms", 10.0), ("gone", 1.0)), runs(("a", 0.001), ("b", 1.04), ("cpu_time_ms", 9.0))).collect()}
+    got = {
+        r["metric"]: (r["delta_percent"], r["direction"]) for r in evaluation.regression(
+            runs(("a", 0.0), ("b", 1.0), ("cpu_time_ms", 10.0), ("gone", 1.0)),
+            runs(("a", 0.001), ("b", 1.04), ("cpu_time_ms", 9.0)),
+        ).collect()
+    }
     assert got == {"a": (10.0, "improvement"), "b": (4.0, "unchanged"), "cpu_time_ms": (-10.0, "improvement")}
 
 
 def test_stale_reasons_and_force(spark):
     sources = spark.createDataFrame([(1, "h"), (2, "h"), (3, None)], "document_id long, source_hash string")
     old = spark.createDataFrame([(1, "m", "v", "h"), (3, "m", "v", None)], "document_id long, model string, version string, source_hash string")
-    assert {r["document_id"]: r["reason"] for r in freshness.stale_documents(sources, old, "m", "v").collect()} == {1: None, 2: "no_manifest", 3: None}
+    assert {
+        r["document_id"]: r["reason"] for r in freshness.stale_documents(sources, old, "m", "v").collect()
+    } == {1: None, 2: "no_manifest", 3: None}
     assert {r["reason"] for r in freshness.stale_documents(sources, old, "m", "v", force=True).collect()} == {"forced"}
 
 
 def test_tokens_join_to_the_text(spark):
     texts = ["a [KU1] b (KU4, KU8) c", "[x-1][KU2]", "", "(KU1)", "KU5[a]KU6", "no [spaced label]"]
-    rows = conversation.answer_tokens(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "answer_id int, text string")).orderBy("answer_id", "n").collect()
+    rows = conversation.answer_tokens(
+        spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "answer_id int, text string")
+    ).orderBy("answer_id", "n").collect()
     for k, t in enumerate(texts):
         assert "".join(r["value"] for r in rows if r["answer_id"] == k) == t
     assert [r["value"] for r in rows if r["kind"] == "citation"] == ["[KU1]", "KU4", "KU8", "[x-1]", "[KU2]", "KU1", "[a]"]
@@ -297,14 +382,25 @@ def test_tokens_join_to_the_text(spark):
 def test_lexical_topk_equals_brute_force(spark):
     random.seed(6)
     words = ["common", "usual"] + [f"w{k}" for k in range(40)]
-    units_ = [(k, random.choice([None, "Section"]), " ".join([*random.sample(words[:2], random.choice([0, 1, 2, 2, 2])), *random.sample(words[2:], random.choice([0, 0, 3]))])) for k in range(300)]
-    asked = [(q, " ".join(random.sample(words, 4)) + " the of") for q in range(40)] + [(90, "common usual"), (91, "the of"), (92, None), (93, "unknown")]
+    units_ = [
+        (
+            k,
+            random.choice([None, "Section"]),
+            " ".join([*random.sample(words[:2], random.choice([0, 1, 2, 2, 2])), *random.sample(words[2:], random.choice([0, 0, 3]))]),
+        ) for k in range(300)
+    ]
+    asked = [
+        (q, " ".join(random.sample(words, 4)) + " the of") for q in range(40)
+    ] + [(90, "common usual"), (91, "the of"), (92, None), (93, "unknown")]
     wanted = {}
     for q, text in asked:
         own = set((text or "").split()) - {"the", "of"}
         scored = sorted((-round(len(own & set(f"{c or ''} {x}".lower().split())) / len(own), 6), k) for k, c, x in units_) if own else []
         wanted[q] = [(k, -s) for s, k in scored if s < 0][:7]
-    questions, units = spark.createDataFrame(asked, "query_id long, text string"), spark.createDataFrame([*units_, (None, None, "common")], "ku_id long, context string, text string")
+    questions, units = spark.createDataFrame(asked, "query_id long, text string"), spark.createDataFrame(
+        [*units_, (None, None, "common")],
+        "ku_id long, context string, text string",
+    )
     for block in (5, 20_000):
         got = {q: [] for q, _ in asked}
         for r in retrieval.lexical_topk(questions, units, 7, block=block).orderBy("query_id", "rank").collect():
@@ -326,8 +422,13 @@ def plain_tree(levels):
 
 def test_section_tree_of_any_level_and_depth(spark):
     random.seed(7)
-    docs = {d: [random.choice([None, 1, 2, 3, 7, 8, 40]) for _ in range(25)] for d in range(20)} | {50: [1, 6, 7, 8], 51: list(range(1, 60)), 52: [None]}
-    heads = spark.createDataFrame([(d, k, level, "t") for d, levels in docs.items() for k, level in enumerate(levels)], "doc_id long, pos int, level int, text string")
+    docs = {
+        d: [random.choice([None, 1, 2, 3, 7, 8, 40]) for _ in range(25)] for d in range(20)
+    } | {50: [1, 6, 7, 8], 51: list(range(1, 60)), 52: [None]}
+    heads = spark.createDataFrame(
+        [(d, k, level, "t") for d, levels in docs.items() for k, level in enumerate(levels)],
+        "doc_id long, pos int, level int, text string",
+    )
     tree = structure.section_tree(heads)
     rows = tree.collect()
     parents = {d: plain_tree(levels) for d, levels in docs.items()}
@@ -350,15 +451,30 @@ def test_section_tree_of_any_level_and_depth(spark):
 
 
 def test_headings_without_level_are_of_level_one(spark):
-    rows = [(1, 0, "heading", None, "Abstract"), (1, 1, "paragraph", None, "a"), (1, 2, "heading", 2, "deeper"), (1, 3, "heading", None, "Intro"), (1, 4, "paragraph", None, "b")]
+    rows = [
+        (1, 0, "heading", None, "Abstract"),
+        (1, 1, "paragraph", None, "a"),
+        (1, 2, "heading", 2, "deeper"),
+        (1, 3, "heading", None, "Intro"),
+        (1, 4, "paragraph", None, "b"),
+    ]
     out = structure.special_sections(spark.createDataFrame(rows, "doc_id long, pos int, kind string, level int, text string"))
     assert [r["mode"] for r in out.orderBy("pos").collect()] == ["abstract", "abstract", "dropped", "body", "body"]
 
 
-@pytest.mark.parametrize(("text", "numbers"), [("Figure 2a shows", [2]), ("fig. iv, Table 12", [4, 12]), ("Tables 3", []), ("Figure IVth", []), ("TABLE IIII.", [4])])
+@pytest.mark.parametrize(
+    ("text", "numbers"),
+    [("Figure 2a shows", [2]), ("fig. iv, Table 12", [4, 12]), ("Tables 3", []), ("Figure IVth", []), ("TABLE IIII.", [4])],
+)
 def test_mentions(spark, text, numbers):
-    captions = spark.createDataFrame([(1, kind, n * 10 + k, f"{kind.title()} {n} x") for k, kind in enumerate(("table", "figure")) for n in (2, 3, 4, 12)], "doc_id long, subject_type string, subject_pos int, text string")
-    edges = relations.edges_references(spark.createDataFrame([(1, 0, text)], "doc_id long, pos int, text string"), relations.printed_numbers(captions))
+    captions = spark.createDataFrame(
+        [(1, kind, n * 10 + k, f"{kind.title()} {n} x") for k, kind in enumerate(("table", "figure")) for n in (2, 3, 4, 12)],
+        "doc_id long, subject_type string, subject_pos int, text string",
+    )
+    edges = relations.edges_references(
+        spark.createDataFrame([(1, 0, text)], "doc_id long, pos int, text string"),
+        relations.printed_numbers(captions),
+    )
     assert sorted(r["target_pos"] // 10 for r in edges.collect()) == sorted(numbers)
 
 
@@ -371,4 +487,13 @@ def test_checks_of_papers(spark):
     captions = spark.createDataFrame([(2, "table", 9), (2, "figure", 8)], "document_id long, kind string, id long")
     visuals = spark.createDataFrame([(2, "figure", 9), (2, "figure", 8)], "document_id long, kind string, id long")
     got = sorted((r["document_id"], r["rule"], r["id"]) for r in checks.check_papers(papers, sections, children, captions, visuals).collect())
-    assert got == sorted([("5", "empty_paper", None), ("4", "unknown_parent", "5"), *(("2", "section_cycle", str(k)) for k in range(3)), ("2", "caption_without_subject", "9"), ("2", "uncaptioned_visual", "9")], key=lambda x: (x[0], x[1], x[2] or ""))
+    assert got == sorted(
+        [
+            ("5", "empty_paper", None),
+            ("4", "unknown_parent", "5"),
+            *(("2", "section_cycle", str(k)) for k in range(3)),
+            ("2", "caption_without_subject", "9"),
+            ("2", "uncaptioned_visual", "9"),
+        ],
+        key=lambda x: (x[0], x[1], x[2] or ""),
+    )

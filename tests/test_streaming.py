@@ -34,7 +34,10 @@ def test_stream_agrees_with_batch(spark, tmp_path):
 
 def test_refresh_replaces_changed_documents(spark, tmp_path):
     path = f"{tmp_path}/stored"
-    manifests = spark.createDataFrame([(1, "m", "v", "h1"), (2, "m", "v", "h2")], "document_id long, model string, version string, source_hash string")
+    manifests = spark.createDataFrame(
+        [(1, "m", "v", "h1"), (2, "m", "v", "h2")],
+        "document_id long, model string, version string, source_hash string",
+    )
     build = lambda df: df.select("document_id", "source_hash")
     handle = conversations.refresh_batches(lambda: manifests, build, path, "m", "v")
     empty = manifests.where("false")
@@ -56,8 +59,22 @@ def test_refresh_keeps_unchanged_documents_of_a_bucket(spark, tmp_path):
     path, schema = f"{tmp_path}/many", "document_id long, model string, version string, source_hash string"
     manifests = spark.createDataFrame([(k, "m", "v", "h") for k in range(1000)], schema)
     build = lambda df: df.select("document_id", "source_hash")
-    conversations.refresh_batches(lambda: manifests.where("false"), build, path, "m", "v", buckets=4)(manifests.select("document_id", "source_hash"), 0)
-    conversations.refresh_batches(lambda: manifests, build, path, "m", "v", buckets=4)(spark.createDataFrame([(5, "changed"), (6, "h")], "document_id long, source_hash string"), 1)
+    conversations.refresh_batches(
+        lambda: manifests.where("false"),
+        build,
+        path,
+        "m",
+        "v",
+        buckets=4,
+    )(manifests.select("document_id", "source_hash"), 0)
+    conversations.refresh_batches(
+        lambda: manifests,
+        build,
+        path,
+        "m",
+        "v",
+        buckets=4,
+    )(spark.createDataFrame([(5, "changed"), (6, "h")], "document_id long, source_hash string"), 1)
     got = {r["document_id"]: r["source_hash"] for r in spark.read.parquet(path).collect()}
     assert got == {k: "changed" if k == 5 else "h" for k in range(1000)}
 
