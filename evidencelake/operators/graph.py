@@ -189,7 +189,6 @@ def expand(
             (F.col("found0") + F.coalesce("got", F.lit(0))).alias("found0"),
             why.alias(f"why{level}"),
         )
-        now = cut(now)
         reasons = now.select("query_id", f"why{level}")
         exhausted = reasons if exhausted is None else exhausted.join(reasons, "query_id")
         state = now.select("query_id", "cost0", "found0")

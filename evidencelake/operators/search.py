@@ -342,7 +342,7 @@ def fit_cells(
     points: DataFrame,
     k: int = TOP_K,
     *,
-    recall: float = 0.95,
+    recall: float = 0.93,
     sample: int = 20_000,
     part_bytes: int = 32 << 20,
     rounds: int = 10,
