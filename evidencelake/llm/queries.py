@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, jaccard_join, license_scan, line_crf, line_dedup, mixing, phrase_fingerprint, ppm, quality_model
+from . import bpe, chat_format, jaccard_join, license_scan, line_crf, line_dedup, mixing, phrase_fingerprint, ppm, quality_model, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -131,6 +131,12 @@ def op10_phrase_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_windows": op1_chat_windows,
     "op2_quality_classifier": op2_quality_classifier,
@@ -142,6 +148,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_license_scan": op9_license_scan,
     "op10_phrase_fingerprint": op10_phrase_fingerprint,
+    "op11_token_counts": op11_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
