@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, jaccard_join, license_scan, line_crf, line_dedup, mixing, phrase_fingerprint, ppm, quality_model, token_counts
+from . import bpe, chat_format, jaccard_join, license_scan, line_crf, line_dedup, mixing, periodic_runs, phrase_fingerprint, ppm, quality_model, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -137,6 +137,36 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    g = F.floor(h / 10)
+
+    def planted(words: Column) -> Column:
+        n = F.size(words)
+        a = F.pmod(g, n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        moved = F.transform(words, lambda w, i: F.when(i < a, w).otherwise(words[a + (i - a) % p]))
+        return F.when(n > 0, F.array_join(moved, " "))
+
+    # one-element array: the words are worked out once
+    split = F.filter(F.split(F.col("text"), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
+    text = F.when(h % 10 == 0, F.transform(F.array(split), planted)[0]).otherwise(F.col("text"))
+    found = periodic_runs.find(docs.select("doc_id", text.alias("text")))
+    better = lambda x, y: x["length"] * y["period"] > y["length"] * x["period"]  # noqa: E731  the runs are in order of start and period
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda x, y: F.when(better(y, x), y).otherwise(x))
+    best = F.when(F.size("runs") > 0, best)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *(best[c].alias(c) for c in ("start", "length", "period")),
+        F.expr("1000 * length div period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_windows": op1_chat_windows,
     "op2_quality_classifier": op2_quality_classifier,
@@ -149,6 +179,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": op9_license_scan,
     "op10_phrase_fingerprint": op10_phrase_fingerprint,
     "op11_token_counts": op11_token_counts,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
