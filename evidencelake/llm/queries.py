@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, jaccard_join, license_scan, line_crf, line_dedup, mixing, periodic_runs, phrase_fingerprint, ppm, quality_model, token_counts
+from . import bpe, chat_format, collocations, jaccard_join, license_scan, line_crf, line_dedup, mixing, periodic_runs, phrase_fingerprint, ppm, quality_model, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -167,6 +167,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_windows": op1_chat_windows,
     "op2_quality_classifier": op2_quality_classifier,
@@ -180,6 +184,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_phrase_fingerprint": op10_phrase_fingerprint,
     "op11_token_counts": op11_token_counts,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -299,3 +304,37 @@ ORACLE_SQL["op1_chat_windows"] = r"""
     JOIN (SELECT conv_id, count(*) AS windows FROM spans GROUP BY conv_id) n ON n.conv_id IS NOT DISTINCT FROM p.conv_id
     GROUP BY p.conv_id
 """
+
+ORACLE_SQL["op13_collocations"] = r"""
+    WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang,
+               unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\f\r]')) AS piece
+        FROM documents
+    ), worded AS (
+        SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS w FROM pieces
+    ), grams AS (
+        SELECT lang, m, w[i : i + m - 1] AS p
+        FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM worded, (VALUES (1), (2), (3), (4)) AS s(m) WHERE len(w) >= m)
+    ), counted AS MATERIALIZED (
+        SELECT lang, m, array_to_string(p, ' ') AS phrase, any_value(p) AS p, count(*) AS f FROM grams GROUP BY lang, m, phrase
+    ), totals AS (
+        SELECT lang, sum(f)::BIGINT AS n FROM counted WHERE m = 1 GROUP BY lang
+    ), candidates AS MATERIALIZED (
+        SELECT lang, m, phrase, p, f AS a FROM counted WHERE m >= 2 AND f >= 30
+    ), cuts AS MATERIALIZED (
+        SELECT *, array_to_string(p[:k], ' ') AS head, array_to_string(p[k + 1 :], ' ') AS rest FROM (SELECT *, unnest(range(1, m)) AS k FROM candidates)
+    ), scored AS (
+        SELECT c.*, h.f AS l, t.f AS r, ((2000000::HUGEINT * c.a) // (h.f + t.f))::BIGINT AS score
+        FROM cuts c JOIN counted h ON h.lang = c.lang AND h.phrase = c.head JOIN counted t ON t.lang = c.lang AND t.phrase = c.rest
+        QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, c.k) = 1
+    ), inside AS (
+        SELECT lang, a, unnest(CASE m WHEN 3 THEN [p[1:2], p[2:3]] WHEN 4 THEN [p[1:2], p[2:3], p[3:4], p[1:3], p[2:4]] END) AS p FROM candidates WHERE m > 2
+    ), covers AS (
+        SELECT lang, array_to_string(p, ' ') AS phrase, max(a) AS cover FROM inside GROUP BY lang, phrase
+    ), ranked AS (
+        SELECT s.* FROM scored s LEFT JOIN covers c ON c.lang = s.lang AND c.phrase = s.phrase WHERE c.cover IS NULL OR 100::HUGEINT * c.cover < 80::HUGEINT * s.a
+    )
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+    FROM ranked JOIN totals USING (lang)
+    QUALIFY rank <= 2000
+"""
