@@ -58,7 +58,7 @@ class Tokens:
         langs, where = utf8(batch.column("lang"))
         own = hashes(langs, _each(where), seed)
         owner = self.spans.owner
-        self.code = mix64(hashes(self.data, self.spans, seed) ^ own[owner]) if len(owner) else np.zeros(0, np.uint64)
+        self.code = mix64(hashes(self.data, self.spans, seed) * _FOLD + own[owner]) if len(owner) else np.zeros(0, np.uint64)
         part = np.cumsum(_BREAK[self.data])[self.spans.start] if len(data) else np.zeros(0, np.int64)
         self.follows = (owner[1:] == owner[:-1]) & (part[1:] == part[:-1])
 

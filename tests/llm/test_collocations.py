@@ -81,6 +81,13 @@ def test_another_seed_where_words_share_a_hash(spark, monkeypatch):
     assert collocations.Miner(docs, 3, 80, 1 << 15, 0).seed == 2
 
 
+def test_words_that_are_names_of_languages(spark):
+    data = [(f"{w} x {w} y", lang) for w in ("en", "de") for lang in ("en", "de")] * 5
+    docs = spark.createDataFrame(data, "text string, lang string")
+    assert collocations.Miner(docs, 3, 80, 1 << 15, 0).seed == 0
+    assert got(spark, data, limit=10, min_count=3) == plain(data, 10, 3)
+
+
 def test_filter_bits(spark):
     rng = np.random.default_rng(1)
     codes = rng.integers(-(2**63), 2**63 - 1, (500, 2))
