@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -199,7 +199,7 @@ def fit(
     about ``max_docs`` distinct texts of each language, chosen by a hash of the text, all where
     there are fewer, so that no language is left out; copies of a text count once. The most
     frequent of their byte grams go to the driver, ``max_grams`` at most over all languages, as
-    many of each. More than ``max_langs`` languages are an error: the column is not one of
+    many of each (one at least), equal counts in the order of the grams. More than ``max_langs`` languages are an error: the column is not one of
     languages then.
     """
     known = df.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
@@ -228,7 +228,7 @@ def fit(
 
     counted = stage(sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     found: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    rows = _most_frequent(counted, max_grams // len(sizes)).toArrow()
+    rows = _most_frequent(counted, max(1, max_grams // len(sizes))).toArrow()
     langs = np.asarray(rows["lang"].to_pylist(), dtype=object)
     gram, n = np.asarray(rows["gram"]).astype(np.uint32), np.asarray(rows["n"]).astype(float)
     for lang in sorted(r["lang"] for r in sizes):
@@ -241,21 +241,10 @@ def fit(
 
 
 def _most_frequent(counted: DataFrame, most: int) -> DataFrame:
-    """Rows of each language with the highest counts, ``most`` at most (ties at the end go)."""
-    sizes: dict[str, list[tuple[int, int]]] = {}
-    for r in counted.groupBy("lang", F.least("n", F.lit(4096)).alias("n")).agg(F.count(F.lit(1)).alias("grams")).collect():
-        sizes.setdefault(r["lang"], []).append((r["n"], r["grams"]))
-    limits = []
-    for lang, pairs in sizes.items():
-        total = limit = 0
-        for n, grams in sorted(pairs, reverse=True):
-            total += grams
-            if total > most:
-                limit = n
-                break
-        limits.append((lang, limit))
-    limits = F.broadcast(counted.sparkSession.createDataFrame(limits, "lang string, above long"))
-    return counted.join(limits, "lang").where("n > above").select("lang", "gram", "n")
+    """The ``most`` rows of each language with the highest counts, equal ones in the order of
+    the grams, so that every language keeps its whole share."""
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    return counted.withColumn("nth", nth).where(F.col("nth") <= most).select("lang", "gram", "n")
 
 
 def predict(df: DataFrame, model: Model, *, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "lang_score") -> DataFrame:

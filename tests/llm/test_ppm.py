@@ -150,3 +150,14 @@ def test_a_repeated_text_is_a_language_and_too_many_are_an_error(spark):
     dirty = spark.createDataFrame([(f"text {k}", f"l{k}") for k in range(30)], "text string, lang string")
     with pytest.raises(ValueError, match="more than 20 languages"):
         ppm.fit(dirty, max_langs=20)
+
+
+def test_no_language_is_lost_at_the_limit_of_grams(spark):
+    """One text of grams that occur once each, beside another language, and many languages."""
+    unique = "".join(chr(0x4E00 + k) for k in range(400))
+    rows = spark.createDataFrame([("plain words of a text " * 20, "x")] * 3 + [(unique, "y")], "text string, lang string")
+    for most in (1 << 20, 2000, 800, 10, 1):
+        model = ppm.fit(rows, max_grams=most)
+        assert model.langs == ["x", "y"]
+    many = spark.createDataFrame([("".join(chr(0x4E00 + (7 * k + j) % 20000) for j in range(500)), f"l{k:03}") for k in range(1000)], "text string, lang string")
+    assert len(ppm.fit(many).langs) == 1000
