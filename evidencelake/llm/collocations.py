@@ -36,7 +36,7 @@ SCALE = 1_000_000
 UNKNOWN = "und"
 FILTER_BITS = 1 << 24
 FRONTIER = 2
-SUMMED_ROWS = 1 << 21
+SUMMED_ROWS = 1 << 20
 
 _FOLD = np.uint64(0x9E3779B97F4A7C15)
 _GAP = np.zeros(256, dtype=bool)
@@ -288,7 +288,7 @@ class Miner:
         rest = grown.where("f234 is null").select(*(F.col(f"w{k + 1}").alias(f"w{k}") for k in (1, 2, 3))).distinct()
         if rest.limit(1).count():  # the last three words were not grown from their own first ones
             counted = self.count(3, [[(0, 3, make_filter(rest, _names(3), self.bits))]])
-            more = _part(counted, 2, 3, a="also")
+            more = self.keep(_part(counted, 2, 3, a="also"), "more")
             grown = grown.join(more, ["w2", "w3", "w4"], "left").withColumn("f234", F.coalesce("f234", "also"))
         fours_scored = _scored(grown, [("f1", "f234"), ("f12", "f34"), ("f123", "f4")])
         found = []
