@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -53,6 +54,45 @@ def hashed_terms(texts: list[str], dimension: int = 64) -> np.ndarray:
     return out
 
 
+class _Attempts:
+    """An embedder whose answers are checked, tried again and, where a batch fails, halved."""
+
+    def __init__(self, embedder: Callable[[list[str]], np.ndarray], attempts: int, backoff: float):
+        self.embedder, self.attempts, self.backoff = embedder, attempts, backoff
+        self.dimension: int | None = None
+
+    def _asked(self, texts: list[str], attempts: int) -> np.ndarray:
+        for attempt in range(1, attempts + 1):
+            try:
+                v = np.asarray(self.embedder(texts), dtype=float)
+                if v.ndim != 2 or len(v) != len(texts) or not v.shape[1]:
+                    raise ValueError(f"{len(texts)} texts, vectors of shape {v.shape}")
+                if self.dimension not in (None, v.shape[1]):
+                    raise ValueError(f"dimension {v.shape[1]} after {self.dimension}")
+                return v
+            except Exception:  # any failure of the caller's embedder
+                if attempt == attempts:
+                    raise
+                time.sleep(self.backoff * attempt)
+        raise ValueError("no attempts")
+
+    def __call__(self, texts: list[str], attempts: int | None = None) -> list[tuple[np.ndarray | None, str | None]]:
+        """A unit vector or an error for each text."""
+        try:
+            v = self._asked(texts, attempts or self.attempts)
+        except Exception as e:  # noqa: BLE001  a failed row, not a failed job
+            if len(texts) == 1:
+                return [(None, f"{type(e).__name__}: {e}")]
+            half = len(texts) // 2
+            return self(texts[:half], 1) + self(texts[half:], 1)
+        self.dimension = v.shape[1]
+        sound = np.isfinite(v).all(axis=1)
+        largest = np.abs(np.where(sound[:, None], v, 0)).max(axis=1, keepdims=True)
+        v = v / np.where(largest > 0, largest, 1)  # so that no square is out of range
+        v = v / np.maximum(np.linalg.norm(np.where(sound[:, None], v, 0), axis=1, keepdims=True), 1e-12)
+        return [(x, None) if ok else (None, "ValueError: a number that is not finite") for x, ok in zip(v, sound, strict=True)]
+
+
 def embed_batch(
     rows: DataFrame,
     text_col: str,
@@ -60,11 +100,15 @@ def embed_batch(
     *,
     attempts: int = 3,
     batch: int = 32,
+    backoff: float = 0.5,
 ) -> DataFrame:
     """Rows with ``vector`` (unit length; null on failure) and ``error``.
 
-    The embedder gets lists of texts, a null text as empty; a batch that fails ``attempts``
-    times yields rows with the error's text and the job goes on. No shuffle.
+    The embedder gets lists of texts, a null text as empty. It fails where it raises, or gives
+    anything but one vector for each text, all of the dimension that the task saw first. A batch
+    is tried ``attempts`` times, ``backoff`` seconds longer apart each time; then its halves are tried once each, and
+    theirs, so that only the texts that fail alone are failed rows, with the error's text. A
+    vector with a number that is not finite fails its own row. The job goes on. No shuffle.
     """
     kept = [c for c in rows.columns if c not in ("vector", "error")]
     schema = T.StructType(
@@ -72,24 +116,17 @@ def embed_batch(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = _Attempts(embedder, attempts, backoff)
         for whole in batches:
             for at in range(0, whole.num_rows, batch):
                 part = whole.slice(at, batch)
-                texts = [x or "" for x in part.column(text_col).to_pylist()]
-                made, error = [None] * len(texts), None
-                for _ in range(attempts):
-                    try:
-                        v = np.asarray(embedder(texts), dtype=float)
-                        made, error = list(v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)), None
-                        break
-                    except Exception as e:  # noqa: BLE001  any failure of the caller's embedder is a failed row
-                        error = f"{type(e).__name__}: {e}"
+                made, errors = zip(*asked([x or "" for x in part.column(text_col).to_pylist()]), strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in kept), pa.array(made, pa.list_(pa.float64())), pa.array([error] * len(texts), pa.string())],
+                    [*(part.column(c) for c in kept), pa.array(made, pa.list_(pa.float64())), pa.array(errors, pa.string())],
                     names=[*kept, "vector", "error"],
                 )
 
-    return rows.select(*kept).mapInArrow(run, schema)
+    return rows.select(*(f"`{c}`" for c in dict.fromkeys([*kept, text_col]))).mapInArrow(run, schema)
 
 
 def truncation_flag(rows: DataFrame, text_col: str, most: int) -> DataFrame:

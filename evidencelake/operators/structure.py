@@ -6,8 +6,13 @@ and the position of its heading.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..sources.stage import cut
 
@@ -27,40 +32,53 @@ def heading_role(title: Column) -> Column:
     return F.when(name == "abstract", "abstract").when(name.isin("references", "bibliography"), "references").otherwise("section")
 
 
+def _in_order(rows: DataFrame, fold: Callable[[], Callable], made: str) -> DataFrame:
+    """(doc_id, pos) with what ``fold`` makes of each row of a document, in the order of pos.
+
+    ``fold()`` gives a document's step, which is called with pos and the further columns and
+    returns the new ones. Documents are sorted in their partitions and go by in batches, so a task holds
+    one batch and one step's state, however long a document is.
+    """
+    schema = T.StructType([rows.schema["doc_id"], rows.schema["pos"], *T.StructType.fromDDL(made)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types, last, step = to_arrow_schema(schema), None, None
+        for batch in batches:
+            out = []
+            for document, *values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if step is None or document != last:
+                    last, step = document, fold()
+                out.append(step(*values))
+            new = [pa.array(list(c), types.field(k + 2).type) for k, c in enumerate(zip(*out, strict=True))] if out else [pa.array([], f.type) for f in list(types)[2:]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *new], names=schema.names)
+
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "pos").mapInArrow(run, schema)
+
+
 def special_sections(items: DataFrame) -> DataFrame:
     """Items with a column ``mode``: abstract, references or body.
 
     A special heading of level L holds until a heading of level L or less, which is tested
     anew; deeper headings inside it get the mode 'dropped'. A heading without a level has level
-    1. Headings are folded document by document; other items take the mode of the heading
-    before them.
+    1. Headings are gone through document by document, in order; other items take the mode of
+    the heading before them.
     """
     role, level = heading_role(F.col("text")), F.coalesce("level", F.lit(1))
-    heads = items.where("kind = 'heading'").select(
-        "doc_id",
-        F.struct("pos", level.alias("level"), role.alias("role")).alias("h"),
-    ).groupBy("doc_id").agg(F.array_sort(F.collect_list("h")).alias("heads"))
-    start = F.struct(
-        F.lit("body").alias("mode"),
-        F.lit(0).alias("level"),
-        F.array().cast("array<struct<pos:int,mode:string,own:string>>").alias("out"),
-    )
+    heads = items.where("kind = 'heading'").select("doc_id", "pos", level.alias("level"), role.alias("role"))
 
-    def step(state: Column, h: Column) -> Column:
-        inside = (state["mode"] != "body") & (h["level"] > state["level"])
-        mode = F.when(inside, state["mode"]).when(h["role"] == "section", "body").otherwise(h["role"])
-        level = F.when(inside, state["level"]).otherwise(h["level"])
-        own = F.when(inside, "dropped").when(h["role"] == "section", "body").otherwise(h["role"])
-        return F.struct(
-            mode.alias("mode"),
-            level.alias("level"),
-            F.array_append(state["out"], F.struct(h["pos"].cast("int").alias("pos"), mode.alias("mode"), own.alias("own"))).alias("out"),
-        )
-
-    folded = heads.select(
-        "doc_id",
-        F.explode(F.aggregate("heads", start, step, lambda s: s["out"])).alias("h"),
-    ).select("doc_id", F.col("h.pos").alias("pos"), F.col("h.mode").alias("after"), F.col("h.own").alias("own"))
+    def fold() -> Callable[[int, int, str], tuple[str, str]]:
+        mode, held = "body", 0
+
+        def step(_: int, level: int, role: str) -> tuple[str, str]:
+            nonlocal mode, held
+            if mode != "body" and level > held:
+                return mode, "dropped"
+            mode, held = ("body" if role == "section" else role), level
+            return mode, mode
+
+        return step
+
+    folded = _in_order(heads, fold, "after string, own string")
     order = Window.partitionBy("doc_id").orderBy("pos")
     joined = items.join(folded, ["doc_id", "pos"], "left")
     before = F.coalesce(F.last("after", ignorenulls=True).over(order), F.lit("body"))
@@ -72,20 +90,26 @@ def section_tree(heads: DataFrame) -> DataFrame:
     smaller level; ord, the number of earlier children of the same parent; and path, the
     positions of all headings from the root to itself, which sorts depth first.
 
-    Any level and depth; a heading without a level has level 1. The fold over a document's
-    headings keeps a stack of those that are still open, of rising level.
+    Any level and depth; a heading without a level has level 1. One pass over a document's
+    headings keeps a stack of those that are still open, of rising level; it is as long as they are deep.
     """
-    head = F.struct(F.col("pos").cast("int").alias("pos"), F.coalesce("level", F.lit(1)).cast("int").alias("level"))
-    own = heads.groupBy("doc_id").agg(F.array_sort(F.collect_list(head)).alias("heads"))
-    start = F.struct(F.array().cast("array<struct<pos:int,level:int>>").alias("open"), F.array().cast("array<array<int>>").alias("paths"))
+    own = heads.select("doc_id", "pos", F.coalesce("level", F.lit(1)).cast("int").alias("level"))
+
+    def fold() -> Callable[[int, int], tuple[int | None, list[int]]]:
+        levels, open_ = [], []
+
+        def step(pos: int, level: int) -> tuple[int | None, list[int]]:
+            while levels and levels[-1] >= level:
+                levels.pop()
+                open_.pop()
+            parent = open_[-1] if open_ else None
+            levels.append(level)
+            open_.append(pos)
+            return parent, open_.copy()
 
-    def step(state: Column, h: Column) -> Column:
-        above = F.filter(state["open"], lambda x: x["level"] < h["level"])
-        path = F.array_append(F.transform(above, lambda x: x["pos"]), h["pos"])
-        return F.struct(F.array_append(above, h).alias("open"), F.array_append(state["paths"], path).alias("paths"))
+        return step
 
-    paths = own.select("doc_id", F.explode(F.aggregate("heads", start, step, lambda s: s["paths"])).alias("path"))
-    paths = paths.select("doc_id", F.element_at("path", -1).alias("pos"), F.get("path", F.size("path") - 2).alias("parent_pos"), "path")
+    paths = _in_order(own, fold, "parent_pos int, path array<int>")
     out = heads.join(paths, ["doc_id", "pos"])
     return out.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id", "parent_pos").orderBy("pos")) - 1)
 

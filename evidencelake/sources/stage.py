@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import json
 import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _LOCAL: dict[str, str] = {}
 _SCRATCH: set[str] = set()
@@ -22,6 +24,9 @@ UNITS_JSON = (
 #: Places of a document whose units are one stored object.
 PART = 32
 
+#: Bytes of one bucket of a stored table, and the most buckets that one has.
+BUCKET_BYTES, MAX_BUCKETS = 128 << 20, 1 << 16
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``, else the
@@ -66,6 +71,49 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def move(spark: SparkSession, path: str, to: str) -> None:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    where, to = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(to)
+    files = where.getFileSystem(conf)
+    files.mkdirs(to.getParent())
+    if not files.rename(where, to):
+        raise OSError(f"{path} could not be moved to {to}")
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in ``path``; none if it does not exist."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(x.getPath().getName() for x in files.listStatus(where) if x.isDirectory()) if files.exists(where) else []
+
+
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes of all files under ``path``."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+
+
+def save_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file, there with all of its content or not at all."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path + ".new")
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    delete(spark, path)
+    move(spark, path + ".new", path)
+
+
+def load_text(spark: SparkSession, path: str) -> str:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    source = where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where)
+    try:
+        return bytes(source.readAllBytes()).decode()
+    finally:
+        source.close()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` from a reliable checkpoint: computed once, however often it is used."""
     context = df.sparkSession.sparkContext
@@ -91,21 +139,133 @@ def pack_units(units: DataFrame, most: int = PART) -> DataFrame:
     return parts.agg(F.count(F.lit(1)).cast("int").alias("count"), F.collect_list(chunk).alias("chunks")).drop("part")
 
 
-def write_stage(df: DataFrame, path: str, buckets: int = 64, key: str = "document_id", files: int = 4) -> None:
-    """Replace what is stored under ``path`` of the keys in ``df``; all other keys stay.
+def read_stage(spark: SparkSession, path: str, table: str | None = None) -> DataFrame | None:
+    """What is stored under ``path`` by ``write_stage``, or its further table of that name;
+    nothing if there is none. Buckets that are committed but not yet in place are read from
+    where they are; ``spark.read.parquet(path)`` reads what is in place."""
+    state, pending = _state(spark, path)
+    where, schema = _place(path, table), state["schemas"].get(table or "")
+    places = {name: f"{where}/{name}" for name in folders(spark, where) if name.startswith("bucket=")}
+    for work, plan in pending:
+        new = plan["written"].get(table or "", [])
+        places = {k: v for k, v in places.items() if k in new or (plan["touched"] is not None and k not in plan["touched"])}
+        places |= {k: p for k in new if exists(spark, p := f"{work}/{table or 'rows'}/{k}")}
+    if not schema:
+        return spark.read.parquet(where).drop("bucket") if places else None
+    read = spark.read.schema(T.StructType.fromJson(json.loads(schema)))
+    if not places:
+        return spark.createDataFrame([], T.StructType.fromJson(json.loads(schema)))
+    return read.parquet(*places.values()) if pending else read.parquet(where).drop("bucket")
+
+
+def write_stage(
+    df: DataFrame,
+    path: str,
+    buckets: int | None = None,
+    key: str = "document_id",
+    *,
+    keys: DataFrame | None = None,
+    also: dict[str, DataFrame] | None = None,
+    batch: int | None = None,
+    writer: str = "",
+) -> bool:
+    """Replace what is stored under ``path`` of the keys in ``keys`` (or else in ``df``) by the
+    rows of ``df``; all other keys stay. A key of ``keys`` without a row in ``df`` is gone then.
+
+    ``also`` has further tables with the same key (manifests, say) that are replaced for the
+    same keys in the same commit; ``read_stage`` reads them by name. ``batch`` is the number of a
+    micro-batch of ``writer``: one that was stored already changes nothing, and False is returned.
 
-    Buckets of the key's hash are the folders, so that their number does not grow with the
-    corpus, each with ``files`` files. The buckets that ``df`` touches are read without the keys
-    of ``df`` and written again with its rows; no other bucket is read. A table must always be
-    written with the same ``buckets``. A null key is a key as any other.
+    Buckets of the key's hash are the folders, as many as the table's bytes ask for (or
+    ``buckets`` when it is first written); the number is stored with the table, and a table that has
+    outgrown it is dealt anew. The buckets that the keys touch are read without those keys and written
+    beside the table with the new rows, hot ones by several tasks; no other bucket is read.
+    Then one small file commits them, and they are moved into place. A failure before the commit
+    leaves the table as it was; one after it is made good by the next write.
+    One writer at a time. A null key is a key as any other.
     """
     spark = df.sparkSession
-    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-    rows = cut(df).withColumn("bucket", bucket)
-    if exists(spark, path):
-        touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # ``buckets`` at most
-        stored = spark.read.parquet(path).where(F.col("bucket").isin(touched))
-        gone = rows.select(F.col(key).alias("_gone")).distinct()
-        rows = rows.unionByName(stored.join(gone, stored[key].eqNullSafe(gone["_gone"]), "left_anti"), allowMissingColumns=True)
-    slot = F.pmod(F.xxhash64(key, F.lit("file")), F.lit(files))
-    rows.repartition("bucket", slot).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    state, pending = _state(spark, path)
+    for work, plan in pending:
+        _finish(spark, path, work, plan)
+    delete(spark, f"{path}/_next")  # of writes that failed
+    if batch is not None and batch <= state["batches"].get(writer, -1):
+        return False
+    work = f"{path}/_next/{uuid.uuid4().hex}"
+    new = {"": df} | (also or {})
+    rows = {name: _written(part, f"{work}/_rows-{name}") for name, part in new.items()}
+    gone = rows[""].select(key) if keys is None else _written(keys.select(key), f"{work}/_keys").unionByName(rows[""].select(key))
+    gone = gone.select(F.col(key).alias("_gone")).distinct()
+    count = _bucket_count(spark, path, state, buckets, sum(size_of(spark, f"{work}/_rows-{name}") for name in new))
+    dealt = count != state["buckets"]  # every bucket is written anew
+    bucket = lambda column: F.pmod(F.xxhash64(column), F.lit(count)).cast("int")
+    touched = None if dealt else [r["b"] for r in gone.select(bucket("_gone").alias("b")).distinct().collect()]  # as many as buckets
+    written: dict[str, list[str]] = {}
+    for name, part in rows.items():
+        where = _place(path, name)
+        if any(x.startswith("bucket=") for x in folders(spark, where)):
+            stored = spark.read.schema(T.StructType.fromJson(json.loads(state["schemas"][name])).add("bucket", T.IntegerType())) if name in state["schemas"] else spark.read
+            stored = stored.parquet(where)
+            stored = (stored if dealt else stored.where(F.col("bucket").isin(touched))).drop("bucket")
+            part = part.unionByName(stored.join(gone, stored[key].eqNullSafe(gone["_gone"]), "left_anti"), allowMissingColumns=True)
+        state["schemas"][name] = part.schema.json()
+        part.withColumn("bucket", bucket(key)).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{work}/{name or 'rows'}")
+        written[name] = folders(spark, f"{work}/{name or 'rows'}")
+    if batch is not None:
+        state["batches"][writer] = batch
+    state["buckets"] = count
+    plan = {"state": state, "written": written, "touched": None if touched is None else [f"bucket={b}" for b in touched]}
+    save_text(spark, f"{work}/_commit", json.dumps(plan))
+    _finish(spark, path, work, plan)
+    return True
+
+
+def _place(path: str, table: str | None) -> str:
+    return f"{path}/_tables/{table}" if table else path
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _bucket_count(spark: SparkSession, path: str, state: dict, asked: int | None, more: int) -> int:
+    """The table's number of buckets; a power of two that keeps them under twice ``BUCKET_BYTES``
+    where nobody asked for another number."""
+    if state["buckets"] and state["asked"]:
+        return state["buckets"]
+    if not state["buckets"] and any(x.startswith("bucket=") for x in folders(spark, path)):  # written before the number was stored
+        state["asked"] = True
+        return asked or 64
+    if asked:
+        state["asked"] = True
+        return asked
+    stored = size_of(spark, path) if state["buckets"] else 0
+    need = max(1, (stored + more) // BUCKET_BYTES)
+    return state["buckets"] if need < 2 * state["buckets"] else min(1 << (need - 1).bit_length(), MAX_BUCKETS)
+
+
+def _state(spark: SparkSession, path: str) -> tuple[dict, list[tuple[str, dict]]]:
+    """The table's state, and writes that are committed but not finished (one at most)."""
+    works = [f"{path}/_next/{name}" for name in folders(spark, f"{path}/_next")]
+    pending = [(w, json.loads(load_text(spark, f"{w}/_commit"))) for w in works if exists(spark, f"{w}/_commit")]
+    if pending:
+        return pending[-1][1]["state"], pending
+    if exists(spark, f"{path}/_state"):
+        return json.loads(load_text(spark, f"{path}/_state")), []
+    return {"buckets": 0, "asked": False, "batches": {}, "schemas": {}}, []
+
+
+def _finish(spark: SparkSession, path: str, work: str, plan: dict) -> None:
+    """Move committed buckets into place; done twice it changes nothing more."""
+    for table, names in plan["written"].items():
+        where = _place(path, table)
+        for name in folders(spark, where) if plan["touched"] is None else plan["touched"]:
+            if name.startswith("bucket=") and name not in names:
+                delete(spark, f"{where}/{name}")
+        for name in names:
+            if exists(spark, f"{work}/{table or 'rows'}/{name}"):
+                delete(spark, f"{where}/{name}")
+                move(spark, f"{work}/{table or 'rows'}/{name}", f"{where}/{name}")
+    save_text(spark, f"{path}/_state", json.dumps(plan["state"]))
+    delete(spark, work)

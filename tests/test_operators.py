@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -277,6 +278,36 @@ def test_a_failing_embedder_gives_rows_not_a_failed_job(spark):
     assert abs(sum(x * x for x in out[0]["vector"]) - 1) < 1e-9 and out[2]["vector"] is None
 
 
+@pytest.mark.parametrize(
+    ("answer", "failed"),
+    [
+        (lambda texts: np.ones((len(texts) - 1, 3)), 40),
+        (lambda texts: np.ones(len(texts)), 40),
+        (lambda texts: np.ones((len(texts), 0)), 40),
+        (lambda texts: [[1.0, float("nan") if t == "t7" else 1e300] for t in texts], 1),
+        (lambda texts: np.ones((len(texts), 2 if "t7" in texts else 3)), 1),
+        (lambda texts: 1 / 0 if "t7" in texts else np.ones((len(texts), 2)), 1),
+        (lambda texts: 1 / 0 if {"t7", "t8", "t39"} & set(texts) else np.ones((len(texts), 2)), 3),
+    ],
+)
+def test_wrong_answers_of_an_embedder_are_failed_rows(spark, answer, failed):
+    rows = spark.createDataFrame([(f"t{39 - k}",) for k in range(40)], "text string").coalesce(1)
+    out = search.embed_batch(rows, "text", answer, backoff=0).collect()
+    assert len(out) == 40 and sum(r["vector"] is None for r in out) == failed == sum(r["error"] is not None for r in out)
+    assert all(abs(sum(x * x for x in r["vector"]) - 1) < 1e-9 for r in out if r["vector"])
+
+
+def test_attempts_wait_longer_each_time(monkeypatch):
+    waits, calls = [], []
+    monkeypatch.setattr(search.time, "sleep", waits.append)
+
+    def late(texts):
+        calls.append(len(texts))
+        return np.ones((len(texts), 2)) if len(calls) == 3 else 1 / 0
+
+    assert all(e is None for _, e in search._Attempts(late, 3, 0.5)(["a", "b"])) and waits == [0.5, 1.0] and calls == [2, 2, 2]
+
+
 def test_questions_without_terms_and_missing_signals(spark):
     assert one(spark, retrieval.lexical(F.lit(None).cast("string"), F.lit("water"), F.lit("what is the"))) == 0
     assert one(spark, retrieval.lexical(F.lit("cold"), F.lit("water"), F.lit("Cold WATER stone now"))) == 0.5
@@ -450,6 +481,16 @@ def test_section_tree_of_any_level_and_depth(spark):
     assert [r["pos"] for r in structure.section_paths(cycle).collect()] == [0]
 
 
+def test_many_headings_of_one_document(spark):
+    """Time in proportion: 200,000 headings of a document, whose batches the stack outlives."""
+    heads = spark.range(200_000).select(F.lit(1).alias("doc_id"), F.col("id").cast("int").alias("pos"), (1 + F.col("id") % 7).cast("int").alias("level"), F.lit("x").alias("text"))
+    start = time.time()
+    assert structure.section_tree(heads).where("(pos % 7 = 0 and parent_pos is null) or (pos % 7 > 0 and parent_pos = pos - 1 and size(path) = 1 + pos % 7)").count() == 200_000
+    modes = structure.special_sections(heads.withColumn("kind", F.lit("heading")).withColumn("text", F.when(F.col("pos") % 7 == 2, "References").otherwise("x")))
+    assert modes.groupBy("mode").count().where("mode = 'references'").first()["count"] == sum(k % 7 == 2 for k in range(200_000))
+    assert time.time() - start < 60
+
+
 def test_headings_without_level_are_of_level_one(spark):
     rows = [
         (1, 0, "heading", None, "Abstract"),
