@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,10 +108,13 @@ def neighbors(edges: DataFrame, nodes: DataFrame, wanted: DataFrame, types: list
     ).join(nodes.select(F.col("id").alias("neighbor"), "labels"), "neighbor")
 
 
-def adjacency(edges: DataFrame, most: int = MAX_NEIGHBORS) -> DataFrame:
+def adjacency(edges: DataFrame, most: int = MAX_NEIGHBORS, nodes: DataFrame | None = None) -> DataFrame:
     """The first ``most`` neighbours of each node in policy order, then by id, with the
-    node's full degree. The cap comes before any join, so a hub joins as ``most`` rows."""
-    rows = cut(directed(edges))
+    node's full degree; of ``nodes`` (column node) alone, if given. The cap comes before any
+    join, so a hub joins as ``most`` rows, and neither it nor the degree brings a hub's edges together."""
+    rows = directed(edges)
+    if nodes is not None:
+        rows = rows.join(nodes.select("node").distinct(), "node", "left_semi")
     degree = rows.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
     place = F.row_number().over(Window.partitionBy("node").orderBy("policy", "neighbor"))
     return rows.withColumn("place", place).where(F.col("place") <= most).join(degree, "node")
@@ -117,7 +122,7 @@ def adjacency(edges: DataFrame, most: int = MAX_NEIGHBORS) -> DataFrame:
 
 def expand(
     seeds: DataFrame,
-    adjacent: DataFrame,
+    adjacent: DataFrame | Callable[[DataFrame], DataFrame],
     *,
     depth: int = MAX_DEPTH,
     most_evidence: int = MAX_EVIDENCE,
@@ -125,6 +130,10 @@ def expand(
 ) -> tuple[DataFrame, DataFrame]:
     """Units reached from the seeds (query_id, id, rank) within all budgets.
 
+    ``adjacent`` has the neighbours by node, or gives those of the nodes it is called with
+    (``lambda nodes: adjacency(edges, nodes=nodes)``). Each level asks for its frontier alone, and what is
+    written between jobs is a frontier's capped neighbours, so it grows with the seeds, not with the graph.
+
     Returns (found, cost): found has query_id, id, place (order of discovery from 1), depth
     and hops, an array of (source, target, type, direction); cost has query_id, cost and
     exhausted (null, 'max_total_evidence' or 'max_traversal_cost').
@@ -134,7 +143,8 @@ def expand(
     taken where it is new and the evidence budget is not used up. Both are prefixes of the
     order (frontier place, neighbour place), so running sums replace the traversal's loop.
     """
-    adjacent, seeds = cut(adjacent), cut(seeds)
+    seeds = cut(seeds)
+    near_of = adjacent if callable(adjacent) else lambda nodes: adjacent.join(nodes, "node", "left_semi")
     hop = "array<struct<source:string,target:string,type:string,direction:string>>"
     frontier = seeds.select("query_id", "id", F.col("rank").cast("long").alias("place"), F.array().cast(hop).alias("hops"))
     visited = seeds.select("query_id", "id")
@@ -142,15 +152,16 @@ def expand(
     found = None
     exhausted = None
     per_query = Window.partitionBy("query_id")
-    degrees = adjacent.select(F.col("node").alias("id"), "degree").distinct()
     for level in range(1, depth + 1):
+        asked = near_of(frontier.select(F.col("id").alias("node")).distinct())
+        near = cut(asked.select(F.col("node").alias("id"), "neighbor", "type", "direction", F.col("place").alias("n"), "degree"))
+        degrees = near.select("id", "degree").distinct()
         before = per_query.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
         cost = F.col("cost0") + F.coalesce(F.sum("degree").over(before), F.lit(0))
         own = frontier.join(degrees, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0))).join(state, "query_id").withColumn("cost", cost)
         own = cut(own)
         open_ = own.where((F.col("cost") < most_cost) & (F.col("found0") < most_evidence))
-        near = adjacent.select(F.col("node").alias("id"), "neighbor", "type", F.col("direction"), F.col("place").alias("n"))
-        rows = open_.join(near, "id").join(visited.select("query_id", F.col("id").alias("neighbor")), ["query_id", "neighbor"], "left_anti")
+        rows = open_.join(near.drop("degree"), "id").join(visited.select("query_id", F.col("id").alias("neighbor")), ["query_id", "neighbor"], "left_anti")
         first = F.row_number().over(Window.partitionBy("query_id", "neighbor").orderBy("place", "n"))
         rows = rows.withColumn("_first", first).where("_first = 1")
         is_unit = F.col("neighbor").startswith("k").cast("long")

@@ -36,7 +36,7 @@ def pool(spark: Spark, d: str, expanded: bool = True) -> DataFrame:
         none.alias("last_source"),
     )
     if expanded:
-        found, _ = graph.expand(top.select("query_id", graph.key("k", "ku_id").alias("id"), "rank"), graph.adjacency(views.point_edges(spark, d)))
+        found, _ = graph.expand(top.select("query_id", graph.key("k", "ku_id").alias("id"), "rank"), search_queries.near(spark, d))
         last = F.element_at("hops", -1)
         rows = rows.unionByName(
             found.select(

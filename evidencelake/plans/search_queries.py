@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -188,18 +190,24 @@ def adjacency_ranked(spark: Spark, d: str) -> DataFrame:
     return graph.adjacency(views.point_edges(spark, d)).select("node", "neighbor", "type", "direction", "place", "degree")
 
 
+def near(spark: Spark, d: str) -> Callable[[DataFrame], DataFrame]:
+    """Neighbours of the nodes that it is called with."""
+    edges = views.point_edges(spark, d)
+    return lambda nodes: graph.adjacency(edges, nodes=nodes)
+
+
 def seeds(spark: Spark, d: str) -> DataFrame:
     return vector_topk_cosine(spark, d).select("query_id", graph.key("k", "ku_id").alias("id"), "rank")
 
 
 def expand_budgeted(spark: Spark, d: str) -> DataFrame:
-    found, _ = graph.expand(seeds(spark, d), graph.adjacency(views.point_edges(spark, d)))
+    found, _ = graph.expand(seeds(spark, d), near(spark, d))
     path = F.array_join(F.transform("hops", lambda x: F.concat_ws(" ", x["source"], x["type"], x["direction"], x["target"])), "; ")
     return found.select("query_id", "id", "place", "depth", path.alias("path"))
 
 
 def expansion_stats(spark: Spark, d: str) -> DataFrame:
-    _, cost = graph.expand(seeds(spark, d), graph.adjacency(views.point_edges(spark, d)))
+    _, cost = graph.expand(seeds(spark, d), near(spark, d))
     return cost
 
 
