@@ -1,7 +1,7 @@
 """Token counts of whole texts by the tokenizers or sentencepiece library.
 
-Texts are cut where no token can reach across, equal pieces of a batch are encoded once, and
-the pieces go to the library in calls of about equal bytes; only lengths come back. Where
+Texts are cut where no token can reach across, pieces that a task has met lately are not
+encoded again, and the others go to the library in calls of about equal bytes; only lengths come back. Where
 cuts are safe is a matter of the vocabulary's kind, and a vocabulary whose own answers to a
 few probes differ from its answers to their pieces gets its texts whole.
 """
@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -20,6 +21,7 @@ from .text import slices, utf8
 
 SLICE_BYTES = 4 << 20
 CALL_BYTES = 1 << 16
+KNOWN_BYTES = 16 << 20
 
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -65,6 +67,7 @@ class Counter:
         else:
             raise ValueError(f"{name}: neither .json nor .model")
         self.wide = byte_level
+        self.known, self.sizes = pa.array([], pa.large_string()), np.zeros(0, np.int64)
         self.cuts = not inner and all(self._same(p) for p in _PROBES)
 
     def _same(self, probe: str) -> bool:
@@ -113,6 +116,19 @@ class Counter:
             out[a:b] = [len(x) for x in self.ids(distinct[a:b])] if b > a else 0
         return out
 
+    def distinct_lengths(self, pieces: pa.Array) -> np.ndarray:
+        """Tokens of each piece; those of the last batches are remembered, up to ``KNOWN_BYTES``."""
+        at = pc.index_in(pieces, value_set=self.known)
+        new = np.asarray(pc.is_null(at))
+        out = np.empty(len(pieces), np.int64)
+        out[~new] = self.sizes[np.asarray(at.drop_null())]
+        fresh = pieces.filter(pa.array(new))
+        out[new] = self.lengths(fresh.to_pylist())
+        self.known, self.sizes = pa.concat_arrays([self.known, fresh]), np.append(self.sizes, out[new])
+        if self.known.nbytes > KNOWN_BYTES:
+            self.known, self.sizes = (pieces, out) if pieces.nbytes <= KNOWN_BYTES else (self.known[:0], self.sizes[:0])
+        return out
+
     def count(self, texts: pa.Array) -> np.ndarray:
         """Tokens of each text; a null one counts as empty."""
         data, offsets = utf8(texts)
@@ -120,7 +136,7 @@ class Counter:
             return self.lengths([t or "" for t in texts.to_pylist()])
         cut, owner = self.pieces(data, offsets)
         coded = cut.dictionary_encode()
-        total = np.append(0, np.cumsum(self.lengths(coded.dictionary.to_pylist())[np.asarray(coded.indices)]))
+        total = np.append(0, np.cumsum(self.distinct_lengths(coded.dictionary)[np.asarray(coded.indices)]))
         ends = np.searchsorted(owner, np.arange(len(offsets)))
         return total[ends[1:]] - total[ends[:-1]]
 

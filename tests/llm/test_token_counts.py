@@ -48,6 +48,15 @@ def test_long_texts(both, text):
     assert counter.count(pa.array([text])).tolist() == [own(text)]
 
 
+def test_what_is_remembered_changes_nothing(both, monkeypatch):
+    counter, own = both
+    texts = ["a b c d e", "e d x y", "", "a b zz", "q" * 50, "a b c d e"]
+    for most in (16 << 20, 60, 0):
+        monkeypatch.setattr(token_counts, "KNOWN_BYTES", most)
+        for k in range(len(texts)):
+            assert counter.count(pa.array(texts[k:])).tolist() == [own(t) for t in texts[k:]]
+
+
 def test_a_vocabulary_whose_tokens_hold_spaces_is_not_cut():
     core = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     core.add_tokens(["so far"])
