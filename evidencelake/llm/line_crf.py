@@ -13,10 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .storage import drop, stage
 from .text import Spans, hashes, lines, mix64, slices, utf8, words
 
 LINE_FEATURES = ("bias", "symbols", "pipes", "capitals", "digits", "exclamations", "repeats", "duplicate", "few_words", "long_words")
@@ -24,6 +26,8 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MIN_CONTENT = 0.5
 MAX_DOCS = 3000
+CHAIN = 128
+_UNIT = float(1 << 24)
 _SYMBOLS = np.zeros(256, dtype=bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
 
@@ -148,8 +152,15 @@ def decode(parsed: Parsed, field: Field) -> np.ndarray:
 
 
 def _gradient(x: np.ndarray, y: np.ndarray, first: np.ndarray, field: Field) -> tuple[np.ndarray, float, float]:
-    """Gradient of the conditional log-likelihood, by forward and backward messages."""
-    gain = x @ field.emission + first * field.start
+    """Gradient of the conditional log-likelihood of whole texts."""
+    parts = _line_gradients(x, y, first, first, field)
+    return np.array([p.sum() for p in parts[:-2]]), float(parts[-2].sum()), float(parts[-1].sum())
+
+
+def _line_gradients(x: np.ndarray, y: np.ndarray, first: np.ndarray, head: np.ndarray, field: Field) -> list[np.ndarray]:
+    """What each line adds to the gradient, by weight (features, stay, start), by forward and
+    backward messages inside chains, which ``first`` begins; ``head`` begins a text."""
+    gain = (x * field.emission).sum(axis=1) + head * field.start
     n = len(gain)
     forward, backward = np.zeros(n), np.zeros(n)  # log-odds of content: from before, from after
     s = field.stay
@@ -157,7 +168,7 @@ def _gradient(x: np.ndarray, y: np.ndarray, first: np.ndarray, field: Field) ->
     def message(lead: np.ndarray) -> np.ndarray:
         return np.logaddexp(lead + s, 0.0) - np.logaddexp(lead, s)
 
-    # All texts at once, line by line: messages only pass inside a text.
+    # All chains at once, line by line
     place = np.arange(n) - np.maximum.accumulate(np.where(first, np.arange(n), 0))
     steps = np.split(np.argsort(place, kind="stable"), np.cumsum(np.bincount(place))[:-1])
     for k in steps[1:]:
@@ -169,7 +180,9 @@ def _gradient(x: np.ndarray, y: np.ndarray, first: np.ndarray, field: Field) ->
     a, b = forward[inner - 1] + gain[inner - 1], backward[inner] + gain[inner]
     same = np.logaddexp(a + b, 0.0)
     expected = 1 / (1 + np.exp(np.clip(np.logaddexp(a, b) - same - s, -500, 500)))
-    return x.T @ (y - p), float((y[inner] == y[inner - 1]).sum() - expected.sum()), float((first * (y - p)).sum())
+    stay = np.zeros(n)
+    stay[inner] = (y[inner] == y[inner - 1]) - expected
+    return [*(x * (y - p)[:, None]).T, stay, head * (y - p)]
 
 
 def fit(
@@ -188,7 +201,9 @@ def fit(
     duplicates are unlike prose count as boilerplate, the others as content.
 
     Fitted on a bounded sample of about ``max_docs`` labelled documents, chosen by a hash of
-    the id, whose line features go to the driver. ``DEFAULT`` where none has a label.
+    the id, with all of their lines, whose features are written once. Each step sums the gradient in Spark, by
+    partition first, so the driver gets one row a step, whatever the documents have. A
+    document is a chain for each ``CHAIN`` of its lines. ``DEFAULT`` where none has a label.
     """
     labels = labels.select(
         F.col(id_col).alias("id"),
@@ -203,42 +218,66 @@ def fit(
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             parsed = Parsed(batch.column("text"))
-            x = parsed.features()
-            own = parsed.line_owner
-            ids, y = batch.column("id").cast(pa.string()), np.asarray(batch.column("y"))
+            x, own = parsed.features(), parsed.line_owner
             place = np.arange(len(own)) - np.searchsorted(own, own)
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(own)), pa.array(place), pa.array(y[own].astype(np.int64)), pa.array(list(x), pa.list_(pa.float64()))],
-                names=["id", "place", "y", "x"],
-            )
-
-    found = rows.mapInArrow(measure, "id string, place long, y long, x array<double>").toPandas().sort_values(["id", "place"])
-    if not len(found):
+            starts = np.flatnonzero(place % CHAIN == 0)
+            ends = np.append(starts, len(own))
+            lines = pa.ListArray.from_arrays(pa.array((ends * x.shape[1]).astype(np.int32)), pa.array(x.ravel()))
+            columns = [pa.array(np.asarray(batch.column("y"))[own[starts]].astype(np.int64)), pa.array(place[starts] == 0), lines]
+            yield pa.RecordBatch.from_arrays(columns, names=["y", "head", "x"])
+
+    chains = stage(rows.mapInArrow(measure, "y long, head boolean, x array<double>"), "chains")
+    if not chains.limit(1).count():
+        drop(chains)
         return DEFAULT
-    x, label = np.array(found["x"].tolist()), found["y"].to_numpy()
-    first = np.append(True, found["id"].to_numpy()[1:] != found["id"].to_numpy()[:-1]) | (found["place"].to_numpy() == 0)
-    return learn(x, label, first, steps)
-
+    field = learn(chains, steps)
+    drop(chains)
+    return field
+
+
+def learn(chains: DataFrame, steps: int = 60) -> Field:
+    """The field for chains of lines (y: label of the text, head: whether it begins the text,
+    x: the features of its lines, one line after another)."""
+    prose = chains.where("y = 1").select(F.explode(F.expr(f"filter(x, (v, k) -> k % {len(LINE_FEATURES)} = 3)")).alias("c")).agg(F.percentile_approx("c", 0.5, 100_000)).first()[0] or 0.0
+    names = [f"g{k}" for k in range(len(LINE_FEATURES) + 2)] + ["n"]
+
+    def summed(field: Field) -> list[int]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(names), np.int64)
+            for whole in batches:
+                for at in range(0, whole.num_rows, 512):
+                    batch = whole.slice(at, 512)
+                    x = np.asarray(batch.column("x").flatten()).reshape(-1, len(LINE_FEATURES))
+                    size = np.asarray(pc.list_value_length(batch.column("x"))) // len(LINE_FEATURES)
+                    starts = np.cumsum(size) - size
+                    first, head = np.zeros(len(x), dtype=bool), np.zeros(len(x), dtype=bool)
+                    first[starts] = True
+                    head[starts] = np.asarray(batch.column("head"))
+                    y = _line_labels(x, np.repeat(np.asarray(batch.column("y")), size), prose)
+                    grads = np.add.reduceat(np.stack(_line_gradients(x, y, first, head, field), axis=1), starts)
+                    # whole units a chain, so that the sum is the same in any order
+                    total += np.append(np.rint(grads * _UNIT).astype(np.int64).sum(axis=0), len(x))
+            yield pa.RecordBatch.from_arrays([pa.array([t]) for t in total], names=names)
+
+        return list(chains.mapInArrow(run, ", ".join(f"{c} long" for c in names)).agg(*(F.sum(c) for c in names)).first())
 
-def learn(x: np.ndarray, label: np.ndarray, first: np.ndarray, steps: int = 60) -> Field:
-    """The field for line features ``x``, the labels of the lines' texts and the first lines."""
-    prose = np.median(x[label == 1], axis=0) if (label == 1).any() else np.zeros(x.shape[1])
-    odd = ((x[:, 1] > 0.05) | (x[:, 2] > 0.1) | (x[:, 3] > prose[3] + 0.25) | (x[:, 5] > 0.03) | (x[:, 6] > 0.2) | (x[:, 7] > 0)).astype(float)
-    y = np.where(label == 1, 1.0, 1 - odd)
     field = Field(DEFAULT.emission.copy(), DEFAULT.stay, DEFAULT.start)
-    squares = [np.zeros(x.shape[1]), 0.0, 0.0]
+    squares = np.zeros(len(names) - 1)
+    pull = np.append(np.full(len(LINE_FEATURES), 1e-4), [1e-3, 1e-3])
     for _ in range(steps):  # AdaGrad with a weak pull to the default
-        grads = _gradient(x, y, first, field)
-        pull = 1e-3 * len(x)
-        grads = (
-            grads[0] - pull * (field.emission - DEFAULT.emission) / 10,
-            grads[1] - pull * (field.stay - DEFAULT.stay),
-            grads[2] - pull * (field.start - DEFAULT.start),
-        )
-        squares = [a + g**2 for a, g in zip(squares, grads, strict=True)]
-        move = [0.5 * g / np.sqrt(a + 1e-12) for a, g in zip(squares, grads, strict=True)]
-        field = Field(field.emission + move[0], max(field.stay + move[1], 0.0), field.start + move[2])
-    return Field(np.round(field.emission, 4), round(field.stay, 4), round(field.start, 4))
+        *grads, n = summed(field)
+        away = np.append(field.emission - DEFAULT.emission, [field.stay - DEFAULT.stay, field.start - DEFAULT.start])
+        grads = np.array(grads) / _UNIT - pull * n * away
+        squares += grads**2
+        move = 0.5 * grads / np.sqrt(squares + 1e-12)
+        field = Field(field.emission + move[:-2], max(field.stay + move[-2], 0.0), field.start + move[-1])
+    return Field(np.round(field.emission, 4), round(float(field.stay), 4), round(float(field.start), 4))
+
+
+def _line_labels(x: np.ndarray, label: np.ndarray, capitals: float) -> np.ndarray:
+    """1 for lines that count as content, given the labels of their texts and the usual share of capitals."""
+    odd = (x[:, 1] > 0.05) | (x[:, 2] > 0.1) | (x[:, 3] > capitals + 0.25) | (x[:, 5] > 0.03) | (x[:, 6] > 0.2) | (x[:, 7] > 0)
+    return np.where((label == 1) | ~odd, 1.0, 0.0)
 
 
 def annotate(

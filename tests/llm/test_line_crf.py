@@ -123,3 +123,25 @@ def test_structured_lines_are_told_apart(spark):
     rows = line_crf.annotate(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
     for r in rows:
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == plain(r["text"])
+
+
+def test_fit_is_the_same_in_any_order_and_takes_all_lines(spark):
+    """The driver sees sums alone; a document of 60,000 lines is many chains."""
+    good = "\n".join("a plain line of words that says something" for _ in range(40))
+    junk = "\n".join("### | $$ | ** !! ## |" if k % 2 else "a plain line of words that says something" for k in range(60_000))
+    docs = spark.createDataFrame([(k, good) for k in range(30)] + [(99, junk), (98, None), (97, "")], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") < 90).cast("int").alias("label"))
+    one = line_crf.fit(docs, labels, steps=4)
+    other = line_crf.fit(docs.repartition(7).orderBy(F.desc("doc_id")), labels, steps=4)
+    assert (one.emission == other.emission).all() and (one.stay, one.start) == (other.stay, other.start)
+    assert (one.emission != line_crf.DEFAULT.emission).any()
+
+
+def test_chains_are_independent():
+    rng = np.random.default_rng(3)
+    x, y = rng.random((9, len(line_crf.LINE_FEATURES))), rng.integers(0, 2, 9).astype(float)
+    first = np.array([1, 0, 0, 0, 1, 0, 0, 0, 0], bool)
+    head = np.array([1, 0, 0, 0, 0, 0, 0, 0, 0], bool)
+    whole = np.stack(line_crf._line_gradients(x, y, first, head, line_crf.DEFAULT), axis=1)
+    parts = [np.stack(line_crf._line_gradients(x[s], y[s], first[s], head[s], line_crf.DEFAULT), axis=1) for s in (slice(0, 4), slice(4, 9))]
+    assert np.allclose(whole, np.concatenate(parts), rtol=0, atol=1e-12)
