@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph, search
+from ..operators import graph, search, vector_index
 from ..sources import views
+from ..sources.stage import scratch
 from ..sources.views import with_views
 
 Spark = SparkSession
@@ -129,7 +130,10 @@ def vector_topk_euclid(spark: Spark, d: str) -> DataFrame:
 
 
 def vector_topk_ann(spark: Spark, d: str) -> DataFrame:
-    return search.topk_ann(views.questions(spark, d), views.points(spark, d))
+    """Against an index that is fitted and stored once, then read."""
+    points, path = views.points(spark, d), scratch(spark, "index")
+    vector_index.build(points, path)
+    return vector_index.topk(views.questions(spark, d), points, path)
 
 
 def query_normalize(spark: Spark, d: str) -> DataFrame:
