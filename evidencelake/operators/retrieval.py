@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.terms import QUERY_STOPWORDS, share, terms
-from .search import BLOCK, CANDIDATES, TILE, Best, in_blocks, ranked
+from .search import BLOCK_BYTES, CANDIDATES, TILE, Best, in_blocks, ranked
 
 RRF_K = 60
 MAX_GROUPS, MAX_PRIMARIES = 5, 2
@@ -31,52 +31,79 @@ def lexical(context: Column, text: Column, question: Column) -> Column:
     return F.coalesce(share(terms(question, QUERY_STOPWORDS), terms(F.concat_ws(" ", context, text), QUERY_STOPWORDS)), F.lit(0.0))
 
 
-def lexical_topk(questions: DataFrame, units: DataFrame, k: int = 20, block: int = BLOCK) -> DataFrame:
+def lexical_topk(questions: DataFrame, units: DataFrame, k: int = 20, block: int | None = None) -> DataFrame:
     """query_id, ku_id, score, rank by lexical overlap over all units that share a term with the
     question, however common the term. Questions and units without an id are left out.
 
     A term that most units have would pair all of them with each question that has it, so
-    pairs are not joined: the questions' terms are broadcast block by block, each task counts
-    the hits of its units against them and keeps k of each question, and only those rows are shuffled.
+    pairs are not joined: an index from terms to questions is broadcast, in blocks of ``BLOCK_BYTES`` (or of
+    ``block`` questions); each task counts the hits of its units for the questions that can still
+    enter their k best, and only those rows are shuffled.
     """
     asked = questions.select("query_id", terms(F.col("text"), QUERY_STOPWORDS).alias("terms")).where("query_id is not null and size(terms) > 0")
     own = units.select(
         "ku_id",
         terms(F.concat_ws(" ", "context", "text"), QUERY_STOPWORDS).alias("terms"),
     ).where("ku_id is not null and size(terms) > 0")
-    return ranked(in_blocks(asked, lambda few: _hits(few, own, k), block), k)
+    bytes_ = F.aggregate("terms", F.lit(16 * k + 16).cast("long"), lambda n, t: n + F.octet_length(t) + 16)
+    return ranked(in_blocks(asked, lambda few: _hits(few, own, k), block or BLOCK_BYTES, None if block else bytes_), k)
+
+
+class _Index:
+    """Which questions of a tile have which terms: for each known term, in order, the places
+    of its questions from ``first[term]`` on."""
+
+    def __init__(self, asked: pd.DataFrame):
+        self.ids = asked["query_id"].to_numpy(dtype=np.int64)
+        self.size = np.array([len(x) for x in asked["terms"]])
+        known, column = np.unique(np.concatenate([np.asarray(x, dtype=object) for x in asked["terms"]]).astype(str), return_inverse=True)
+        order = np.argsort(column, kind="stable")
+        self.known = pa.array(known, pa.string())
+        self.question = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.size)[order]
+        self.first = np.searchsorted(column[order], np.arange(len(known) + 1)).astype(np.int32)
+
+    def hits(self, terms: pa.ListArray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Questions that could score ``floor`` or more on these units, and their hits by unit."""
+        row = np.repeat(np.arange(len(terms)), np.asarray(pc.list_value_length(terms)))
+        column = pc.index_in(terms.flatten(), value_set=self.known)
+        there = np.asarray(pc.is_valid(column))
+        some, column = np.unique(np.asarray(column.drop_null()), return_inverse=True)
+        times = self.first[some + 1] - self.first[some]
+        at = np.repeat(self.first[some] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        question, term = self.question[at], np.repeat(np.arange(len(some)), times)
+        most = np.bincount(question, minlength=len(self.ids))
+        able = np.flatnonzero((most > 0) & (np.round(most / self.size, 6) >= floor))
+        place = np.full(len(self.ids), -1)
+        place[able] = np.arange(len(able))
+        has = np.zeros((len(able), len(some)), dtype=np.float32)
+        mine = place[question] >= 0
+        has[place[question[mine]], term[mine]] = 1
+        own = np.zeros((len(terms), len(some)), dtype=np.float32)
+        own[row[there], column] = 1
+        return able, (has @ own.T).astype(float)
 
 
 def _hits(asked: pd.DataFrame, units: DataFrame, k: int) -> DataFrame:
     """The best k units of each task for one block of questions (query_id, terms)."""
-    tiles = []
-    for at in range(0, len(asked), TILE):
-        few = asked.iloc[at : at + TILE]
-        known, column = np.unique(np.concatenate([np.asarray(x, dtype=object) for x in few["terms"]]).astype(str), return_inverse=True)
-        size = np.array([len(x) for x in few["terms"]])
-        has = np.zeros((len(few), len(known)), dtype=np.float32)
-        has[np.repeat(np.arange(len(few)), size), column] = 1
-        tiles.append((few["query_id"].to_numpy(dtype=np.int64), pa.array(known, pa.string()), has, size))
+    tiles = [_Index(asked.iloc[at : at + TILE]) for at in range(0, len(asked), TILE)]
     sent = units.sparkSession.sparkContext.broadcast(tiles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tiles = sent.value
-        best = [Best(ids, k, True) for ids, *_ in tiles]
+        best = [Best(index.ids, k, True) for index in tiles]
+        for own in best:
+            own.point, own.score = np.zeros((len(own.ids), k), np.int64), np.full((len(own.ids), k), np.inf)
         for whole in batches:
-            for at in range(0, whole.num_rows, TILE):
-                part = whole.slice(at, TILE)
-                row = np.repeat(np.arange(part.num_rows), np.asarray(pc.list_value_length(part.column("terms"))))
-                for found, (_, known, has, size) in zip(best, tiles, strict=True):
-                    column = pc.index_in(part.column("terms").flatten(), value_set=known)
-                    there = np.asarray(pc.is_valid(column))
-                    some, column = np.unique(np.asarray(column.drop_null()), return_inverse=True)
-                    own = np.zeros((part.num_rows, len(some)), dtype=np.float32)
-                    own[row[there], column] = 1
-                    hits = (has[:, some] @ own.T).astype(float)
-                    found.show(np.asarray(part.column("ku_id")), np.where(hits > 0, np.round(hits / size[:, None], 6), np.nan))
+            for at in range(0, whole.num_rows, TILE // 4):
+                part = whole.slice(at, TILE // 4)
+                for found, index in zip(best, tiles, strict=True):
+                    able, hits = index.hits(part.column("terms"), -found.score[:, -1])
+                    few = Best(index.ids[able], k, True)
+                    few.point, few.score = found.point[able], found.score[able]
+                    few.show(np.asarray(part.column("ku_id")), np.where(hits > 0, np.round(hits / index.size[able, None], 6), np.nan))
+                    found.point[able], found.score[able] = few.point, few.score
         for found in best:
-            if found.score.size:
-                yield found.rows()
+            yield found.rows()
 
     return units.mapInArrow(run, CANDIDATES)
 

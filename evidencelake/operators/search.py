@@ -20,8 +20,8 @@ from .structure import SPACE
 from .units import word_count
 
 TOP_K = 20
-#: Questions whose vectors are one matrix.
-BLOCK = 20_000
+#: Bytes of the questions that are broadcast at once, with their candidates in a task.
+BLOCK_BYTES = 64 << 20
 
 #: Question wordings and the hint that is appended for each.
 HINTS = (
@@ -255,12 +255,13 @@ def topk_all(
     k: int = TOP_K,
     metric: str = "cosine",
     max_queries: int | None = None,
-    block: int = BLOCK,
+    block: int | None = None,
 ) -> DataFrame:
     """As ``topk_scoped``, but among all points, for any number of questions. Questions and
     points without id or vector are left out; vectors of unequal lengths are an error.
 
-    A block of questions is broadcast as one matrix; each task multiplies its points with it
+    A block of questions (of ``BLOCK_BYTES`` with their candidates, or of ``block`` questions) is
+    broadcast as one matrix; each task multiplies its points with it
     batch by batch and keeps k candidates of each query, so what is shuffled is k rows a
     query and task, not all pairs. With more than one block, the candidates of each are
     stored before the next is asked. ``max_queries`` refuses a larger set.
@@ -269,27 +270,28 @@ def topk_all(
         raise ValueError(f"more than {max_queries} questions")
     asked = questions.select("query_id", "vector").where("query_id is not null and vector is not null")
     points = points.where("ku_id is not null and vector is not null")
-    return ranked(in_blocks(asked, lambda own: _scored(own, points, k, metric), block), k, METRICS[metric][1])
+    weight = None if block else 8 * F.size("vector") + 16 * k
+    return ranked(in_blocks(asked, lambda own: _scored(own, points, k, metric), block or BLOCK_BYTES, weight), k, METRICS[metric][1])
 
 
-def in_blocks(asked: DataFrame, candidates: Callable[[pd.DataFrame], DataFrame], block: int = BLOCK) -> DataFrame:
+def in_blocks(asked: DataFrame, candidates: Callable[[pd.DataFrame], DataFrame], most: int, weight: Column | None = None) -> DataFrame:
     """The candidates (query_id, ku_id, score) of all questions (query_id, ..), which come to the
-    driver one block at a time. With more than one block, those of each are stored before the next is
-    asked."""
-    first = asked.limit(block + 1).toPandas()
-    if len(first) <= block:
-        return candidates(first)
-    spark = asked.sparkSession
-    rows = cut(asked.withColumn("_at", F.monotonically_increasing_id()))
-    parts = sorted(rows.groupBy(F.shiftright("_at", 33).alias("part")).count().collect())
-    starts, seen = [], 0  # an id is the partition and the place in it, so a block is a range of ids
-    for part, n in parts:
-        starts += [(part << 33) + at - seen for at in range(-(-seen // block) * block, seen + n, block)]
-        seen += n
+    driver in blocks that weigh ``most`` (rows, or whatever ``weight`` counts), and one question at least.
+    With more than one block, the candidates of each are stored before the next is asked."""
+    spark, weight = asked.sparkSession, F.lit(1) if weight is None else weight
+    total = asked.agg(F.sum(weight.cast("long"))).first()[0] or 0
+    if total <= most:
+        return candidates(asked.toPandas())
+    rows = cut(asked.withColumn("_at", F.monotonically_increasing_id()).withColumn("_w", weight.cast("long")))
+    part = F.shiftright("_at", 33)
+    sizes = sorted(rows.groupBy(part.alias("part")).agg(F.sum("_w").alias("w")).collect())
+    before = spark.createDataFrame([(p, sum(w for _, w in sizes[:n])) for n, (p, _) in enumerate(sizes)], "_part long, _before long")
+    running = F.sum("_w").over(Window.partitionBy("_part").orderBy("_at")) - F.col("_w")
+    placed = rows.withColumn("_part", part.cast("long")).withColumn("_own", running).join(before, "_part")
+    placed = cut(placed.withColumn("_block", F.floor((F.col("_before") + F.col("_own")) / most)).drop("_part", "_own", "_before", "_at", "_w"))
     path = scratch(spark, "topk")
-    for start, end in zip(starts, [*starts[1:], (1 << 63) - 1], strict=True):
-        own = rows.where((F.col("_at") >= start) & (F.col("_at") < end)).drop("_at").toPandas()
-        candidates(own).write.mode("append").parquet(path)
+    for r in placed.select("_block").distinct().orderBy("_block").toLocalIterator():
+        candidates(placed.where(F.col("_block") == r[0]).drop("_block").toPandas()).write.mode("append").parquet(path)
     return spark.read.schema(CANDIDATES).parquet(path)
 
 

@@ -162,7 +162,7 @@ def topk(questions: DataFrame, points: DataFrame, path: str, k: int = search.TOP
     kept = max(model.kept, k)
     each = 4 * books * words + 16 * kept + 9 * len(model.cells.centroids) + 8 * model.cells.centroids.shape[1]
     stored = spark.read.schema("cell long, id long, code binary").parquet(f"{path}/codes")
-    found = search.in_blocks(asked, lambda few: _candidates(few, stored, model, kept), max(1, BLOCK_BYTES // each))
+    found = search.in_blocks(asked, lambda few: _candidates(few, stored, model, kept), BLOCK_BYTES, F.lit(each))
     best = search.ranked(found, kept).select("query_id", "ku_id")
     vectors = points.select(F.col("ku_id").cast("long").alias("ku_id"), F.col("vector").cast("array<double>").alias("p"))
     met = best.join(vectors, "ku_id").join(asked.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("q")), "query_id")

@@ -451,6 +451,36 @@ def plain_tree(levels):
     return out
 
 
+def test_lexical_topk_by_bytes_and_bounds(spark, monkeypatch):
+    """Blocks of some bytes, terms that all units have, ties at the last place."""
+    rng = random.Random(6)
+    words = [f"t{k}" for k in range(60)] + ["common"]
+    units = [(k, "", " ".join(rng.choice(words) for _ in range(rng.randint(1, 25))) + " common") for k in range(900)]
+    asked = [(q, " ".join({rng.choice(words) for _ in range(rng.randint(1, 9))})) for q in range(70)]
+    u = spark.createDataFrame(units, "ku_id long, context string, text string").repartition(3)
+    q = spark.createDataFrame(asked, "query_id long, text string")
+    wanted = {}
+    for n, text in asked:
+        own = set(text.split())
+        score = sorted((-round(len(own & set(t.split())) / len(own), 6), k) for k, _, t in units if own & set(t.split()))
+        wanted[n] = [k for _, k in score[:5]]
+    for most in (64 << 20, 3000):
+        monkeypatch.setattr(retrieval, "BLOCK_BYTES", most)
+        got = {}
+        for r in retrieval.lexical_topk(q, u, 5).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append(r["ku_id"])
+        assert got == wanted
+
+
+def test_questions_in_blocks_of_bytes(spark, monkeypatch):
+    v = np.round(np.random.default_rng(2).normal(size=(60, 5)), 3)
+    points = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "ku_id long, vector array<double>").repartition(3)
+    questions = points.where("ku_id < 47").select(F.col("ku_id").alias("query_id"), "vector")
+    whole = search.topk_all(questions, points, 6).orderBy("query_id", "rank").collect()
+    monkeypatch.setattr(search, "BLOCK_BYTES", 1500)
+    assert search.topk_all(questions, points, 6).orderBy("query_id", "rank").collect() == whole
+
+
 def test_section_tree_of_any_level_and_depth(spark):
     random.seed(7)
     docs = {
