@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.stage import cut
+from ..sources.stage import cut, sent
 
 #: Relationship types and the directions in which they are followed, in order.
 POLICY = (
@@ -78,8 +78,8 @@ def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def replace(table: DataFrame, fresh: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """``table`` with the rows of the documents in ``fresh`` replaced by those, once for each
-    key."""
-    kept = table.join(fresh.select("document_id").distinct(), "document_id", "left_anti")
+    key. The rows that stay are not shuffled while the documents are few enough to be sent."""
+    kept = table.join(sent(fresh.select("document_id")), "document_id", "left_anti")
     return kept.unionByName(fresh.dropDuplicates([*keys]))
 
 

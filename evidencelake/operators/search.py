@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.stage import cut, scratch
+from ..sources.stage import cut, scratch, sent
 from .structure import SPACE
 from .units import word_count
 
@@ -164,10 +164,14 @@ def index_points(vectors: DataFrame, units: DataFrame, citations: DataFrame, man
 
 
 def upsert(points: DataFrame, changes: DataFrame, key: str, version: str) -> DataFrame:
-    """Points with changes put in: for each key the row of the highest version."""
-    every = points.unionByName(changes)
+    """Points, one for each key, with changes put in: for each changed key the row of the
+    highest version. Points whose key no change has pass as they are; while the changed keys are few
+    enough to be sent (``stage.sent``), none of these is shuffled."""
+    ids = sent(changes.select(F.col(key).alias("_key")))
+    same = points[key].eqNullSafe(ids["_key"])
     last = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(version)))
-    return every.withColumn("_n", last).where("_n = 1").drop("_n")
+    met = points.join(ids, same, "left_semi").unionByName(changes)
+    return points.join(ids, same, "left_anti").unionByName(met.withColumn("_n", last).where("_n = 1").drop("_n"))
 
 
 def lookup(points: DataFrame, ids: DataFrame, key: str) -> DataFrame:

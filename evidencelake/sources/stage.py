@@ -24,6 +24,9 @@ UNITS_JSON = (
 #: Places of a document whose units are one stored object.
 PART = 32
 
+#: Bytes of keys that may be broadcast.
+SENT_BYTES = 64 << 20
+
 #: Bytes of one bucket of a stored table, and the most buckets that one has.
 BUCKET_BYTES, MAX_BUCKETS = 128 << 20, 1 << 16
 
@@ -122,6 +125,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def sent(keys: DataFrame, most_bytes: int = SENT_BYTES) -> DataFrame:
+    """Distinct ``keys`` to join with: broadcast where they are measured and have ``most_bytes`` at
+    most, so that the other side is not shuffled; else left to a shuffle join."""
+    keys = cut(keys.distinct())
+    size = F.sum(F.lit(16) + sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in keys.columns), F.lit(0)))
+    return F.broadcast(keys) if (keys.agg(size).first()[0] or 0) <= most_bytes else keys
+
+
 def read_units_json(spark: SparkSession, path: str) -> DataFrame:
     """One row for each unit of stored unit files (one JSON object a file; a document may have several)."""
     return unpack_units(spark.read.schema(UNITS_JSON).option("multiLine", True).json(path))

@@ -451,6 +451,25 @@ def plain_tree(levels):
     return out
 
 
+def test_a_merge_shuffles_the_changes_only(spark, tmp_path, monkeypatch):
+    old = [(k, k % 7, "old", 1) for k in range(500)] + [(None, 1, "old", 1)]
+    schema = "id long, document_id long, state string, version int"
+    spark.createDataFrame(old, schema).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    changes = spark.createDataFrame([(3, 3, "new", 2), (4, 4, "late", 0), (900, 1, "new", 2), (None, 1, "new", 2)], schema)
+    wanted = {k: "old" for k in range(500)} | {3: "new", 900: "new", None: "new"}
+    for most in (64 << 20, 0):
+        monkeypatch.setattr(search, "sent", lambda keys, most=most: stage.sent(keys, most))
+        out = search.upsert(table, changes, "id", "version")
+        assert sorted(((r["id"], r["state"]) for r in out.collect()), key=str) == sorted(wanted.items(), key=str)
+    plan = graph.replace(table, changes, ("id",))._jdf.queryExecution().executedPlan().toString()
+    stays = plan[: plan.index("Aggregate")]  # the rows that stay come first in the union
+    assert "BroadcastHashJoin" in stays and "hashpartitioning" not in stays and "SortMergeJoin" not in plan
+    assert sorted(((r["id"], r["state"]) for r in graph.replace(table, changes, ("id",)).collect()), key=str) == sorted(
+        [(k, "old") for k in range(500) if k % 7 not in (1, 3, 4)] + [(3, "new"), (4, "late"), (900, "new"), (None, "new")], key=str
+    )
+
+
 def test_lexical_topk_by_bytes_and_bounds(spark, monkeypatch):
     """Blocks of some bytes, terms that all units have, ties at the last place."""
     rng = random.Random(6)
