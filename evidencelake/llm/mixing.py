@@ -91,7 +91,7 @@ def mix(
     ``levels`` are the tree's levels from the root down (nulls are a branch named 'null');
     ``tokens`` is a row's size (null counts as 0); the budget is given in tokens or as a
     share of all tokens. A leaf gives at most ``max_epochs`` times its tokens, one of weight 0
-    (its own or that of a branch above) nothing. In an epoch
+    (its own or that of a branch above) nothing, nor one whose rows all have 0 tokens. In an epoch
     rows come in the order of md5(seed|epoch|id), then id and a hash of the row; a row is
     taken where the rows before it stay below the leaf's remaining budget, so a leaf
     exceeds it by less than one row. An empty table or budget gives no rows.

@@ -248,7 +248,8 @@ def compare_with_edits(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     (rounded down) is replaced by the first as many of the next document. One shuffle, by
     ``ranges`` ranges of ids (as many as there are shuffle partitions), which a task goes through in
     pieces; what crosses a border between ranges is one row for each. Rows that are equal in id
-    and text stay in one range, all others can be in several. Columns: the id, n_chars,
+    and text stay in one range, all others can be in several. Ids are whole numbers (or strings
+    of such); any other stops the job. Columns: the id, n_chars,
     edited (text), fingerprint, edited_fingerprint, near_edited, near_next.
     """
     own = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
