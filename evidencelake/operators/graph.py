@@ -114,7 +114,7 @@ def adjacency(edges: DataFrame, most: int = MAX_NEIGHBORS, nodes: DataFrame | No
     join, so a hub joins as ``most`` rows, and neither it nor the degree brings a hub's edges together."""
     rows = directed(edges)
     if nodes is not None:
-        rows = rows.join(nodes.select("node").distinct(), "node", "left_semi")
+        rows = cut(rows.join(nodes.select("node").distinct(), "node", "left_semi"))  # read once for both uses
     degree = rows.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
     place = F.row_number().over(Window.partitionBy("node").orderBy("policy", "neighbor"))
     return rows.withColumn("place", place).where(F.col("place") <= most).join(degree, "node")
@@ -132,7 +132,7 @@ def expand(
 
     ``adjacent`` has the neighbours by node, or gives those of the nodes it is called with
     (``lambda nodes: adjacency(edges, nodes=nodes)``). Each level asks for its frontier alone, and what is
-    written between jobs is a frontier's capped neighbours, so it grows with the seeds, not with the graph.
+    written between jobs is the frontier's own edges, so it grows with the seeds, not with the graph.
 
     Returns (found, cost): found has query_id, id, place (order of discovery from 1), depth
     and hops, an array of (source, target, type, direction); cost has query_id, cost and

@@ -34,7 +34,8 @@ BUCKET_BYTES, MAX_BUCKETS = 128 << 20, 1 << 16
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``, else the
     one that ``setCheckpointDir`` was given. Where neither is set, a local session gets a
-    temporary folder; a cluster gets an error, as its executors would write to their own disks."""
+    temporary folder; a cluster gets an error, as its executors would write to their own disks. A
+    folder that was set is taken as it is: on a cluster a ``file:`` one must be mounted by all."""
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if found:
