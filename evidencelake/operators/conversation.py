@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .substrings import contained
+
 NEEDLE, MIN_LINE = 120, 18
 STATUS = {"start": "pending", "complete": "complete", "fail": "failed"}
 CITATION = r"\[[A-Za-z0-9_-]+\]|[\[(][ \t\n\r\f\x0B]*KU[0-9]+(?:[ \t\n\r\f\x0B]*,[ \t\n\r\f\x0B]*KU[0-9]+)*[ \t\n\r\f\x0B]*[\])]"
@@ -92,8 +94,11 @@ def evidence_locate(evidence: DataFrame, pages: DataFrame) -> DataFrame:
     matched, source.
 
     The first boxed page whose text has the evidence's first characters, else the first boxed
-    page; without boxes the same with the recorded pages; without either any page with the
-    text; else no page.
+    page; without boxes the same with the recorded pages; without either the first page with the
+    text; else no page. Pages without a number are no result.
+
+    Evidence without pages finds them by fingerprints (``substrings.contained``), each distinct text
+    of a document once, so a document's evidence does not meet all of its pages.
     """
     rows = evidence.withColumn("needle", F.substring(strip_for_match(F.col("text")), 1, NEEDLE))
     text = pages.select("document_id", "page", strip_for_match(F.col("text")).alias("stripped"))
@@ -102,11 +107,14 @@ def evidence_locate(evidence: DataFrame, pages: DataFrame) -> DataFrame:
     rows = rows.withColumn("listed", listed).withColumn("source", source)
     some = rows.where(F.col("needle") != "").select("document_id", "id", "needle", "listed")
     named = some.select("document_id", "id", "needle", F.posexplode("listed").alias("place", "page")).join(text, ["document_id", "page"])
-    search = some.where("listed is null").join(text, "document_id").withColumn("place", F.col("page"))
+    open_ended = some.where("listed is null").select("document_id", "id", "needle")
+    sought = open_ended.select("document_id", "needle").distinct().withColumn("sought", F.col("needle"))
+    paged = text.where("page is not null").withColumnRenamed("stripped", "text")
+    search = contained(sought, paged, ("document_id",), needle_ids=("sought",), text_ids=("page",))
+    search = search.groupBy("document_id", F.col("sought").alias("needle")).agg(F.min("page").alias("page"))
+    search = open_ended.join(search, ["document_id", "needle"]).withColumn("place", F.col("page"))
     columns = ("document_id", "id", "page", "place")
-    found = named.where(F.contains("stripped", F.col("needle"))).select(*columns).unionByName(
-        search.where(F.contains("stripped", F.col("needle"))).select(*columns)
-    )
+    found = named.where(F.contains("stripped", F.col("needle"))).select(*columns).unionByName(search.select(*columns))
     best = found.groupBy("document_id", "id").agg(F.min_by("page", "place").alias("hit"))
     out = rows.join(best, ["document_id", "id"], "left")
     page = F.coalesce("hit", F.get("listed", F.lit(0)))
@@ -121,7 +129,8 @@ def evidence_locate(evidence: DataFrame, pages: DataFrame) -> DataFrame:
 
 def line_marks(lines: DataFrame, evidence: DataFrame) -> DataFrame:
     """Lines (document_id, page, line, text) of 18 stripped characters or more that are
-    contained in evidence (document_id, id, page, text) of their page: the line and the id."""
-    own = lines.select("document_id", "page", "line", strip_for_match(F.col("text")).alias("stripped")).where(F.char_length("stripped") >= MIN_LINE)
-    there = evidence.select("document_id", "page", "id", strip_for_match(F.col("text")).alias("whole"))
-    return own.join(there, ["document_id", "page"]).where(F.contains("whole", F.col("stripped"))).select("document_id", "page", "line", "id")
+    contained in evidence (document_id, id, page, text) of their page: the line and the id, once
+    however often rows are repeated. Lines meet evidence by fingerprints, not all of their page."""
+    own = lines.select("document_id", "page", "line", strip_for_match(F.col("text")).alias("needle")).where(F.char_length("needle") >= MIN_LINE)
+    there = evidence.select("document_id", "page", "id", strip_for_match(F.col("text")).alias("text"))
+    return contained(own, there, ("document_id", "page"), needle_ids=("line",), text_ids=("id",), shortest=MIN_LINE)
