@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .substrings import contained
+from .substrings import LIGHT, contained, heavy_groups
 
 NEEDLE, MIN_LINE = 120, 18
 STATUS = {"start": "pending", "complete": "complete", "fail": "failed"}
@@ -89,7 +89,7 @@ def strip_for_match(text: Column) -> Column:
     return F.regexp_replace(plain, "[\"'“”‘’]", "")
 
 
-def evidence_locate(evidence: DataFrame, pages: DataFrame) -> DataFrame:
+def evidence_locate(evidence: DataFrame, pages: DataFrame, light: int = LIGHT) -> DataFrame:
     """Evidence (document_id, id, text, box_pages, pages) to its page: document_id, id, page,
     matched, source.
 
@@ -97,8 +97,8 @@ def evidence_locate(evidence: DataFrame, pages: DataFrame) -> DataFrame:
     page; without boxes the same with the recorded pages; without either the first page with the
     text; else no page. Pages without a number are no result.
 
-    Evidence without pages finds them by fingerprints (``substrings.contained``), each distinct text
-    of a document once, so a document's evidence does not meet all of its pages.
+    In a document where evidence without pages, compared with all pages, would go through more than
+    ``light`` bytes, it finds them by fingerprints (``substrings.contained``), equal texts once.
     """
     rows = evidence.withColumn("needle", F.substring(strip_for_match(F.col("text")), 1, NEEDLE))
     text = pages.select("document_id", "page", strip_for_match(F.col("text")).alias("stripped"))
@@ -108,9 +108,10 @@ def evidence_locate(evidence: DataFrame, pages: DataFrame) -> DataFrame:
     some = rows.where(F.col("needle") != "").select("document_id", "id", "needle", "listed")
     named = some.select("document_id", "id", "needle", F.posexplode("listed").alias("place", "page")).join(text, ["document_id", "page"])
     open_ended = some.where("listed is null").select("document_id", "id", "needle")
-    sought = open_ended.select("document_id", "needle").distinct().withColumn("sought", F.col("needle"))
+    sought = open_ended.select("document_id", "needle", F.col("needle").alias("sought")).distinct()
     paged = text.where("page is not null").withColumnRenamed("stripped", "text")
-    search = contained(sought, paged, ("document_id",), needle_ids=("sought",), text_ids=("page",))
+    heavy = heavy_groups(open_ended, pages, ("document_id",), light)
+    search = contained(sought, paged, ("document_id",), heavy, needle_ids=("sought",), text_ids=("page",))
     search = search.groupBy("document_id", F.col("sought").alias("needle")).agg(F.min("page").alias("page"))
     search = open_ended.join(search, ["document_id", "needle"]).withColumn("place", F.col("page"))
     columns = ("document_id", "id", "page", "place")
@@ -127,10 +128,12 @@ def evidence_locate(evidence: DataFrame, pages: DataFrame) -> DataFrame:
     )
 
 
-def line_marks(lines: DataFrame, evidence: DataFrame) -> DataFrame:
+def line_marks(lines: DataFrame, evidence: DataFrame, light: int = LIGHT) -> DataFrame:
     """Lines (document_id, page, line, text) of 18 stripped characters or more that are
     contained in evidence (document_id, id, page, text) of their page: the line and the id, once
-    however often rows are repeated. Lines meet evidence by fingerprints, not all of their page."""
+    however often rows are repeated. On pages where comparing all lines with all evidence would go
+    through more than ``light`` bytes, they meet by fingerprints."""
     own = lines.select("document_id", "page", "line", strip_for_match(F.col("text")).alias("needle")).where(F.char_length("needle") >= MIN_LINE)
     there = evidence.select("document_id", "page", "id", strip_for_match(F.col("text")).alias("text"))
-    return contained(own, there, ("document_id", "page"), needle_ids=("line",), text_ids=("id",), shortest=MIN_LINE)
+    heavy = heavy_groups(lines, evidence, ("document_id", "page"), light)
+    return contained(own, there, ("document_id", "page"), heavy, needle_ids=("line",), text_ids=("id",), shortest=MIN_LINE)

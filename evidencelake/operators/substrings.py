@@ -9,9 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.stage import sent
+
 #: Window lengths in bytes. A needle goes by the longest that it fills.
 LENGTHS = (1, 2, 4, 8, 16, 32, 64)
 PIECE = 1 << 20
+#: Needles times bytes of texts up to which a group's needles and texts are all compared.
+LIGHT = 1 << 26
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -86,20 +90,55 @@ def with_prints(df: DataFrame, text_col: str, lengths: tuple[int, ...], whole: b
     return df.mapInArrow(run, schema).select(*keep, F.explode("prints").alias("print"))
 
 
+def heavy_groups(needles: DataFrame, texts: DataFrame, on: tuple[str, ...], light: int = LIGHT) -> DataFrame | None:
+    """The keys of the groups in which comparing each needle with each text (column text, of any
+    form that is not shorter than what is compared) would go through more than ``light`` bytes; None if there are none."""
+    count = needles.groupBy(*on).agg(F.count(F.lit(1)).alias("_needles"))
+    size = texts.groupBy(*on).agg(F.sum(F.octet_length("text")).alias("_bytes"))
+    over = F.col("_needles").cast("double") * F.col("_bytes") > light
+    keys = sent(count.join(size, [*on]).where(over).select(*on))
+    return None if keys.isEmpty() else keys
+
+
 def contained(
-    needles: DataFrame, texts: DataFrame, on: tuple[str, ...], *, needle_ids: tuple[str, ...], text_ids: tuple[str, ...], shortest: int = 1
+    needles: DataFrame,
+    texts: DataFrame,
+    on: tuple[str, ...],
+    heavy: DataFrame | None,
+    *,
+    needle_ids: tuple[str, ...],
+    text_ids: tuple[str, ...],
+    shortest: int = 1,
 ) -> DataFrame:
     """Pairs of a needle (on, needle_ids, needle) and a text (on, text_ids, text) that contains it,
-    within equal ``on`` (nulls match nothing): on, needle_ids, text_ids, each pair once.
+    within equal ``on`` (nulls match nothing): on, needle_ids, text_ids, each pair once. Null or
+    empty needles and null texts give nothing; null ids are kept.
+
+    Groups that are ``heavy`` (``heavy_groups``) go by fingerprints, so that their needles do not meet
+    all of their texts; in the others, which are small, that is cheaper than fingerprints.
+    """
+    keys = [*on]
+    few = (needles, texts) if heavy is None else tuple(x.join(heavy, keys, "left_anti") for x in (needles, texts))
+    pairs = few[0].where("needle <> ''").join(few[1].select(*on, *text_ids, "text"), keys)
+    out = pairs.where(F.contains("text", F.col("needle"))).select(*on, *needle_ids, *text_ids)
+    if heavy is not None:
+        many = (x.join(heavy, keys, "left_semi") for x in (needles, texts))
+        out = out.unionByName(by_prints(*many, on, needle_ids=needle_ids, text_ids=text_ids, shortest=shortest))
+    return out.distinct()
+
+
+def by_prints(
+    needles: DataFrame, texts: DataFrame, on: tuple[str, ...], *, needle_ids: tuple[str, ...], text_ids: tuple[str, ...], shortest: int = 1
+) -> DataFrame:
+    """The pairs of ``contained`` by fingerprints.
 
     Grams of half a window are hashed and each window keeps its least hash. A needle's first
     window, as long as the needle allows up to 64 bytes, also stands in every text that contains the
     needle, so its one fingerprint is among the text's: a join by fingerprint finds every pair, and
     the texts themselves are compared then. Pairs that are compared share a gram of a quarter of the
     needle's bytes at least (of 32 for long needles), so they grow with the pairs that are found,
-    not with all. Texts are moved once, not with their fingerprints. Null or empty needles and null
-    texts give nothing; null ids are kept. Needles have ``shortest`` bytes or more: with less than
-    that they may be left out, and texts carry fewer fingerprints for it.
+    not with all. Texts are moved once, not with their fingerprints. Needles have ``shortest`` bytes
+    or more: with less than that they may be left out, and texts carry fewer fingerprints for it.
     """
     lengths = tuple(n for n in LENGTHS if n * 2 > shortest)
     size = F.octet_length("needle")

@@ -13,15 +13,14 @@ TEXTS = "doc int, tid int, text string"
 
 
 def found(spark, needles, texts, shortest=1):
-    out = substrings.contained(
-        spark.createDataFrame(needles, NEEDLES),
-        spark.createDataFrame(texts, TEXTS),
-        ("doc",),
-        needle_ids=("nid",),
-        text_ids=("tid",),
-        shortest=shortest,
-    )
-    return sorted((tuple(r) for r in out.collect()), key=str)
+    """The pairs by fingerprints, by comparing all, and with some groups each way; all the same."""
+    a, b = spark.createDataFrame(needles, NEEDLES), spark.createDataFrame(texts, TEXTS)
+    ids = {"needle_ids": ("nid",), "text_ids": ("tid",), "shortest": shortest}
+    out = [substrings.by_prints(a, b, ("doc",), **ids).distinct(), substrings.contained(a, b, ("doc",), None, **ids)]
+    out.append(substrings.contained(a, b, ("doc",), spark.createDataFrame([(1,)], "doc int"), **ids))
+    first, *others = (sorted((tuple(r) for r in x.collect()), key=str) for x in out)
+    assert all(x == first for x in others)
+    return first
 
 
 def by_hand(needles, texts):
@@ -77,11 +76,14 @@ def test_compared_pairs_grow_with_the_hits(spark):
     looked = substrings.with_prints(needles.selectExpr("doc", "nid", "substring(cast(needle as binary), 1, 32) as h"), "h", substrings.LENGTHS, whole=True)
     held = substrings.with_prints(pages, "text", substrings.LENGTHS)
     assert looked.join(held, ["doc", "print"]).count() < 2000 * 1.1
-    pairs = substrings.contained(needles, pages, ("doc",), needle_ids=("nid",), text_ids=("tid",))
+    heavy = substrings.heavy_groups(needles, pages, ("doc",), 1 << 20)
+    assert [r[0] for r in heavy.collect()] == [1] and substrings.heavy_groups(needles, pages, ("doc",), 1 << 30) is None
+    pairs = substrings.contained(needles, pages, ("doc",), heavy, needle_ids=("nid",), text_ids=("tid",))
     assert pairs.count() == pairs.where("nid = tid").count() == 2000
 
 
-def test_evidence_and_lines_find_their_pages(spark):
+@pytest.mark.parametrize("light", [0, substrings.LIGHT])
+def test_evidence_and_lines_find_their_pages(spark, light):
     evidence = [
         (1, 1, "Some WORDS on  a page", [], []),
         (1, 2, "only on page three, said twice", [], []),
@@ -95,7 +97,7 @@ def test_evidence_and_lines_find_their_pages(spark):
         [(1, 3, "Only on page three, said twice. Some words on a page"), (1, 2, "some words on a page"), (1, None, "nowhere"), (2, 1, None)],
         "document_id int, page int, text string",
     )
-    rows = {r["id"]: (r["page"], r["matched"], r["source"]) for r in conversation.evidence_locate(evidence, pages).collect()}
+    rows = {r["id"]: (r["page"], r["matched"], r["source"]) for r in conversation.evidence_locate(evidence, pages, light).collect()}
     assert rows == {
         1: (2, True, "text-search"),
         2: (3, True, "text-search"),
@@ -109,4 +111,4 @@ def test_evidence_and_lines_find_their_pages(spark):
         "document_id int, page int, line int, text string",
     )
     whole = spark.createDataFrame([(1, 3, 8, "Only on page three, said “twice”"), (1, 3, 9, None)], "document_id int, page int, id int, text string")
-    assert [tuple(r) for r in conversation.line_marks(lines, whole).collect()] == [(1, 3, 0, 8)]
+    assert [tuple(r) for r in conversation.line_marks(lines, whole, light).collect()] == [(1, 3, 0, 8)]
