@@ -16,6 +16,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -145,7 +146,7 @@ def _common(a: _Block, b: _Block) -> np.ndarray:
 
     row_a, column_a = kept(row_a, column_a, in_a, len(value_a))
     row_b, column_b = kept(row_b, column_b, in_b, len(value_b))
-    common = np.zeros((len(a.sets), len(b.sets)), dtype=np.float32)
+    common = np.zeros((len(a.sets), len(b.sets)), dtype=np.int64)
     width = max(1, min(len(in_a), STRIP // (len(a.sets) + len(b.sets))))
     for at in range(0, len(in_a), width):
         strips = []
@@ -153,15 +154,18 @@ def _common(a: _Block, b: _Block) -> np.ndarray:
             low, high = np.searchsorted(column, [at, at + width])
             strips.append(np.zeros((n, width), dtype=np.float32))
             strips[-1][row[low:high], column[low:high] - at] = 1
-        common += strips[0] @ strips[1].T
+        # a strip has fewer than 2^24 columns, so its float32 counts are whole
+        common += (strips[0] @ strips[1].T).astype(np.int64)
     return common
 
 
 def _near(a: _Block, b: _Block, band: int, threshold: float) -> np.ndarray:
-    """Which members are linked, of the pairs whose first common band this is."""
+    """Which members are linked, of the pairs whose first common band this is. The threshold is
+    taken as a fraction (0.8 is 4/5), so whole numbers are compared."""
     common = _common(a, b)
     both = a.size[:, None] + b.size[None, :]
-    near = (common > 0) & (common >= threshold * (both - common) - 1e-6 * both)
+    least = Fraction(str(threshold)).limit_denominator(1_000_000)
+    near = (common > 0) & (common * least.denominator >= least.numerator * (both - common))
     for k in range(band):
         near &= a.keys[:, k][:, None] != b.keys[:, k][None, :]
     if a is b:

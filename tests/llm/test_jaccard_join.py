@@ -3,6 +3,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -151,3 +152,18 @@ def test_staged_tables_are_deleted(spark, tmp_path):
     assert len(set(folder.glob("*")) - before) == 1
     drop(out)
     assert set(folder.glob("*")) == before
+
+
+@pytest.mark.parametrize("members", [1, 3])
+def test_very_large_sets_are_compared_to_the_last_shingle(members):
+    n = 900_000  # two such sets are linked from 800,000 common shingles on
+
+    def block(starts):
+        sets = [np.arange(a, a + n, dtype=np.uint64).tobytes() for a in starts]
+        rows = {"node": range(len(sets)), "copies": [1] * len(sets), "keys": [[0]] * len(sets), "shingles": sets}
+        return jaccard_join._Block([pa.RecordBatch.from_pydict(rows)])
+
+    held, other = block([0] * members), block([100_000, 100_001, 99_999][:members])
+    assert jaccard_join._near(held, other, 0, 0.8).tolist() == [[True, False, True][:members]] * members
+    if members == 1:
+        assert jaccard_join._near(held, block([100_001]), 0, 0.8).tolist() == [[False]]
