@@ -17,11 +17,18 @@ def parse_number(token: Column) -> Column:
     need not be in their usual form: each counts against the number if a larger one is
     anywhere behind it (IIII is 4, IC is 99)."""
     value = F.create_map(*(F.lit(v) for item in ROMAN.items() for v in item))
-    digits = F.transform(F.split(F.upper(token), ""), lambda x: value[x])
-    # for each digit the largest of those from it on: a plain maximum over what follows
-    signed = F.transform(digits, lambda x, i: F.when(x < F.array_max(F.slice(digits, i + 1, F.size(digits) - i)), -x).otherwise(x))
-    total = F.aggregate(signed, F.lit(0), lambda a, x: a + x)
-    roman = F.when(token.rlike("^[ivxlcdmIVXLCDM]{1,100}$"), F.when(total > 0, total))
+    start = F.struct(F.lit(0).alias("total"), F.lit(0).alias("most"))
+
+    def step(state: Column, digit: Column) -> Column:
+        x = value[digit]
+        return F.struct(
+            (state["total"] + F.when(x < state["most"], -x).otherwise(x)).alias("total"),
+            F.greatest(state["most"], x).alias("most"),
+        )
+
+    # from the last digit to the first, with the largest of those behind it
+    total = F.aggregate(F.reverse(F.split(F.upper(token), "")), start, step, lambda s: F.when(s["total"] > 0, s["total"]))
+    roman = F.when(token.rlike("^[ivxlcdmIVXLCDM]{1,100}$"), total)
     return F.when(token.rlike("^[0-9]{1,9}$"), token.try_cast("int")).otherwise(roman)
 
 

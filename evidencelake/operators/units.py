@@ -139,20 +139,25 @@ def reference_units(entries: DataFrame) -> DataFrame:
     return entries.select("doc_id", "entry", "text", context.alias("context"))
 
 
-def visual_units(items: DataFrame, captions: DataFrame, kind: str, number: DataFrame | None = None, body: Column | None = None) -> DataFrame:
-    """Units of tables or figures: caption, blank line, body, whichever exist, or a
-    placeholder; context is the kind and the printed number, if there is one. Of several captions of a
-    subject the first by text counts."""
-    name = F.initcap(F.lit(kind))
-    first = F.row_number().over(Window.partitionBy("doc_id", "subject_pos").orderBy("text"))
-    own = captions.where(F.col("subject_type") == kind).withColumn("_n", first).where("_n = 1").select(
-        "doc_id",
-        F.col("subject_pos").alias("pos"),
-        F.col("text").alias("caption"),
-    )
-    rows = items.where(F.col("kind") == kind).join(own, ["doc_id", "pos"], "left")
+def visual_units(
+    items: DataFrame,
+    captions: DataFrame,
+    kinds: str | tuple[str, ...],
+    number: DataFrame | None = None,
+    body: Column | None = None,
+    keep: tuple[str, ...] = (),
+) -> DataFrame:
+    """Units of the items that are of one of the ``kinds`` (table, figure): caption, blank line,
+    body, whichever exist, or a placeholder; context is the kind and the printed number, if there is one.
+    Of several captions of a subject the first by text counts, of several numbers the smallest.
+    ``keep``: further columns of the items."""
+    kinds = (kinds,) if isinstance(kinds, str) else kinds
+    subject = ("doc_id", F.col("subject_pos").alias("pos"), F.col("subject_type").alias("kind"))
+    own = captions.where(F.col("subject_type").isin(*kinds)).groupBy(*subject).agg(F.min("text").alias("caption"))
+    rows = items.where(F.col("kind").isin(*kinds)).join(own, ["doc_id", "pos", "kind"], "left")
     if number is not None:
-        rows = rows.join(number.select("doc_id", F.col("subject_pos").alias("pos"), "number"), ["doc_id", "pos"], "left")
+        numbers = number.where(F.col("subject_type").isin(*kinds)).groupBy(*subject).agg(F.min("number").alias("number"))
+        rows = rows.join(numbers, ["doc_id", "pos", "kind"], "left")
     else:
         rows = rows.withColumn("number", F.lit(None).cast("int"))
     text = F.concat_ws(
@@ -160,24 +165,26 @@ def visual_units(items: DataFrame, captions: DataFrame, kind: str, number: DataF
         F.nullif(F.trim("caption"), F.lit("")),
         F.nullif(F.trim(body), F.lit("")) if body is not None else F.lit(None).cast("string"),
     )
+    placeholder = F.create_map(*(F.lit(x) for item in _PLACEHOLDER.items() for x in item))[F.col("kind")]
     return rows.select(
         "doc_id",
         "pos",
-        F.coalesce(F.nullif(text, F.lit("")), F.lit(_PLACEHOLDER[kind])).alias("text"),
-        F.concat_ws(" ", name, F.col("number").cast("string")).alias("context"),
+        F.coalesce(F.nullif(text, F.lit("")), placeholder).alias("text"),
+        F.concat_ws(" ", F.initcap("kind"), F.col("number").cast("string")).alias("context"),
+        *keep,
     )
 
 
 def assemble_units(parts: dict[str, DataFrame]) -> DataFrame:
     """Units of all kinds with one gap-free order for each document: doc_id, ord, kind, pos,
     part, text, context, words. ``parts`` has title, abstract, body kinds and references, in
-    that order; body kinds share their reading positions."""
+    that order; body kinds share their reading positions. Rows with a column kind are of that kind."""
     rank = {"title": 0, "abstract": 1, "reference": 3}
     every = None
     for kind, df in parts.items():
         columns = [F.col(c) if c in df.columns else F.lit(0).alias(c) for c in ("pos", "part")]
         context = F.col("context") if "context" in df.columns else F.lit(None).cast("string").alias("context")
-        rows = df.select("doc_id", F.lit(kind).alias("kind"), F.lit(rank.get(kind, 2)).alias("_rank"), *columns, "text", context)
+        rows = df.select("doc_id", (F.col("kind") if "kind" in df.columns else F.lit(kind).alias("kind")), F.lit(rank.get(kind, 2)).alias("_rank"), *columns, "text", context)
         every = rows if every is None else every.unionByName(rows)
     order = Window.partitionBy("doc_id").orderBy("_rank", "pos", "part")
     words = F.when(~F.col("kind").isin("table", "figure"), word_count(F.col("text")))

@@ -114,7 +114,7 @@ def section_context(spark: Spark, d: str) -> DataFrame:
 
 
 def _titles(spark: Spark, d: str) -> DataFrame:
-    return views.paper_lines(spark, d).where("pos = 0")
+    return views.first_lines(spark, d)
 
 
 def ku_title(spark: Spark, d: str) -> DataFrame:
@@ -147,29 +147,36 @@ def ku_figure(spark: Spark, d: str) -> DataFrame:
 def knowledge_units(spark: Spark, d: str) -> DataFrame:
     """All units of the documents: doc_id, ord, kind, pos, part, text, context, words. Body units
     are in reading order, which is their pos; paragraphs of the abstract and of the references
-    section are no body."""
-    moded = cut(structure.special_sections(views.titled_items(spark, d)))
+    section are no body. Documents are split once; items are placed without their texts, which join them afterwards."""
+    lines = cut(views.titled_items(spark, d))
+    text = lines.select("doc_id", "pos", "kind", "text")
+    titles = lines.withColumn("text", F.when(F.col("kind") == "heading", F.col("text")))
+    moded = cut(structure.special_sections(titles))
     body = moded.where("kind in ('table', 'figure') or mode = 'body'").drop("mode")
-    sections = structure.section_tree(body.where("kind = 'heading'"))
-    items = structure.reading_order(structure.attach_to_section(body), sections, views.boxes(spark, d))
-    items, captions = cut(items), views.captions(spark, d)
-    numbers = relations.printed_numbers(captions)
+    heads = body.where("kind = 'heading'")
+    items = structure.reading_order(structure.attach_to_section(body.drop("text")), structure.section_tree(heads), views.boxes_of(lines))
+    items = cut(items)
 
-    blocks = units.merge_tiny(units.paragraph_runs(items, "reading_pos"), order_col="reading_pos")
-    titled = units.section_context(blocks, sections).withColumnRenamed("context", "section")
+    def texts(rows: DataFrame, kinds: tuple[str, ...], how: str = "inner") -> DataFrame:
+        return rows.join(text.where(F.col("kind").isin(*kinds)), ["doc_id", "pos", "kind"], how)
+
+    # the window that finds the runs brings a document's texts together, so that folding them needs no further shuffle
+    runs = units.paragraph_runs(texts(items, ("paragraph",), "left"), "reading_pos")
+    titled = units.section_context(units.merge_tiny(runs, order_col="reading_pos"), heads).withColumnRenamed("context", "section")
     split = units.split_oversized(titled, ("doc_id", "first_pos", "front", "section"), max_words=40)
     split = units.front_matter_label(split).withColumn("context", F.coalesce("context", "section"))
 
-    def visuals(kind: str, text: Column | None = None) -> DataFrame:
-        made = units.visual_units(items, captions, kind, numbers, text)
-        return made.join(items.select("doc_id", "pos", "reading_pos"), ["doc_id", "pos"]).drop("pos").withColumnRenamed("reading_pos", "pos")
+    seen = ("table", "figure")
+    captions = views.captions_of(text)
+    tables = F.when(F.col("kind") == "table", F.col("text"))
+    visuals = units.visual_units(texts(items, seen), captions, seen, relations.printed_numbers(captions), tables, ("kind", "reading_pos"))
+    abstract = texts(moded.where("mode = 'abstract' and kind = 'paragraph'").drop("text"), ("paragraph",))
 
     parts = {
         "title": ku_title(spark, d),
-        "abstract": units.single_units(structure.abstract_join(moded), "abstract", F.col("abstract"), F.lit(units.ABSTRACT)),
+        "abstract": units.single_units(structure.abstract_join(abstract), "abstract", F.col("abstract"), F.lit(units.ABSTRACT)),
         "text": split.select("doc_id", F.col("first_pos").alias("pos"), "part", "text", "context"),
-        "table": visuals("table", F.col("text")),
-        "figure": visuals("figure"),
+        "visual": visuals.drop("pos").withColumnRenamed("reading_pos", "pos"),
         "reference": ku_reference(spark, d).withColumnRenamed("entry", "pos"),
     }
     return units.assemble_units(parts)

@@ -22,6 +22,12 @@ def paper_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", "pos", F.trim("text").alias("text")).where("text <> ''")
 
 
+def first_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, pos, text: the rows of ``paper_lines`` with pos 0, without splitting whole texts."""
+    line = F.trim(F.substring_index("text", "\n", 1))
+    return table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("pos"), line.alias("text")).where("text <> ''")
+
+
 def content_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, pos, kind, level, text: a content stream with headings, tables and figures. Levels
     go down to eight; every fifth heading has none."""
@@ -41,7 +47,12 @@ def titled_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, pos, page, y0: where three of four lines stand on their pages."""
-    return paper_lines(spark, sf_dir).where("pos % 4 <> 3").selectExpr(
+    return boxes_of(paper_lines(spark, sf_dir))
+
+
+def boxes_of(lines: DataFrame) -> DataFrame:
+    """``boxes`` of lines that were read before."""
+    return lines.where("pos % 4 <> 3").selectExpr(
         "doc_id",
         "pos",
         "cast(1 + pos div 20 as int) as page",
@@ -52,8 +63,13 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, subject_pos, subject_type, text: numbered captions of tables and figures, tables of
     odd documents by roman numerals, some of them in an unusual form."""
+    return captions_of(content_items(spark, sf_dir))
+
+
+def captions_of(items: DataFrame) -> DataFrame:
+    """``captions`` of items that were read before."""
     number = F.row_number().over(_by("doc_id", "kind").orderBy("pos"))
-    items = content_items(spark, sf_dir).where("kind in ('table', 'figure')").withColumn("n", number)
+    items = items.where("kind in ('table', 'figure')").withColumn("n", number)
     printed = F.when((F.col("kind") == "table") & (F.col("doc_id") % 2 == 1), roman(F.col("n"))).otherwise(F.col("n").cast("string"))
     printed = F.when(
         F.col("doc_id") % 3 == 0,
