@@ -568,6 +568,27 @@ def test_mentions(spark, text, numbers):
     assert sorted(r["target_pos"] // 10 for r in edges.collect()) == sorted(numbers)
 
 
+def test_visuals_with_several_captions_are_one_unit_each(spark):
+    items = spark.createDataFrame(
+        [(1, 3, "table", "a b"), (1, 5, "figure", None), (1, 7, "table", None), (1, 8, "paragraph", "x")],
+        "doc_id long, pos int, kind string, text string",
+    )
+    captions = spark.createDataFrame(
+        [(1, 3, "table", "Table 9 z"), (1, 3, "table", "Table 2 y"), (1, 5, "figure", "Fig. IX w"), (1, 7, "figure", "Figure 4")],
+        "doc_id long, subject_pos int, subject_type string, text string",
+    )
+    numbers = relations.printed_numbers(captions)
+    out = units.visual_units(items, captions, ("table", "figure"), numbers, F.when(F.col("kind") == "table", F.col("text")), ("kind",))
+    assert sorted(tuple(r) for r in out.collect()) == [
+        (1, 3, "Table 2 y\n\na b", "Table 2", "table"),
+        (1, 5, "Fig. IX w", "Figure 9", "figure"),
+        (1, 7, "Untitled table", "Table", "table"),
+    ]
+    alone = units.visual_units(items, captions, "table", numbers)
+    assert alone.columns == ["doc_id", "pos", "text", "context"]
+    assert sorted(r["text"] for r in alone.collect()) == ["Table 2 y", "Untitled table"]
+
+
 def test_checks_of_papers(spark):
     papers = spark.createDataFrame([(k,) for k in range(1, 6)], "document_id long")
     chain = [(1, k, k - 1 if k else None) for k in range(300)]  # deep, but no cycle
