@@ -41,5 +41,25 @@ def test_query(spark, duck, name):
         assert rows == sorted(tuple(plain(r[k]) for k in order) for r in found.fetchall())
 
 
+def shifted(tmp_path, by):
+    """Embeddings, and those again with ids from ``by`` on, with the documents."""
+    con = duckdb.connect()
+    read = f"SELECT vec_id + x.i AS vec_id, embedding, label FROM '{D}/embeddings.parquet', (VALUES (0), ({by})) x(i)"
+    con.execute(f"COPY ({read}) TO '{tmp_path}/embeddings.parquet'")
+    con.execute(f"COPY (SELECT * FROM '{D}/documents.parquet') TO '{tmp_path}/documents.parquet'")
+    for t in ("embeddings", "documents"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("name", ["dq_graph"])
+def test_section_numbers_that_two_documents_share(spark, tmp_path, name):
+    con = shifted(tmp_path, 40_000)
+    found = con.execute(catalog.ORACLE_SQL[name])
+    columns = [x[0] for x in found.description]
+    expected = sorted(tuple(plain(v) for v in r) for r in found.fetchall())
+    assert sorted(tuple(plain(r[c]) for c in columns) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()) == expected
+
+
 def test_each_query_but_a_few_has_sql():
     assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) == {"embed_batch", "vector_topk_ann"}
