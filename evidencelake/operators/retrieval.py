@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.terms import QUERY_STOPWORDS, share, terms
+from ..sources.stage import sent
 from .search import BLOCK_BYTES, CANDIDATES, TILE, Best, in_blocks, ranked
 
 RRF_K = 60
@@ -31,6 +32,77 @@ def lexical(context: Column, text: Column, question: Column) -> Column:
     return F.coalesce(share(terms(question, QUERY_STOPWORDS), terms(F.concat_ws(" ", context, text), QUERY_STOPWORDS)), F.lit(0.0))
 
 
+def overlaps(questions: DataFrame, units: DataFrame, part_units: int = 1024) -> DataFrame:
+    """query_id, ku_id, overlap: ``lexical`` to six places of each question (query_id, document_id,
+    text) and each unit (ku_id, document_id, context, text) of its document.
+
+    Terms are taken once a text, not once a pair. A document's units are dealt to parts of about
+    ``part_units``; a task holds the places of a part's terms while the document's questions pass, so
+    neither texts nor terms are copied for the pairs that come out.
+    """
+    parts = units.groupBy("document_id").agg(F.ceil(F.count(F.lit(1)) / part_units).cast("int").alias("parts"))
+    parts = sent(parts.where("document_id is not null"))
+    asked = questions.select("document_id", "query_id", F.coalesce(terms(F.col("text"), QUERY_STOPWORDS), F.array().cast("array<string>")).alias("terms"))
+    n = F.size("terms")
+    # the overlap for each number of hits
+    shares = F.when(n > 0, F.transform(F.sequence(F.lit(0), n), lambda hits: F.round(hits / n, 6))).otherwise(F.array(F.lit(0.0)))
+    asked = asked.withColumn("shares", shares).join(parts, "document_id").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    own = units.select("document_id", "ku_id", terms(F.concat_ws(" ", "context", "text"), QUERY_STOPWORDS).alias("terms"))
+    own = own.join(parts, "document_id").withColumn("part", F.pmod(F.xxhash64("ku_id"), F.col("parts")).cast("int"))
+    rows = own.withColumn("role", F.lit(0)).unionByName(asked.withColumn("role", F.lit(1)), allowMissingColumns=True)
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, index = None, [], None
+        for batch in batches:
+            groups = list(zip(*(batch.column(c).to_pylist() for c in ("document_id", "part", "role")), strict=True))
+            cuts = [i for i in range(1, len(groups)) if groups[i] != groups[i - 1]]
+            for a, b in zip([0, *cuts], [*cuts, len(groups)], strict=True) if groups else ():
+                few = batch.slice(a, b - a)
+                if groups[a][:-1] != now:
+                    now, held, index = groups[a][:-1], [], None
+                if groups[a][-1] == 0:
+                    held.append(few.select(["ku_id", "terms"]))
+                elif held:
+                    index = index or _Places(pa.Table.from_batches(held).combine_chunks())
+                    yield from index.rows(few)
+
+    schema = f"query_id {questions.schema['query_id'].dataType.simpleString()}, ku_id {units.schema['ku_id'].dataType.simpleString()}, overlap double"
+    dealt = rows.select("document_id", "part", "role", "ku_id", "query_id", "terms", "shares").repartition("document_id", "part")
+    return dealt.sortWithinPartitions("document_id", "part", "role").mapInArrow(met, schema)
+
+
+class _Places:
+    """Which units (ku_id, terms) have which terms: for each known term the units' places from
+    ``first[term]`` on."""
+
+    def __init__(self, units: pa.Table):
+        self.ids, terms = units["ku_id"].combine_chunks(), units["terms"].combine_chunks()
+        coded = terms.flatten().dictionary_encode()
+        code = np.asarray(coded.indices)
+        self.known = coded.dictionary
+        self.unit = np.repeat(np.arange(len(terms)), np.asarray(pc.list_value_length(terms)))[np.argsort(code, kind="stable")]
+        self.first = np.concatenate(([0], np.cumsum(np.bincount(code, minlength=len(self.known)))))
+
+    def rows(self, asked: pa.RecordBatch, most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+        """query_id, ku_id, overlap of all pairs, about ``most`` at once."""
+        units = len(self.ids)
+        step = max(most // units, 1)
+        for at in range(0, asked.num_rows, step):
+            few = asked.slice(at, step)
+            size, shares = (np.asarray(pc.list_value_length(few.column(c))) for c in ("terms", "shares"))
+            term = pc.index_in(few.column("terms").flatten(), value_set=self.known)
+            row, term = np.repeat(np.arange(len(size)), size)[np.asarray(pc.is_valid(term))], np.asarray(term.drop_null())
+            times = self.first[term + 1] - self.first[term]
+            place = np.repeat(self.first[term] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+            hits = np.bincount(np.repeat(row, times) * units + self.unit[place], minlength=len(size) * units)
+            question = np.repeat(np.arange(len(size)), units)
+            overlap = np.asarray(few.column("shares").flatten())[(np.cumsum(shares) - shares)[question] + hits]
+            yield pa.RecordBatch.from_arrays(
+                [few.column("query_id").take(pa.array(question)), self.ids.take(pa.array(np.tile(np.arange(units), len(size)))), pa.array(overlap)],
+                names=["query_id", "ku_id", "overlap"],
+            )
+
+
 def lexical_topk(questions: DataFrame, units: DataFrame, k: int = 20, block: int | None = None) -> DataFrame:
     """query_id, ku_id, score, rank by lexical overlap over all units that share a term with the
     question, however common the term. Questions and units without an id are left out.

@@ -57,9 +57,7 @@ def fused(spark: Spark, d: str, expanded: bool = True) -> DataFrame:
 
 
 def lexical_overlap(spark: Spark, d: str) -> DataFrame:
-    p = views.questions(spark, d).select("query_id", "document_id", F.col("text").alias("question"))
-    rows = p.join(search_queries._units(spark, d), "document_id")
-    return rows.select("query_id", "ku_id", F.round(retrieval.lexical(F.col("context"), F.col("text"), F.col("question")), 6).alias("overlap"))
+    return retrieval.overlaps(views.questions(spark, d), search_queries._units(spark, d))
 
 
 def lexical_topk(spark: Spark, d: str) -> DataFrame:

@@ -410,6 +410,21 @@ def test_tokens_join_to_the_text(spark):
     assert [r["value"] for r in rows if r["kind"] == "citation"] == ["[KU1]", "KU4", "KU8", "[x-1]", "[KU2]", "KU1", "[a]"]
 
 
+def test_overlaps_of_all_pairs_in_parts(spark):
+    words = ["red", "the", "ox", "Sea-mill", "x1 x2", "of", None]
+    units = [(k, k % 3 if k % 17 else None, words[k % 7], " ".join(w for w in words[k % 5 : k % 5 + k % 4] if w) if k % 6 else None) for k in range(90)]
+    asked = [(k, k % 4 if k % 11 else None, " ".join(w for w in words[k % 6 : k % 6 + 3] if w) if k % 5 else None) for k in range(40)]
+    units = spark.createDataFrame([*units, units[4]], "ku_id long, document_id int, context string, text string")
+    asked = spark.createDataFrame([*asked, (99, 1, "of the"), (99, 1, "OX sea zebra")], "query_id string, document_id int, text string")
+    score = F.round(retrieval.lexical(F.col("context"), F.col("text"), F.col("question")), 6)
+    pairs = asked.withColumnRenamed("text", "question").join(units, "document_id").select("query_id", "ku_id", score.alias("overlap"))
+    expected = sorted(tuple(r) for r in pairs.collect())
+    assert len({x[2] for x in expected}) > 4
+    for part in (1024, 5):
+        assert sorted(tuple(r) for r in retrieval.overlaps(asked, units, part).collect()) == expected
+    assert retrieval.overlaps(asked, units.where("false")).count() == 0 == retrieval.overlaps(asked.where("false"), units).count()
+
+
 def test_lexical_topk_equals_brute_force(spark):
     random.seed(6)
     words = ["common", "usual"] + [f"w{k}" for k in range(40)]
