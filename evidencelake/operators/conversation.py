@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .substrings import LIGHT, contained, heavy_groups
+from ..sources.stage import cut
+from .substrings import LIGHT, by_prints, contained, heavy_groups
 
 NEEDLE, MIN_LINE = 120, 18
 STATUS = {"start": "pending", "complete": "complete", "fail": "failed"}
@@ -89,6 +93,30 @@ def strip_for_match(text: Column) -> Column:
     return F.regexp_replace(plain, "[\"'“”‘’]", "")
 
 
+def stripped(rows: DataFrame, name: str, most: int | None = None) -> DataFrame:
+    """The rows with ``strip_for_match`` of the column text, or its first characters, as ``name``, in
+    one pass over the bytes instead of one for each pattern."""
+    keep = [c for c in rows.columns if c != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = pa.array([x and _bare(x) for x in batch.column("text").cast(pa.binary()).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), made.cast(pa.string())], names=[*keep, name])
+
+    schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep), f"`{name}` string"])
+    out = rows.select(*keep, F.lower("text").alias("text")).mapInArrow(run, schema)
+    return out.withColumn(name, F.substring(name, 1, most)) if most else out
+
+
+def _bare(text: bytes) -> bytes:
+    """Lower-case UTF-8 as ``strip_for_match`` has it."""
+    text = b" ".join(text.split()).replace(b"- ", b"")
+    if b"\xe2\x80" in text:  # what the signs beyond ASCII begin with
+        for sign in ("– ", "— ", *"–—“”‘’"):
+            text = text.replace(sign.encode(), b"")
+    return text.translate(None, b"-\"'")
+
+
 def evidence_locate(evidence: DataFrame, pages: DataFrame, light: int = LIGHT) -> DataFrame:
     """Evidence (document_id, id, text, box_pages, pages) to its page: document_id, id, page,
     matched, source.
@@ -97,25 +125,24 @@ def evidence_locate(evidence: DataFrame, pages: DataFrame, light: int = LIGHT) -
     page; without boxes the same with the recorded pages; without either the first page with the
     text; else no page. Pages without a number are no result.
 
-    In a document where evidence without pages, compared with all pages, would go through more than
-    ``light`` bytes, it finds them by fingerprints (``substrings.contained``), equal texts once.
+    Texts of pages are stripped and stored once. Evidence meets the pages of its document in one join by
+    document, with its first characters only. In a document where all evidence, compared with all pages, would go
+    through more than ``light`` bytes, it meets the pages that it names, and what names none finds its
+    pages by fingerprints (``substrings.by_prints``), equal texts once.
     """
-    rows = evidence.withColumn("needle", F.substring(strip_for_match(F.col("text")), 1, NEEDLE))
-    text = pages.select("document_id", "page", strip_for_match(F.col("text")).alias("stripped"))
     listed = F.when(F.size("box_pages") > 0, F.col("box_pages")).when(F.size("pages") > 0, F.col("pages"))
     source = F.when(F.size("box_pages") > 0, "bounding-boxes").when(F.size("pages") > 0, "page-numbers").otherwise("text-search")
-    rows = rows.withColumn("listed", listed).withColumn("source", source)
-    some = rows.where(F.col("needle") != "").select("document_id", "id", "needle", "listed")
-    named = some.select("document_id", "id", "needle", F.posexplode("listed").alias("place", "page")).join(text, ["document_id", "page"])
-    open_ended = some.where("listed is null").select("document_id", "id", "needle")
-    sought = open_ended.select("document_id", "needle", F.col("needle").alias("sought")).distinct()
-    paged = text.where("page is not null").withColumnRenamed("stripped", "text")
-    heavy = heavy_groups(open_ended, pages, ("document_id",), light)
-    search = contained(sought, paged, ("document_id",), heavy, needle_ids=("sought",), text_ids=("page",))
-    search = search.groupBy("document_id", F.col("sought").alias("needle")).agg(F.min("page").alias("page"))
-    search = open_ended.join(search, ["document_id", "needle"]).withColumn("place", F.col("page"))
-    columns = ("document_id", "id", "page", "place")
-    found = named.where(F.contains("stripped", F.col("needle"))).select(*columns).unionByName(search.select(*columns))
+    # lower-cased beside the given text: Spark takes lower(upper(x)) as lower(x), which keeps "ß", only in one step
+    rows = evidence.withColumn("text", F.lower("text")).withColumn("listed", listed).withColumn("source", source)
+    text = cut(stripped(pages.select("document_id", "page", "text"), "text"))
+    some = stripped(rows.select("document_id", "id", "listed", "text"), "needle", NEEDLE).where("needle <> ''")
+    heavy = heavy_groups(rows, text, ("document_id",), light)
+    few = (some, text) if heavy is None else tuple(x.join(heavy, "document_id", "left_anti") for x in (some, text))
+    place = F.when(F.col("listed").isNull(), F.col("page")).otherwise(F.nullif(F.array_position("listed", F.col("page")), F.lit(0)))
+    met = few[0].join(few[1], "document_id").where(F.contains("text", F.col("needle")))
+    found = met.select("document_id", "id", "page", place.alias("place")).where("place is not null")
+    if heavy is not None:
+        found = found.unionByName(_located(*(x.join(heavy, "document_id", "left_semi") for x in (some, text))))
     best = found.groupBy("document_id", "id").agg(F.min_by("page", "place").alias("hit"))
     out = rows.join(best, ["document_id", "id"], "left")
     page = F.coalesce("hit", F.get("listed", F.lit(0)))
@@ -128,6 +155,18 @@ def evidence_locate(evidence: DataFrame, pages: DataFrame, light: int = LIGHT) -
     )
 
 
+def _located(some: DataFrame, text: DataFrame) -> DataFrame:
+    """Pages (document_id, id, page, place) that have the needles, in documents with many."""
+    named = some.select("document_id", "id", "needle", F.posexplode("listed").alias("place", "page")).join(text, ["document_id", "page"])
+    open_ended = some.where("listed is null").select("document_id", "id", "needle")
+    sought = open_ended.select("document_id", "needle", F.col("needle").alias("sought")).distinct()
+    search = by_prints(sought, text.where("page is not null"), ("document_id",), needle_ids=("sought",), text_ids=("page",))
+    search = search.groupBy("document_id", F.col("sought").alias("needle")).agg(F.min("page").alias("page"))
+    search = open_ended.join(search, ["document_id", "needle"]).withColumn("place", F.col("page"))
+    columns = ("document_id", "id", "page", "place")
+    return named.where(F.contains("text", F.col("needle"))).select(*columns).unionByName(search.select(*columns))
+
+
 def line_marks(lines: DataFrame, evidence: DataFrame, light: int = LIGHT) -> DataFrame:
     """Lines (document_id, page, line, text) of 18 stripped characters or more that are
     contained in evidence (document_id, id, page, text) of their page: the line and the id, once

@@ -5,8 +5,10 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from evidencelake.operators import conversation, substrings
+from evidencelake.plans import catalog
 
 NEEDLES = "doc int, nid int, needle string"
 TEXTS = "doc int, tid int, text string"
@@ -112,3 +114,20 @@ def test_evidence_and_lines_find_their_pages(spark, light):
     )
     whole = spark.createDataFrame([(1, 3, 8, "Only on page three, said “twice”"), (1, 3, 9, None)], "document_id int, page int, id int, text string")
     assert [tuple(r) for r in conversation.line_marks(lines, whole, light).collect()] == [(1, 3, 0, 8)]
+
+
+def test_texts_are_stripped_as_the_patterns_say(spark):
+    """Also the order matters: a blank goes with the hyphen before it, not with one that a quote parts from it."""
+    rng, signs = random.Random(3), "aBΣİ  -–—\"'“”‘’\t\n\r\f\x0b\x1c\xa0\u2003é中…"
+    texts = ["".join(rng.choices(signs, k=rng.choice([0, 1, 3, 8, 40, 300]))) + " " * rng.choice([0, 1, 20]) for _ in range(4000)]
+    df = spark.createDataFrame([*((i, x) for i, x in enumerate(texts)), (-1, None)], "id int, text string")
+    expected = dict(df.select("id", conversation.strip_for_match(F.col("text"))).collect())
+    assert dict(conversation.stripped(df, "needle").collect()) == expected
+    assert dict(conversation.stripped(df, "needle", 7).collect()) == {k: x and x[:7] for k, x in expected.items()}
+
+
+@pytest.mark.parametrize("query", ["evidence_locate"])
+def test_no_pattern_is_searched_for_each_text(spark, query):
+    """Filters and joins that look at stripped texts made them anew, with five patterns each time."""
+    plan = catalog.QUERIES[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_replace" not in plan and "MapInArrow" in plan
