@@ -172,7 +172,7 @@ def line_marks(lines: DataFrame, evidence: DataFrame, light: int = LIGHT) -> Dat
     contained in evidence (document_id, id, page, text) of their page: the line and the id, once
     however often rows are repeated. On pages where comparing all lines with all evidence would go
     through more than ``light`` bytes, they meet by fingerprints."""
-    own = lines.select("document_id", "page", "line", strip_for_match(F.col("text")).alias("needle")).where(F.char_length("needle") >= MIN_LINE)
-    there = evidence.select("document_id", "page", "id", strip_for_match(F.col("text")).alias("text"))
+    own = stripped(lines.select("document_id", "page", "line", "text"), "needle").where(F.char_length("needle") >= MIN_LINE)
+    there = stripped(evidence.select("document_id", "page", "id", "text"), "text")
     heavy = heavy_groups(lines, evidence, ("document_id", "page"), light)
     return contained(own, there, ("document_id", "page"), heavy, needle_ids=("line",), text_ids=("id",), shortest=MIN_LINE)

@@ -126,7 +126,7 @@ def test_texts_are_stripped_as_the_patterns_say(spark):
     assert dict(conversation.stripped(df, "needle", 7).collect()) == {k: x and x[:7] for k, x in expected.items()}
 
 
-@pytest.mark.parametrize("query", ["evidence_locate"])
+@pytest.mark.parametrize("query", ["evidence_locate", "line_marks"])
 def test_no_pattern_is_searched_for_each_text(spark, query):
     """Filters and joins that look at stripped texts made them anew, with five patterns each time."""
     plan = catalog.QUERIES[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
