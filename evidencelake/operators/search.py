@@ -378,7 +378,8 @@ class Cells:
     parts: np.ndarray
 
     def nearest(self, vectors: np.ndarray, n: int) -> np.ndarray:
-        return np.argsort(-(vectors @ self.centroids.T), axis=1, kind="stable")[:, :n]
+        near = vectors @ self.centroids.T
+        return near.argmax(axis=1)[:, None] if n == 1 else np.argsort(-near, axis=1, kind="stable")[:, :n]
 
 
 def fit_cells(

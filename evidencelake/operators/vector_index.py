@@ -2,7 +2,7 @@
 
 The unit vectors of a bounded sample give the cells (``search.fit_cells``) and, for each few
 components of a vector, a codebook; every point is then stored as its cell and one byte for each
-codebook. A search scores the codes in the cells nearest to a question by table look-up, keeps a few of
+codebook. A search scores the codes in the cells nearest to a question, decoded, keeps a few of
 the best and ranks these by their true cosine. The index is made once; a search shuffles
 neither its codes nor the points' vectors, only candidates.
 """
@@ -85,6 +85,11 @@ def scored(tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return out
 
 
+def decoded(books: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The vectors that the codes stand for; their products with a question are ``scored``."""
+    return books[np.arange(len(books)), codes].reshape(len(codes), -1)
+
+
 def fit(points: DataFrame, k: int = search.TOP_K, *, recall: float = 0.95, sample: int = 20_000, rounds: int = 10, seed: int = 5) -> Model | None:
     """Cells and codebooks for points (ku_id, vector), or None where there is none.
 
@@ -147,8 +152,8 @@ def topk(questions: DataFrame, points: DataFrame, path: str, k: int = search.TOP
     """Approximate top-k by cosine with the index under ``path``: query_id, ku_id, score (the
     true cosine of the points' vectors), rank.
 
-    Questions come in blocks of ``BLOCK_BYTES`` of tables and candidates at most, which are broadcast;
-    each task scores the codes of its cells against the questions that probe them. Questions
+    Questions come in blocks of ``BLOCK_BYTES`` with their candidates at most, which are broadcast;
+    each task decodes the codes of its cells and multiplies them with the questions that probe them. Questions
     with fewer than k points in their cells get their exact top-k. Points that were stored and
     are no more among ``points`` are not found; new ones are found when the index is built
     again. Rows without id or vector are left out.
@@ -158,9 +163,8 @@ def topk(questions: DataFrame, points: DataFrame, path: str, k: int = search.TOP
     model = load(spark, path)
     if model is None:
         return search.topk_all(asked, points, k)
-    books, words, _ = model.books.shape
     kept = max(model.kept, k)
-    each = 4 * books * words + 16 * kept + 9 * len(model.cells.centroids) + 8 * model.cells.centroids.shape[1]
+    each = 48 * kept + 9 * len(model.cells.centroids) + 16 * model.cells.centroids.shape[1]
     stored = spark.read.schema("cell long, id long, code binary").parquet(f"{path}/codes")
     found = search.in_blocks(asked, lambda few: _candidates(few, stored, model, kept), BLOCK_BYTES, F.lit(each))
     best = search.ranked(found, kept).select("query_id", "ku_id")
@@ -174,18 +178,51 @@ def topk(questions: DataFrame, points: DataFrame, path: str, k: int = search.TOP
     return exact.join(full, "query_id", "left_semi").select(exact.columns).unionByName(search.topk_all(short, points, k))
 
 
+class Reached:
+    """The k best points of each of some questions: what reaches a question's floor is gathered,
+    and cut to k where it has doubled, which raises the floors."""
+
+    def __init__(self, ids: np.ndarray, k: int):
+        self.ids, self.k, self.floor = ids, k, np.full(len(ids), -np.inf)
+        self.parts, self.size, self.most = [], 0, 1 << 20
+
+    def show(self, own: np.ndarray, point: np.ndarray, score: np.ndarray) -> None:
+        """Scores of the questions at ``own`` (rows) and points."""
+        row, column = np.nonzero(score >= (self.floor[own] - 1e-6).astype(score.dtype)[:, None])
+        self.parts.append((own[row], point[column], np.round(score[row, column].astype(float), 6)))
+        self.size += len(row)
+        if self.size > self.most:
+            self.cut()
+
+    def cut(self) -> tuple[np.ndarray, ...]:
+        at, point, score = (np.concatenate(x) for x in zip((np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), *self.parts, strict=True))
+        order = np.lexsort((point, -score, at))
+        at, point, score = at[order], point[order], score[order]
+        place = np.arange(len(at)) - np.searchsorted(at, at)
+        last, best = place == self.k - 1, place < self.k
+        self.floor[at[last]] = score[last]
+        self.parts = [(at[best], point[best], score[best])]
+        self.size = int(best.sum())
+        self.most = 2 * self.size + (1 << 20)
+        return self.parts[0]
+
+    def rows(self) -> pa.RecordBatch:
+        at, point, score = self.cut()
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[at]), pa.array(point), pa.array(score)], names=["query_id", "ku_id", "score"])
+
+
 def _candidates(asked: pd.DataFrame, stored: DataFrame, model: Model, kept: int) -> DataFrame:
     """The best ``kept`` codes of each task for one block of questions."""
     vectors = search.matrix(pa.array(asked["vector"].tolist(), pa.list_(pa.float64())), model.cells.centroids.shape[1])
     probed = model.cells.nearest(search._unit(vectors), model.cells.probes)
     met = np.zeros((len(model.cells.centroids), len(asked)), dtype=bool)
     met[probed.reshape(-1), np.repeat(np.arange(len(asked)), probed.shape[1])] = True
-    sent = stored.sparkSession.sparkContext.broadcast((asked["query_id"].to_numpy(dtype=np.int64), model.tables(vectors), met))
+    split = model.split(vectors).reshape(len(vectors), model.books.shape[0] * model.books.shape[2]).astype(np.float32)
+    sent = stored.sparkSession.sparkContext.broadcast((asked["query_id"].to_numpy(dtype=np.int64), split, met, model.books.astype(np.float32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, tables, met = sent.value
-        best = search.Best(ids, kept, True)
-        best.point, best.score = np.zeros((len(ids), kept), np.int64), np.full((len(ids), kept), np.inf)
+        ids, split, met, books = sent.value
+        best = Reached(ids, kept)
         for whole in batches:
             cells = np.asarray(whole.column("cell"))
             cuts = np.flatnonzero(np.diff(cells)) + 1
@@ -193,11 +230,9 @@ def _candidates(asked: pd.DataFrame, stored: DataFrame, model: Model, kept: int)
                 own = np.flatnonzero(met[cells[a]])
                 for at in range(a, b if len(own) else a, search.TILE):
                     part = whole.slice(at, min(search.TILE, b - at))
-                    codes = np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(part.num_rows, -1)
-                    few = search.Best(ids[own], kept, True)
-                    few.point, few.score = best.point[own], best.score[own]
-                    few.show(np.asarray(part.column("id")), np.round(scored(tables[own], codes).astype(float), 6))
-                    best.point[own], best.score[own] = few.point, few.score
+                    points = decoded(books, np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(part.num_rows, -1))
+                    for few in (own[x : x + search.TILE] for x in range(0, len(own), search.TILE)):
+                        best.show(few, np.asarray(part.column("id")), split[few] @ points.T)
         yield best.rows()
 
     some = np.flatnonzero(met.any(axis=1))

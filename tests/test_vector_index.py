@@ -58,3 +58,22 @@ def test_a_search_shuffles_no_codes(spark, tmp_path):
     stored = spark.read.parquet(f"{tmp_path}/codes")
     plan = vector_index._candidates(asked, stored, model, 40)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "vector" not in plan
+
+
+def test_candidates_are_the_best_codes_and_few_are_gathered():
+    """Most points do not reach a question's floor; before, each was sorted with the best for each question."""
+    rng, ids = np.random.default_rng(6), np.arange(100, 150)
+    books, codes, split = rng.normal(size=(4, 16, 4)), rng.integers(0, 16, (60_000, 4)), rng.normal(size=(50, 16))
+    table = np.einsum("qjw,jkw->qjk", split.reshape(50, 4, 4), books).astype(np.float32)
+    score = split.astype(np.float32) @ vector_index.decoded(books.astype(np.float32), codes).T
+    assert np.abs(score - vector_index.scored(table, codes)).max() < 1e-4
+    best, gathered = vector_index.Reached(ids, 30), 0
+    for at in range(0, 60_000, 1000):
+        before = best.size
+        best.show(np.arange(50), np.arange(at, at + 1000), score[:, at : at + 1000])
+        gathered += max(best.size - before, 0) if at > 30_000 else 0
+    assert gathered < 0.1 * 50 * 30_000
+    found = best.rows().to_pandas()
+    for q in range(50):
+        own = np.lexsort((np.arange(60_000), -np.round(score[q].astype(float), 6)))[:30]
+        assert found[found["query_id"] == ids[q]]["ku_id"].tolist() == own.tolist()
